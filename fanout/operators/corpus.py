@@ -42,6 +42,18 @@ def flat_events(ids: DataFrame, per_batch: int = S.EVENTS_PER_BATCH) -> DataFram
     )
 
 
+def flat_messages(ids: DataFrame, per_batch: int = S.EVENTS_PER_BATCH) -> DataFrame:
+    """Flat events beside their batch's header: what flattening the nested corpus gives."""
+    b = F.col("batch_id")
+    return flat_events(ids, per_batch).select(
+        "*",
+        C.sensor(b).alias("sensor"),
+        C.region(b).alias("region"),
+        C.batch_ts_ms(b).alias("batch_ts_ms"),
+        C.prefill_send_ts_us(b).alias("send_ts_us"),
+    )
+
+
 def send_schedule(
     messages: DataFrame, *, index: str, rate: int, producers: int, partitions: int, origin_us: int
 ) -> DataFrame:

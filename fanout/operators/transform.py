@@ -87,7 +87,20 @@ def land(batches: DataFrame) -> DataFrame:
         F.timestamp_micros("send_ts_us").alias("send_ts"),
         "events",
     )
-    rows = header.select("batch_id", "sensor", "region", "batch_ts", "send_ts", F.inline("events"))
+    return _shape(header.select("batch_id", "sensor", "region", "batch_ts", "send_ts", F.inline("events")))
+
+
+def land_flat(events: DataFrame) -> DataFrame:
+    """The same transform for events that arrive one per row beside their batch's header."""
+    return _shape(
+        events.withColumn("batch_id", batch_id_checked(F.col("batch_id")))
+        .withColumn("region", F.coalesce("region", F.lit("")))
+        .withColumn("batch_ts", F.timestamp_millis("batch_ts_ms"))
+        .withColumn("send_ts", F.timestamp_micros("send_ts_us"))
+    )
+
+
+def _shape(rows: DataFrame) -> DataFrame:
     kept = rows.filter(~is_sentinel(F.col("unit"))).filter(~below_floor(F.col("quality")))
     return kept.select(
         "batch_id",
