@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fanout.plans import correctness, ingest
+from fanout.plans import correctness, ingest, measurement
 
-MODULES = [ingest, correctness]
+MODULES = [ingest, correctness, measurement]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
