@@ -16,29 +16,23 @@ def exact(c: Column) -> Column:
     return c.cast("decimal(38,0)")
 
 
-# The size letters a JVM prints and the ones a container cap is written in.
-JVM_UNITS = {"B": 1, "K": 1024, "M": 1024**2, "G": 1024**3, "T": 1024**4}
-CAP_UNITS = {"": 1, "k": 1024, "m": 1024**2, "g": 1024**3}
-
-
-def _scale(letter: Column, units: dict[str, int]) -> Column:
-    scale = F.lit(None).cast("long")
-    for name, factor in units.items():
-        scale = F.when(letter == name, F.lit(factor).cast("long")).otherwise(scale)
-    return scale
+# Size letters in steps of 1024, as a JVM prints them and as caps are written.
+JVM_LETTERS = "BKMGT"
+CAP_LETTERS = " kmg"
 
 
 def jvm_size(token: Column) -> Column:
     """Bytes from text like ``256M``; the unit is mandatory, anything else is null."""
-    pattern = r"^([0-9]+(?:\.[0-9]+)?)\s*([BKMGT])$"
     text = F.trim(token)
-    number = F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).cast("double")
-    return F.floor(number * _scale(F.regexp_extract(text, pattern, 2), JVM_UNITS)).cast("long")
+    number = F.regexp_extract(text, r"^([0-9]+(?:\.[0-9]+)?)[BKMGT]$", 1).try_cast("double")
+    step = F.instr(F.lit(JVM_LETTERS), F.right(text, F.lit(1))) - 1
+    return F.floor(number * F.pow(F.lit(1024.0), step)).cast("long")
 
 
 def cap_bytes(token: Column) -> Column:
     """Bytes from a container cap like ``24g`` or a bare count; null if it is neither or too big."""
     pattern = r"^([0-9]+)\s*([kmg]?)$"
     text = F.lower(F.trim(token))
-    number = F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast("long")
-    return F.try_multiply(number, _scale(F.regexp_extract(text, pattern, 2), CAP_UNITS))
+    number = F.regexp_extract(text, pattern, 1).try_cast("long")
+    step = F.greatest(F.instr(F.lit(CAP_LETTERS), F.regexp_extract(text, pattern, 2)) - 1, F.lit(0))
+    return F.try_multiply(number, F.pow(F.lit(1024.0), step).cast("long"))

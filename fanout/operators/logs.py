@@ -199,76 +199,124 @@ def settle_reading(rungs: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 # --- garbage-collector log --------------------------------------------------------------------
 
-# Log levels, which are never uptimes, and the shapes of a decorated line.
-LEVELS = ["trace", "debug", "info", "warning", "error"]
-_DECORATED = r"^((?:\[[^\]]*\])+)([^\[].*|)$"
+# The decorations are leading [..] groups: the last one holds the tags, one before it may hold the
+# uptime. A '[' that is never closed makes a line foreign.
+_TAGS = r"^(?:\[[^\]]*\])*\[([^\]]*)\](?!\[)"
+_MESSAGE = r"^(?:\[[^\]]*\])+(?!\[)(.*)$"
+_UPTIME = r"^(?:\[[^\]]*\])*?\[\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)s\s*\]\["
+# Optional cycle id, optional short generation marker, the word, the rest.
 _PAUSE = r"^(?:GC\(([^)]*)\)\s*)?(?:([A-Za-z0-9]{1,2}): \s*)?Pause(.*)$"
+_HEAP = r"^([^>]*)->([^(]*)\((.*)\)$"
 
 
 def gc_lines(lines: DataFrame) -> DataFrame:
     """Split unified-logging lines into uptime, tags and message.
 
     ``lines`` is ``(run, container, line_no, line)``. Adds ``kind``: ``blank``, ``foreign`` for a
-    line without decorations, ``other`` without the gc tag, else ``gc``. Padding inside a tag field
-    varies within a file, so every field is trimmed.
+    line without decorations, ``other`` without the gc tag, else ``gc``. ``tags`` is comma-joined.
+    Padding inside the tag field varies within a file, so it is trimmed away.
     """
-    decorations = F.regexp_extract("line", _DECORATED, 1)
-    fields = F.transform(F.regexp_extract_all("line", F.lit(r"\G\[([^\]]*)\]"), 1), F.trim)
-    tags = F.transform(F.split(F.element_at(F.col("fields"), -1), ","), F.trim)
-    leading = F.slice("fields", 1, F.greatest(F.size("fields") - 1, F.lit(0)))
-    uptimes = F.filter(
-        leading,
-        lambda f: f.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?s$") & ~f.isin(LEVELS),
-    )
-    split = lines.withColumn("decorations", decorations).withColumn(
-        "fields", F.when(F.col("decorations") != "", fields).otherwise(F.array().cast("array<string>"))
-    )
-    shaped = split.select(
+    tags = F.regexp_replace(F.trim(F.regexp_extract("line", _TAGS, 1)), r"\s*,\s*", ",")
+    split = lines.select(
         "run",
         "container",
         "line_no",
         "line",
-        F.rtrim(F.get(uptimes, F.lit(0)), F.lit("s")).cast("double").alias("uptime_s"),
-        F.when(F.size("fields") > 0, tags).otherwise(F.array().cast("array<string>")).alias("tags"),
-        F.trim(F.regexp_extract("line", _DECORATED, 2)).alias("message"),
-        F.size("fields").alias("_decorated"),
+        F.regexp_extract("line", _UPTIME, 1).try_cast("double").alias("uptime_s"),
+        tags.alias("tags"),
+        F.trim(F.regexp_extract("line", _MESSAGE, 1)).alias("message"),
     )
     kind = (
         F.when(F.trim("line") == "", F.lit("blank"))
-        .when(F.col("_decorated") == 0, F.lit("foreign"))
-        .when(F.array_contains("tags", "gc"), F.lit("gc"))
+        .when(~(F.col("line").startswith("[") & F.col("line").rlike(_TAGS)), F.lit("foreign"))
+        .when(_tagged("gc"), F.lit("gc"))
         .otherwise(F.lit("other"))
     )
-    return shaped.withColumn("kind", kind).drop("_decorated")
+    return split.withColumn("kind", kind)
 
 
-def gc_heap_config(split: DataFrame) -> DataFrame:
-    """Per container: collector, version and configured capacities; a later line overwrites.
+def _tagged(tag: str) -> Column:
+    return F.concat(F.lit(","), F.col("tags"), F.lit(",")).contains(f",{tag},")
+
 
-    Keys are matched by suffix, because collectors prefix them differently.
+# What a gc line can say besides being one. Capacities are matched by the end of their key, because
+# collectors prefix them differently.
+CAPACITIES = {"max": "Max Capacity", "initial": "Initial Capacity", "min": "Min Capacity"}
+
+
+def _facts(split: DataFrame, inside: Column | None = None) -> DataFrame:
+    """Every line with the one thing it says, in ``fact``, and that thing's columns.
+
+    ``fact`` is the line's kind, or for a gc line ``collector``, ``version``, a capacity, ``bad
+    size``, ``pause``, ``bad pause``, or ``pause outside`` when ``inside`` does not hold. ``text``
+    is the collector, version or pause label; ``num`` a capacity; the rest belong to pauses.
     """
-    gc = split.filter("kind = 'gc'")
-    message, at = F.col("message"), F.col("line_no")
-    collector = F.nullif(F.trim(F.regexp_extract(message, r"^(?:Using|Initializing) (.*)$", 1)), F.lit(""))
-    init = F.array_contains("tags", "init") & collector.isNull()
-    key = F.trim(F.regexp_extract(message, r"^([^:]*):(.*)$", 1))
-    text = F.trim(F.regexp_extract(message, r"^([^:]*):(.*)$", 2))
-    size = jvm_size(text)
-
-    def last(value: Column, where: Column) -> Column:
-        return F.max_by(value, F.when(where, at))
-
-    def capacity(name: str) -> Column:
-        return init & key.endswith(f"{name} Capacity")
-
-    any_capacity = capacity("Max") | capacity("Initial") | capacity("Min")
-    return gc.groupBy("run", "container").agg(
-        last(collector, collector.isNotNull()).alias("collector"),
-        last(text, init & (key == "Version")).alias("version"),
-        last(size, capacity("Initial")).alias("initial_bytes"),
-        last(size, capacity("Min")).alias("min_bytes"),
-        last(size, capacity("Max")).alias("max_bytes"),
-        F.count_if(any_capacity & size.isNull()).alias("bad_sizes"),
+    message = F.col("message")
+    gc = F.col("kind") == "gc"
+    named = gc & message.rlike(r"^(?:Using|Initializing) ")
+    stated = gc & ~message.rlike(r"^(?:Using|Initializing) ") & _tagged("init") & message.contains(":")
+    said = gc & ~_tagged("start") & message.rlike(_PAUSE)
+    marked = split.select(
+        "*",
+        F.when(stated, F.trim(F.substring_index(message, ":", 1))).alias("key"),
+        F.when(stated, F.trim(F.substring(message, F.instr(message, ":") + 1, F.length(message))))
+        .when(named, F.trim(F.regexp_replace(message, r"^\w+ ", "")))
+        .alias("stated"),
+        F.when(said, F.split(F.trim(F.regexp_extract(message, _PAUSE, 3)), r"\s+")).alias("tokens"),
+    )
+    heap = F.get("tokens", F.size("tokens") - 2)
+    parsed = marked.select(
+        "*",
+        jvm_size(F.col("stated")).alias("num"),
+        F.regexp_extract(F.get("tokens", F.size("tokens") - 1), r"^(\d+(?:\.\d+)?)ms$", 1).try_cast("double").alias("ms"),
+        F.when(heap.contains("->"), heap).alias("heap"),
+    )
+    words = F.size("tokens") - F.when(F.col("heap").isNotNull(), 2).otherwise(1)
+    before, after, capacity = [jvm_size(F.regexp_extract("heap", _HEAP, i)) for i in (1, 2, 3)]
+    sized = parsed.select(
+        "*",
+        F.coalesce(F.array_join(F.slice("tokens", 1, words), " "), F.col("stated")).alias("text"),
+        # whole nanoseconds, so that sums and ranks are exact
+        F.round(F.col("ms") * 1e6).cast("long").alias("pause_ns"),
+        before.alias("before_bytes"),
+        after.alias("after_bytes"),
+        capacity.alias("capacity_bytes"),
+    )
+    unreadable = F.col("heap").isNotNull() & (
+        F.col("before_bytes").isNull() | F.col("after_bytes").isNull() | F.col("capacity_bytes").isNull()
+    )
+    error = F.when(F.col("tokens").isNotNull(), F.when(F.col("ms").isNull(), F.lit("no duration")).when(unreadable, F.lit("unreadable size")))
+    judged = sized.withColumn("error", error)
+    fact = F.when(F.col("error").isNotNull(), F.lit("bad pause"))
+    if inside is not None:
+        fact = fact.when(F.col("tokens").isNotNull() & ~F.coalesce(inside, F.lit(False)), F.lit("pause outside"))
+    fact = fact.when(F.col("tokens").isNotNull(), F.lit("pause"))
+    for name, ending in CAPACITIES.items():
+        sized_ok = F.when(F.col("num").isNull(), F.lit("bad size")).otherwise(F.lit(name))
+        fact = fact.when(F.col("key").endswith(ending), sized_ok)
+    fact = fact.when(F.col("key") == "Version", F.lit("version"))
+    fact = fact.when(F.col("stated").isNotNull() & F.col("key").isNull(), F.lit("collector"))
+    return judged.withColumn("fact", fact.otherwise(F.col("kind")))
+
+
+def _said(fact: str, column: str) -> Column:
+    """From the per-fact aggregate: the latest value of one fact."""
+    return F.max(F.when(F.col("fact") == fact, F.col(column)))
+
+
+def gc_heap_config(split: DataFrame) -> DataFrame:
+    """Per container: collector, version and configured capacities; a later line overwrites."""
+    latest = (
+        _facts(split.filter("kind = 'gc'"))
+        .groupBy("run", "container", "fact")
+        .agg(F.max(F.struct("line_no", "text", "num")).alias("l"), F.count("*").alias("n"))
+        .select("run", "container", "fact", "l.text", "l.num", "n")
+    )
+    return latest.groupBy("run", "container").agg(
+        _said("collector", "text").alias("collector"),
+        _said("version", "text").alias("version"),
+        *[_said(c, "num").alias(f"{c}_bytes") for c in CAPACITIES],
+        F.coalesce(_said("bad size", "n"), F.lit(0)).alias("bad_sizes"),
     )
 
 
@@ -278,36 +326,20 @@ def gc_pauses(split: DataFrame) -> DataFrame:
     A pause without a duration, or with an unreadable heap triple, has ``error`` set: a change of
     format must not read as fewer or shorter pauses.
     """
-    said = split.filter((F.col("kind") == "gc") & ~F.array_contains("tags", "start"))
-    announced = said.filter(F.col("message").rlike(_PAUSE))
-    tokens = F.split(F.trim(F.regexp_extract("message", _PAUSE, 3)), r"\s+")
-    listed = announced.withColumn("tokens", tokens)
-    last = F.element_at("tokens", -1)
-    millis = F.regexp_extract(last, r"^(\d+(?:\.\d+)?)ms$", 1).try_cast("double")
-    rest = F.slice("tokens", 1, F.size("tokens") - 1)
-    timed = listed.withColumn("ms", millis).withColumn("rest", rest)
-    heap = F.try_element_at("rest", F.lit(-1))
-    has_heap = F.coalesce(heap.contains("->"), F.lit(False))
-    triple = r"^([^>]*)->([^(]*)\((.*)\)$"
-    sizes = [jvm_size(F.regexp_extract(heap, triple, i)) for i in (1, 2, 3)]
-    label = F.array_join(F.when(has_heap, F.slice("rest", 1, F.size("rest") - 1)).otherwise(F.col("rest")), " ")
-    unreadable = has_heap & (sizes[0].isNull() | sizes[1].isNull() | sizes[2].isNull())
-    return timed.select(
+    announced = (F.col("kind") == "gc") & ~_tagged("start") & F.col("message").rlike(_PAUSE)
+    return _facts(split.filter(announced)).select(
         "run",
         "container",
         "line_no",
-        F.nullif(F.regexp_extract("message", _PAUSE, 1), F.lit("")).try_cast("long").alias("gc_id"),
+        F.regexp_extract("message", _PAUSE, 1).try_cast("long").alias("gc_id"),
         "uptime_s",
         F.nullif(F.regexp_extract("message", _PAUSE, 2), F.lit("")).alias("generation"),
-        label.alias("label"),
-        # whole nanoseconds, so that sums and ranks are exact
-        F.round(F.col("ms") * 1e6).cast("long").alias("pause_ns"),
-        F.when(has_heap, sizes[0]).alias("before_bytes"),
-        F.when(has_heap, sizes[1]).alias("after_bytes"),
-        F.when(has_heap, sizes[2]).alias("capacity_bytes"),
-        F.when(F.col("ms").isNull(), F.lit("no duration"))
-        .when(unreadable, F.lit("unreadable size"))
-        .alias("error"),
+        F.col("text").alias("label"),
+        "pause_ns",
+        "before_bytes",
+        "after_bytes",
+        "capacity_bytes",
+        "error",
     )
 
 
@@ -327,43 +359,61 @@ def gc_summary(split: DataFrame, uptime_window: tuple[float, float] | None = Non
 
     Refused where the file is not unified logging, has no gc lines, begins after its
     initialisation block, holds an unreadable pause or size, or lacks uptimes under a window.
+    Lines are first reduced to one row per container, fact and pause length; the rest works on that.
     """
     keys = ["run", "container"]
-    shape = split.groupBy(*keys).agg(
-        F.count_if(F.col("kind").isin("gc", "other")).alias("decorated"),
-        F.count_if(F.col("kind") == "gc").alias("gc_lines"),
-        F.count_if(F.col("kind") == "foreign").alias("foreign"),
-    )
-    every = gc_pauses(split)
-    flaws = every.groupBy(*keys).agg(
-        F.count_if(F.col("error").isNotNull()).alias("bad_pauses"),
-        F.count_if(F.col("uptime_s").isNull()).alias("no_uptime"),
-    )
-    pauses = every.filter("error is null")
+    inside = None
     if uptime_window is not None:
-        pauses = pauses.filter((F.col("uptime_s") >= uptime_window[0]) & (F.col("uptime_s") < uptime_window[1]))
-    totals = pauses.groupBy(*keys).agg(
-        F.count("*").alias("pauses"),
-        F.sum("pause_ns").alias("total_ns"),
-        F.max("pause_ns").alias("max_ns"),
-        # of equally long pauses, the last one
-        F.max_by("label", F.struct("pause_ns", "line_no")).alias("max_label"),
-        F.min_by("uptime_s", "line_no").alias("from_uptime_s"),
-        F.max_by("uptime_s", "line_no").alias("to_uptime_s"),
-        F.max("capacity_bytes").alias("peak_committed_bytes"),
-        F.max("before_bytes").alias("peak_occupancy_bytes"),
-        F.max("after_bytes").alias("peak_live_bytes"),
+        inside = (F.col("uptime_s") >= uptime_window[0]) & (F.col("uptime_s") < uptime_window[1])
+    reduced = (
+        _facts(split, inside)
+        .groupBy(*keys, "fact", "pause_ns")
+        .agg(
+            F.count("*").alias("n"),
+            F.count("uptime_s").alias("timed"),
+            F.min(F.struct("line_no", "uptime_s")).alias("first"),
+            F.max(F.struct("line_no", "uptime_s", "text", "num")).alias("last"),
+            F.max("capacity_bytes").alias("capacity_bytes"),
+            F.max("before_bytes").alias("before_bytes"),
+            F.max("after_bytes").alias("after_bytes"),
+        )
     )
-    ranked = select_ranks(
-        pauses.select(*keys, "pause_ns"), keys, "pause_ns", {n: nearest_rank(q) for n, q in GC_QUANTILES.items()}
+    paused = F.col("fact") == "pause"
+
+    def count(*facts: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("fact").isin(*facts), F.col("n"))), F.lit(0))
+
+    def latest(fact: str, column: str) -> Column:
+        return F.max(F.when(F.col("fact") == fact, F.struct("last.line_no", f"last.{column}")))[column]
+
+    unlogged = ["blank", "foreign"]
+    facts = reduced.groupBy(*keys).agg(
+        F.coalesce(F.sum(F.when(~F.col("fact").isin(*unlogged), F.col("n"))), F.lit(0)).alias("decorated"),
+        F.coalesce(F.sum(F.when(~F.col("fact").isin(*unlogged, "other"), F.col("n"))), F.lit(0)).alias("gc_lines"),
+        count("foreign").alias("foreign"),
+        count("bad size").alias("bad_sizes"),
+        count("bad pause").alias("bad_pauses"),
+        F.sum(F.when(F.col("fact").isin("pause", "pause outside"), F.col("n") - F.col("timed"))).alias("no_uptime"),
+        latest("collector", "text").alias("collector"),
+        latest("max", "num").alias("max_bytes"),
+        count("pause").alias("pauses"),
+        F.sum(F.when(paused, F.col("n") * F.col("pause_ns"))).alias("total_ns"),
+        # of equally long pauses, the last one's label
+        F.max(F.when(paused, F.struct("pause_ns", "last.line_no", "last.text"))).alias("worst"),
+        F.min(F.when(paused, F.col("first"))).alias("first"),
+        F.max(F.when(paused, F.col("last"))).alias("last"),
+        F.max(F.when(paused, F.col("capacity_bytes"))).alias("peak_committed_bytes"),
+        F.max(F.when(paused, F.col("before_bytes"))).alias("peak_occupancy_bytes"),
+        F.max(F.when(paused, F.col("after_bytes"))).alias("peak_live_bytes"),
     )
-    zero = F.lit(0).cast("long")
-    joined = (
-        shape.join(gc_heap_config(split), keys, "left")
-        .join(flaws, keys, "left")
-        .join(totals, keys, "left")
-        .join(ranked, keys, "left")
+    # other facts weigh nothing; filtering them out would push the whole parse into the filter
+    weighed = reduced.select(
+        *keys,
+        F.coalesce("pause_ns", F.lit(0).cast("long")).alias("pause_ns"),
+        F.when(paused, F.col("n")).otherwise(F.lit(0)).alias("n"),
     )
+    quantiles = {n: nearest_rank(q) for n, q in GC_QUANTILES.items()}
+    ranked = select_ranks(weighed, keys, "pause_ns", quantiles, weight="n")
     refusal = (
         F.when(F.col("decorated") == 0, F.lit("not unified logging"))
         .when(F.col("bad_sizes") > 0, F.lit("unreadable size"))
@@ -373,23 +423,28 @@ def gc_summary(split: DataFrame, uptime_window: tuple[float, float] | None = Non
     )
     if uptime_window is not None:
         refusal = refusal.when(F.col("no_uptime") > 0, F.lit("no uptime"))
-    numbers = ["pauses", "total_ns", "max_ns", *GC_QUANTILES]
-    refused = joined.withColumn("refusal", refusal)
+    refused = facts.join(ranked, keys, "left").withColumn("refusal", refusal)
     fine = F.col("refusal").isNull()
-    share = F.when(F.col("max_bytes") > 0, F.col("peak_committed_bytes") / F.col("max_bytes"))
+    zero = F.lit(0).cast("long")
+    figures = {
+        "pauses": F.col("pauses"),
+        "total_ns": F.coalesce("total_ns", zero),
+        "max_ns": F.coalesce("worst.pause_ns", zero),
+        **{n: F.coalesce(n, zero) for n in GC_QUANTILES},
+        "max_label": F.coalesce("worst.text", F.lit("")),
+        "mean_ns": F.coalesce(F.when(F.col("pauses") > 0, F.col("total_ns") / F.col("pauses")), F.lit(0.0)),
+        "from_uptime_s": F.col("first.uptime_s"),
+        "to_uptime_s": F.col("last.uptime_s"),
+        **{c: F.col(c) for c in ["peak_committed_bytes", "peak_occupancy_bytes", "peak_live_bytes"]},
+        "collector": F.col("collector"),
+        "max_bytes": F.col("max_bytes"),
+        "committed_share": F.when(F.col("max_bytes") > 0, F.col("peak_committed_bytes") / F.col("max_bytes")),
+    }
     return refused.select(
         *keys,
         "decorated",
         "gc_lines",
         "foreign",
-        *[F.when(fine, F.coalesce(c, zero)).alias(c) for c in numbers],
-        F.when(fine, F.coalesce("max_label", F.lit(""))).alias("max_label"),
-        F.when(fine, F.coalesce(F.col("total_ns") / F.col("pauses"), F.lit(0.0))).alias("mean_ns"),
-        *[F.when(fine, F.col(c)).alias(c) for c in ["from_uptime_s", "to_uptime_s"]],
-        *[
-            F.when(fine, F.col(c)).alias(c)
-            for c in ["peak_committed_bytes", "peak_occupancy_bytes", "peak_live_bytes", "collector", "max_bytes"]
-        ],
-        F.when(fine, share).alias("committed_share"),
+        *[F.when(fine, c).alias(name) for name, c in figures.items()],
         "refusal",
     )

@@ -66,19 +66,23 @@ def _cells(value: Column) -> tuple[Column, Column]:
 
 
 def select_ranks(
-    df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Callable[[Column], Column]]
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    ranks: dict[str, Callable[[Column], Column]],
+    weight: str | None = None,
 ) -> DataFrame:
     """For each key, the values standing at the given ranks of its ascending order; one row per key.
 
     ``ranks`` maps an output column to a function from the key's row count to a 1-based rank. Equal
     values are counted together before the first shuffle, then the rank is found digit by digit.
-    ``keys`` and ``value`` must not be null.
+    ``keys`` and ``value`` must not be null; a row counts ``weight`` times if that is given.
     """
     keys = list(keys)
     first, second = _cells(F.col(value))
     counts = (
         df.groupBy(*keys, value)
-        .agg(F.count("*").alias("_n"))
+        .agg((F.count("*") if weight is None else F.sum(weight)).alias("_n"))
         .withColumn("_c1", first)
         .withColumn("_c2", second)
     )

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fanout.plans import correctness, ingest, measurement
+from fanout.plans import correctness, ingest, logplans, measurement
 
-MODULES = [ingest, correctness, measurement]
+MODULES = [ingest, correctness, measurement, logplans]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
