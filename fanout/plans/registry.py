@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fanout.plans import correctness, ingest, logplans, measurement
+from fanout.plans import capacity, correctness, ingest, logplans, measurement, ranking
 
-MODULES = [ingest, correctness, measurement, logplans]
+MODULES = [ingest, correctness, measurement, logplans, ranking, capacity]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
