@@ -206,7 +206,7 @@ _MESSAGE = r"^(?:\[[^\]]*\])+(?!\[)(.*)$"
 _UPTIME = r"^(?:\[[^\]]*\])*?\[\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)s\s*\]\["
 # Optional cycle id, optional short generation marker, the word, the rest.
 _PAUSE = r"^(?:GC\(([^)]*)\)\s*)?(?:([A-Za-z0-9]{1,2}): \s*)?Pause(.*)$"
-_HEAP = r"^([^>]*)->([^(]*)\((.*)\)$"
+_HEAP = r"^[^>(]*->[^>(]*\([^)]*\)$"
 
 
 def gc_lines(lines: DataFrame) -> DataFrame:
@@ -253,16 +253,17 @@ def _facts(split: DataFrame, inside: Column | None = None) -> DataFrame:
     """
     message = F.col("message")
     gc = F.col("kind") == "gc"
-    named = gc & message.rlike(r"^(?:Using|Initializing) ")
-    stated = gc & ~message.rlike(r"^(?:Using|Initializing) ") & _tagged("init") & message.contains(":")
+    names = message.startswith("Using ") | message.startswith("Initializing ")
+    named = gc & names
+    stated = gc & ~names & _tagged("init") & message.contains(":")
     said = gc & ~_tagged("start") & message.rlike(_PAUSE)
     marked = split.select(
         "*",
         F.when(stated, F.trim(F.substring_index(message, ":", 1))).alias("key"),
         F.when(stated, F.trim(F.substring(message, F.instr(message, ":") + 1, F.length(message))))
-        .when(named, F.trim(F.regexp_replace(message, r"^\w+ ", "")))
+        .when(named, F.trim(F.substring(message, F.instr(message, " ") + 1, F.length(message))))
         .alias("stated"),
-        F.when(said, F.split(F.trim(F.regexp_extract(message, _PAUSE, 3)), r"\s+")).alias("tokens"),
+        F.when(said, F.filter(F.split(F.regexp_extract(message, _PAUSE, 3), r"\s+"), lambda t: t != "")).alias("tokens"),
     )
     heap = F.get("tokens", F.size("tokens") - 2)
     parsed = marked.select(
@@ -272,15 +273,16 @@ def _facts(split: DataFrame, inside: Column | None = None) -> DataFrame:
         F.when(heap.contains("->"), heap).alias("heap"),
     )
     words = F.size("tokens") - F.when(F.col("heap").isNotNull(), 2).otherwise(1)
-    before, after, capacity = [jvm_size(F.regexp_extract("heap", _HEAP, i)) for i in (1, 2, 3)]
-    sized = parsed.select(
+    sizes = F.transform(F.split(F.when(F.col("heap").rlike(_HEAP), F.col("heap")), r"->|\(|\)"), jvm_size)
+    measured = parsed.withColumn("sizes", sizes)
+    sized = measured.select(
         "*",
         F.coalesce(F.array_join(F.slice("tokens", 1, words), " "), F.col("stated")).alias("text"),
         # whole nanoseconds, so that sums and ranks are exact
         F.round(F.col("ms") * 1e6).cast("long").alias("pause_ns"),
-        before.alias("before_bytes"),
-        after.alias("after_bytes"),
-        capacity.alias("capacity_bytes"),
+        F.get("sizes", F.lit(0)).alias("before_bytes"),
+        F.get("sizes", F.lit(1)).alias("after_bytes"),
+        F.get("sizes", F.lit(2)).alias("capacity_bytes"),
     )
     unreadable = F.col("heap").isNotNull() & (
         F.col("before_bytes").isNull() | F.col("after_bytes").isNull() | F.col("capacity_bytes").isNull()

@@ -8,6 +8,7 @@ from fanout.operators import logs
 from fanout.plans import inputs
 from fanout.plans.oracle import EV, GC, QUERY_LOG, with_views
 from fanout.schemas import PROFILE_COUNTERS
+from fanout.session import cut
 
 # 2024-01-05 to 2024-01-25
 FROM_MS, TO_MS = 1_704_412_800_000, 1_706_140_800_000
@@ -64,7 +65,8 @@ def settle_reading(spark, sf):
 
 
 def _split(spark, sf):
-    return logs.gc_lines(inputs.gc_text(spark, sf))
+    """Lines written out and read back, as a log would be."""
+    return logs.gc_lines(cut(inputs.gc_text(spark, sf)))
 
 
 def gc_lines(spark, sf):

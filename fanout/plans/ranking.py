@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fanout.operators import archive, windows
 from fanout.plans import inputs
 from fanout.plans.oracle import EV, LANES, METRICS, RECORDS, ROWS, RUNS, VARIANTS, with_views
+from fanout.session import cut
 
 
 def _keyed(spark, sf):
@@ -19,9 +20,11 @@ def _published(spark, sf):
 
 
 def _lanes(spark, sf):
+    """Lanes and the metrics behind them: small by now, and read several times by what follows."""
     keyed = _keyed(spark, sf)
     rows, _ = archive.publish(archive.summarise_rows(keyed), archive.attempts(keyed))
-    return archive.lanes(rows, archive.summarise_metrics(keyed), inputs.variants(spark, sf))
+    metrics = cut(archive.summarise_metrics(keyed))
+    return cut(archive.lanes(rows, metrics, inputs.variants(spark, sf))), metrics
 
 
 def archive_scan_counts(spark, sf):
@@ -95,15 +98,15 @@ def rank_eligibility(spark, sf):
 
 
 def lane_rank(spark, sf):
-    return archive.lane_rank(_lanes(spark, sf)).select(
+    lanes, _ = _lanes(spark, sf)
+    return archive.lane_rank(lanes).select(
         "row_key", "group", "display_order", "variant_index", "ranked", "position"
     )
 
 
 def sort_lanes(spark, sf):
-    metrics = archive.summarise_metrics(_keyed(spark, sf))
-    ranked = archive.lane_rank(_lanes(spark, sf))
-    return archive.sort_lanes(ranked, metrics, "cpu_us_per_row").select("row_key", "group", "tier", "place")
+    lanes, metrics = _lanes(spark, sf)
+    return archive.sort_lanes(cut(archive.lane_rank(lanes)), metrics, "cpu_us_per_row").select("row_key", "group", "tier", "place")
 
 
 def tied_with_leader(spark, sf):

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fanout.plans import capacity, correctness, ingest, logplans, measurement, ranking
+from fanout.plans import capacity, correctness, ingest, logplans, measurement, ranking, streams
 
-MODULES = [ingest, correctness, measurement, logplans, ranking, capacity]
+MODULES = [ingest, correctness, measurement, logplans, ranking, capacity, streams]
 
 Query = Callable[[SparkSession, str], DataFrame]
 

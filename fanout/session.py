@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", app: str = "fanout", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -45,3 +45,15 @@ def scratch_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder name under the shared scratch root."""
     return f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint a frame that several later steps read: computed once, and its lineage ends there.
+
+    The files are in the shared folder, so a lost executor costs a re-read and not a recomputation.
+    """
+    context = df.sparkSession.sparkContext
+    root = scratch_root(df.sparkSession)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(root)
+    return df.checkpoint()
