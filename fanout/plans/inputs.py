@@ -6,17 +6,30 @@ arithmetic is chosen so that every edge row the operators care about occurs.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fanout import schemas as S
 from fanout.operators import corpus
 from fanout.operators.transform import land, land_flat
+from fanout.session import staged
 from fanout.sources.tables import spread, table, utc
 
 
+def _written(make):
+    """Derive once per application, as a written table."""
+
+    @wraps(make)
+    def read(spark: SparkSession, sf: str) -> DataFrame:
+        return staged(spark, f"{make.__name__} of {sf}", lambda: make(spark, sf))
+
+    return read
+
+
 def _events(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events")
+    e = spread(table(spark, sf, "events"), "event_id")
     return e.select(
         "event_id",
         utc("ts").alias("ts"),
@@ -29,6 +42,10 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _lineitem(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "lineitem"), "l_orderkey")
+
+
 def _div(a, b):
     return F.call_function("div", a, F.lit(b) if isinstance(b, int) else b)
 
@@ -49,6 +66,7 @@ def event_ids(spark, sf) -> DataFrame:
     return spread(table(spark, sf, "events").select(F.col("event_id").alias("batch_id")), "batch_id")
 
 
+@_written
 def feed(spark, sf) -> DataFrame:
     """Nested batches with null regions, empty events, negative values, sentinels and odd names."""
     e = F.col("event_id")
@@ -69,7 +87,7 @@ def feed(spark, sf) -> DataFrame:
 
     size = (e % 6).cast("int")
     events = F.slice(F.transform(F.sequence(F.lit(0), F.lit(4)), event), 1, size)
-    return spread(_events(spark, sf), "event_id").select(
+    return _events(spark, sf).select(
         e.alias("batch_id"),
         _tag("sensor-", F.col("user_id")).alias("sensor"),
         F.when(F.col("event_type") != "error", F.col("event_type")).alias("region"),
@@ -79,16 +97,19 @@ def feed(spark, sf) -> DataFrame:
     )
 
 
+@_written
 def nested_corpus(spark, sf) -> DataFrame:
     return corpus.batches(document_ids(spark, sf))
 
 
+@_written
 def landed_corpus(spark, sf) -> DataFrame:
     """The corpus over every event id, landed, with every thirteenth batch replayed."""
     rows = land_flat(corpus.flat_messages(event_ids(spark, sf)))
     return rows.unionByName(rows.filter(F.col("batch_id") % 13 == 0))
 
 
+@_written
 def broken_corpus(spark, sf) -> DataFrame:
     """The landed corpus with a lost interior batch, an uncoalesced region and seconds for millis."""
     rows = land_flat(corpus.flat_messages(event_ids(spark, sf)))
@@ -218,6 +239,7 @@ def runs(spark, sf) -> DataFrame:
     )
 
 
+@_written
 def query_log(spark, sf) -> DataFrame:
     e, u, k, t = F.col("event_id"), F.col("user_id"), F.col("k"), F.col("event_type")
     entries = F.array_compact(
@@ -270,7 +292,7 @@ def profile_text(spark, sf) -> DataFrame:
 
 def part_log(spark, sf) -> DataFrame:
     flag = F.col("l_returnflag")
-    return table(spark, sf, "lineitem").select(
+    return _lineitem(spark, sf).select(
         _tag("t", F.col("l_suppkey") % 3).alias("table"),
         utc("l_shipdate").alias("event_time"),
         F.when(flag == "A", F.lit("NewPart"))
@@ -282,13 +304,14 @@ def part_log(spark, sf) -> DataFrame:
 
 
 def settle_rungs(spark, sf) -> DataFrame:
-    return table(spark, sf, "lineitem").select(
+    return _lineitem(spark, sf).select(
         _tag("fmt-", F.col("l_suppkey") % 7).alias("format"),
         F.col("l_linenumber").cast("long").alias("concurrency"),
         (F.col("l_partkey") % 500).alias("wait_us"),
     )
 
 
+@_written
 def gc_text(spark, sf) -> DataFrame:
     """Collector log lines of many containers, formatted from table values."""
     e, k, t = F.col("event_id"), F.col("k"), F.col("event_type")
@@ -336,6 +359,7 @@ def gc_text(spark, sf) -> DataFrame:
     )
 
 
+@_written
 def records(spark, sf) -> DataFrame:
     """One archive record per event, with failures, ties, duplicates and every kind of defect."""
     e, u, k, t = F.col("event_id"), F.col("user_id"), F.col("k"), F.col("event_type")
@@ -572,7 +596,7 @@ def achieved(spark, sf) -> DataFrame:
 def ladders(spark, sf) -> DataFrame:
     n, s = F.col("l_linenumber"), F.col("l_suppkey") % 7
     steps = F.least(n, s + 1) * 100000 + F.when(n > s + 1, F.col("l_partkey") % 1000).otherwise(0)
-    return table(spark, sf, "lineitem").select(
+    return _lineitem(spark, sf).select(
         _tag("fmt-", s).alias("format"),
         F.pow(F.lit(2.0), n - 1).cast("long").alias("concurrency"),
         steps.cast("long").alias("rows_per_s"),
@@ -580,7 +604,7 @@ def ladders(spark, sf) -> DataFrame:
 
 
 def bursts(spark, sf) -> DataFrame:
-    return table(spark, sf, "lineitem").select(
+    return _lineitem(spark, sf).select(
         "l_orderkey",
         "l_linenumber",
         "l_partkey",

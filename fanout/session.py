@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,3 +58,21 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)
     return df.checkpoint()
+
+
+_STAGED: dict[tuple[str, str], str] = {}
+
+
+def staged(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table written once per application to the shared folder, then read like any other.
+
+    Reading it back gives plans real scans, with pruned columns and pushed filters, and keeps the
+    derivation out of every plan that uses it. ``name`` must say everything the table depends on.
+    """
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _STAGED:
+        frame = make()
+        folder = scratch_path(spark, "staged")
+        frame.write.parquet(folder)
+        _STAGED[key] = folder
+    return spark.read.parquet(_STAGED[key])

@@ -16,10 +16,10 @@ def utc(column: str):
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """Hash-partition a narrow frame of ids before it is fanned out a hundredfold.
+    """Hash-partition a frame that has fewer partitions than there are cores to work on it.
 
-    A small file is one split, and one split is one task for everything generated from it.
+    A small file is one split, and one split is one task for everything derived from it. A large
+    table already has more splits than cores and is left alone, so nothing is shuffled there.
     """
-    spark = df.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(tasks, *columns)
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks, *columns)
