@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from fanout import schemas as S
 from fanout.functions.numeric import jvm_size
 from fanout.operators.ordering import nearest_rank, select_ranks
+from fanout.session import cut
 
 # --- server query log -------------------------------------------------------------------------
 
@@ -361,13 +362,14 @@ def gc_summary(split: DataFrame, uptime_window: tuple[float, float] | None = Non
 
     Refused where the file is not unified logging, has no gc lines, begins after its
     initialisation block, holds an unreadable pause or size, or lacks uptimes under a window.
-    Lines are first reduced to one row per container, fact and pause length; the rest works on that.
+    Lines are first reduced to one row per container, fact and pause length, and checkpointed when
+    this is called; the rest works on that.
     """
     keys = ["run", "container"]
     inside = None
     if uptime_window is not None:
         inside = (F.col("uptime_s") >= uptime_window[0]) & (F.col("uptime_s") < uptime_window[1])
-    reduced = (
+    reduced = cut(
         _facts(split, inside)
         .groupBy(*keys, "fact", "pause_ns")
         .agg(

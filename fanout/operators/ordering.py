@@ -12,6 +12,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fanout.session import cut
+
 BLOCK = 65_536
 
 
@@ -76,7 +78,8 @@ def select_ranks(
 
     ``ranks`` maps an output column to a function from the key's row count to a 1-based rank. Equal
     values are counted together before the first shuffle, then the rank is found digit by digit.
-    ``keys`` and ``value`` must not be null; a row counts ``weight`` times if that is given.
+    ``keys`` and ``value`` must not be null; a row counts ``weight`` times if that is given. Runs the
+    counting when called, as a checkpoint.
     """
     keys = list(keys)
     first, second = _cells(F.col(value))
@@ -86,6 +89,8 @@ def select_ranks(
         .withColumn("_c1", first)
         .withColumn("_c2", second)
     )
+    # read four times below, under different filters, so the plans would not share one shuffle
+    counts = cut(counts)
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     wanted = F.array(
         *[

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from fanout import schemas as S
 from fanout.functions.numeric import cap_bytes
 from fanout.operators.ordering import previous, running_sum
+from fanout.session import cut
 
 BUCKET_MS = 1_000
 
@@ -122,7 +123,8 @@ def simultaneous_peak(series: DataFrame) -> DataFrame:
 
     The carried-forward total only moves when some container is sampled, and then by that
     container's change. So the total is a running sum of changes over one-second buckets, and no
-    grid of seconds by containers is ever built.
+    grid of seconds by containers is ever built. The two reductions that are read twice, to one row
+    per container and second and to one per second, are checkpointed when this is called.
     """
     ok = series.filter(is_readable()).select("arm", "container", "line", "t_ms", "anon")
     first = ok.groupBy("arm").agg(F.min("t_ms").alias("first"))
@@ -132,11 +134,11 @@ def simultaneous_peak(series: DataFrame) -> DataFrame:
         .groupBy("arm", "container", bucket.alias("bucket"))
         .agg(F.max_by("anon", F.struct("t_ms", "line")).alias("anon"))
     )
-    changed = previous(held, ["arm", "container"], "bucket", "anon", "before").withColumn(
+    changed = previous(cut(held), ["arm", "container"], "bucket", "anon", "before").withColumn(
         "change", F.col("anon") - F.coalesce("before", F.lit(0))
     )
     per_bucket = changed.groupBy("arm", "bucket").agg(F.sum("change").alias("change"))
-    totals = running_sum(per_bucket, ["arm"], "bucket", "change", "total")
+    totals = running_sum(cut(per_bucket), ["arm"], "bucket", "change", "total")
     return totals.groupBy("arm").agg(F.max("total").alias("peak_anon"))
 
 
