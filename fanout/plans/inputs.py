@@ -120,6 +120,17 @@ def broken_corpus(spark, sf) -> DataFrame:
     )
 
 
+@_written
+def tampered_corpus(spark, sf) -> DataFrame:
+    """The nested corpus over every event id with a wrong sensor, a wrong value or a lost event at times."""
+    b = F.col("batch_id")
+    nested = corpus.batches(event_ids(spark, sf))
+    poked = F.transform("events", lambda e: e.withField("value", F.when(e["seq"] == 3, -1).otherwise(e["value"])))
+    events = F.when(b % 97 == 6, poked).when(b % 97 == 7, F.slice("events", 1, 99)).otherwise(F.col("events"))
+    sensor = F.when(b % 97 == 5, F.lit("sensor-x")).otherwise(F.col("sensor"))
+    return nested.withColumn("sensor", sensor).withColumn("events", events)
+
+
 def conflicted(spark, sf) -> DataFrame:
     """The flattened feed landed twice, the second time with some values changed."""
     rows = land(feed(spark, sf))
