@@ -4,23 +4,83 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fanout.llm import exact_dedup, jaccard_join, packing, sql
+from pyspark.sql import functions as F
+
+from fanout.llm import (
+    exact_dedup,
+    jaccard_join,
+    order_minhash,
+    packing,
+    pieces,
+    pitman_yor,
+    quality,
+    quotes,
+    sql,
+    substring_dedup,
+    wrapper,
+)
 from fanout.llm.shared import table
 
 
+def op1_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.linked_messages(table(spark, sf_dir, "conversations"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.quality(docs, labels, F.col("source"), F.col("lang"))
+
+
+def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.scores(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"), 4, 85, 100)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op5_packing, op8_jaccard_join)}
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    coded = pieces.coded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select("doc_id", "n_pieces", "n_bytes", F.crc32("ids").alias("ids_crc32"), "restored")
+
+
+def op10_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.main_texts(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quotation_links,
+        op2_exact_dedup,
+        op3_quality,
+        op4_pitman_yor,
+        op5_packing,
+        op6_substring_dedup,
+        op7_order_minhash,
+        op8_jaccard_join,
+        op9_pieces,
+        op10_wrapper_text,
+    )
+}
 ORACLES = {"op2_exact_dedup": sql.exact_groups(), "op8_jaccard_join": sql.jaccard_groups(4, 85, 100)}

@@ -1,11 +1,12 @@
 """Which sets of tokens link: exact Jaccard from a threshold on, without pairs inside a merged group.
 
 ``entries`` say which sets could link: two sets at or above the threshold share a key. Keys that only one
-set has are dropped by a grouped count. Then two rounds put every set in one small leaf with sets that
-share a key, and link exactly inside it; large groups of copies melt into a few components there. What is
-left are keys whose sets lie in different components: for those, blocks of sets meet block by block
-in signature trees, every pair that may still reach the threshold is verified on the whole sets, and
-all links go into the components. The first rounds only save work; the last one makes it complete.
+set has are dropped by a grouped count. Sets that share a key then meet by their bitmaps in signature
+trees, block by block, to find the sets that can have any link at all; only those sets are built whole. Two
+rounds put each in one small leaf with sets that share a key, and link exactly inside it, so large groups
+melt into a few components. What is left are keys whose sets lie in different components: they meet in
+signature trees again, every pair that may still reach the threshold is verified on its whole sets, and
+all links go into the components. The rounds only save work; the last step makes it complete.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from fanout.llm import signature_tree as st
 from fanout.llm.components import components
-from fanout.llm.shared import written
+from fanout.llm.shared import likely, written
 from fanout.llm.words import unpacked
 
 LEAF_ROWS = 128
@@ -59,7 +60,7 @@ def _leaf_links(num: int, den: int):
             return
         values = [unpacked(r[4]) for r in group]
         ids = [r[2] for r in group]
-        bitmaps = [st.bitmap(v, st.width_for(len(v))) for v in values]
+        bitmaps = [st.bitmap(v) for v in values]
         s = st.Sets(ids, [len(v) for v in values], bitmaps, [r[3] for r in group])
         tree, joined = s.tree(np.arange(len(group))), st.Union(len(group))
         for i, j in st.candidates(s, tree, tree, num, den):
@@ -70,11 +71,28 @@ def _leaf_links(num: int, den: int):
     return lambda batches: _batches(p for g in runs(batches, 2) for p in one(g))
 
 
-def _block_pairs(num: int, den: int):
+def _may_reach(x: tuple, y: tuple, num: int, den: int) -> bool:
+    """The signature trees' test for two sets of one bitmap width."""
+    nx, ny = x[6], y[6]
+    if x[5] == y[5] or nx * den < num * ny or ny * den < num * nx:
+        return False
+    p, q = int.from_bytes(x[7], "little"), int.from_bytes(y[7], "little")
+    common = (p & q).bit_count()
+    most = min(nx - p.bit_count(), ny - q.bit_count()) + common
+    return most * (num + den) >= num * (nx + ny)
+
+
+def _block_pairs(num: int, den: int, every: bool):
+    """Pairs of ids that may reach the threshold: all of a group, or as many as connect what they connect."""
+
     def one(group: list[tuple]) -> Iterator[tuple[int, int]]:
         """Rows: key, block, other block, right side or not, id, component, size, bitmap."""
         if len(group) < 2:
             return
+        if len(group) == 2 and len(group[0][7]) == len(group[1][7]):
+            if (group[0][1] == group[0][2] or group[0][3] != group[1][3]) and _may_reach(*group, num, den):
+                yield group[0][4], group[1][4]
+            return
         s = st.Sets(
             [r[4] for r in group], [r[6] for r in group], [unpacked(r[7]) for r in group], [r[5] for r in group]
         )
@@ -87,22 +105,16 @@ def _block_pairs(num: int, den: int):
             found = st.candidates(s, s.tree(at[~right]), s.tree(at[right]), num, den)
         else:
             return
+        joined = st.Union(len(group))
         for i, j in found:
-            a, b = s.ids[i], s.ids[j]
-            if a != b:
-                yield min(a, b), max(a, b)
-
-    return lambda batches: _batches(p for g in runs(batches, 3) for p in one(g))
+            if every or joined.find(i) != joined.find(j):
+                joined.join(i, j)
+                yield s.ids[i], s.ids[j]
 
+    def ordered(batches):
+        return ((min(p), max(p)) for g in runs(batches, 3) for p in one(g) if p[0] != p[1])
 
-def _with_bitmaps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        values = [unpacked(v) for v in batch.column(1).to_pylist()]
-        sizes = [len(v) for v in values]
-        bitmaps = [st.bitmap(v, st.width_for(len(v))).tobytes() for v in values]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(bitmaps, pa.binary())], ["id", "n", "bits"]
-        )
+    return lambda batches: _batches(ordered(batches))
 
 
 def _verified(num: int, den: int):
@@ -145,11 +157,12 @@ def _leaf_round(rest: DataFrame, sets: DataFrame, seed: int, num: int, den: int)
     )
 
 
-def _remaining(rest: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    signatures = sets.select("id", "values").mapInArrow(_with_bitmaps, "id bigint, n bigint, bits binary")
+def _meeting(rest: DataFrame, signatures: DataFrame, num: int, den: int, every: bool) -> DataFrame:
+    """Pairs (a, b) found by the trees of each key's blocks, block against block."""
     blocks = F.ceil(F.col("c") / BLOCK_ROWS)
     met = (
-        rest.withColumn("own", F.pmod(F.xxhash64("id"), blocks))
+        rest.join(signatures, "id")
+        .withColumn("own", F.pmod(F.xxhash64("id"), blocks))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
         .select(
             "key",
@@ -158,15 +171,16 @@ def _remaining(rest: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             (F.col("own") > F.col("other")).alias("side"),
             "id",
             "component",
+            "n",
+            "bits",
         )
     )
-    placed = met.join(signatures, "id").select("key", "i", "j", "side", "id", "component", "n", "bits")
-    pairs = (
-        placed.repartition("key", "i", "j")
-        .sortWithinPartitions("key", "i", "j")
-        .mapInArrow(_block_pairs(num, den), LINKS)
-        .distinct()
-    )
+    grouped = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return grouped.mapInArrow(_block_pairs(num, den, every), LINKS).distinct()
+
+
+def _remaining(rest: DataFrame, signatures: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    pairs = _meeting(rest, signatures, num, den, True)
     left = sets.select(F.col("id").alias("a"), F.col("values").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("values").alias("y"))
     return (
@@ -175,21 +189,27 @@ def _remaining(rest: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 
 def linked(
-    entries: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int
+    entries: DataFrame, signatures: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int
 ) -> DataFrame:
     """(id, root) of every set that is linked to another, by Jaccard >= num/den.
 
-    ``entries``: (key, id), ids standing for different sets. ``sets_of``: given a frame of ids, their
-    (id, values), values being sorted distinct 64-bit hashes. An empty table gives no rows.
+    ``entries``: (key, id), ids standing for different sets. ``signatures``: (id, n, bits) with every set's size
+    and ``signature_tree.bitmap``. ``sets_of``: given a frame of ids, their (id, values), values being
+    sorted distinct 64-bit hashes. An empty table gives no rows.
     """
-    shared = entries.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    live = written(entries.join(shared, "key", "left_semi").select("key", "id"), "live")
-    sets = written(sets_of(live.select("id").distinct()), "sets")
-    links, joined = None, components(live.select("id").limit(0).selectExpr("id a", "id b"), "a", "b")
+    shared = written(entries.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "keys")
+    live = written(
+        likely(entries, "key", shared).join(shared, "key").select("key", "id", F.col("id").alias("component"), "c"), "live"
+    )
+    near = written(_meeting(live, signatures, num, den, False), "near")
+    ids = written(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    sets = written(sets_of(ids), "sets")
+    live = written(live.join(ids, "id", "left_semi").select("key", "id"), "live")
+    links, joined = None, components(near.limit(0), "a", "b")
     for seed in range(LEAF_ROUNDS):
         rest = written(_mixed(live, joined), "mixed")
         found = written(_leaf_round(rest, sets, seed, num, den), "links")
         links = found if links is None else links.union(found)
         joined = components(links, "a", "b")
-    found = written(_remaining(written(_mixed(live, joined), "mixed"), sets, num, den), "links")
+    found = written(_remaining(written(_mixed(live, joined), "mixed"), signatures, sets, num, den), "links")
     return components(links.union(found), "a", "b")

@@ -14,15 +14,16 @@ import numpy as np
 
 LEAF = 32
 FANOUT = 8
-NARROW, WIDE = 1024, 16384
+NARROW, WIDE = 64, 16384
 
 
 def width_for(n: int) -> int:
-    """Bits of the bitmap of a set: twice its size, rounded up to a power of two, within bounds."""
-    return min(WIDE, max(NARROW, 1 << max(0, 2 * n - 1).bit_length()))
+    """Bits of the bitmap of a set: its size, rounded up to a power of two, within bounds."""
+    return min(WIDE, max(NARROW, 1 << max(0, n - 1).bit_length()))
 
 
-def bitmap(values: np.ndarray, width: int) -> np.ndarray:
+def bitmap(values: np.ndarray) -> np.ndarray:
+    width = width_for(len(values))
     flags = np.zeros(width, np.uint8)
     flags[(values & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(flags, bitorder="little").view(np.uint64)
