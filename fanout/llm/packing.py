@@ -25,15 +25,28 @@ from fanout.llm.shared import cells, importable, written
 
 PACK = 2048
 END = 1
-CACHED_WORDS = 300_000
+CACHED_WORDS = 700_000
+PUNCTUATION = rb"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""  # apostrophes begin tokens such as 's
+LEARNED_TOGETHER = 500_000  # words of texts
+ENCODED_TOGETHER = 5_000  # new words
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 PIECE_NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "within"]
 
 
+def _stem(word: bytes) -> tuple[bytes, bytes] | None:
+    """A word and the ASCII punctuation after it, where the tokenizer cuts too: after a letter or digit."""
+    stem = word.rstrip(PUNCTUATION)
+    if not stem or len(stem) == len(word) or b"<|" in word:
+        return None
+    last = stem[-1:] if stem[-1] < 128 else stem[-4:].decode(errors="ignore")[-1:]
+    return (stem, word[len(stem) :]) if last.isalnum() else None
+
+
 class WordIds(dict):
     """Little-endian 32-bit ids by word, words being separated by ASCII white space.
 
-    White space never gets ids and no token spans it, so a text's ids are those of its words in turn.
+    White space never gets ids and no token spans it, so a text's ids are those of its words in turn. New
+    words are encoded many at a time, with a special token between them that tells their ids apart.
     """
 
     def __init__(self, path: str):
@@ -41,19 +54,52 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.mark = next(t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special)
+        self.mark_id = self.tokenizer.token_to_id(self.mark)
 
     def learn(self, words: set[bytes]) -> None:
         if len(self) + len(words) > CACHED_WORDS:
+            kept = {w: self[w] for w in words if w in self}
             self.clear()
-        new = [w for w in words if w not in self]
-        texts = [w.decode(errors="replace") for w in new]
-        for word, got in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            self[word] = b"".join(i.to_bytes(4, "little") for i in got.ids)
+            self.update(kept)
+        parts = {w: cut for w in words.difference(self) if (cut := _stem(w))}
+        new = words.difference(self, parts).union(x for cut in parts.values() for x in cut).difference(self)
+        special = {w for w in new if b"<|" in w}
+        for word in special:
+            self[word] = self._bytes(word.decode(errors="replace"))
+        plain = list(new - special)
+        for at in range(0, len(plain), ENCODED_TOGETHER):
+            part = plain[at : at + ENCODED_TOGETHER]
+            text = f" {self.mark} ".join(w.decode(errors="replace") for w in part)
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+            ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
+            data, start = ids.tobytes(), 0
+            for word, end in zip(part, ends, strict=True):
+                self[word] = data[4 * start : 4 * end]
+                start = end + 1
+        for word, (stem, tail) in parts.items():
+            self[word] = self[stem] + self[tail]
+
+    def _bytes(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _TOKENIZERS: dict[str, WordIds] = {}
 
 
+def _portions(doc_ids: list, texts: list[bytes]) -> Iterator[tuple[list, list[list[bytes]]]]:
+    """Documents with their words, some at a time."""
+    at = 0
+    while at < len(texts):
+        ids, split, held = [], [], 0
+        while at < len(texts) and held < LEARNED_TOGETHER:
+            ids.append(doc_ids[at])
+            split.append(texts[at].lower().split())  # the tokenizer lower-cases, too
+            held += len(split[-1])
+            at += 1
+        yield ids, split
+
+
 def _pieces(path: str, pack: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _TOKENIZERS.get(path) or _TOKENIZERS.setdefault(path, WordIds(path))
@@ -61,16 +107,17 @@ def _pieces(path: str, pack: int):
         task, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), cells(batch.column(1)), strict=True):
-                words = text.split()
-                ids.learn(set(words))
-                data = b"".join(map(ids.__getitem__, words)) + end
-                n = len(data) // 4
-                for start in range(0, n, pack):
-                    part = data[4 * start : 4 * (start + pack)]
-                    length = len(part) // 4
-                    out.append((doc_id, start, length, zlib.crc32(part), n, task, seen[length]))
-                    seen[length] += 1
+            texts = cells(batch.column(1))
+            for doc_ids, split in _portions(batch.column(0).to_pylist(), texts):
+                ids.learn(set().union(*split))
+                for doc_id, words in zip(doc_ids, split, strict=True):
+                    data = b"".join(map(ids.__getitem__, words)) + end
+                    n = len(data) // 4
+                    for start in range(0, n, pack):
+                        part = data[4 * start : 4 * (start + pack)]
+                        length = len(part) // 4
+                        out.append((doc_id, start, length, zlib.crc32(part), n, task, seen[length]))
+                        seen[length] += 1
             columns = list(zip(*out, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], PIECE_NAMES)
 

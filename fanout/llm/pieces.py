@@ -20,7 +20,7 @@ from fanout.llm.shared import cells, importable
 
 MARK = "▁"
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*")
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000
 BYTE_SCORE = -1e6  # a byte costs more than any pieces could
 OUT = "doc_id bigint, n_pieces bigint, n_bytes bigint, ids binary, decoded string, restored boolean"
 
@@ -54,7 +54,8 @@ class Pieces(dict):
 
     def __missing__(self, word: str) -> np.ndarray:
         if len(self) >= CACHED_WORDS:
-            self.clear()
+            for old in list(self)[: CACHED_WORDS // 2]:
+                del self[old]
         ids = self[word] = np.array(self.viterbi(word), np.int32)
         return ids
 

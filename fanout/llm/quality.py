@@ -22,6 +22,7 @@ from fanout.llm.shared import cells, importable, written
 TRAINED_ON = 20_000  # labelled documents at most, those with the least xxhash64(doc_id)
 PENALTY = 1e-3
 STEPS = 60
+FEW_WORDS = 5  # half of a document's evidence counts when it has so many words
 EVIDENCE = 12.0  # bound on a document's log-likelihood ratio, either way
 KEEP_FROM = 0.5
 _JUNK = re.compile(rb"[^\w\s.,;:'\"()?-]+")
@@ -107,6 +108,8 @@ def _evidence(x: Column, model) -> Column:
     total = F.lit(float(weights[0] - base))
     for j in range(len(centre)):
         total = total + (x[j] - float(centre[j])) / float(scale[j]) * float(weights[j + 1])
+    words = F.expm1(x[MEASURES.index("log_words")] * 10)
+    total = F.when(x[MEASURES.index("empty")] > 0, total).otherwise(total * words / (words + FEW_WORDS))
     return F.greatest(F.lit(-EVIDENCE), F.least(F.lit(EVIDENCE), total))
 
 
