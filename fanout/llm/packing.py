@@ -10,6 +10,7 @@ length, so a rank needs a sum over tasks and no sorting of pieces.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import insort
 from collections import Counter
@@ -25,10 +26,14 @@ from fanout.llm.shared import cells, importable, written
 
 PACK = 2048
 END = 1
-CACHED_WORDS = 700_000
+CACHED_WORDS = 300_000
 PUNCTUATION = rb"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""  # apostrophes begin tokens such as 's
-LEARNED_TOGETHER = 500_000  # words of texts
+LEARNED_TOGETHER = 250_000  # words of texts
 ENCODED_TOGETHER = 5_000  # new words
+_LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u024f]+")
+#: Bytes without a printable character of their own are counted on from 256 by byte-level tokenizers.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 PIECE_NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "within"]
 
@@ -42,11 +47,23 @@ def _stem(word: bytes) -> tuple[bytes, bytes] | None:
     return (stem, word[len(stem) :]) if last.isalnum() else None
 
 
+def _byte_letters(word: bytes) -> str:
+    """A word of Latin letters as the tokenizer's model takes it: lower case, one character a byte; else nothing.
+
+    For such words, the tokenizer's normalising and splitting do no more than that.
+    """
+    if word.isalpha() and word.isascii():
+        return word.decode()
+    low = word.decode(errors="replace").lower()
+    return low.encode().decode("latin-1").translate(_BYTE_LETTERS) if _LATIN.fullmatch(low) else ""
+
+
 class WordIds(dict):
     """Little-endian 32-bit ids by word, words being separated by ASCII white space.
 
-    White space never gets ids and no token spans it, so a text's ids are those of its words in turn. New
-    words are encoded many at a time, with a special token between them that tells their ids apart.
+    White space never gets ids and no token spans it, so a text's ids are those of its words in turn. Words of
+    Latin letters go to the tokenizer's model alone; others are encoded whole, many at a time, with a special
+    token between them that tells their ids apart.
     """
 
     def __init__(self, path: str):
@@ -64,10 +81,15 @@ class WordIds(dict):
             self.update(kept)
         parts = {w: cut for w in words.difference(self) if (cut := _stem(w))}
         new = words.difference(self, parts).union(x for cut in parts.values() for x in cut).difference(self)
-        special = {w for w in new if b"<|" in w}
-        for word in special:
-            self[word] = self._bytes(word.decode(errors="replace"))
-        plain = list(new - special)
+        plain = []
+        for word in new:
+            letters = _byte_letters(word)
+            if letters:
+                self[word] = np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
+            elif b"<|" in word:
+                self[word] = self._bytes(word.decode(errors="replace"))
+            else:
+                plain.append(word)
         for at in range(0, len(plain), ENCODED_TOGETHER):
             part = plain[at : at + ENCODED_TOGETHER]
             text = f" {self.mark} ".join(w.decode(errors="replace") for w in part)
