@@ -1,15 +1,11 @@
 """Written intermediate tables in the shared folder, and what every operator needs before it starts.
 
-Lineage is cut by writing Parquet under ``spark.checkpoint.dir``: a lost executor costs a re-read. Only a
-session that leaves the setting empty, as in a test, gets a folder of its own, and only on a local master.
+Lineage is cut by writing Parquet under ``spark.checkpoint.dir``: a lost executor costs a re-read.
 """
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
 import uuid
 from pathlib import Path
 
@@ -17,26 +13,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SETTING = "spark.checkpoint.dir"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
+from fanout.session import scratch_root
 
-def root(spark: SparkSession) -> str:
-    named = spark.conf.get(SETTING, None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"{SETTING} must name a folder that the driver and all executors share")
-    own = tempfile.mkdtemp(prefix="llm-")
-    atexit.register(shutil.rmtree, own, True)
-    spark.conf.set(SETTING, own)
-    return own
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """The frame as a table in the shared folder, with lineage cut there."""
     spark = df.sparkSession
-    folder = f"{root(spark)}/{label}-{uuid.uuid4().hex}"
+    folder = f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
