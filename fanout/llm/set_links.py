@@ -4,14 +4,16 @@
 set has are dropped by a grouped count. Sets that share a key then meet by their bitmaps in signature
 trees, block by block, to find the sets that can have any link at all; only those sets are built whole. Two
 rounds put each in one small leaf with sets that share a key, and link exactly inside it, so large groups
-melt into a few components. What is left are keys whose sets lie in different components: they meet in
-signature trees again, every pair that may still reach the threshold is verified on its whole sets, and
-all links go into the components. The rounds only save work; the last step makes it complete.
+melt into a few components. What is left are keys whose sets lie in different components: they meet by
+bitmaps again, and the sets that may still reach a set of another component are brought to their block
+pair and verified there. No pair ever becomes a row unless it is a link between components. The rounds only
+save work; the last step makes the result complete.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,10 @@ from fanout.llm.words import unpacked
 LEAF_ROWS = 128
 BLOCK_ROWS = 512
 LEAF_ROUNDS = 2
+LINK_NAMES = ["a", "b"]
 LINKS = "a bigint, b bigint"
+MET_NAMES = ["key", "i", "j", "side", "id", "component", "rest"]
+MET = "key bigint, i bigint, j bigint, side boolean, id bigint, component bigint, rest bigint"
 
 
 def runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
@@ -42,99 +47,88 @@ def runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
         yield group
 
 
-def _batches(pairs: Iterable[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
-    a, b = [], []
-    for x, y in pairs:
-        a.append(x)
-        b.append(y)
-        if len(a) >= 50_000:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-            a, b = [], []
-    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def _batches(names: list[str], rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows as record batches: ids and counts are longs, sides are booleans."""
+    kinds = [pa.bool_() if n == "side" else pa.int64() for n in names]
+    rows = iter(rows)
+    while part := list(islice(rows, 50_000)):
+        columns = zip(zip(*part, strict=True), kinds, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], names)
 
 
-def _leaf_links(num: int, den: int):
+def _linking(keys: int, num: int, den: int):
+    """Links within each group of rows that agree in their first ``keys`` columns, verified on whole sets.
+
+    Rows go on with: side, id, component, rest, values. Rows of both sides meet across; of one side, with each other.
+    A pair that links or components connect already is not verified.
+    """
+
     def one(group: list[tuple]) -> Iterator[tuple[int, int]]:
-        """Rows: key, leaf, id, component, values."""
         if len(group) < 2:
             return
-        values = [unpacked(r[4]) for r in group]
-        ids = [r[2] for r in group]
-        bitmaps = [st.bitmap(v) for v in values]
-        s = st.Sets(ids, [len(v) for v in values], bitmaps, [r[3] for r in group])
-        tree, joined = s.tree(np.arange(len(group))), st.Union(len(group))
-        for i, j in st.candidates(s, tree, tree, num, den):
+        sides, ids, components, rest, data = zip(*(r[keys:] for r in group), strict=True)
+        values = [unpacked(v) for v in data]
+        s = st.Sets(ids, [len(v) for v in values], [st.bitmap(v) for v in values], components, rest)
+        joined = st.Union(len(group))
+        for i, j in _candidates(s, sides, num, den):
             if joined.find(i) != joined.find(j) and st.reaches(values[i], values[j], num, den):
                 joined.join(i, j)
-                yield ids[i], ids[j]
+                if ids[i] != ids[j]:
+                    yield ids[i], ids[j]
+
+    return lambda batches: _batches(LINK_NAMES, (p for g in runs(batches, keys) for p in one(g)))
+
 
-    return lambda batches: _batches(p for g in runs(batches, 2) for p in one(g))
+def _candidates(s: st.Sets, sides, num: int, den: int) -> Iterator[tuple[int, int]]:
+    at, right = np.arange(len(s.ids)), np.array(sides)
+    if right.any() and not right.all():
+        return st.candidates(s, s.tree(at[~right]), s.tree(at[right]), num, den)
+    tree = s.tree(at)
+    return st.candidates(s, tree, tree, num, den)
 
 
 def _may_reach(x: tuple, y: tuple, num: int, den: int) -> bool:
-    """The signature trees' test for two sets of one bitmap width."""
-    nx, ny = x[6], y[6]
+    """The signature trees' test for two sets of one bitmap width; rows as in ``_involved``."""
+    nx, ny = x[7], y[7]
     if x[5] == y[5] or nx * den < num * ny or ny * den < num * nx:
         return False
-    p, q = int.from_bytes(x[7], "little"), int.from_bytes(y[7], "little")
+    if min(x[6], y[6]) * (num + den) < num * (nx + ny):
+        return False
+    p, q = int.from_bytes(x[8], "little"), int.from_bytes(y[8], "little")
     common = (p & q).bit_count()
     most = min(nx - p.bit_count(), ny - q.bit_count()) + common
     return most * (num + den) >= num * (nx + ny)
 
 
-def _block_pairs(num: int, den: int, every: bool):
-    """Pairs of ids that may reach the threshold: all of a group, or as many as connect what they connect."""
+def _involved(num: int, den: int):
+    """The rows of each block pair that may reach the threshold with a row of another component there.
 
-    def one(group: list[tuple]) -> Iterator[tuple[int, int]]:
-        """Rows: key, block, other block, right side or not, id, component, size, bitmap."""
-        if len(group) < 2:
-            return
-        if len(group) == 2 and len(group[0][7]) == len(group[1][7]):
-            if (group[0][1] == group[0][2] or group[0][3] != group[1][3]) and _may_reach(*group, num, den):
-                yield group[0][4], group[1][4]
+    Rows: key, block, other block, side, id, component, rest, size, bitmap; all but the last two come back.
+    """
+
+    def one(group: list[tuple]) -> Iterator[tuple]:
+        own = group[0][1] == group[0][2]
+        if len(group) < 2 or not (own or len({r[3] for r in group}) == 2):
             return
-        s = st.Sets(
-            [r[4] for r in group], [r[6] for r in group], [unpacked(r[7]) for r in group], [r[5] for r in group]
-        )
-        at = np.arange(len(group))
-        right = np.array([r[3] for r in group])
-        if group[0][1] == group[0][2]:
-            tree = s.tree(at)
-            found = st.candidates(s, tree, tree, num, den)
-        elif right.any() and not right.all():
-            found = st.candidates(s, s.tree(at[~right]), s.tree(at[right]), num, den)
-        else:
+        if len(group) == 2 and len(group[0][8]) == len(group[1][8]):
+            if _may_reach(*group, num, den):
+                yield from (r[:7] for r in group)
             return
-        joined = st.Union(len(group))
-        for i, j in found:
-            if every or joined.find(i) != joined.find(j):
-                joined.join(i, j)
-                yield s.ids[i], s.ids[j]
-
-    def ordered(batches):
-        return ((min(p), max(p)) for g in runs(batches, 3) for p in one(g) if p[0] != p[1])
+        *_, sides, ids, components, rest, sizes, bits = zip(*group, strict=True)
+        s = st.Sets(ids, sizes, [unpacked(b) for b in bits], components, rest)
+        found = np.zeros(len(group), bool)
+        for i, j in _candidates(s, sides, num, den):
+            found[i] = found[j] = True
+        yield from (group[i][:7] for i in np.flatnonzero(found))
 
-    return lambda batches: _batches(ordered(batches))
-
-
-def _verified(num: int, den: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs():
-            for batch in batches:
-                for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if st.reaches(unpacked(x), unpacked(y), num, den):
-                        yield a, b
-
-        yield from _batches(pairs())
-
-    return run
+    return lambda batches: _batches(MET_NAMES, (r for g in runs(batches, 3) for r in one(g)))
 
 
 def _mixed(live: DataFrame, joined: DataFrame) -> DataFrame:
-    """(key, id, component, c) of the keys whose sets lie in different components."""
+    """(key, id, rest, component, c) of the keys whose sets lie in different components."""
     owner = F.coalesce("root", live["id"])
     labelled = live.join(joined.withColumnRenamed("id", "member"), F.col("member") == live["id"], "left").select(
-        "key", live["id"], owner.alias("component")
+        "key", live["id"], "rest", owner.alias("component")
     )
     split = (
         labelled.groupBy("key")
@@ -142,7 +136,7 @@ def _mixed(live: DataFrame, joined: DataFrame) -> DataFrame:
         .filter("lo <> hi")
         .select("key", "c")
     )
-    return labelled.join(split, "key").select("key", "id", "component", "c")
+    return labelled.join(split, "key").select("key", "id", "rest", "component", "c")
 
 
 def _leaf_round(rest: DataFrame, sets: DataFrame, seed: int, num: int, den: int) -> DataFrame:
@@ -151,14 +145,16 @@ def _leaf_round(rest: DataFrame, sets: DataFrame, seed: int, num: int, den: int)
         F.min_by("key", by).alias("key"), F.min_by("c", by).alias("c"), F.min("component").alias("component")
     )
     leaf = F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(F.col("c") / LEAF_ROWS))
-    placed = chosen.withColumn("leaf", leaf).join(sets, "id").select("key", "leaf", "id", "component", "values")
-    return placed.repartition("key", "leaf").sortWithinPartitions("key", "leaf").mapInArrow(
-        _leaf_links(num, den), LINKS
+    # all that share the key meet here, so a set counts whole
+    placed = chosen.withColumn("leaf", leaf).join(sets, "id").select(
+        "key", "leaf", F.lit(False).alias("side"), "id", "component", (F.length("values") / 8).cast("bigint").alias("rest"), "values"
     )
+    grouped = placed.repartition("key", "leaf").sortWithinPartitions("key", "leaf")
+    return grouped.mapInArrow(_linking(2, num, den), LINKS)
 
 
-def _meeting(rest: DataFrame, signatures: DataFrame, num: int, den: int, every: bool) -> DataFrame:
-    """Pairs (a, b) found by the trees of each key's blocks, block against block."""
+def _meeting(rest: DataFrame, signatures: DataFrame, num: int, den: int) -> DataFrame:
+    """What each key's blocks, met block against block, have left for verification: rows of ``MET``."""
     blocks = F.ceil(F.col("c") / BLOCK_ROWS)
     met = (
         rest.join(signatures, "id")
@@ -171,21 +167,20 @@ def _meeting(rest: DataFrame, signatures: DataFrame, num: int, den: int, every:
             (F.col("own") > F.col("other")).alias("side"),
             "id",
             "component",
+            "rest",
             "n",
             "bits",
         )
     )
     grouped = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return grouped.mapInArrow(_block_pairs(num, den, every), LINKS).distinct()
+    return grouped.mapInArrow(_involved(num, den), MET)
 
 
 def _remaining(rest: DataFrame, signatures: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    pairs = _meeting(rest, signatures, num, den, True)
-    left = sets.select(F.col("id").alias("a"), F.col("values").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("values").alias("y"))
-    return (
-        pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verified(num, den), LINKS)
-    )
+    met = written(_meeting(rest, signatures, num, den), "met")
+    placed = met.join(sets, "id").select(*MET_NAMES, "values")
+    grouped = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return grouped.mapInArrow(_linking(3, num, den), LINKS)
 
 
 def linked(
@@ -193,19 +188,19 @@ def linked(
 ) -> DataFrame:
     """(id, root) of every set that is linked to another, by Jaccard >= num/den.
 
-    ``entries``: (key, id), ids standing for different sets. ``signatures``: (id, n, bits) with every set's size
+    ``entries``: (key, id, rest), ids standing for different sets, and ``rest`` as in ``signature_tree.Sets``: of
+    the keys that two linked sets share, the condition need hold for one. ``signatures``: (id, n, bits) with every set's size
     and ``signature_tree.bitmap``. ``sets_of``: given a frame of ids, their (id, values), values being
     sorted distinct 64-bit hashes. An empty table gives no rows.
     """
     shared = written(entries.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "keys")
     live = written(
-        likely(entries, "key", shared).join(shared, "key").select("key", "id", F.col("id").alias("component"), "c"), "live"
+        likely(entries, "key", shared).join(shared, "key").select("key", "id", "rest", F.col("id").alias("component"), "c"), "live"
     )
-    near = written(_meeting(live, signatures, num, den, False), "near")
-    ids = written(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    ids = written(_meeting(live, signatures, num, den).select("id").distinct(), "ids")
     sets = written(sets_of(ids), "sets")
-    live = written(live.join(ids, "id", "left_semi").select("key", "id"), "live")
-    links, joined = None, components(near.limit(0), "a", "b")
+    live = written(live.join(ids, "id", "left_semi").select("key", "id", "rest"), "live")
+    links, joined = None, ids.select("id", F.col("id").alias("root")).limit(0)
     for seed in range(LEAF_ROUNDS):
         rest = written(_mixed(live, joined), "mixed")
         found = written(_leaf_round(rest, sets, seed, num, den), "links")

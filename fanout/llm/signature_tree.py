@@ -1,9 +1,10 @@
 """Signature trees over token sets, and their dual traversal inside one task.
 
 A node holds the OR of its members' token bitmaps, their size range, the most tokens that any member has
-beyond one per bit, and the members' component if it is a single one. A pair of nodes is dropped when no
-pair of members can reach the similarity: sizes too far apart, too few common bits for the overlap that
-the smallest members would need, or both sides in one component already.
+beyond one per bit, the most tokens that any member has from the group's key on, and the members' component
+if it is a single one. A pair of nodes is dropped when no pair of members can reach the similarity: sizes
+too far apart, too few common bits or too few tokens from the key on for the overlap that the smallest
+members would need, or both sides in one component already.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ NARROW, WIDE = 64, 16384
 
 
 def width_for(n: int) -> int:
-    """Bits of the bitmap of a set: its size, rounded up to a power of two, within bounds."""
-    return min(WIDE, max(NARROW, 1 << max(0, n - 1).bit_length()))
+    """Bits of the bitmap of a set: twice its size, rounded up to a power of two, within bounds."""
+    return min(WIDE, max(NARROW, 1 << max(0, 2 * n - 1).bit_length()))
 
 
 def bitmap(values: np.ndarray) -> np.ndarray:
@@ -35,19 +36,24 @@ def fold(bits: np.ndarray, words: int) -> np.ndarray:
 
 
 class Node:
-    __slots__ = ("lo", "hi", "bits", "extra", "component", "members", "children")
+    __slots__ = ("lo", "hi", "rest", "bits", "extra", "component", "members", "children")
 
-    def __init__(self, lo, hi, bits, extra, component, members=None, children=()):
-        self.lo, self.hi, self.bits, self.extra = lo, hi, bits, extra
+    def __init__(self, lo, hi, rest, bits, extra, component, members=None, children=()):
+        self.lo, self.hi, self.rest, self.bits, self.extra = lo, hi, rest, bits, extra
         self.component, self.members, self.children = component, members, children
 
 
 class Sets:
-    """What a task knows of the sets of one group: ids, sizes, bitmaps, components."""
+    """What a task knows of the sets of one group: ids, sizes, bitmaps, components.
 
-    def __init__(self, ids, sizes, bitmaps, component):
+    ``rest`` is how many tokens each set has from the group's key on, in the order that the key is taken from: two
+    sets whose first common token is the key have no more in common.
+    """
+
+    def __init__(self, ids, sizes, bitmaps, component, rest=None):
         self.ids = ids
         self.sizes = np.asarray(sizes, np.int64)
+        self.rest = self.sizes if rest is None else np.asarray(rest, np.int64)
         self.bitmaps = bitmaps
         self.component = np.asarray(component, np.int64)
         self.extra = self.sizes - np.array([int(np.bitwise_count(b).sum()) for b in bitmaps], np.int64)
@@ -66,7 +72,7 @@ class Sets:
         sizes, owners = self.sizes[members], self.component[members]
         component = owners[0] if (owners == owners[0]).all() else None
         bits = np.bitwise_or.reduce(np.stack(folded), axis=0)
-        return Node(sizes.min(), sizes.max(), bits, extra, component, members)
+        return Node(sizes.min(), sizes.max(), self.rest[members].max(), bits, extra, component, members)
 
 
 def _parent(children: list[Node]) -> Node:
@@ -78,6 +84,7 @@ def _parent(children: list[Node]) -> Node:
     return Node(
         min(c.lo for c in children),
         max(c.hi for c in children),
+        max(c.rest for c in children),
         bits,
         extra,
         owners.pop() if len(owners) == 1 else None,
@@ -90,6 +97,8 @@ def _possible(u: Node, v: Node, num: int, den: int) -> bool:
         return False
     if u.hi * den < num * v.lo or v.hi * den < num * u.lo:
         return False
+    if min(u.rest, v.rest) * (num + den) < num * (u.lo + v.lo):
+        return False
     words = min(len(u.bits), len(v.bits))
     a, b = fold(u.bits, words), fold(v.bits, words)
     common = int(np.bitwise_count(a & b).sum())
@@ -106,6 +115,7 @@ def _member_pairs(s: Sets, u: Node, v: Node, num: int, den: int) -> Iterator[tup
     a, b = u.members, v.members
     na, nb = s.sizes[a][:, None], s.sizes[b][None, :]
     fits = (na * den >= num * nb) & (nb * den >= num * na) & (s.component[a][:, None] != s.component[b][None, :])
+    fits &= np.minimum(s.rest[a][:, None], s.rest[b][None, :]) * (num + den) >= num * (na + nb)
     if u is v:
         fits &= np.triu(np.ones(fits.shape, bool), 1)
     left, right = np.nonzero(fits)
