@@ -21,6 +21,7 @@ TUPLES = 32
 PLACE_BITS = 26  # of a word's place in the text, in the low bits of a k-mer's rank
 SPACE = " \t\n\x0b\x0c\r"
 RANGES_PER_PARTITION = 4
+CELLS = 256
 
 
 def _kmers(text: Column) -> Column:
@@ -40,23 +41,36 @@ def _kmers(text: Column) -> Column:
     return F.get(runs, F.lit(0))
 
 
-def _ranges(docs: DataFrame) -> Column:
-    """How many of the doc_id quantiles lie below a row's doc_id: its range, found by binary search."""
-    spark = docs.sparkSession
-    wanted = RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / wanted for i in range(1, wanted)], 20 * wanted)).first()[0]
-    bounds = sorted(set(cuts or []))
-    if not bounds:
+def _ranges(docs: DataFrame, wanted: int) -> Column:
+    """Which of about ``wanted`` ranges of doc_id a row lies in; ranges are in doc_id order and hold about as many rows.
+
+    Quantiles cut doc_id into cells, and each cell is cut evenly. The search for the cell is a tree of plain
+    comparisons, as lambdas would keep plans that use it twice from sharing one shuffle.
+    """
+    cells = min(wanted, CELLS)
+    known = docs.filter("doc_id is not null")
+    cuts = known.agg(
+        F.min("doc_id"), F.percentile_approx("doc_id", [i / cells for i in range(1, cells + 1)], 50 * cells)
+    ).first()
+    bounds = sorted({cuts[0], *(cuts[1] or [])} - {None})
+    if len(bounds) < 2:
         return F.lit(0)
-    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
-    every = F.lit(bounds)
-    return F.aggregate(
-        F.lit(steps),
-        F.lit(0),
-        lambda at, step: F.when(
-            (at + step <= len(bounds)) & (F.get(every, at + step - 1) < F.col("doc_id")), at + step
-        ).otherwise(at),
-    )
+    id_, each = F.col("doc_id"), -(-wanted // cells)
+
+    def inside(i: int) -> Column:
+        """The range of an id from bounds[i] up to bounds[i + 1]; ids outside all bounds go to the end cells."""
+        lo, hi = bounds[i], bounds[i + 1]
+        share = F.floor((id_ - lo).cast("double") / float(hi - lo) * each).cast("int")
+        return F.greatest(F.lit(i * each), F.least(F.lit((i + 1) * each - 1), share + i * each))
+
+    def search(lo: int, hi: int) -> Column:
+        if hi - lo == 1:
+            return inside(lo)
+        mid = (lo + hi) // 2
+        return F.when(id_ < bounds[mid], search(lo, mid)).otherwise(search(mid, hi))
+
+    # never null, so that no plan that uses it infers a filter which another one lacks
+    return F.coalesce(F.when(id_.isNotNull(), search(0, len(bounds) - 1)), F.lit(0))
 
 
 def _with_next(docs: DataFrame) -> DataFrame:
@@ -64,10 +78,10 @@ def _with_next(docs: DataFrame) -> DataFrame:
 
     Each range also gets the first row of the next range that has any, with ``doc_id`` order kept by ``extra``.
     """
-    ranged = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(0).alias("extra")).withColumn(
-        "part", _ranges(docs)
-    )
-    starts = docs.select("doc_id").withColumn("part", _ranges(docs)).groupBy("part").agg(
+    tasks = RANGES_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = _ranges(docs, 2 * tasks)
+    ranged = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(0).alias("extra"), part.alias("part"))
+    starts = docs.select("doc_id", part.alias("part")).groupBy("part").agg(
         F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("first")
     )
     before = Window.orderBy("part")
@@ -81,9 +95,10 @@ def _with_next(docs: DataFrame) -> DataFrame:
     )
     guests = ranged.join(
         F.broadcast(linked), (F.col("part") == F.col("from")) & F.col("doc_id").eqNullSafe(F.col("first"))
-    ).select("doc_id", "text", F.lit(1).alias("extra"), F.col("into").alias("part"))
+    ).select("doc_id", "text", F.lit(1).alias("extra"), F.coalesce("into", F.lit(0)).alias("part"))
     inside = Window.partitionBy("part").orderBy("extra", F.col("doc_id").asc_nulls_first(), "text")
-    return ranged.unionByName(guests).select(
+    # as many partitions as asked for: each text becomes hundreds of rows, which its bytes do not show
+    return ranged.unionByName(guests).repartition(tasks, "part").select(
         "part",
         F.row_number().over(inside).alias("place"),
         "extra",

@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import insort
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,6 @@ PACK = 2048
 END = 1
 CACHED_WORDS = 300_000
 PUNCTUATION = rb"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""  # apostrophes begin tokens such as 's
-LEARNED_TOGETHER = 250_000  # words of texts
-ENCODED_TOGETHER = 5_000  # new words
 _LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u024f]+")
 #: Bytes without a printable character of their own are counted on from 256 by byte-level tokenizers.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -38,32 +38,13 @@ PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 PIECE_NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "within"]
 
 
-def _stem(word: bytes) -> tuple[bytes, bytes] | None:
-    """A word and the ASCII punctuation after it, where the tokenizer cuts too: after a letter or digit."""
-    stem = word.rstrip(PUNCTUATION)
-    if not stem or len(stem) == len(word) or b"<|" in word:
-        return None
-    last = stem[-1:] if stem[-1] < 128 else stem[-4:].decode(errors="ignore")[-1:]
-    return (stem, word[len(stem) :]) if last.isalnum() else None
-
-
-def _byte_letters(word: bytes) -> str:
-    """A word of Latin letters as the tokenizer's model takes it: lower case, one character a byte; else nothing.
-
-    For such words, the tokenizer's normalising and splitting do no more than that.
-    """
-    if word.isalpha() and word.isascii():
-        return word.decode()
-    low = word.decode(errors="replace").lower()
-    return low.encode().decode("latin-1").translate(_BYTE_LETTERS) if _LATIN.fullmatch(low) else ""
-
-
 class WordIds(dict):
-    """Little-endian 32-bit ids by word, words being separated by ASCII white space.
+    """Little-endian 32-bit ids by word, words being separated by ASCII white space; made at first sight.
 
-    White space never gets ids and no token spans it, so a text's ids are those of its words in turn. Words of
-    Latin letters go to the tokenizer's model alone; others are encoded whole, many at a time, with a special
-    token between them that tells their ids apart.
+    White space never gets ids and no token spans it, so a text's ids are those of its words in turn. The
+    tokenizer also cuts between a letter or digit and the ASCII punctuation after it, so both are looked up apart.
+    Lower-case words of Latin letters go to the tokenizer's model alone: normalising and splitting do no more to
+    them than give each byte its character.
     """
 
     def __init__(self, path: str):
@@ -71,55 +52,36 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = next(t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special)
-        self.mark_id = self.tokenizer.token_to_id(self.mark)
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self) + len(words) > CACHED_WORDS:
-            kept = {w: self[w] for w in words if w in self}
-            self.clear()
-            self.update(kept)
-        parts = {w: cut for w in words.difference(self) if (cut := _stem(w))}
-        new = words.difference(self, parts).union(x for cut in parts.values() for x in cut).difference(self)
-        plain = []
-        for word in new:
-            letters = _byte_letters(word)
-            if letters:
-                self[word] = np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
-            elif b"<|" in word:
-                self[word] = self._bytes(word.decode(errors="replace"))
-            else:
-                plain.append(word)
-        for at in range(0, len(plain), ENCODED_TOGETHER):
-            part = plain[at : at + ENCODED_TOGETHER]
-            text = f" {self.mark} ".join(w.decode(errors="replace") for w in part)
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-            ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
-            data, start = ids.tobytes(), 0
-            for word, end in zip(part, ends, strict=True):
-                self[word] = data[4 * start : 4 * end]
-                start = end + 1
-        for word, (stem, tail) in parts.items():
-            self[word] = self[stem] + self[tail]
-
-    def _bytes(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
 
-_TOKENIZERS: dict[str, WordIds] = {}
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= CACHED_WORDS:
+            for old in list(islice(self, CACHED_WORDS // 2)):
+                del self[old]
+        stem = word.rstrip(PUNCTUATION)
+        if len(stem) < len(word) and stem and b"<|" not in word and _ends_in_letter_or_digit(stem):
+            ids = self[stem] + self[word[len(stem) :]]
+        else:
+            ids = array("I", self._encoded(word)).tobytes()
+        self[word] = ids
+        return ids
+
+    def _encoded(self, word: bytes) -> list[int]:
+        if word.isalpha() and word.isascii():
+            letters = word.decode()
+        else:
+            low = word.decode(errors="replace").lower()
+            if not _LATIN.fullmatch(low):
+                return self.tokenizer.encode(word.decode(errors="replace"), add_special_tokens=False).ids
+            letters = low.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return [t.id for t in self.tokenizer.model.tokenize(letters)]
+
+
+def _ends_in_letter_or_digit(stem: bytes) -> bool:
+    last = stem[-1:] if stem[-1] < 128 else stem[-4:].decode(errors="ignore")[-1:]
+    return last.isalnum()
 
 
-def _portions(doc_ids: list, texts: list[bytes]) -> Iterator[tuple[list, list[list[bytes]]]]:
-    """Documents with their words, some at a time."""
-    at = 0
-    while at < len(texts):
-        ids, split, held = [], [], 0
-        while at < len(texts) and held < LEARNED_TOGETHER:
-            ids.append(doc_ids[at])
-            split.append(texts[at].lower().split())  # the tokenizer lower-cases, too
-            held += len(split[-1])
-            at += 1
-        yield ids, split
+_TOKENIZERS: dict[str, WordIds] = {}
 
 
 def _pieces(path: str, pack: int):
@@ -129,17 +91,15 @@ def _pieces(path: str, pack: int):
         task, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             out: list[tuple] = []
-            texts = cells(batch.column(1))
-            for doc_ids, split in _portions(batch.column(0).to_pylist(), texts):
-                ids.learn(set().union(*split))
-                for doc_id, words in zip(doc_ids, split, strict=True):
-                    data = b"".join(map(ids.__getitem__, words)) + end
-                    n = len(data) // 4
-                    for start in range(0, n, pack):
-                        part = data[4 * start : 4 * (start + pack)]
-                        length = len(part) // 4
-                        out.append((doc_id, start, length, zlib.crc32(part), n, task, seen[length]))
-                        seen[length] += 1
+            for doc_id, text in zip(batch.column(0).to_pylist(), cells(batch.column(1)), strict=True):
+                # the tokenizer lower-cases, too
+                data = b"".join(map(ids.__getitem__, text.lower().split())) + end
+                n = len(data) // 4
+                for start in range(0, n, pack):
+                    part = data[4 * start : 4 * (start + pack)]
+                    length = len(part) // 4
+                    out.append((doc_id, start, length, zlib.crc32(part), n, task, seen[length]))
+                    seen[length] += 1
             columns = list(zip(*out, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], PIECE_NAMES)
 
