@@ -28,7 +28,7 @@ from fanout.llm.shared import cells, importable, written
 
 PACK = 2048
 END = 1
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
 PUNCTUATION = rb"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""  # apostrophes begin tokens such as 's
 _LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u024f]+")
 #: Bytes without a printable character of their own are counted on from 256 by byte-level tokenizers.
