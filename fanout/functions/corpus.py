@@ -43,9 +43,14 @@ def unit(b: Column, seq: Column) -> Column:
 
 
 def value(b: Column, seq: Column) -> Column:
-    """Reduced before the multiply, so no batch id overflows BIGINT."""
-    m = F.lit(S.VALUE_MODULUS)
-    return (b % m * 1_000_003 + seq.cast("long") * 97) % m
+    """``(b * 1000003 + seq * 97) mod 2**64``, then modulo 2**31 - 1.
+
+    Done in 32-bit halves that no BIGINT overflows; 2**32 is 2 modulo the modulus.
+    """
+    low = F.lit(0xFFFFFFFF)
+    lower = b.bitwiseAND(low) * 1_000_003 + seq.cast("long") * 97
+    upper = (F.shiftright(b, 32) * 1_000_003 + F.shiftright(lower, 32)).bitwiseAND(low)
+    return (upper * 2 + lower.bitwiseAND(low)) % F.lit(S.VALUE_MODULUS)
 
 
 def quality(b: Column, seq: Column) -> Column:

@@ -18,19 +18,32 @@ def _unsigned(half: Column) -> Column:
     return F.when(half < 0, wide + F.lit(str(2**64)).cast("decimal(38,0)")).otherwise(wide)
 
 
-def string_fingerprint(c: Column) -> Column:
-    """First eight bytes as a little-endian number, plus the first eight of the reversed bytes.
+def _swapped(number: Column) -> Column:
+    """The eight bytes of a long in the opposite order."""
+    byte = F.lit(0xFF)
+    out = F.shiftleft(number.bitwiseAND(byte), 56)
+    for i in range(1, 8):
+        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(number, 8 * i).bitwiseAND(byte), 56 - 8 * i))
+    return out
+
+
+def fingerprint_halves(c: Column) -> tuple[Column, Column]:
+    """First eight bytes as a little-endian number, and the first eight of the reversed bytes.
 
-    Shorter strings are zero padded. The second number is also the big-endian reading of the last
-    eight bytes. DECIMAL(38,0), so that sums over a corpus stay exact.
+    Shorter strings are zero padded. The second number is also the big-endian reading of the last eight bytes.
+    Both are unsigned 64-bit numbers in a long.
     """
     raw = c.cast("binary")
     eight = F.rpad(F.substring(raw, 1, 8), 8, F.lit(b"\x00"))
-    swapped = F.concat(*[F.substring(eight, i, 1) for i in range(8, 0, -1)])
     tail = F.substring(raw, F.greatest(F.octet_length(raw) - 7, F.lit(1)), F.lit(8))
-    head_value = F.conv(F.hex(swapped), 16, -10).cast("long")
-    tail_value = F.conv(F.concat(F.lit("0"), F.hex(tail)), 16, -10).cast("long")
-    return (_unsigned(head_value) + _unsigned(tail_value)).cast("decimal(38,0)")
+    head = F.conv(F.hex(eight), 16, -10).cast("long")
+    return _swapped(head), F.conv(F.concat(F.lit("0"), F.hex(tail)), 16, -10).cast("long")
+
+
+def string_fingerprint(c: Column) -> Column:
+    """The sum of both halves. DECIMAL(38,0), so that sums over a corpus stay exact."""
+    head, tail = fingerprint_halves(c)
+    return (_unsigned(head) + _unsigned(tail)).cast("decimal(38,0)")
 
 
 def blank(c: Column) -> Column:

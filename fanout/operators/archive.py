@@ -107,8 +107,11 @@ def problems(records: DataFrame) -> DataFrame:
     ]
     of_record = F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules]))
     bad_units = F.map_filter("metrics", lambda _, m: ~F.coalesce(m["unit"].isin(S.METRIC_UNITS), F.lit(False)))
-    of_metrics = F.transform(F.map_keys(bad_units), lambda name: F.concat(F.lit("unit of "), name))
-    every = F.concat(of_record, F.coalesce(of_metrics, F.array().cast("array<string>")))
+    not_finite = F.map_filter("metrics", lambda _, m: F.isnan(m["value"]) | (F.abs(m["value"]) == float("inf")))
+    of_units = F.transform(F.map_keys(bad_units), lambda name: F.concat(F.lit("unit of "), name))
+    of_values = F.transform(F.map_keys(not_finite), lambda name: F.concat(F.lit("value of "), name))
+    none = F.array().cast("array<string>")
+    every = F.concat(of_record, F.coalesce(of_units, none), F.coalesce(of_values, none))
     return records.select("run_id", "pos", F.explode(every).alias("rule"))
 
 
@@ -173,14 +176,16 @@ def _long_metrics(keyed_records: DataFrame) -> DataFrame:
     )
 
 
-def summarise_metrics(keyed_records: DataFrame) -> DataFrame:
-    """Median, extremes and spread of every metric of every row.
+def summarise_metrics(keyed_records: DataFrame, metrics: Sequence[str] | None = None) -> DataFrame:
+    """Median, extremes and spread of every metric of every row, or of the named ``metrics`` alone.
 
     Unit and direction come from the first record carrying the metric. The median is the mean of the
     two middle measurements, found without gathering a row's repetitions in one place.
     """
     keys = ["row_key", "metric"]
     carried = _long_metrics(keyed_records)
+    if metrics is not None:
+        carried = carried.filter(F.col("metric").isin(list(metrics)))
     stats = carried.groupBy(*keys).agg(
         F.min_by("m.unit", "pos").alias("unit"),
         F.min_by("m.higher_is_better", "pos").alias("higher_is_better"),
@@ -235,6 +240,13 @@ def summarise_rows(keyed_records: DataFrame) -> DataFrame:
         F.try_element_at("variant", F.lit("wire_format")).alias("wire_format"),
     )
     ts = F.col("run.ts_ms")
+    # told apart before they are gathered: a row holds each flag once, however many records carry it
+    flags = (
+        carrying.select("row_key", F.explode("flags").alias("flag"))
+        .distinct()
+        .groupBy("row_key")
+        .agg(F.array_sort(F.collect_list("flag")).alias("flags"))
+    )
     return (
         carrying.groupBy("row_key")
         .agg(
@@ -247,9 +259,9 @@ def summarise_rows(keyed_records: DataFrame) -> DataFrame:
             F.max(ts).alias("ts_ms"),
             F.max_by("status", severity(F.col("status"))).alias("status"),
             F.count("*").alias("reps_counted"),
-            # flags are a closed vocabulary, so the distinct arrays of it are few
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set("flags")))).alias("flags"),
         )
+        .join(flags, "row_key", "left")
+        .withColumn("flags", F.coalesce("flags", F.array().cast("array<string>")))
         .select(
             "row_key",
             "arm",
@@ -512,28 +524,78 @@ METRIC_SPECS = {
     "duplicate_rows": ("rows", False),
     "data_plane_cores_used": ("cores", False),
     "data_plane_peak_anon_bytes": ("bytes", False),
+    "server_cpu_us_per_row": ("us", False),
+    "server_cpu_us_per_written_row": ("us", False),
+    "server_cpu_us": ("us", False),
+    "server_written_rows": ("rows", False),
+    "server_rows_per_insert": ("rows", True),
+    "server_cpu_wait_us": ("us", False),
+    "server_inserted_bytes": ("bytes", False),
+    "gc_pause_total_us": ("us", False),
+    "gc_pause_max_us": ("us", False),
+    "gc_pause_p99_us": ("us", False),
+    "gc_pause_p999_us": ("us", False),
+    "jvm_heap_configured_bytes": ("bytes", False),
+    "jvm_heap_committed_peak_bytes": ("bytes", False),
+    "jvm_heap_live_peak_bytes": ("bytes", False),
 }
+CONTROL_PLANE = "control_plane_"  # prefix of the collector metrics of a run's control plane
+
+
+def collector_metrics(summary: DataFrame, prefix: str = "") -> DataFrame:
+    """One row per run of ``gc_summary``'s figures under their published names, in microseconds and bytes."""
+    figures = {
+        "gc_pause_total_us": F.col("total_ns") / 1000.0,
+        "gc_pause_max_us": F.col("max_ns") / 1000.0,
+        "gc_pause_p99_us": F.col("p99_ns") / 1000.0,
+        "gc_pause_p999_us": F.col("p999_ns") / 1000.0,
+        "jvm_heap_configured_bytes": F.col("max_bytes"),
+        "jvm_heap_committed_peak_bytes": F.col("peak_committed_bytes"),
+        "jvm_heap_live_peak_bytes": F.col("peak_live_bytes"),
+    }
+    return summary.select("run", *[c.alias(prefix + name) for name, c in figures.items()])
+
+
+def _entry(name: Column, value: Column, unit: Column, up: Column) -> Column:
+    metric = F.struct(value.cast("double").alias("value"), unit.alias("unit"), up.alias("higher_is_better"))
+    return F.struct(name.alias("key"), metric.alias("value"))
+
+
+def _mode_entry(e: Column) -> Column:
+    """Unit and direction of a mode metric, told by its name."""
+    name = e["key"]
+    unit = (
+        F.when(name == "kept_up_share", F.lit("ratio"))
+        .when(name == "offered_rows_per_s", F.lit("records/s"))
+        .when(name.endswith("_us"), F.lit("us"))
+        .otherwise(F.lit("rows"))
+    )
+    return _entry(name, e["value"], unit, ~name.endswith("_us"))
 
 
 def assemble_records(runs: DataFrame) -> DataFrame:
     """Attach each run's metrics as a map; a run whose status carries none has an empty one.
 
-    A column of ``METRIC_SPECS`` that is absent or null contributes no entry.
+    A column of ``METRIC_SPECS``, with or without the control plane's prefix, that is absent or null contributes
+    no entry; the map ``mode_metrics``, where there is one, contributes all of its own. ``variant``, ``flags`` and
+    ``note`` are kept, and empty where the runs have none.
     """
-    entries = [
-        F.when(
-            F.col(name).isNotNull(),
-            F.struct(
-                F.lit(name).alias("key"),
-                F.struct(
-                    F.col(name).cast("double").alias("value"),
-                    F.lit(unit).alias("unit"),
-                    F.lit(up).alias("higher_is_better"),
-                ).alias("value"),
-            ),
-        )
-        for name, (unit, up) in METRIC_SPECS.items()
-        if name in runs.columns
-    ]
-    present = F.filter(F.array(*entries), lambda e: e.isNotNull() & F.col("status").isin(CARRIES_METRICS))
-    return runs.withColumn("metrics", F.map_from_entries(present))
+    specs = METRIC_SPECS | {CONTROL_PLANE + n: s for n, s in METRIC_SPECS.items() if n.startswith(("gc_", "jvm_"))}
+    entries = F.array(
+        *[
+            F.when(F.col(name).isNotNull(), _entry(F.lit(name), F.col(name), F.lit(unit), F.lit(up)))
+            for name, (unit, up) in specs.items()
+            if name in runs.columns
+        ]
+    )
+    if "mode_metrics" in runs.columns:
+        entries = F.concat(entries, F.transform(F.map_entries("mode_metrics"), _mode_entry))
+    present = F.filter(entries, lambda e: e.isNotNull() & F.col("status").isin(CARRIES_METRICS))
+    empty = {"variant": "map<string,string>", "flags": "array<string>", "note": "string"}
+    blank_of = {
+        "variant": F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")),
+        "flags": F.array().cast("array<string>"),
+        "note": F.lit(None).cast("string"),
+    }
+    rest = {n: F.coalesce(n, blank_of[n]) if n in runs.columns else blank_of[n].cast(kind) for n, kind in empty.items()}
+    return runs.withColumns({"metrics": F.map_from_entries(present), **rest})

@@ -8,6 +8,7 @@ and then orders only pieces whose size has a bound that does not grow with the d
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,14 +57,17 @@ def _cells(value: Column) -> tuple[Column, Column]:
 
     The first is the logarithm of the magnitude in 1/1024 octaves, the second the linear position
     inside that step. Each has about two million possible values at most, and about two million
-    distinct doubles share both, so no ordered piece can be larger than that.
+    distinct doubles share both, so no ordered piece can be larger than that. Both infinities and NaN, which
+    comes after all numbers, have cells of their own.
     """
     v = value.cast("double")
     magnitude = F.abs(v)
-    step = F.when(magnitude > 0, F.floor(F.log2(magnitude) * 1024))
-    first = F.when(v > 0, step + 2_097_152).when(v < 0, -(step + 2_097_152)).otherwise(F.lit(0))
+    finite = magnitude < float("inf")
+    step = F.when(finite & (magnitude > 0), F.floor(F.log2(magnitude) * 1024))
+    beyond = F.when(F.isnan(v), F.lit(1 << 41)).when(v > 0, F.lit(1 << 40)).otherwise(F.lit(-(1 << 40)))
+    first = F.when(~finite, beyond).when(v > 0, step + 2_097_152).when(v < 0, -(step + 2_097_152)).otherwise(F.lit(0))
     inside = F.floor((magnitude / F.pow(F.lit(2.0), step / 1024) - 1) * float(2**31))
-    second = F.when(v > 0, inside).when(v < 0, -inside).otherwise(F.lit(0))
+    second = F.when(finite & (v > 0), inside).when(finite & (v < 0), -inside).otherwise(F.lit(0))
     return first.cast("long"), second.cast("long")
 
 
@@ -78,8 +82,7 @@ def select_ranks(
 
     ``ranks`` maps an output column to a function from the key's row count to a 1-based rank. Equal
     values are counted together before the first shuffle, then the rank is found digit by digit.
-    ``keys`` and ``value`` must not be null; a row counts ``weight`` times if that is given. Runs the
-    counting when called, as a checkpoint.
+    ``keys`` and ``value`` must not be null; a row counts ``weight`` times if that is given.
     """
     keys = list(keys)
     first, second = _cells(F.col(value))
@@ -89,8 +92,7 @@ def select_ranks(
         .withColumn("_c1", first)
         .withColumn("_c2", second)
     )
-    # read four times below, under different filters, so the plans would not share one shuffle
-    counts = cut(counts)
+    # the readers below all start from this aggregate's shuffle, which is run once
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     wanted = F.array(
         *[
@@ -123,9 +125,10 @@ def _descend(histogram: DataFrame, targets: DataFrame, on: list[str], digit: str
 
 def nearest_rank(q: float) -> Callable[[Column], Column]:
     """Rank ``ceil(q * n)``, at least 1: always an observed value, never an interpolation."""
-    # exact in integers: q is given in thousandths
-    per_mille = round(q * 1000)
-    return lambda n: F.greatest(F.call_function("div", n * per_mille + 999, F.lit(1000)), F.lit(1))
+    # exact in integers, q being the decimal fraction it is written as
+    exact = Fraction(str(q))
+    above, below = exact.numerator, exact.denominator
+    return lambda n: F.greatest(F.call_function("div", n * above + (below - 1), F.lit(below)), F.lit(1))
 
 
 def lower_middle(n: Column) -> Column:
@@ -139,30 +142,24 @@ def upper_middle(n: Column) -> Column:
 def rank_within(df: DataFrame, keys: Sequence[str], major: Column, ties: Sequence[Column], out: str) -> DataFrame:
     """1-based position within ``keys`` by ascending ``major``, then by ``ties``.
 
-    Rows are only ever sorted together when they share a key and very nearly the same ``major``;
-    everything before them is counted from the digit histograms. ``keys`` and ``major`` must not be
-    null.
+    Rows are dealt by ranges of the whole order, ties included, so one key, and one value within it, spread
+    over as many tasks as they need. A row's place is its place in its range plus the rows of its key
+    in earlier ranges. ``keys`` must not be null. Runs the dealing when called, as a checkpoint.
     """
     keys = list(keys)
-    first, second = _cells(F.col("_major"))
-    placed = df.withColumn("_major", major).withColumn("_c1", first).withColumn("_c2", second)
-    fine = placed.groupBy(*keys, "_c1", "_c2").agg(F.count("*").alias("_n"))
-    coarse = fine.groupBy(*keys, "_c1").agg(F.sum("_n").alias("_n"))
-    zero = F.lit(0).cast("long")
-
-    def earlier(partition: list[str], order: str) -> Column:
-        w = Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return F.coalesce(F.sum("_n").over(w), zero)
-
-    coarse = coarse.select(*keys, "_c1", earlier(keys, "_c1").alias("_before1"))
-    fine = fine.select(*keys, "_c1", "_c2", earlier([*keys, "_c1"], "_c2").alias("_before2"))
-    offsets = fine.join(coarse, [*keys, "_c1"]).select(
-        *keys, "_c1", "_c2", (F.col("_before1") + F.col("_before2")).alias("_before")
-    )
-    piece = Window.partitionBy(*keys, "_c1", "_c2").orderBy("_major", *ties)
+    tied = [f"_tie{i}" for i in range(len(ties))]
+    named = df.withColumns({"_major": major, **dict(zip(tied, ties, strict=True))})
+    order = ["_major", *tied]
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # ranges are sampled, so two evaluations may differ: the dealing is kept
+    dealt = cut(named.repartitionByRange(tasks, *keys, *order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*keys, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    piece = Window.partitionBy(*keys, "_range").orderBy(*order)
     return (
-        placed.withColumn("_local", F.row_number().over(piece))
-        .join(offsets, [*keys, "_c1", "_c2"])
+        dealt.withColumn("_local", F.row_number().over(piece))
+        .join(before, [*keys, "_range"])
         .withColumn(out, F.col("_local") + F.col("_before"))
-        .drop("_major", "_c1", "_c2", "_local", "_before")
+        .drop(*order, "_range", "_local", "_before")
     )

@@ -78,7 +78,11 @@ def narrow_problem(b: Column, s: Column) -> Column:
 
 
 def land(batches: DataFrame) -> DataFrame:
-    """The whole transform, ending in the twelve target columns in table order."""
+    """The whole transform, ending in the twelve target columns in table order.
+
+    Refuses batches of another schema before anything runs.
+    """
+    S.require_schema(batches, S.BATCH)
     header = batches.select(
         batch_id_checked(F.col("batch_id")).alias("batch_id"),
         "sensor",
@@ -161,6 +165,7 @@ WHERE unit <> '{S.DROP_UNIT}' AND NOT (quality IS NOT NULL AND quality < {S.QUAL
 
 
 def land_sql(batches: DataFrame) -> DataFrame:
+    S.require_schema(batches, S.BATCH)
     return batches.sparkSession.sql(LAND_SQL, batches=batches)
 
 

@@ -11,6 +11,7 @@ from fanout import schemas as S
 from fanout.operators.ordering import nearest_rank, select_ranks
 
 QUANTILES = {"p50_us": 0.5, "p99_us": 0.99, "p999_us": 0.999}
+SKETCH_ACCURACY = 10_000  # a sketched rank is off by this part of the rows at most
 
 
 def in_ms_window(ts: str, from_ms: Column | int, to_ms: Column | int) -> Column:
@@ -36,7 +37,7 @@ def latency(landed: DataFrame, keys: Sequence[str], from_ms: int, to_ms: int) ->
 
     A key without rows in the window has no latency and is absent.
     """
-    sketch = F.percentile_approx("lat_us", F.array(*[F.lit(q) for q in QUANTILES.values()]), 10_000)
+    sketch = F.percentile_approx("lat_us", F.array(*[F.lit(q) for q in QUANTILES.values()]), SKETCH_ACCURACY)
     return (
         _latencies(landed, from_ms, to_ms)
         .groupBy(*keys)
@@ -45,6 +46,20 @@ def latency(landed: DataFrame, keys: Sequence[str], from_ms: int, to_ms: int) ->
     )
 
 
+def latency_checked(landed: DataFrame, keys: Sequence[str], from_ms: int, to_ms: int) -> DataFrame:
+    """For each sketched quantile, whether it lies within the sketch's rank error of the exact one."""
+    near = {}
+    for name, q in QUANTILES.items():
+        near[f"{name}_lo"] = nearest_rank(round(q - 1 / SKETCH_ACCURACY, 6))
+        near[f"{name}_hi"] = nearest_rank(min(1.0, round(q + 1 / SKETCH_ACCURACY, 6)))
+    lat = _latencies(landed, from_ms, to_ms).select(*keys, "lat_us")
+    bounds = select_ranks(lat, keys, "lat_us", near)
+    within = [
+        F.col(n).between(F.col(f"{n}_lo"), F.col(f"{n}_hi")).alias(n.replace("_us", "_within")) for n in QUANTILES
+    ]
+    return latency(landed, keys, from_ms, to_ms).join(bounds, list(keys)).select(*keys, *within, "max_us", "rows")
+
+
 def latency_exact(landed: DataFrame, keys: Sequence[str], from_ms: int, to_ms: int) -> DataFrame:
     """Nearest-rank quantiles, exact whatever the number of distinct latencies of one key."""
     lat = _latencies(landed, from_ms, to_ms).select(*keys, "lat_us")
@@ -114,6 +129,16 @@ def _polls(polls: DataFrame, deadline_s: int) -> DataFrame:
     return per_tick.join(first, "run").filter(F.col("tick") - F.col("opened") <= deadline_s)
 
 
+def _with_beyond(ends: DataFrame, polls: DataFrame, deadline_s: int) -> DataFrame:
+    """Adds ``polls_beyond``: how many of the run's ticks lay past the deadline and so had no say."""
+    per_tick = polls.select("run", "tick").distinct()
+    first = per_tick.groupBy("run").agg(F.min("tick").alias("opened"))
+    late = per_tick.join(first, "run").groupBy("run").agg(
+        F.count_if(F.col("tick") - F.col("opened") > deadline_s).alias("polls_beyond")
+    )
+    return ends.join(late, "run")
+
+
 def _poll_order() -> Window:
     return Window.partitionBy("run").orderBy("tick")
 
@@ -149,7 +174,7 @@ def quiesce_point(polls: DataFrame) -> DataFrame:
         F.col("settled_at").isNull() | (F.col("gave_up_at") < F.col("settled_at"))
     )
     never_read = F.col("last_rows").isNull()
-    return ends.select(
+    outcome = ends.select(
         "run",
         F.when(~refused, F.col("settled_at")).alias("settled_at"),
         F.when(~refused, F.coalesce("settled_rows", "last_rows")).alias("rows"),
@@ -159,6 +184,7 @@ def quiesce_point(polls: DataFrame) -> DataFrame:
         .otherwise(F.lit("settled"))
         .alias("outcome"),
     )
+    return _with_beyond(outcome, polls, S.QUIESCE_MAX_S)
 
 
 def warmup_point(polls: DataFrame) -> DataFrame:
@@ -168,12 +194,13 @@ def warmup_point(polls: DataFrame) -> DataFrame:
         "rose", F.coalesce(F.col("rows") > F.lag("rows").over(order), F.lit(False))
     )
     warm = F.col("rose") & F.lag("rose", 1).over(order) & F.lag("rose", 2).over(order)
-    return (
+    outcome = (
         steps.withColumn("warm", F.coalesce(warm, F.lit(False)))
         .groupBy("run")
         .agg(F.min(F.when(F.col("warm"), F.col("tick"))).alias("warm_at"))
         .withColumn("outcome", F.when(F.col("warm_at").isNull(), F.lit("did not start")).otherwise(F.lit("warm")))
     )
+    return _with_beyond(outcome, polls, S.WARMUP_MAX_S)
 
 
 def drain_complete(polls: DataFrame, expected: str = "expected_rows") -> DataFrame:
@@ -191,7 +218,7 @@ def drain_complete(polls: DataFrame, expected: str = "expected_rows") -> DataFra
     refused = F.col("gave_up_at").isNotNull() & (
         F.col("done_at").isNull() | (F.col("gave_up_at") < F.col("done_at"))
     )
-    return ends.select(
+    outcome = ends.select(
         "run",
         F.when(~refused, F.col("done_at")).alias("done_at"),
         F.when(refused, F.lit("unreadable"))
@@ -199,6 +226,7 @@ def drain_complete(polls: DataFrame, expected: str = "expected_rows") -> DataFra
         .otherwise(F.lit("drained"))
         .alias("outcome"),
     )
+    return _with_beyond(outcome, polls, S.DRAIN_MAX_S)
 
 
 def load_report(sends: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def headroom_verdict(spark, sf):
 
 
 def sweep_plateau(spark, sf):
-    return ceilings.sweep_plateau(inputs.ladders(spark, sf), max_concurrency=128)
+    return ceilings.sweep_plateau(inputs.ladders(spark, sf))
 
 
 def ceiling_merge(spark, sf):

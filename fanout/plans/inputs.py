@@ -29,7 +29,7 @@ def _written(make):
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
-    e = spread(table(spark, sf, "events"), "event_id")
+    e = table(spark, sf, "events")
     return e.select(
         "event_id",
         utc("ts").alias("ts"),
@@ -43,7 +43,7 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _lineitem(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "lineitem"), "l_orderkey")
+    return table(spark, sf, "lineitem")
 
 
 def _div(a, b):
@@ -59,11 +59,11 @@ def _tag(prefix, c):
 
 
 def document_ids(spark, sf) -> DataFrame:
-    return spread(table(spark, sf, "documents").select(F.col("doc_id").alias("batch_id")), "batch_id")
+    return spread(table(spark, sf, "documents").select(F.col("doc_id").alias("batch_id")))
 
 
 def event_ids(spark, sf) -> DataFrame:
-    return spread(table(spark, sf, "events").select(F.col("event_id").alias("batch_id")), "batch_id")
+    return spread(table(spark, sf, "events").select(F.col("event_id").alias("batch_id")))
 
 
 @_written

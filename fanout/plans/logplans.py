@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fanout.operators import logs
+from fanout.operators.transform import land
+from fanout.operators.windows import in_ms_window
 from fanout.plans import inputs
-from fanout.plans.oracle import EV, GC, QUERY_LOG, with_views
+from fanout.plans.oracle import EV, FEED, FEED_LANDED, GC, QUERY_LOG, with_views
 from fanout.schemas import PROFILE_COUNTERS
 
 # 2024-01-05 to 2024-01-25
@@ -16,7 +18,7 @@ TABLES = ["db.sensor_events", "db.landing"]
 
 def profile_events_parse(spark, sf):
     parsed = logs.parse_profile_events(inputs.profile_text(spark, sf))
-    shown = [F.try_element_at("counters", F.lit(c)).alias(c) for c in PROFILE_COUNTERS[:2] + PROFILE_COUNTERS[5:6]]
+    shown = [F.try_element_at("counters", F.lit(c)).alias(c) for c in PROFILE_COUNTERS]
     return parsed.select("event_id", "malformed", F.size("counters").alias("entries"), *shown)
 
 
@@ -38,9 +40,20 @@ def server_cost(spark, sf):
     return logs.server_cost(_attributed(spark, sf), ["run"])
 
 
+def server_metrics_of(spark, sf):
+    """Server cost against the rows that landed in the same window."""
+    user = F.regexp_extract("sensor", r"([0-9]+)$", 1).cast("long")
+    landed = (
+        land(inputs.feed(spark, sf))
+        .filter(in_ms_window("send_ts", FROM_MS, TO_MS))
+        .groupBy(F.concat(F.lit("run-"), (user % 12).cast("string")).alias("run"))
+        .agg(F.count("*").alias("rows"))
+    )
+    return logs.server_metrics(logs.server_cost(_attributed(spark, sf), ["run"]).join(landed, "run"))
+
+
 def server_metrics(spark, sf):
-    landed = inputs.query_log(spark, sf).groupBy("run").agg(F.sum("written_rows").alias("rows"))
-    return logs.server_metrics(logs.server_cost(_attributed(spark, sf), ["run"]).join(landed, "run")).select(
+    return server_metrics_of(spark, sf).select(
         "run",
         "server_cpu_us_per_row",
         "server_cpu_us_per_written_row",
@@ -86,8 +99,9 @@ def gc_summary(spark, sf):
 
 
 def gc_summary_window(spark, sf):
-    """The same, over pauses in the first three uptime seconds."""
-    return logs.gc_summary(_split(spark, sf), (0.0, 3.0)).select(
+    """The same, over pauses in the first half of the time that the log's pauses span."""
+    ends = logs.gc_pauses(_split(spark, sf)).agg(F.min("uptime_s").alias("a"), F.max("uptime_s").alias("z")).first()
+    return logs.gc_summary(_split(spark, sf), (ends.a, (ends.a + ends.z) / 2)).select(
         "run", "container", "pauses", "total_ns", "p50_ns", "from_uptime_s", "to_uptime_s", "refusal"
     )
 
@@ -154,7 +168,10 @@ ORACLES = {
     "profile_events_parse": with_views(EV)
     + """SELECT e event_id, k % 11 IN (1, 2, 3) malformed, CAST(CASE WHEN k % 11 IN (1, 2, 3) THEN NULL WHEN k % 11 = 0 THEN 0
       WHEN k % 11 = 4 THEN 1 ELSE 2 END AS INTEGER) entries, CASE WHEN k % 11 > 4 THEN k END UserTimeMicroseconds,
-      CASE WHEN k % 11 > 4 THEN k*3 END SystemTimeMicroseconds, CASE WHEN k % 11 = 4 THEN k*2 END InsertedRows FROM ev""",
+      CASE WHEN k % 11 > 4 THEN k*3 END SystemTimeMicroseconds, CASE WHEN k % 11 = 4 THEN k*2 END InsertedRows,
+      """
+    + ", ".join(_NULL.format(c) for c in PROFILE_COUNTERS if c not in ("UserTimeMicroseconds", "SystemTimeMicroseconds", "InsertedRows"))
+    + " FROM ev",
     "insert_attribution": with_views(EV, QUERY_LOG, _ATTRIBUTED)
     + """SELECT e event_id, run, kind AS type, concat_ws(',', CASE WHEN c_async IS NOT NULL THEN 'AsyncInsertQuery' END,
       CASE WHEN c_bytes IS NOT NULL THEN 'InsertedBytes' END, CASE WHEN c_sys IS NOT NULL THEN 'SystemTimeMicroseconds' END,
@@ -166,12 +183,13 @@ ORACLES = {
       {_BIG.format('written_rows', 'written_rows')}, {_BIG.format('cpu_us', 'cpu_us')}, {_BIG.format('coalesce(user_us, 0)', 'user_us')},
       {_BIG.format('coalesce(system_us, 0)', 'system_us')}, {_NULL.format('real_us')}, {_NULL.format('os_cpu_virtual_us')},
       {_NULL.format('os_cpu_wait_us')}, {_NULL.format('inserted_rows')}, {_BIG.format('inserted_bytes', 'inserted_bytes')}, refusal FROM server""",
-    "server_metrics": with_views(EV, QUERY_LOG, _ATTRIBUTED, _SERVER)
+    "server_metrics": with_views(EV, FEED, FEED_LANDED, QUERY_LOG, _ATTRIBUTED, _SERVER)
     + f"""SELECT run, CASE WHEN fine THEN CAST(cpu_us AS BIGINT) / n END server_cpu_us_per_row,
       CASE WHEN fine THEN CAST(cpu_us AS BIGINT) / CAST(written_rows AS BIGINT) END server_cpu_us_per_written_row,
       CASE WHEN queries = 0 THEN 0.0::DOUBLE WHEN fine THEN CAST(written_rows AS BIGINT) / queries END server_rows_per_insert,
       {_NULL.format('server_cpu_wait_us')}, {_BIG.format('inserted_bytes', 'server_inserted_bytes')}
-      FROM server JOIN (SELECT run, CAST(sum(written_rows) AS BIGINT) n FROM qlog GROUP BY run) USING (run)""",
+      FROM server JOIN (SELECT 'run-' || (CAST(substr(sensor, 8) AS BIGINT) % 12) run, count(*) n FROM fl
+        WHERE send_ts >= make_timestamp({FROM_MS}000) AND send_ts < make_timestamp({TO_MS}000) GROUP BY 1) USING (run)""",
     "part_log_summary": """SELECT "table", count(*) FILTER (l_returnflag = 'A') parts_written,
       CAST(coalesce(sum(q) FILTER (l_returnflag = 'A'), 0) AS BIGINT) rows_written, count(*) FILTER (l_returnflag = 'N') merges,
       CAST(coalesce(sum(q) FILTER (l_returnflag = 'N'), 0) AS BIGINT) rows_merged
@@ -221,7 +239,7 @@ ORACLES = {
     + ", "
     + _FINE.format("peak_committed_bytes / max_bytes", "committed_share")
     + ", refusal FROM judged",
-    "gc_summary_window": with_views(EV, GC, _HEAP, _gc_totals("uptime_s >= 0 AND uptime_s < 3"))
+    "gc_summary_window": with_views(EV, GC, _HEAP, _gc_totals("uptime_s >= (SELECT min(uptime_s) FROM pauses) AND uptime_s < (SELECT (min(uptime_s) + max(uptime_s)) / 2 FROM pauses)"))
     + "SELECT run, container, "
     + ", ".join(_FINE.format(f"coalesce({c}, 0)", c) for c in ["pauses", "total_ns", "p50_ns"])
     + ", "

@@ -17,8 +17,8 @@ def rows_in_window(spark, sf):
 
 
 def latency_window(spark, sf):
-    """Approximate quantiles, so only rows-checked; its exact twin is ``latency_exact``."""
-    return windows.latency(inputs.latency_rows(spark, sf), ["run"], FROM_MS, TO_MS)
+    """Whether each sketched quantile keeps its promise; ``latency_exact`` has the exact ones."""
+    return windows.latency_checked(inputs.latency_rows(spark, sf), ["run"], FROM_MS, TO_MS)
 
 
 def latency_exact(spark, sf):
@@ -135,7 +135,8 @@ def _stepped(limit: int) -> str:
     lags = ", ".join(f"lag(n, {i}) OVER w p{i}" for i in range(1, 5))
     return f"""stepped AS (SELECT *, {lags}, row_number() OVER w rn, last_value(n IGNORE NULLS) OVER (PARTITION BY run ORDER BY tick
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) seen FROM polls WHERE since <= {limit}
-      WINDOW w AS (PARTITION BY run ORDER BY tick))"""
+      WINDOW w AS (PARTITION BY run ORDER BY tick)),
+      beyond AS (SELECT run, count(*) FILTER (since > {limit}) polls_beyond FROM polls GROUP BY run)"""
 
 
 ORACLES = {
@@ -143,6 +144,9 @@ ORACLES = {
     "latency_exact": with_views(EV, LATENCY)
     + f"""SELECT run, quantile_disc(l, 0.5) p50_us, quantile_disc(l, 0.99) p99_us, quantile_disc(l, 0.999) p999_us, max(l) max_us,
       count(*) "rows" FROM (SELECT run, ingest_us - send_us l FROM lat WHERE {_IN}) GROUP BY 1""",
+    "latency_window": with_views(EV, LATENCY)
+    + f"""SELECT run, true p50_within, true p99_within, true p999_within, max(ingest_us - send_us) max_us, count(*) "rows" FROM lat
+      WHERE {_IN} GROUP BY 1""",
     "latency_max": with_views(EV, LATENCY)
     + f'SELECT run, max(ingest_us - send_us) max_us, count(*) "rows" FROM lat WHERE {_IN} GROUP BY 1',
     "sampler_window": with_views(EV, SERIES)
@@ -170,16 +174,17 @@ ORACLES = {
       ended AS (SELECT run, min(tick) FILTER (three) s, min(tick) FILTER ({_FIVE}) g, arg_max(n, tick) FILTER (n IS NOT NULL) last_n,
         arg_min(n, tick) FILTER (three) settled_n FROM three GROUP BY run)
       SELECT run, CASE WHEN NOT refused THEN s END settled_at, CASE WHEN NOT refused THEN coalesce(settled_n, last_n) END AS "rows",
-        CASE WHEN refused THEN 'unreadable' WHEN last_n IS NULL THEN 'never read' WHEN s IS NULL THEN 'not settled' ELSE 'settled' END outcome
-      FROM (SELECT *, g IS NOT NULL AND (s IS NULL OR g < s) refused FROM ended)""",
+        CASE WHEN refused THEN 'unreadable' WHEN last_n IS NULL THEN 'never read' WHEN s IS NULL THEN 'not settled' ELSE 'settled' END outcome, polls_beyond
+      FROM (SELECT *, g IS NOT NULL AND (s IS NULL OR g < s) refused FROM ended JOIN beyond USING (run))""",
     "warmup_point": with_views(EV, POLLS, _stepped(120))
     + """, rose AS (SELECT *, coalesce(n > p1 AND p1 > p2 AND p2 > p3, false) warm FROM stepped)
-      SELECT run, min(tick) FILTER (warm) warm_at, CASE WHEN bool_or(warm) THEN 'warm' ELSE 'did not start' END outcome FROM rose GROUP BY run""",
+      SELECT run, min(tick) FILTER (warm) warm_at, CASE WHEN bool_or(warm) THEN 'warm' ELSE 'did not start' END outcome, any_value(polls_beyond) polls_beyond
+      FROM rose JOIN beyond USING (run) GROUP BY run""",
     "drain_complete": with_views(EV, POLLS, _stepped(600))
     + f""", wanted AS (SELECT run, max(expected_rows) want FROM polls GROUP BY run),
       ended AS (SELECT run, min(tick) FILTER (n >= want) d, min(tick) FILTER ({_FIVE}) g FROM stepped JOIN wanted USING (run) GROUP BY run)
       SELECT run, CASE WHEN NOT refused THEN d END done_at, CASE WHEN refused THEN 'unreadable' WHEN d IS NULL THEN 'timed out'
-        ELSE 'drained' END outcome FROM (SELECT *, g IS NOT NULL AND (d IS NULL OR g < d) refused FROM ended)""",
+        ELSE 'drained' END outcome, polls_beyond FROM (SELECT *, g IS NOT NULL AND (d IS NULL OR g < d) refused FROM ended JOIN beyond USING (run))""",
     "load_report": with_views(EV, SENDS)
     + """SELECT run, sent, delivered, failed, rate, elapsed_us, max_lag_us, sent / (rate * (elapsed_us / 1e6)) achieved_share,
       CASE WHEN failed > 0 THEN 'failed sends' WHEN sent * 100000000 < rate * elapsed_us * 99 THEN 'generator too slow' END refusal

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fanout.operators import archive, windows
-from fanout.plans import inputs
+from fanout.plans import inputs, logplans
+from fanout.plans.logplans import ORACLES as LOG_SQL
+from fanout.plans.measurement import ORACLES as MEASURED_SQL
 from fanout.plans.oracle import EV, LANES, METRICS, RECORDS, ROWS, RUNS, VARIANTS, with_views
-from fanout.session import cut
+from fanout.schemas import PRIMARY_METRIC
 
 
 def _keyed(spark, sf):
@@ -19,12 +21,13 @@ def _published(spark, sf):
     return archive.publish(archive.summarise_rows(keyed), archive.attempts(keyed))
 
 
-def _lanes(spark, sf):
-    """Lanes and the metrics behind them: small by now, and read several times by what follows."""
+def _lanes(spark, sf, *also: str):
+    """Lanes of the newest sittings, and the chosen metrics behind them."""
     keyed = _keyed(spark, sf)
     rows, _ = archive.publish(archive.summarise_rows(keyed), archive.attempts(keyed))
-    metrics = cut(archive.summarise_metrics(keyed))
-    return cut(archive.lanes(rows, metrics, inputs.variants(spark, sf))), metrics
+    newest = keyed.join(rows.select("row_key"), "row_key", "left_semi")
+    metrics = archive.summarise_metrics(newest, [PRIMARY_METRIC, *also])
+    return archive.lanes(rows, metrics, inputs.variants(spark, sf)), metrics
 
 
 def archive_scan_counts(spark, sf):
@@ -105,8 +108,8 @@ def lane_rank(spark, sf):
 
 
 def sort_lanes(spark, sf):
-    lanes, metrics = _lanes(spark, sf)
-    return archive.sort_lanes(cut(archive.lane_rank(lanes)), metrics, "cpu_us_per_row").select("row_key", "group", "tier", "place")
+    lanes, metrics = _lanes(spark, sf, "cpu_us_per_row")
+    return archive.sort_lanes(archive.lane_rank(lanes), metrics, "cpu_us_per_row").select("row_key", "group", "tier", "place")
 
 
 def tied_with_leader(spark, sf):
@@ -140,11 +143,41 @@ def knob_violations(spark, sf):
     return archive.knob_violations(inputs.records(spark, sf), inputs.constraints(spark, sf)).drop("at_least")
 
 
+def _assembled(spark, sf):
+    """Runs with their window's rates, mode metrics, server cost and collectors' figures."""
+    runs = windows.mode_metrics(windows.kept_up(windows.run_rates(inputs.runs(spark, sf))))
+    cost = logplans.server_metrics_of(spark, sf).withColumnsRenamed(
+        {"cpu_us": "server_cpu_us", "written_rows": "server_written_rows"}
+    )
+    pauses = logplans.gc_summary(spark, sf).filter("refusal is null")
+    plane = archive.collector_metrics(pauses.filter("container = 'jvm-0'"))
+    control = archive.collector_metrics(pauses.filter("container = 'jvm-1'"), archive.CONTROL_PLANE)
+    server = [c for c in cost.columns if c.startswith("server_")]
+    joined = runs.join(cost.select("run", *server), "run", "left").join(plane, "run", "left").join(control, "run", "left")
+    return archive.assemble_records(
+        joined.withColumn("variant", F.create_map(F.lit("mode"), F.col("mode")))
+        .withColumn("flags", F.array_compact(F.array(F.when(F.col("saturated"), F.lit("saturated")))))
+        .withColumn("note", F.when(F.col("status") != "ok", F.concat(F.lit("run was "), F.col("status"))))
+    )
+
+
 def assemble_record(spark, sf):
-    made = archive.assemble_records(windows.run_rates(inputs.runs(spark, sf)))
+    made = _assembled(spark, sf)
     return made.select("run", F.explode("metrics").alias("metric", "m")).select("run", "metric", "m.*")
 
 
+def assemble_header(spark, sf):
+    """What a record says beside its metrics."""
+    return _assembled(spark, sf).select(
+        "run",
+        "status",
+        F.col("variant")["mode"].alias("mode"),
+        F.array_join("flags", ",").alias("flags"),
+        "note",
+        F.size("metrics").alias("n_metrics"),
+    )
+
+
 QUERIES = {
     "archive_scan_counts": archive_scan_counts,
     "archive_kept": archive_kept,
@@ -169,6 +202,7 @@ QUERIES = {
     "arm_last_measured": arm_last_measured,
     "knob_violations": knob_violations,
     "assemble_record": assemble_record,
+    "assemble_header": assemble_header,
 }
 
 _REC = (EV, RECORDS)
@@ -208,6 +242,53 @@ _SPECS = [
     ("duplicate_rows", "duplicate_rows", "rows", "false"),
 ]
 
+_GC = {
+    "gc_pause_total_us": "total_ns / 1000.0::DOUBLE",
+    "gc_pause_max_us": "max_ns / 1000.0::DOUBLE",
+    "gc_pause_p99_us": "p99_ns / 1000.0::DOUBLE",
+    "gc_pause_p999_us": "p999_ns / 1000.0::DOUBLE",
+    "jvm_heap_configured_bytes": "max_bytes",
+    "jvm_heap_committed_peak_bytes": "peak_committed_bytes",
+    "jvm_heap_live_peak_bytes": "peak_live_bytes",
+}
+_SERVED = {
+    "server_cpu_us_per_row": ("us", False),
+    "server_cpu_us_per_written_row": ("us", False),
+    "server_cpu_us": ("us", False),
+    "server_written_rows": ("rows", False),
+    "server_rows_per_insert": ("rows", True),
+    "server_cpu_wait_us": ("us", False),
+    "server_inserted_bytes": ("bytes", False),
+}
+
+
+def _entries() -> str:
+    line = "SELECT run, '{}' metric, CAST({} AS DOUBLE) AS value, '{}' unit, {} higher_is_better FROM {}"
+    parts = [line.format(name, sql, unit, up, "good") for name, sql, unit, up in _SPECS]
+    parts += [line.format(n, n, unit, up, "good JOIN served USING (run)") for n, (unit, up) in _SERVED.items()]
+    for prefix, container in (("", "jvm-0"), ("control_plane_", "jvm-1")):
+        source = f"good JOIN (SELECT * FROM paused WHERE container = '{container}' AND refusal IS NULL) USING (run)"
+        parts += [line.format(prefix + n, sql, n.rsplit("_", 1)[1], False, source) for n, sql in _GC.items()]
+    parts.append(
+        """SELECT run, metric, value, CASE WHEN metric = 'kept_up_share' THEN 'ratio' WHEN metric = 'offered_rows_per_s' THEN 'records/s'
+          WHEN metric LIKE '%\\_us' ESCAPE '\\' THEN 'us' ELSE 'rows' END unit, metric NOT LIKE '%\\_us' ESCAPE '\\' higher_is_better
+          FROM moded SEMI JOIN good USING (run)"""
+    )
+    return "entries AS (SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE value IS NOT NULL)"
+
+
+_ASSEMBLED = with_views(
+    EV,
+    RUNS,
+    """good AS (SELECT *, CAST("rows" AS DOUBLE) r, window_ms / 1000.0::DOUBLE s FROM runs WHERE status <> 'failed')""",
+    f"""served AS (SELECT m.*, c.cpu_us server_cpu_us, c.written_rows server_written_rows FROM ({LOG_SQL['server_metrics']}) m
+      JOIN ({LOG_SQL['server_cost']}) c USING (run))""",
+    f"paused AS ({LOG_SQL['gc_summary']})",
+    f"moded AS ({MEASURED_SQL['mode_metrics']})",
+    f"kept AS ({MEASURED_SQL['kept_up']})",
+    _entries(),
+)
+
 ORACLES = {
     "archive_scan_counts": with_views(EV)
     + """SELECT count(DISTINCT u % 9) FILTER (k % 23 <> 1) files, count(*) FILTER (k % 23 <> 1) lines,
@@ -274,15 +355,10 @@ ORACLES = {
             WHEN CAST(knob_a AS INT) <= TRY_CAST(knob_b AS INT) THEN 'must exceed' END
           ELSE CASE WHEN knob_a IS NULL THEN 'cannot be checked' WHEN CAST(knob_a AS INT) < 1 THEN 'must be at least' END END problem
       FROM records JOIN nation ON u % 25 = n_nationkey) WHERE problem IS NOT NULL""",
-    "assemble_record": with_views(
-        EV,
-        RUNS,
-        """good AS (SELECT *, CAST("rows" AS DOUBLE) r, window_ms / 1000.0::DOUBLE s FROM runs WHERE status <> 'failed')""",
-    )
-    + "SELECT * FROM ("
-    + " UNION ALL ".join(
-        f"SELECT run, '{name}' metric, CAST({sql} AS DOUBLE) AS value, '{unit}' unit, {up} higher_is_better FROM good"
-        for name, sql, unit, up in _SPECS
-    )
-    + ") WHERE value IS NOT NULL",
+    "assemble_record": _ASSEMBLED + "SELECT * FROM entries",
+    "assemble_header": _ASSEMBLED
+    + """SELECT run, status, mode, CASE WHEN share < 0.98 THEN 'saturated' ELSE '' END flags,
+      CASE WHEN status <> 'ok' THEN 'run was ' || status END note, CAST(coalesce(n, 0) AS INTEGER) n_metrics
+      FROM (SELECT run, status, mode, kept_up_share share FROM runs JOIN kept USING (run))
+        LEFT JOIN (SELECT run, count(*) n FROM entries GROUP BY run) USING (run)""",
 }

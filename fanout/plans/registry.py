@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fanout.plans import capacity, correctness, ingest, logplans, measurement, ranking, streams
+from fanout.plans import capacity, correctness, ingest, logplans, measurement, ranking, roundtrips, streams
 
-MODULES = [ingest, correctness, measurement, logplans, ranking, capacity, streams]
+MODULES = [ingest, correctness, measurement, logplans, ranking, capacity, streams, roundtrips]
 
 Query = Callable[[SparkSession, str], DataFrame]
 

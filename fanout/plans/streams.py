@@ -63,7 +63,10 @@ def landing_view_flatten(spark, sf):
 
 
 def idempotent_sink(spark, sf):
-    """Every micro-batch written twice, as a replay after a lost commit would; each lands once."""
+    """Two drains into one target, every micro-batch written twice, as a replay after a lost commit would.
+
+    Each drain's epochs count from 0; every row lands once.
+    """
     target = scratch_path(spark, "target")
     once = jobs.epoch_sink(target)
 
@@ -71,8 +74,10 @@ def idempotent_sink(spark, sf):
         once(rows, epoch)
         once(rows, epoch)
 
-    stream = _staged(spark, inputs.feed(spark, sf))
-    jobs.drain(jobs.start_ingest(stream, twice, scratch_path(spark, "offsets")))
+    feed = inputs.feed(spark, sf)
+    for half in ("batch_id % 2 = 0", "batch_id % 2 = 1"):
+        stream = _staged(spark, feed.filter(half))
+        jobs.drain(jobs.start_ingest(stream, twice, scratch_path(spark, "offsets")))
     return _target(spark, target)
 
 

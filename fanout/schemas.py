@@ -18,7 +18,6 @@ DROP_UNIT = "drop"
 QUALITY_FLOOR = 0.2
 BASE_TS_MS = 1_772_000_000_000
 VALUE_MODULUS = 2_147_483_647
-GATE_BATCHES = 100_000
 SCHEMA_VERSION = 2
 METRIC_UNITS = ["MB/s", "bytes", "cores", "ratio", "records/s", "rows", "us"]
 PRIMARY_METRIC = "rows_per_s"

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import shutil
 import uuid
 from collections.abc import Callable
 
@@ -30,16 +31,18 @@ def local_session(cores: str = "*", app: str = "fanout", shuffle_partitions: int
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local master, where the driver and every
-    task share one disk, may fall back to a temporary folder.
+    A cluster names it in ``spark.checkpoint.dir``. Only a local master may leave it unset; then it is a folder
+    in the warehouse, removed when the program ends.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    made = tempfile.mkdtemp(prefix="fanout-")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")
+    made = f"{warehouse.rstrip('/')}/scratch-{uuid.uuid4().hex}"
     spark.conf.set("spark.checkpoint.dir", made)
+    atexit.register(shutil.rmtree, made, True)
     return made
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fanout import schemas as S
-from fanout.functions.wire import build_frame, frame_datum, frame_problem, frame_schema_id
+from fanout.functions.wire import build_frame, frame_datum, frame_problem
 
 
 def topic(spark: SparkSession, servers: str, name: str, *, streaming: bool, per_trigger: int | None = None) -> DataFrame:
@@ -52,16 +52,15 @@ def batch_avro_schema() -> str:
     return json.dumps(_avro(S.BATCH, "Batch", False))
 
 
-def decode(messages: DataFrame, *, drop_broken: bool = False, schema_id: int | None = None) -> DataFrame:
+def decode(messages: DataFrame, *, schema_id: int, drop_broken: bool = False) -> DataFrame:
     """Framed values to nested batches. Needs the spark-avro package.
 
-    A broken frame fails the job unless ``drop_broken`` is set.
+    A broken frame, or one of another schema, fails the job unless ``drop_broken`` is set.
     """
     from pyspark.sql.avro.functions import from_avro
 
     value = F.col("value")
-    wanted = F.lit(schema_id) if schema_id is not None else frame_schema_id(value)
-    problem = frame_problem(value, wanted)
+    problem = frame_problem(value, F.lit(schema_id))
     if drop_broken:
         good = messages.filter(problem.isNull())
     else:

@@ -36,9 +36,12 @@ def truncate(spark: SparkSession, path: str) -> None:
     empty.withColumn("ingest_ts", F.current_timestamp()).write.mode("overwrite").parquet(path)
 
 
-def insert_epoch(landed: DataFrame, path: str, epoch: int) -> None:
-    """Write one micro-batch to its own folder, replacing it: a replayed epoch lands once."""
-    insert(landed, f"{path.rstrip('/')}/epoch={epoch}", mode="overwrite")
+def insert_epoch(landed: DataFrame, path: str, drain: str, epoch: int) -> None:
+    """Write one micro-batch to a folder of its drain and epoch, replacing it: a replayed epoch lands once.
+
+    Epochs count from 0 in every drain, so the drain's own id is part of the folder.
+    """
+    insert(landed, f"{path.rstrip('/')}/drain={drain}/epoch={epoch}", mode="overwrite")
 
 
 def as_json(rows: DataFrame) -> DataFrame:
@@ -46,14 +49,19 @@ def as_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
-def append_archive(filed: DataFrame, path: str) -> None:
-    """Append records, already carrying ``root`` and ``month``, under root, environment, system, month."""
+def append_archive(filed: DataFrame, path: str, files_per_month: int = 4) -> None:
+    """Append records, already carrying ``root`` and ``month``, under root, environment, system, month.
+
+    A month's records meet in a few tasks first, so that a write leaves a few files there and not one a task.
+    """
+    places = ["root", "env_id", "entrant", "month"]
     (
         filed.withColumn("env_id", F.col("run.env_id"))
         .withColumn("entrant", F.col("sut.entrant"))
         .drop("pos")
+        .repartition(*places, F.pmod(F.xxhash64("run_id"), F.lit(files_per_month)))
         .write.mode("append")
-        .partitionBy("root", "env_id", "entrant", "month")
+        .partitionBy(*places)
         .json(path)
     )
 

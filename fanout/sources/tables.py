@@ -15,11 +15,6 @@ def utc(column: str):
     return F.col(column).cast("timestamp")
 
 
-def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """Hash-partition a frame that has fewer partitions than there are cores to work on it.
-
-    A small file is one split, and one split is one task for everything derived from it. A large
-    table already has more splits than cores and is left alone, so nothing is shuffled there.
-    """
-    tasks = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks, *columns)
+def spread(ids: DataFrame) -> DataFrame:
+    """Ids dealt evenly to as many tasks as there are cores: each is about to become many rows."""
+    return ids.repartition(ids.sparkSession.sparkContext.defaultParallelism)

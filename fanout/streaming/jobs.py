@@ -2,13 +2,15 @@
 
 Offsets are logged before a micro-batch runs and committed after its write returns, so a failed
 batch is run again: at-least-once. ``insert_epoch`` turns that into once, because the replayed epoch
-overwrites its own folder. The transform keeps no state and needs no watermark.
+overwrites its own folder, named by the query's id and the epoch. The transform keeps no state and needs no watermark.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import suppress
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -22,7 +24,9 @@ Sink = Callable[[DataFrame, int], None]
 
 
 def nested_stream(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
-    """Nested batches from a growing folder."""
+    """Nested batches from a growing folder, whose files must have the batches' schema."""
+    with suppress(AnalysisException):  # nothing there yet
+        S.require_schema(spark.read.parquet(path), S.BATCH)
     return spark.readStream.schema(S.BATCH).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
@@ -31,9 +35,20 @@ def append_sink(path: str) -> Sink:
     return lambda rows, _epoch: insert(rows, path)
 
 
-def epoch_sink(path: str) -> Sink:
-    """Once: a replayed micro-batch replaces itself."""
-    return lambda rows, epoch: insert_epoch(rows, path, epoch)
+def epoch_sink(path: str, drain: str | None = None) -> Sink:
+    """Once: a replayed micro-batch replaces itself.
+
+    ``drain`` is the name of the drain, by default the streaming query's id: it stays the same when the query
+    is started again from its checkpoint, and differs for another query into the same target.
+    """
+
+    def write(rows: DataFrame, epoch: int) -> None:
+        own = drain or rows.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not own:
+            raise ValueError("an epoch sink outside a streaming query needs the drain's name")
+        insert_epoch(rows, path, own, epoch)
+
+    return write
 
 
 def ledger_sink(inner: Sink, path: str, run: str) -> Sink:

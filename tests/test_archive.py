@@ -60,6 +60,21 @@ def summarise(spark, *records):
     return (*archive.publish(archive.summarise_rows(keyed), archive.attempts(keyed)), metrics)
 
 
+def test_values_that_are_not_finite_are_a_problem(spark):
+    odd = record()
+    odd["metrics"] = {"rows_per_s": {"value": 1.0, "unit": "records/s", "higher_is_better": True}}
+    df = load(spark, odd).withColumn(
+        "metrics", F.transform_values("metrics", lambda _, m: m.withField("value", F.lit(float("inf"))))
+    )
+    assert "value of rows_per_s" in {r.rule for r in archive.problems(df).collect()}
+
+
+def test_flags_are_told_apart_before_they_are_gathered(spark):
+    many = [record(f"r{i}", flags=[f"f{i % 3}", "x"]) for i in range(30)]
+    got = archive.summarise_rows(archive.keyed(load(spark, *many))).collect()
+    assert [r.flags for r in got] == [["f0", "f1", "f2", "x"]]
+
+
 def test_median_extremes_and_spread(spark):
     _, _, m = summarise(spark, *[record(f"r{i}", value=v) for i, v in enumerate([30.0, 10.0, 20.0, 40.0])])
     got = m.first()
@@ -256,13 +271,33 @@ def test_replay_appends_twice_but_lands_an_epoch_once(spark):
     landed = transform.land(corpus.batches(corpus.batch_range(spark, 0, 20)))
     once, twice = scratch_path(spark, "t"), scratch_path(spark, "t")
     for _ in range(2):
-        jobs.epoch_sink(once)(landed, 0)
+        jobs.epoch_sink(once, "drain")(landed, 0)
         jobs.append_sink(twice)(landed, 0)
     assert spark.read.parquet(once).count() * 2 == spark.read.parquet(twice).count()
     verdict = gates.verdict(spark.read.parquet(twice)).first()
     assert verdict.passed and verdict.duplicates == verdict.distinct_ids
 
 
+def test_two_drains_into_one_target_keep_both(spark):
+    target = scratch_path(spark, "target")
+    sink = jobs.epoch_sink(target)
+    for lo in (0, 10):
+        folder = scratch_path(spark, "nested")
+        corpus.batches(corpus.batch_range(spark, lo, lo + 10)).write.parquet(folder)
+        jobs.drain(jobs.start_ingest(jobs.nested_stream(spark, folder), sink, scratch_path(spark, "offsets")))
+    got = gates.counts(spark.read.parquet(target)).first()
+    assert (got.distinct_batches, got.duplicates) == (20, 0)
+    with pytest.raises(ValueError, match="drain's name"):
+        sink(spark.read.parquet(target), 0)
+
+
+def test_streams_refuse_files_of_another_schema(spark):
+    folder = scratch_path(spark, "nested")
+    spark.range(3).write.parquet(folder)
+    with pytest.raises(ValueError, match="schema mismatch"):
+        jobs.nested_stream(spark, folder)
+
+
 def test_a_restarted_stream_continues(spark):
     folder, target, offsets = (scratch_path(spark, n) for n in ("nested", "target", "offsets"))
     for lo in (0, 10):

@@ -12,6 +12,7 @@ from fanout import schemas as S
 from fanout.functions import wire
 from fanout.functions.text import ascii_upper, string_fingerprint
 from fanout.operators import corpus, expectation, gates, transform
+from fanout.session import scratch_path
 from fanout.sources.messages import batch_avro_schema, split_broken
 
 # Published sums of the first thousand batches.
@@ -127,10 +128,10 @@ def test_schema_is_checked(spark):
         S.require_schema(spark.range(1), S.BATCH)
 
 
-def test_large_batch_ids_do_not_overflow(spark):
-    b = 9_000_000_000_000_000
-    got = spark.range(1).select(corpus.C.value(F.lit(b), F.lit(3))).first()[0]
-    assert got == (b * 1_000_003 + 291) % 2147483647
+@pytest.mark.parametrize("b", [0, 7, 2**32 - 1, 2**32, 18_446_688_737_413, 10**14, 9_000_000_000_000_000, 2**63 - 1])
+def test_values_wrap_at_64_bits(spark, b):
+    got = spark.range(1).select(corpus.C.value(F.lit(b).cast("long"), F.lit(99))).first()[0]
+    assert got == (b * 1_000_003 + 99 * 97) % 2**64 % 2147483647
 
 
 def test_a_correct_table_passes_and_replays_only_count(landed):
@@ -178,9 +179,34 @@ def test_too_narrow_tables_are_refused(landed):
             gates.verdict(df)
 
 
-def test_window_is_taken_from_the_top(landed):
-    w = gates.gate_window(landed, 10)
-    assert (w.lo, w.hi) == (49, 59)
+def test_window_is_the_whole_table_but_its_ends(landed):
+    w = gates.gate_window(landed)
+    assert (w.lo, w.hi) == (1, 59)
+
+
+def test_a_fault_far_below_the_newest_batch_fails(spark):
+    ids = spark.range(100_010).withColumnRenamed("id", "batch_id")
+    rows = transform.land_flat(corpus.flat_messages(ids, 4)).filter("event_seq < 4")
+    low = gates.observe(rows, gates.Window(0, 100_009, 1, 100_009)).first()
+    worse = rows.withColumn("value", F.when(F.col("batch_id") == 5, 0).otherwise(F.col("value")))
+    seen = gates.observe(worse, gates.gate_window(worse)).first()
+    assert (seen.lo, seen.hi) == (1, 100_009) and seen.distinct_batches == low.distinct_batches
+    assert seen.value_sum != low.value_sum and seen.unit_sum == low.unit_sum
+
+
+def test_gate_has_one_fact_exchange_and_no_fan_out(spark, landed):
+    folder = scratch_path(spark, "landed")
+    landed.write.parquet(folder)
+    plan = gates.sums(spark.read.parquet(folder))._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and "Generate" not in plan
+    wide = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line and "event_seq" in line]
+    assert len(wide) == 1
+
+
+def test_conflicting_copies_count_as_rows_of_their_own(landed):
+    twice = landed.union(landed.filter("batch_id = 20").withColumn("value", F.col("value") + 1))
+    got = gates.verdict(twice).first()
+    assert not got.value_match and got.distinct_ids == gates.verdict(landed).first().distinct_ids
 
 
 def test_verify_finds_only_what_was_changed(spark):

@@ -46,6 +46,27 @@ def test_select_ranks_of_big_longs_and_weights(spark):
     assert (got.m, got.x) == (2**62, 2**62 + 1)
 
 
+def test_select_ranks_of_special_doubles(spark):
+    inf, nan = math.inf, math.nan
+    pools = {"a": [1.0, 2.0, nan], "b": [inf, -inf, 0.0, 5.0, nan], "c": [-inf], "d": [inf, inf, 1.0]}
+    df = spark.createDataFrame([(k, v) for k, vs in pools.items() for v in vs], "k string, v double")
+    got = {r.k: r for r in select_ranks(df, ["k"], "v", {"lo": lower_middle, "top": nearest_rank(1.0)}).collect()}
+    assert got["a"].lo == 2.0 and math.isnan(got["a"].top)
+    assert got["b"].lo == 5.0 and math.isnan(got["b"].top)
+    assert (got["c"].lo, got["d"].lo, got["d"].top) == (-inf, inf, inf)
+
+
+@pytest.mark.parametrize("q, rank", [(0.9999, 99_990), (0.00001, 1), (0.999, 99_900), (0.333333, 33_334), (1.0, 100_000)])
+def test_nearest_rank_is_exact(spark, q, rank):
+    assert spark.range(1).select(nearest_rank(q)(F.lit(100_000).cast("long"))).first()[0] == rank
+
+
+def test_rank_within_spreads_ties(spark):
+    tied = spark.range(200_000).select(F.lit("g").alias("k"), F.lit(1e9).alias("v"), F.col("id").alias("i"))
+    got = rank_within(tied, ["k"], F.col("v"), [F.col("i")], "place")
+    assert got.filter("place <> i + 1").count() == 0 and got.count() == 200_000
+
+
 def test_rank_within_against_sorting(spark):
     rnd = random.Random(3)
     data = [(rnd.choice("ab"), rnd.choice([-2.5, 0.0, 1e-9, 7.0, rnd.random()]), i) for i in range(300)]
@@ -300,5 +321,5 @@ def test_cap_check(spark):
 )
 def test_sweep(spark, rates, best, seen, climbing):
     ladder = spark.createDataFrame([("f", 2**i, r) for i, r in enumerate(rates)], "format string, concurrency long, rows_per_s long")
-    got = ceilings.sweep_plateau(ladder, max_concurrency=128).first()
+    got = ceilings.sweep_plateau(ladder).first()
     assert (got.concurrency, got.rungs_seen, got.still_climbing) == (best, seen, climbing)

@@ -20,15 +20,14 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from fanout.plans.registry import oracle_sql, queries  # noqa: E402
 from fanout.session import local_session  # noqa: E402
 
-TABLES = """region nation customer supplier part orders lineitem events documents embeddings pages
-benchmark labels conversations""".split()
 KINDS = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
 
 def connect(folder: str):
     con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    for table in sorted(Path(folder).glob("*.parquet")):
+        files = f"{table}/*.parquet" if table.is_dir() else table
+        con.execute(f"CREATE VIEW {table.stem} AS SELECT * FROM '{files}'")
     return con
 
 
