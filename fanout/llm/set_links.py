@@ -25,8 +25,8 @@ from fanout.llm.components import components
 from fanout.llm.shared import likely, written
 from fanout.llm.words import unpacked
 
-LEAF_ROWS = 128
-BLOCK_ROWS = 512
+LEAF_TOKENS = 60_000  # of all sets of a leaf: half a megabyte
+BLOCK_TOKENS = 1_000_000
 LEAF_ROUNDS = 2
 LINK_NAMES = ["a", "b"]
 LINKS = "a bigint, b bigint"
@@ -68,7 +68,7 @@ def _linking(keys: int, num: int, den: int):
             return
         sides, ids, components, rest, data = zip(*(r[keys:] for r in group), strict=True)
         values = [unpacked(v) for v in data]
-        s = st.Sets(ids, [len(v) for v in values], [st.bitmap(v) for v in values], components, rest)
+        s = st.Sets(ids, [len(v) for v in values], [st.bitmap(v, st.COARSE) for v in values], components, rest)
         joined = st.Union(len(group))
         for i, j in _candidates(s, sides, num, den):
             if joined.find(i) != joined.find(j) and st.reaches(values[i], values[j], num, den):
@@ -124,27 +124,27 @@ def _involved(num: int, den: int):
     return lambda batches: _batches(MET_NAMES, (r for g in runs(batches, 3) for r in one(g)))
 
 
-def _mixed(live: DataFrame, joined: DataFrame) -> DataFrame:
-    """(key, id, rest, component, c) of the keys whose sets lie in different components."""
-    owner = F.coalesce("root", live["id"])
-    labelled = live.join(joined.withColumnRenamed("id", "member"), F.col("member") == live["id"], "left").select(
-        "key", live["id"], "rest", owner.alias("component")
+def _mixed(rest: DataFrame, joined: DataFrame) -> DataFrame:
+    """(key, id, rest, component, tokens) of the keys whose sets lie in different components by ``joined``."""
+    owner = F.coalesce("root", rest["id"])
+    labelled = rest.join(joined.withColumnRenamed("id", "member"), F.col("member") == rest["id"], "left").select(
+        "key", rest["id"], "rest", owner.alias("component")
     )
     split = (
         labelled.groupBy("key")
-        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"))
+        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum("rest").alias("tokens"))
         .filter("lo <> hi")
-        .select("key", "c")
+        .select("key", "tokens")
     )
-    return labelled.join(split, "key").select("key", "id", "rest", "component", "c")
+    return labelled.join(split, "key").select("key", "id", "rest", "component", "tokens")
 
 
 def _leaf_round(rest: DataFrame, sets: DataFrame, seed: int, num: int, den: int) -> DataFrame:
     by = F.xxhash64("key", F.lit(seed))
     chosen = rest.groupBy("id").agg(
-        F.min_by("key", by).alias("key"), F.min_by("c", by).alias("c"), F.min("component").alias("component")
+        F.min_by("key", by).alias("key"), F.min_by("tokens", by).alias("tokens"), F.min("component").alias("component")
     )
-    leaf = F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(F.col("c") / LEAF_ROWS))
+    leaf = F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(F.col("tokens") / LEAF_TOKENS))
     # all that share the key meet here, so a set counts whole
     placed = chosen.withColumn("leaf", leaf).join(sets, "id").select(
         "key", "leaf", F.lit(False).alias("side"), "id", "component", (F.length("values") / 8).cast("bigint").alias("rest"), "values"
@@ -155,7 +155,7 @@ def _leaf_round(rest: DataFrame, sets: DataFrame, seed: int, num: int, den: int)
 
 def _meeting(rest: DataFrame, signatures: DataFrame, num: int, den: int) -> DataFrame:
     """What each key's blocks, met block against block, have left for verification: rows of ``MET``."""
-    blocks = F.ceil(F.col("c") / BLOCK_ROWS)
+    blocks = F.ceil(F.col("tokens") / BLOCK_TOKENS)
     met = (
         rest.join(signatures, "id")
         .withColumn("own", F.pmod(F.xxhash64("id"), blocks))
@@ -172,15 +172,30 @@ def _meeting(rest: DataFrame, signatures: DataFrame, num: int, den: int) -> Data
             "bits",
         )
     )
-    grouped = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return grouped.mapInArrow(_involved(num, den), MET)
+    return _by_pair_of_blocks(met).mapInArrow(_involved(num, den), MET)
+
+
+def _fine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        values = [unpacked(v) for v in batch.column(1).to_pylist()]
+        bits = pa.array([st.bitmap(v, st.FINE).tobytes() for v in values], pa.binary())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([len(v) for v in values], pa.int64()), bits], ["id", "n", "bits"]
+        )
+
+
+def _by_pair_of_blocks(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
 def _remaining(rest: DataFrame, signatures: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """All links between components: by coarse bitmaps, what is left by fine ones, what is left by whole sets."""
     met = written(_meeting(rest, signatures, num, den), "met")
-    placed = met.join(sets, "id").select(*MET_NAMES, "values")
-    grouped = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return grouped.mapInArrow(_linking(3, num, den), LINKS)
+    fine = sets.select("id", "values").mapInArrow(_fine, "id bigint, n bigint, bits binary")
+    closer = _by_pair_of_blocks(met.join(fine, "id").select(*MET_NAMES, "n", "bits"))
+    near = written(closer.mapInArrow(_involved(num, den), MET), "near")
+    placed = _by_pair_of_blocks(near.join(sets, "id").select(*MET_NAMES, "values"))
+    return placed.mapInArrow(_linking(3, num, den), LINKS)
 
 
 def linked(
@@ -190,21 +205,24 @@ def linked(
 
     ``entries``: (key, id, rest), ids standing for different sets, and ``rest`` as in ``signature_tree.Sets``: of
     the keys that two linked sets share, the condition need hold for one. ``signatures``: (id, n, bits) with every set's size
-    and ``signature_tree.bitmap``. ``sets_of``: given a frame of ids, their (id, values), values being
+    and coarse ``signature_tree.bitmap``. ``sets_of``: given a frame of ids, their (id, values), values being
     sorted distinct 64-bit hashes. An empty table gives no rows.
     """
-    shared = written(entries.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "keys")
+    shared = entries.groupBy("key").agg(F.count("*").alias("c"), F.sum("rest").alias("tokens"))
+    shared = written(shared.filter("c > 1").select("key", "tokens"), "keys")
+    own = F.col("id").alias("component")
     live = written(
-        likely(entries, "key", shared).join(shared, "key").select("key", "id", "rest", F.col("id").alias("component"), "c"), "live"
+        likely(entries, "key", shared).join(shared, "key").select("key", "id", "rest", own, "tokens"), "live"
     )
     ids = written(_meeting(live, signatures, num, den).select("id").distinct(), "ids")
     sets = written(sets_of(ids), "sets")
-    live = written(live.join(ids, "id", "left_semi").select("key", "id", "rest"), "live")
+    rest = live.join(ids, "id", "left_semi")
     links, joined = None, ids.select("id", F.col("id").alias("root")).limit(0)
     for seed in range(LEAF_ROUNDS):
-        rest = written(_mixed(live, joined), "mixed")
+        rest = written(_mixed(rest, joined), "mixed")
         found = written(_leaf_round(rest, sets, seed, num, den), "links")
         links = found if links is None else links.union(found)
         joined = components(links, "a", "b")
-    found = written(_remaining(written(_mixed(live, joined), "mixed"), signatures, sets, num, den), "links")
+    rest = written(_mixed(rest, joined), "mixed")
+    found = written(_remaining(rest, signatures, sets, num, den), "links")
     return components(links.union(found), "a", "b")

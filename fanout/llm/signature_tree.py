@@ -15,16 +15,17 @@ import numpy as np
 
 LEAF = 32
 FANOUT = 8
-NARROW, WIDE = 64, 16384
+NARROW, WIDE = 64, 1 << 18
+COARSE, FINE = 0.5, 8.0  # bits a token, before rounding up
 
 
-def width_for(n: int) -> int:
-    """Bits of the bitmap of a set: twice its size, rounded up to a power of two, within bounds."""
-    return min(WIDE, max(NARROW, 1 << max(0, 2 * n - 1).bit_length()))
+def width_for(n: int, bits: float) -> int:
+    """Bits of the bitmap of a set: so many a token, rounded up to a power of two, within bounds."""
+    return min(WIDE, max(NARROW, 1 << max(0, int(bits * n) - 1).bit_length()))
 
 
-def bitmap(values: np.ndarray) -> np.ndarray:
-    width = width_for(len(values))
+def bitmap(values: np.ndarray, bits: float) -> np.ndarray:
+    width = width_for(len(values), bits)
     flags = np.zeros(width, np.uint8)
     flags[(values & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(flags, bitorder="little").view(np.uint64)

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from fanout.llm.set_links import linked
 from fanout.llm.shared import cells, importable, likely, written
-from fanout.llm.signature_tree import bitmap
-from fanout.llm.words import digest, mixed, packed, shingles, word_hashes
+from fanout.llm.signature_tree import COARSE, bitmap
+from fanout.llm.words import digest, distinct, mixed, packed, shingle_set, shingles, words_and_places
 
 MIN_WORDS = 50
 WIDTH = 5
@@ -47,18 +47,27 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def _long_lines(text: bytes) -> Iterator[tuple[int, np.ndarray]]:
+    """Number and word hashes of every line of MIN_WORDS words and more."""
+    hashes, places = words_and_places(text)
+    if len(hashes) < MIN_WORDS:
+        return
+    breaks = np.flatnonzero(np.frombuffer(text, np.uint8) == 10)
+    ends = np.append(np.searchsorted(places, breaks), len(hashes))
+    starts = np.concatenate(([0], ends[:-1]))
+    for k in np.flatnonzero(ends - starts >= MIN_WORDS).tolist():
+        yield k, hashes[starts[k] : ends[k]]
+
+
 def _paragraphs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple] = []
         ids, versions = batch.column(0).to_pylist(), batch.column(2).to_pylist()
         for doc_id, version, text in zip(ids, versions, cells(batch.column(1)), strict=True):
-            for k, line in enumerate(text.lower().split(b"\n")):
-                words = line.split()
-                if len(words) >= MIN_WORDS:
-                    hashes = word_hashes(words)
-                    values = np.unique(shingles(hashes, WIDTH))
-                    bits = packed(bitmap(values))
-                    out.append((doc_id, version, k, len(words), digest(hashes), len(values), bits, band_keys(values)))
+            for k, hashes in _long_lines(text):
+                values = distinct(shingles(hashes, WIDTH))
+                bits = packed(bitmap(values, COARSE))
+                out.append((doc_id, version, k, len(hashes), digest(hashes), len(values), bits, band_keys(values)))
         columns = list(zip(*out, strict=True)) or [()] * 8
         flat = np.concatenate(columns[7]) if out else np.empty(0, np.int64)
         bands = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * BANDS, pa.int32()), pa.array(flat))
@@ -73,10 +82,10 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, values = [], []
         for text, wanted in zip(cells(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-            lines = text.lower().split(b"\n")
+            lines = text.split(b"\n")
             for w in wanted:
                 ids.append(w["id"])
-                values.append(packed(np.unique(shingles(word_hashes(lines[w["paragraph"]].split()), WIDTH))))
+                values.append(packed(shingle_set(lines[w["paragraph"]], WIDTH)))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.binary())], ["id", "values"])
 
 

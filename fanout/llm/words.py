@@ -1,8 +1,9 @@
 """Words, shingles and their 64-bit hashes, for tasks that work on Arrow batches.
 
-Words are runs of bytes other than ASCII white space (``bytes.split``), after A to Z are lower-cased
-(``bytes.lower`` touches no other byte). Sets of shingles are sorted arrays of 64-bit hashes: two sets
-compare wrongly only when two of their own shingles collide, about one pair in 10**13.
+Words are runs of bytes other than ASCII white space, A to Z lower-cased and no other byte changed. A word's
+hash is a polynomial over its bytes, taken for all words of a text at once from running sums. Sets of shingles
+are sorted arrays of 64-bit hashes: two sets compare wrongly only when two of their own shingles
+collide, about one pair in 10**13.
 """
 
 from __future__ import annotations
@@ -13,24 +14,8 @@ import xxhash
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 _SHIFT = np.uint64(29)
-CACHED_WORDS = 400_000
-
-
-class WordHashes(dict):
-    """Hash by word, remembered; forgotten all at once when too many words are held."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_HASHES = WordHashes()
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+_BASE = 0xD1342543DE82EF95  # odd, 5 modulo 8: its powers repeat as late as they can
+STRETCH = 1 << 20  # bytes of a text hashed at once
 
 
 def mixed(values: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -40,6 +25,65 @@ def mixed(values: np.ndarray, seed: int = 0) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTE = mixed(np.arange(1, 257, dtype=np.uint64), 3)
+_BYTE[65:91] = _BYTE[97:123]
+_BYTE[_SPACE] = 0
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, from 0 to n - 1 at least."""
+    if len(_POWERS[0]) < n:
+        size = max(n, 2 * len(_POWERS[0]))
+        for k, factor in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(size, factor, np.uint64)
+            steps[0] = 1
+            _POWERS[k] = np.cumprod(steps)
+    return _POWERS
+
+
+def _stretch(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of some bytes, and where each begins."""
+    space = _SPACE[data]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edge = np.concatenate(([0], edge))
+    if not space[-1]:
+        edge = np.concatenate((edge, [len(data)]))
+    starts, ends = edge[0::2], edge[1::2]
+    powers, inverse = _powers(len(data))
+    sums = np.empty(len(data) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(_BYTE[data] * powers[: len(data)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * inverse[starts], 11), starts
+
+
+def words_and_places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of a text in turn, and the byte at which it begins."""
+    if len(text) <= STRETCH:
+        return _stretch(np.frombuffer(text, np.uint8)) if text else (np.empty(0, np.uint64), np.empty(0, np.int64))
+    data, parts, at = np.frombuffer(text, np.uint8), [], 0
+    while at < len(data):
+        end = min(len(data), at + STRETCH)
+        if end < len(data):  # back to white space, or on to it where a word is longer than a stretch
+            gaps = np.flatnonzero(_SPACE[data[at:end]])
+            if len(gaps):
+                end = at + int(gaps[-1]) + 1
+            else:
+                gaps = np.flatnonzero(_SPACE[data[end:]])
+                end = end + int(gaps[0]) if len(gaps) else len(data)
+        hashes, starts = _stretch(data[at:end])
+        parts.append((hashes, starts + at))
+        at = end
+    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    return words_and_places(text)[0]
+
+
 def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all runs of ``width`` words, in text order; fewer words make one run; none make none."""
     n = len(hashes)
@@ -56,7 +100,13 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
     """Sorted distinct shingle hashes of a text."""
-    return np.unique(shingles(word_hashes(text.lower().split()), width))
+    return distinct(shingles(word_hashes(text), width))
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    out = np.sort(values)
+    return out[np.concatenate(([True], out[1:] != out[:-1]))] if len(out) else out
 
 
 def digest(values: np.ndarray) -> bytes:

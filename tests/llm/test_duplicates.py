@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fanout.llm import exact_dedup, jaccard_join, signature_tree, substring_dedup
+from fanout.llm import words as hashing
 from fanout.llm.components import components
 from fanout.llm.words import shingles, word_hashes
 from helpers import EDGES, documents, edited, words
@@ -145,8 +146,8 @@ def test_jaccard_groups(spark, width, num, den, seed):
 def test_jaccard_groups_when_blocks_are_small(spark, monkeypatch):
     from fanout.llm import set_links
 
-    monkeypatch.setattr(set_links, "LEAF_ROWS", 2)
-    monkeypatch.setattr(set_links, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(set_links, "LEAF_TOKENS", 200)
+    monkeypatch.setattr(set_links, "BLOCK_TOKENS", 300)
     rnd = random.Random(9)
     base = words(rnd, 100)
     texts = [(i, " ".join(edited(rnd, base, i % 5))) for i in range(60)]
@@ -171,7 +172,7 @@ def test_jaccard_edges(spark):
 @given(st.lists(st.lists(st.integers(0, 30), min_size=1, max_size=25), min_size=2, max_size=70), st.integers(40, 95))
 def test_tree_drops_no_pair_that_reaches(sets, num):
     values = [np.unique(np.array(s, np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for s in sets]
-    s = signature_tree.Sets(range(len(values)), [len(v) for v in values], [signature_tree.bitmap(v) for v in values], range(len(values)))
+    s = signature_tree.Sets(range(len(values)), [len(v) for v in values], [signature_tree.bitmap(v, 2) for v in values], range(len(values)))
     tree = s.tree(np.arange(len(values)))
     found = {(min(p), max(p)) for p in signature_tree.candidates(s, tree, tree, num, 100)}
     half = len(values) // 2
@@ -192,7 +193,7 @@ def test_rest_drops_no_pair_at_its_first_common_token():
         if not has:
             continue
         rest = [int((v >= key).sum()) for v in has]
-        s = signature_tree.Sets(range(len(has)), [len(v) for v in has], [signature_tree.bitmap(v) for v in has], range(len(has)), rest)
+        s = signature_tree.Sets(range(len(has)), [len(v) for v in has], [signature_tree.bitmap(v, 2) for v in has], range(len(has)), rest)
         tree = s.tree(np.arange(len(has)))
         found = {(min(p), max(p)) for p in signature_tree.candidates(s, tree, tree, 50, 100)}
         for i in range(len(has)):
@@ -261,15 +262,30 @@ def test_bands_meet_the_recall():
     met = 0
     for _ in range(200):
         base = words(rnd, 120)
-        pair = [substring_dedup.band_keys(np.unique(shingles(word_hashes([w.encode() for w in t]), 5))) for t in (base, edited(rnd, base, 2))]
+        pair = [substring_dedup.band_keys(np.unique(shingles(word_hashes(" ".join(t).encode()), 5))) for t in (base, edited(rnd, base, 2))]
         met += bool(set(pair[0]) & set(pair[1]))
     assert met == 200
 
 
 def test_shingles_of_short_and_long_runs():
-    assert len(shingles(word_hashes([]), 4)) == 0 and len(shingles(word_hashes([b"a", b"b"]), 4)) == 1
-    a, b = (shingles(word_hashes(w), 4) for w in ([b"a", b"b", b"c"], [b"c", b"b", b"a"]))
-    assert a[0] != b[0] and len(shingles(word_hashes([b"a"] * 10), 4)) == 7
+    assert len(shingles(word_hashes(b" \n"), 4)) == 0 and len(shingles(word_hashes(b"a b"), 4)) == 1
+    a, b = (shingles(word_hashes(w), 4) for w in (b"a b c", b"c b a"))
+    assert a[0] != b[0] and len(shingles(word_hashes(b"a " * 10), 4)) == 7
+
+
+@pytest.mark.parametrize("stretch", [5, 1 << 20])
+def test_words_are_hashed_alike_wherever_they_stand(monkeypatch, stretch):
+    monkeypatch.setattr(hashing, "STRETCH", stretch)
+    rnd = random.Random(6)
+    seen = {}
+    for _ in range(200):
+        text = bytes(rnd.choice(b"abAB \n\t\xc3\xa9") for _ in range(rnd.randrange(80)))
+        found, places = hashing.words_and_places(text)
+        split = text.lower().split()
+        assert len(found) == len(split)
+        for word, value, at in zip(split, found.tolist(), places.tolist(), strict=True):
+            assert seen.setdefault(word, value) == value and text[at : at + len(word)].lower() == word
+    assert len(set(seen.values())) == len(seen)
 
 
 def test_no_operator_collects_the_table(spark):
