@@ -55,9 +55,9 @@ def flat_messages(ids: DataFrame, per_batch: int = S.EVENTS_PER_BATCH) -> DataFr
 
 
 def send_schedule(
-    messages: DataFrame, *, index: str, rate: int, producers: int, partitions: int, origin_us: int
+    messages: DataFrame, *, index: str, sent_us: str, rate: int, producers: int, partitions: int, origin_us: int
 ) -> DataFrame:
-    """Intended send times, and who sends what where.
+    """Intended send times, who sends what where, and how far each message's own time lies behind.
 
     Producer ``i`` of ``n`` owns indices ``i, i+n, ...``; partitions are dealt round-robin over the
     global index, so neither the producers nor the partitions are ever uneven by more than one.
@@ -70,4 +70,5 @@ def send_schedule(
         F.pmod(n, F.lit(partitions)).cast("int").alias("partition"),
         due.alias("due_us"),
         (F.lit(origin_us) + due).alias("send_ts_us"),
+        (F.col(sent_us) - F.lit(origin_us) - due).alias("lag_us"),
     )

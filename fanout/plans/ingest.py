@@ -13,7 +13,7 @@ from fanout.plans.oracle import DOC_CORPUS, EV, EVENT_CORPUS, FEED, FEED_LANDED,
 
 from fanout.sources import sinks
 from fanout.sources.messages import split_broken
-from fanout.sources.tables import table
+from fanout.sources.tables import table, utc
 
 
 def _flat_text(df: DataFrame) -> DataFrame:
@@ -42,8 +42,10 @@ def corpus_events(spark, sf):
 
 
 def send_schedule(spark, sf):
+    """When each event was due at a steady rate, and how late its own time stamp is."""
+    events = table(spark, sf, "events").select("event_id", F.unix_micros(utc("ts")).alias("us"))
     return corpus.send_schedule(
-        table(spark, sf, "events"), index="event_id", rate=37, producers=3, partitions=8, origin_us=1_704_067_200_000_000
+        events, index="event_id", sent_us="us", rate=37, producers=3, partitions=8, origin_us=1_704_067_200_000_000
     )
 
 
@@ -188,7 +190,8 @@ ORACLES = {
     "corpus_events": with_views(DOC_CORPUS)
     + "SELECT b batch_id, s seq, name, unit, value, quality, array_to_string(tags, '+') tags FROM corpus",
     "send_schedule": """SELECT event_id n, CAST(event_id % 3 AS INTEGER) producer, CAST(event_id % 8 AS INTEGER) AS partition,
-      event_id*1000000 // 37 due_us, 1704067200000000 + event_id*1000000 // 37 send_ts_us FROM events""",
+      event_id*1000000 // 37 due_us, 1704067200000000 + event_id*1000000 // 37 send_ts_us,
+      epoch_us(ts) - 1704067200000000 - event_id*1000000 // 37 lag_us FROM events""",
     "frame_build": """SELECT doc_id, md5(unhex('00' || printf('%08X', doc_id % 3) || hex(encode(text)))) md5,
       CAST(5 + octet_length(encode(text)) AS INTEGER) bytes FROM documents""",
     "frame_check": with_views(_FRAMED)
