@@ -2,11 +2,11 @@
 
 ``entries`` say which sets could link: two sets at or above the threshold share a key. Keys that only one
 set has are dropped by a grouped count. Sets that share a key then meet by their bitmaps in signature
-trees, block by block, to find the sets that can have any link at all; only those sets are built whole. Two
-rounds put each in one small leaf with sets that share a key, and link exactly inside it, so large groups
-melt into a few components. What is left are keys whose sets lie in different components: they meet by
-bitmaps again, and the sets that may still reach a set of another component are brought to their block
-pair and verified there. No pair ever becomes a row unless it is a link between components. The rounds only
+trees, block by block, to find the sets that can have any link at all; only those sets are built whole. Each
+of them then goes to one small leaf with sets that share a key, and is linked exactly inside it, so large
+groups melt into a few components. What is left are keys whose sets lie in different components: they meet
+by wider bitmaps, and the sets that may still reach a set of another component are brought to their block
+pair and verified there. No pair ever becomes a row unless it is a link between components. The leaves only
 save work; the last step makes the result complete.
 """
 
@@ -22,12 +22,11 @@ from pyspark.sql import functions as F
 
 from fanout.llm import signature_tree as st
 from fanout.llm.components import components
-from fanout.llm.shared import likely, written
+from fanout.llm.shared import likely, small, written
 from fanout.llm.words import unpacked
 
 LEAF_TOKENS = 60_000  # of all sets of a leaf: half a megabyte
 BLOCK_TOKENS = 1_000_000
-LEAF_ROUNDS = 2
 LINK_NAMES = ["a", "b"]
 LINKS = "a bigint, b bigint"
 MET_NAMES = ["key", "i", "j", "side", "id", "component", "rest"]
@@ -126,9 +125,9 @@ def _involved(num: int, den: int):
 
 def _mixed(rest: DataFrame, joined: DataFrame) -> DataFrame:
     """(key, id, rest, component, tokens) of the keys whose sets lie in different components by ``joined``."""
-    owner = F.coalesce("root", rest["id"])
-    labelled = rest.join(joined.withColumnRenamed("id", "member"), F.col("member") == rest["id"], "left").select(
-        "key", rest["id"], "rest", owner.alias("component")
+    owners = small(written(joined.withColumnRenamed("id", "member"), "owners"))
+    labelled = rest.join(owners, F.col("member") == rest["id"], "left").select(
+        "key", rest["id"], "rest", F.coalesce("root", rest["id"]).alias("component")
     )
     split = (
         labelled.groupBy("key")
@@ -139,14 +138,15 @@ def _mixed(rest: DataFrame, joined: DataFrame) -> DataFrame:
     return labelled.join(split, "key").select("key", "id", "rest", "component", "tokens")
 
 
-def _leaf_round(rest: DataFrame, sets: DataFrame, seed: int, num: int, den: int) -> DataFrame:
-    by = F.xxhash64("key", F.lit(seed))
+def _leaf_links(rest: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    by = F.xxhash64("key")
     chosen = rest.groupBy("id").agg(
         F.min_by("key", by).alias("key"), F.min_by("tokens", by).alias("tokens"), F.min("component").alias("component")
     )
-    leaf = F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(F.col("tokens") / LEAF_TOKENS))
+    leaf = F.pmod(F.xxhash64("id"), F.ceil(F.col("tokens") / LEAF_TOKENS))
+    chosen = small(written(chosen.select("id", "key", leaf.alias("leaf"), "component"), "leaves"))
     # all that share the key meet here, so a set counts whole
-    placed = chosen.withColumn("leaf", leaf).join(sets, "id").select(
+    placed = sets.join(chosen, "id").select(
         "key", "leaf", F.lit(False).alias("side"), "id", "component", (F.length("values") / 8).cast("bigint").alias("rest"), "values"
     )
     grouped = placed.repartition("key", "leaf").sortWithinPartitions("key", "leaf")
@@ -175,13 +175,15 @@ def _meeting(rest: DataFrame, signatures: DataFrame, num: int, den: int) -> Data
     return _by_pair_of_blocks(met).mapInArrow(_involved(num, den), MET)
 
 
-def _fine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        values = [unpacked(v) for v in batch.column(1).to_pylist()]
-        bits = pa.array([st.bitmap(v, st.FINE).tobytes() for v in values], pa.binary())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(v) for v in values], pa.int64()), bits], ["id", "n", "bits"]
-        )
+def _bitmaps(bits: float):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [unpacked(v) for v in batch.column(1).to_pylist()]
+            maps = pa.array([st.bitmap(v, bits).tobytes() for v in values], pa.binary())
+            sizes = pa.array([len(v) for v in values], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, maps], ["id", "n", "bits"])
+
+    return run
 
 
 def _by_pair_of_blocks(rows: DataFrame) -> DataFrame:
@@ -189,12 +191,13 @@ def _by_pair_of_blocks(rows: DataFrame) -> DataFrame:
 
 
 def _remaining(rest: DataFrame, signatures: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """All links between components: by coarse bitmaps, what is left by fine ones, what is left by whole sets."""
+    """All links between components: by coarse bitmaps, what is left by wider ones, and at last by whole sets."""
     met = written(_meeting(rest, signatures, num, den), "met")
-    fine = sets.select("id", "values").mapInArrow(_fine, "id bigint, n bigint, bits binary")
-    closer = _by_pair_of_blocks(met.join(fine, "id").select(*MET_NAMES, "n", "bits"))
-    near = written(closer.mapInArrow(_involved(num, den), MET), "near")
-    placed = _by_pair_of_blocks(near.join(sets, "id").select(*MET_NAMES, "values"))
+    for bits in st.WIDER:
+        wider = sets.select("id", "values").mapInArrow(_bitmaps(bits), "id bigint, n bigint, bits binary")
+        closer = _by_pair_of_blocks(met.join(wider, "id").select(*MET_NAMES, "n", "bits"))
+        met = written(closer.mapInArrow(_involved(num, den), MET), "met")
+    placed = _by_pair_of_blocks(met.join(sets, "id").select(*MET_NAMES, "values"))
     return placed.mapInArrow(_linking(3, num, den), LINKS)
 
 
@@ -216,13 +219,9 @@ def linked(
     )
     ids = written(_meeting(live, signatures, num, den).select("id").distinct(), "ids")
     sets = written(sets_of(ids), "sets")
-    rest = live.join(ids, "id", "left_semi")
-    links, joined = None, ids.select("id", F.col("id").alias("root")).limit(0)
-    for seed in range(LEAF_ROUNDS):
-        rest = written(_mixed(rest, joined), "mixed")
-        found = written(_leaf_round(rest, sets, seed, num, den), "links")
-        links = found if links is None else links.union(found)
-        joined = components(links, "a", "b")
-    rest = written(_mixed(rest, joined), "mixed")
+    alone = ids.select("id", F.col("id").alias("root"))
+    rest = written(_mixed(live.join(small(ids), "id", "left_semi"), alone.limit(0)), "mixed")
+    links = written(_leaf_links(rest, sets, num, den), "links")
+    rest = written(_mixed(rest, components(links, "a", "b")), "mixed")
     found = written(_remaining(rest, signatures, sets, num, den), "links")
     return components(links.union(found), "a", "b")

@@ -45,6 +45,15 @@ def lower_ascii(text: Column) -> Column:
 
 
 FILTER_BITS = 1 << 23
+BROADCAST_ROWS = 1_000_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, to be broadcast while it has no more than BROADCAST_ROWS rows.
+
+    That is some 50 MB in a task's memory. Beyond it the join is left to the planner.
+    """
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
 def likely(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 LEAF = 32
 FANOUT = 8
 NARROW, WIDE = 64, 1 << 18
-COARSE, FINE = 0.5, 8.0  # bits a token, before rounding up
+COARSE, WIDER = 0.5, (2.0, 8.0)  # bits a token, before rounding up
 
 
 def width_for(n: int, bits: float) -> int:
