@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fanout.llm.shared import importable, lower_ascii, written
+from fanout.llm.shared import importable, lower_ascii, small, written
 
 HEAVY = 4096
 
@@ -87,11 +87,17 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def kept_rows(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of identical rows one."""
-    mine = "__text_sha256"
-    winners = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("__doc_id"), "text_sha256").distinct()
-    named = docs.withColumn(mine, F.sha2(lower_ascii(F.col("text")), 256))
-    kept = named.join(
-        winners, (F.col(mine) == F.col("text_sha256")) & F.col("doc_id").eqNullSafe(F.col("__doc_id")), "left_semi"
+    """The rows of ``docs`` that stay, with all their columns; of identical rows one.
+
+    Rows go by (doc_id, digest), so texts are not shuffled while few go; only repeated rows are brought together.
+    """
+    mine, own = "__text_sha256", "__doc_id"
+    found = exact_groups(docs).groupBy(F.col("doc_id").alias(own), "text_sha256").agg(
+        F.max("kept").alias("kept"), F.count("*").alias("rows")
     )
-    return kept.dropDuplicates(["doc_id", mine]).drop(mine)
+    found = written(found.filter("not kept or rows > 1"), "doubles")
+    same = (F.col(mine) == F.col("text_sha256")) & F.col("doc_id").eqNullSafe(F.col(own))
+    named = docs.withColumn(mine, F.sha2(lower_ascii(F.col("text")), 256))
+    alone = named.join(small(found), same, "left_anti")
+    again = named.join(small(written(found.filter("kept"), "again")), same, "left_semi")
+    return alone.unionByName(again.dropDuplicates(["doc_id", mine])).drop(mine)

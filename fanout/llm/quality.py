@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fanout.llm.shared import cells, importable, written
+from fanout.llm.shared import cells, importable, small, written
 
 TRAINED_ON = 20_000  # labelled documents at most, those with the least xxhash64(doc_id)
 PENALTY = 1e-3
@@ -198,4 +198,4 @@ def kept_documents(docs: DataFrame, labels: DataFrame, host: Column, path: Colum
     A row goes only if its doc_id is rejected; of rows that share one, all go if one is. Rows without doc_id stay.
     """
     rejected = quality(docs, labels, host, path).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti")
+    return docs.join(small(written(rejected, "rejected")), "doc_id", "left_anti")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fanout.llm.set_links import linked
-from fanout.llm.shared import cells, importable, likely, written
+from fanout.llm.shared import cells, importable, likely, small, written
 from fanout.llm.signature_tree import COARSE, bitmap
 from fanout.llm.words import digest, distinct, mixed, packed, shingle_set, shingles, words_and_places
 
@@ -152,6 +152,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         .groupBy(F.col("doc_id").alias("__doc_id"), F.col("version").alias("__version"))
         .agg(F.collect_set("paragraph").alias("__gone"))
     )
+    gone = small(written(gone, "gone"))
     marked = docs.join(
         gone, (docs["doc_id"] == F.col("__doc_id")) & (F.xxhash64(docs["text"]) == F.col("__version")), "left"
     )
