@@ -2,12 +2,11 @@
 
 ``entries`` say which sets could link: two sets at or above the threshold share a key. Keys that only one
 set has are dropped by a grouped count. Sets that share a key then meet by their bitmaps in signature
-trees, block by block, to find the sets that can have any link at all; only those sets are built whole. Each
-of them then goes to one small leaf with sets that share a key, and is linked exactly inside it, so large
-groups melt into a few components. What is left are keys whose sets lie in different components: they meet
-by wider bitmaps, and the sets that may still reach a set of another component are brought to their block
-pair and verified there. No pair ever becomes a row unless it is a link between components. The leaves only
-save work; the last step makes the result complete.
+trees, block by block, and as many pairs as connect all that may link become edges. The components of
+those edges are families: every link lies inside one. Only sets in families are built whole. A family goes
+to tasks in blocks of bounded size; each block is linked exactly by its trees, and then block against
+block, where what is connected already is not compared again. No pair becomes a row unless it connects
+two sets or components that nothing connected before, so rows stay as few as sets.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fanout.llm import signature_tree as st
@@ -25,12 +24,10 @@ from fanout.llm.components import components
 from fanout.llm.shared import likely, small, written
 from fanout.llm.words import unpacked
 
-LEAF_TOKENS = 60_000  # of all sets of a leaf: half a megabyte
-BLOCK_TOKENS = 1_000_000
+MEETING_TOKENS = 8_000_000  # of sets that meet by bitmaps in one block: half a megabyte
+BLOCK_TOKENS = 4_000_000  # of whole sets in a block: 32 MB
 LINK_NAMES = ["a", "b"]
 LINKS = "a bigint, b bigint"
-MET_NAMES = ["key", "i", "j", "side", "id", "component", "rest"]
-MET = "key bigint, i bigint, j bigint, side boolean, id bigint, component bigint, rest bigint"
 
 
 def runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
@@ -46,13 +43,10 @@ def runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
         yield group
 
 
-def _batches(names: list[str], rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
-    """Rows as record batches: ids and counts are longs, sides are booleans."""
-    kinds = [pa.bool_() if n == "side" else pa.int64() for n in names]
-    rows = iter(rows)
-    while part := list(islice(rows, 50_000)):
-        columns = zip(zip(*part, strict=True), kinds, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], names)
+def _batches(pairs: Iterable[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    pairs = iter(pairs)
+    while part := list(islice(pairs, 50_000)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part, strict=True)], LINK_NAMES)
 
 
 def _linking(keys: int, num: int, den: int):
@@ -67,15 +61,15 @@ def _linking(keys: int, num: int, den: int):
             return
         sides, ids, components, rest, data = zip(*(r[keys:] for r in group), strict=True)
         values = [unpacked(v) for v in data]
-        s = st.Sets(ids, [len(v) for v in values], [st.bitmap(v, st.COARSE) for v in values], components, rest)
-        joined = st.Union(len(group))
+        s = st.Sets(ids, [len(v) for v in values], [st.bitmap(v, st.FINE) for v in values], components, rest)
+        joined = st.Joining(s)
         for i, j in _candidates(s, sides, num, den):
-            if joined.find(i) != joined.find(j) and st.reaches(values[i], values[j], num, den):
+            if joined.apart(i, j) and st.reaches(values[i], values[j], num, den):
                 joined.join(i, j)
                 if ids[i] != ids[j]:
                     yield ids[i], ids[j]
 
-    return lambda batches: _batches(LINK_NAMES, (p for g in runs(batches, keys) for p in one(g)))
+    return lambda batches: _batches(p for g in runs(batches, keys) for p in one(g))
 
 
 def _candidates(s: st.Sets, sides, num: int, den: int) -> Iterator[tuple[int, int]]:
@@ -87,118 +81,72 @@ def _candidates(s: st.Sets, sides, num: int, den: int) -> Iterator[tuple[int, in
 
 
 def _may_reach(x: tuple, y: tuple, num: int, den: int) -> bool:
-    """The signature trees' test for two sets of one bitmap width; rows as in ``_involved``."""
-    nx, ny = x[7], y[7]
-    if x[5] == y[5] or nx * den < num * ny or ny * den < num * nx:
+    """The signature trees' test for two sets of one bitmap width; rows as in ``_meeting``."""
+    nx, ny = x[6], y[6]
+    if nx * den < num * ny or ny * den < num * nx or min(x[5], y[5]) * (num + den) < num * (nx + ny):
         return False
-    if min(x[6], y[6]) * (num + den) < num * (nx + ny):
-        return False
-    p, q = int.from_bytes(x[8], "little"), int.from_bytes(y[8], "little")
-    common = (p & q).bit_count()
-    most = min(nx - p.bit_count(), ny - q.bit_count()) + common
+    p, q = int.from_bytes(x[7], "little"), int.from_bytes(y[7], "little")
+    most = min(nx - p.bit_count(), ny - q.bit_count()) + (p & q).bit_count()
     return most * (num + den) >= num * (nx + ny)
 
 
-def _involved(num: int, den: int):
-    """The rows of each block pair that may reach the threshold with a row of another component there.
+def _edges(num: int, den: int):
+    """Pairs that may reach the threshold by their bitmaps, as many as connect all such pairs of a group.
 
-    Rows: key, block, other block, side, id, component, rest, size, bitmap; all but the last two come back.
+    Rows: key, block, other block, side, id, rest, size, bitmap.
     """
 
-    def one(group: list[tuple]) -> Iterator[tuple]:
+    def one(group: list[tuple]) -> Iterator[tuple[int, int]]:
         own = group[0][1] == group[0][2]
         if len(group) < 2 or not (own or len({r[3] for r in group}) == 2):
             return
-        if len(group) == 2 and len(group[0][8]) == len(group[1][8]):
+        if len(group) == 2 and len(group[0][7]) == len(group[1][7]):
             if _may_reach(*group, num, den):
-                yield from (r[:7] for r in group)
+                yield group[0][4], group[1][4]
             return
-        *_, sides, ids, components, rest, sizes, bits = zip(*group, strict=True)
-        s = st.Sets(ids, sizes, [unpacked(b) for b in bits], components, rest)
-        found = np.zeros(len(group), bool)
+        *_, sides, ids, rest, sizes, bits = zip(*group, strict=True)
+        s = st.Sets(ids, sizes, [unpacked(b) for b in bits], range(len(group)), rest)
+        joined = st.Joining(s)
         for i, j in _candidates(s, sides, num, den):
-            found[i] = found[j] = True
-        yield from (group[i][:7] for i in np.flatnonzero(found))
-
-    return lambda batches: _batches(MET_NAMES, (r for g in runs(batches, 3) for r in one(g)))
-
-
-def _mixed(rest: DataFrame, joined: DataFrame) -> DataFrame:
-    """(key, id, rest, component, tokens) of the keys whose sets lie in different components by ``joined``."""
-    owners = small(written(joined.withColumnRenamed("id", "member"), "owners"))
-    labelled = rest.join(owners, F.col("member") == rest["id"], "left").select(
-        "key", rest["id"], "rest", F.coalesce("root", rest["id"]).alias("component")
-    )
-    split = (
-        labelled.groupBy("key")
-        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum("rest").alias("tokens"))
-        .filter("lo <> hi")
-        .select("key", "tokens")
-    )
-    return labelled.join(split, "key").select("key", "id", "rest", "component", "tokens")
-
+            if joined.apart(i, j):
+                joined.join(i, j)
+                yield ids[i], ids[j]
 
-def _leaf_links(rest: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    by = F.xxhash64("key")
-    chosen = rest.groupBy("id").agg(
-        F.min_by("key", by).alias("key"), F.min_by("tokens", by).alias("tokens"), F.min("component").alias("component")
-    )
-    leaf = F.pmod(F.xxhash64("id"), F.ceil(F.col("tokens") / LEAF_TOKENS))
-    chosen = small(written(chosen.select("id", "key", leaf.alias("leaf"), "component"), "leaves"))
-    # all that share the key meet here, so a set counts whole
-    placed = sets.join(chosen, "id").select(
-        "key", "leaf", F.lit(False).alias("side"), "id", "component", (F.length("values") / 8).cast("bigint").alias("rest"), "values"
-    )
-    grouped = placed.repartition("key", "leaf").sortWithinPartitions("key", "leaf")
-    return grouped.mapInArrow(_linking(2, num, den), LINKS)
+    return lambda batches: _batches(p for g in runs(batches, 3) for p in one(g) if p[0] != p[1])
 
 
-def _meeting(rest: DataFrame, signatures: DataFrame, num: int, den: int) -> DataFrame:
-    """What each key's blocks, met block against block, have left for verification: rows of ``MET``."""
-    blocks = F.ceil(F.col("tokens") / BLOCK_TOKENS)
-    met = (
-        rest.join(signatures, "id")
-        .withColumn("own", F.pmod(F.xxhash64("id"), blocks))
+def _met(rows: DataFrame, key: str, blocks: Column, *columns: str) -> DataFrame:
+    """Rows of each key dealt to pairs of its blocks: key, i, j, side and the columns, in that order by task."""
+    return (
+        rows.withColumn("own", F.pmod(F.xxhash64("id"), blocks))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
         .select(
-            "key",
+            F.col(key).alias("key"),
             F.least("own", "other").alias("i"),
             F.greatest("own", "other").alias("j"),
             (F.col("own") > F.col("other")).alias("side"),
-            "id",
-            "component",
-            "rest",
-            "n",
-            "bits",
+            *columns,
         )
     )
-    return _by_pair_of_blocks(met).mapInArrow(_involved(num, den), MET)
-
-
-def _bitmaps(bits: float):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = [unpacked(v) for v in batch.column(1).to_pylist()]
-            maps = pa.array([st.bitmap(v, bits).tobytes() for v in values], pa.binary())
-            sizes = pa.array([len(v) for v in values], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, maps], ["id", "n", "bits"])
-
-    return run
 
 
 def _by_pair_of_blocks(rows: DataFrame) -> DataFrame:
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
-def _remaining(rest: DataFrame, signatures: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """All links between components: by coarse bitmaps, what is left by wider ones, and at last by whole sets."""
-    met = written(_meeting(rest, signatures, num, den), "met")
-    for bits in st.WIDER:
-        wider = sets.select("id", "values").mapInArrow(_bitmaps(bits), "id bigint, n bigint, bits binary")
-        closer = _by_pair_of_blocks(met.join(wider, "id").select(*MET_NAMES, "n", "bits"))
-        met = written(closer.mapInArrow(_involved(num, den), MET), "met")
-    placed = _by_pair_of_blocks(met.join(sets, "id").select(*MET_NAMES, "values"))
-    return placed.mapInArrow(_linking(3, num, den), LINKS)
+def _meeting(live: DataFrame, signatures: DataFrame, num: int, den: int) -> DataFrame:
+    blocks = F.ceil(F.col("tokens") / MEETING_TOKENS)
+    met = _met(live.join(signatures, "id"), "key", blocks, "id", "rest", "n", "bits")
+    return _by_pair_of_blocks(met).mapInArrow(_edges(num, den), LINKS).distinct()
+
+
+def _linked_blocks(sets: DataFrame, places: DataFrame, own: bool, num: int, den: int) -> DataFrame:
+    """Links inside every family's blocks, or between its blocks. ``places``: id, family, blocks, component."""
+    dealt = _met(places, "family", F.col("blocks"), "id", "component")
+    dealt = small(written(dealt.filter("i = j" if own else "i < j"), "dealt"))
+    whole = (F.length("values") / 8).cast("bigint").alias("rest")
+    placed = sets.join(dealt, "id").select("key", "i", "j", "side", "id", "component", whole, "values")
+    return _by_pair_of_blocks(placed).mapInArrow(_linking(3, num, den), LINKS)
 
 
 def linked(
@@ -207,21 +155,24 @@ def linked(
     """(id, root) of every set that is linked to another, by Jaccard >= num/den.
 
     ``entries``: (key, id, rest), ids standing for different sets, and ``rest`` as in ``signature_tree.Sets``: of
-    the keys that two linked sets share, the condition need hold for one. ``signatures``: (id, n, bits) with every set's size
-    and coarse ``signature_tree.bitmap``. ``sets_of``: given a frame of ids, their (id, values), values being
-    sorted distinct 64-bit hashes. An empty table gives no rows.
+    the keys that two linked sets share, the condition need hold for one.
+    ``signatures``: (id, n, bits) with every set's size and coarse ``signature_tree.bitmap``. ``sets_of``: given a
+    frame of ids, their (id, values), values being sorted distinct 64-bit hashes. An empty table gives no rows.
     """
     shared = entries.groupBy("key").agg(F.count("*").alias("c"), F.sum("rest").alias("tokens"))
     shared = written(shared.filter("c > 1").select("key", "tokens"), "keys")
-    own = F.col("id").alias("component")
-    live = written(
-        likely(entries, "key", shared).join(shared, "key").select("key", "id", "rest", own, "tokens"), "live"
+    live = likely(entries, "key", shared).join(shared, "key").select("key", "id", "rest", "tokens")
+    edges = written(_meeting(written(live, "live"), signatures, num, den), "edges")
+    families = written(components(edges, "a", "b"), "families")
+    sets = written(sets_of(families.select("id")), "sets")
+    members = signatures.select("id", "n").join(small(families), "id")
+    blocks = F.ceil(F.sum("n").over(Window.partitionBy("root")) / BLOCK_TOKENS)
+    places = written(
+        members.select("id", F.col("root").alias("family"), blocks.alias("blocks"), F.col("id").alias("component")), "places"
     )
-    ids = written(_meeting(live, signatures, num, den).select("id").distinct(), "ids")
-    sets = written(sets_of(ids), "sets")
-    alone = ids.select("id", F.col("id").alias("root"))
-    rest = written(_mixed(live.join(small(ids), "id", "left_semi"), alone.limit(0)), "mixed")
-    links = written(_leaf_links(rest, sets, num, den), "links")
-    rest = written(_mixed(rest, components(links, "a", "b")), "mixed")
-    found = written(_remaining(rest, signatures, sets, num, den), "links")
-    return components(links.union(found), "a", "b")
+    inside = written(_linked_blocks(sets, places, True, num, den), "links")
+    owners = small(written(components(inside, "a", "b"), "owners"))
+    split = places.filter("blocks > 1").drop("component").join(owners, "id", "left")
+    split = split.select("id", "family", "blocks", F.coalesce("root", "id").alias("component"))
+    across = written(_linked_blocks(sets, split, False, num, den), "links")
+    return components(inside.union(across), "a", "b")

@@ -16,7 +16,7 @@ import numpy as np
 LEAF = 32
 FANOUT = 8
 NARROW, WIDE = 64, 1 << 18
-COARSE, WIDER = 0.5, (2.0, 8.0)  # bits a token, before rounding up
+COARSE, FINE = 1.0, 8.0  # bits a token, before rounding up
 
 
 def width_for(n: int, bits: float) -> int:
@@ -166,20 +166,23 @@ def reaches(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return common * (num + den) >= num * total
 
 
-class Union:
-    """Union-find over the members of one group."""
+class Joining:
+    """Which members of a group are connected, as one array that the traversal reads while it runs."""
 
-    def __init__(self, n: int):
-        self.parent = list(range(n))
+    def __init__(self, s: Sets):
+        _, self.of = np.unique(s.component, return_inverse=True)
+        self.members = [[] for _ in range(int(self.of.max(initial=-1)) + 1)]
+        for i, label in enumerate(self.of.tolist()):
+            self.members[label].append(i)
+        s.component = self.of
 
-    def find(self, i: int) -> int:
-        p = self.parent
-        while p[i] != i:
-            p[i] = p[p[i]]
-            i = p[i]
-        return i
+    def apart(self, i: int, j: int) -> bool:
+        return self.of[i] != self.of[j]
 
     def join(self, i: int, j: int) -> None:
-        i, j = self.find(i), self.find(j)
-        if i != j:
-            self.parent[max(i, j)] = min(i, j)
+        a, b = int(self.of[i]), int(self.of[j])
+        if len(self.members[a]) < len(self.members[b]):
+            a, b = b, a
+        self.of[self.members[b]] = a
+        self.members[a] += self.members[b]
+        self.members[b] = []

@@ -146,7 +146,7 @@ def test_jaccard_groups(spark, width, num, den, seed):
 def test_jaccard_groups_when_blocks_are_small(spark, monkeypatch):
     from fanout.llm import set_links
 
-    monkeypatch.setattr(set_links, "LEAF_TOKENS", 200)
+    monkeypatch.setattr(set_links, "MEETING_TOKENS", 200)
     monkeypatch.setattr(set_links, "BLOCK_TOKENS", 300)
     rnd = random.Random(9)
     base = words(rnd, 100)
