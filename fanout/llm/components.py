@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fanout.llm.shared import written
+from fanout.llm.shared import discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -46,7 +46,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     )
     state = _state(edges)
     while True:
-        edges = written(_small_star(_large_star(edges)), "edges")
+        before, edges = edges, written(_small_star(_large_star(edges)), "edges")
+        discard(before)
         after = _state(edges)
         if after == state:
             break

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from fanout.llm import signature_tree as st
 from fanout.llm.components import components
-from fanout.llm.shared import likely, small, written
+from fanout.llm.shared import discard, likely, small, written
 from fanout.llm.words import unpacked
 
 MEETING_TOKENS = 8_000_000  # of sets that meet by bitmaps in one block: half a megabyte
@@ -162,7 +162,9 @@ def linked(
     shared = entries.groupBy("key").agg(F.count("*").alias("c"), F.sum("rest").alias("tokens"))
     shared = written(shared.filter("c > 1").select("key", "tokens"), "keys")
     live = likely(entries, "key", shared).join(shared, "key").select("key", "id", "rest", "tokens")
-    edges = written(_meeting(written(live, "live"), signatures, num, den), "edges")
+    live = written(live, "live")
+    edges = written(_meeting(live, signatures, num, den), "edges")
+    discard(live, shared)
     families = written(components(edges, "a", "b"), "families")
     sets = written(sets_of(families.select("id")), "sets")
     members = signatures.select("id", "n").join(small(families), "id")
@@ -175,4 +177,5 @@ def linked(
     split = places.filter("blocks > 1").drop("component").join(owners, "id", "left")
     split = split.select("id", "family", "blocks", F.coalesce("root", "id").alias("component"))
     across = written(_linked_blocks(sets, split, False, num, den), "links")
+    discard(sets, edges)
     return components(inside.union(across), "a", "b")
