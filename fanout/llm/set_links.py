@@ -3,10 +3,11 @@
 ``entries`` say which sets could link: two sets at or above the threshold share a key. Keys that only one
 set has are dropped by a grouped count. Sets that share a key then meet by their bitmaps in signature
 trees, block by block, and as many pairs as connect all that may link become edges. The components of
-those edges are families: every link lies inside one. Only sets in families are built whole. A family goes
-to tasks in blocks of bounded size; each block is linked exactly by its trees, and then block against
-block, where what is connected already is not compared again. No pair becomes a row unless it connects
-two sets or components that nothing connected before, so rows stay as few as sets.
+those edges are families: every link lies inside one. Families are cut to smaller ones in the same way by
+wider bitmaps, and only what is still in one is built whole. A family goes to tasks in blocks of bounded
+size; each block is linked exactly by its trees, and then block against block, where what is connected
+already is not compared again. No pair becomes a row unless it connects two sets or components that
+nothing connected before, so rows stay as few as sets.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from fanout.llm.shared import discard, likely, small, written
 from fanout.llm.words import unpacked
 
 MEETING_TOKENS = 8_000_000  # of sets that meet by bitmaps in one block: half a megabyte
-BLOCK_TOKENS = 4_000_000  # of whole sets in a block: 32 MB
+BLOCK_TOKENS = 8_000_000  # of whole sets in a block: 64 MB
 LINK_NAMES = ["a", "b"]
 LINKS = "a bigint, b bigint"
 
@@ -115,7 +116,7 @@ def _edges(num: int, den: int):
     return lambda batches: _batches(p for g in runs(batches, 3) for p in one(g) if p[0] != p[1])
 
 
-def _met(rows: DataFrame, key: str, blocks: Column, *columns: str) -> DataFrame:
+def _met(rows: DataFrame, key: str, blocks: Column, *columns: Column | str) -> DataFrame:
     """Rows of each key dealt to pairs of its blocks: key, i, j, side and the columns, in that order by task."""
     return (
         rows.withColumn("own", F.pmod(F.xxhash64("id"), blocks))
@@ -140,6 +141,32 @@ def _meeting(live: DataFrame, signatures: DataFrame, num: int, den: int) -> Data
     return _by_pair_of_blocks(met).mapInArrow(_edges(num, den), LINKS).distinct()
 
 
+def _bitmaps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        values = [unpacked(v) for v in batch.column(1).to_pylist()]
+        maps = pa.array([st.bitmap(v, st.FINE).tobytes() for v in values], pa.binary())
+        sizes = pa.array([len(v) for v in values], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), sizes, maps], ["id", "n", "bits"])
+
+
+def _families(edges: DataFrame, signatures: DataFrame) -> DataFrame:
+    """id, family, its tokens, for every set with an edge."""
+    owners = small(written(components(edges, "a", "b"), "owners"))
+    members = signatures.select("id", "n").join(owners, "id")
+    tokens = F.sum("n").over(Window.partitionBy("root")).alias("tokens")
+    return written(members.select("id", F.col("root").alias("family"), tokens), "families")
+
+
+def _closer(families: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges by wide bitmaps within each family."""
+    wide = written(sets.mapInArrow(_bitmaps, "id bigint, n bigint, bits binary"), "wide")
+    blocks = F.ceil(F.col("tokens") / MEETING_TOKENS)
+    met = _met(wide.join(small(families), "id"), "family", blocks, "id", F.col("n").alias("rest"), "n", "bits")
+    edges = written(_by_pair_of_blocks(met).mapInArrow(_edges(num, den), LINKS), "edges")
+    discard(wide)
+    return edges
+
+
 def _linked_blocks(sets: DataFrame, places: DataFrame, own: bool, num: int, den: int) -> DataFrame:
     """Links inside every family's blocks, or between its blocks. ``places``: id, family, blocks, component."""
     dealt = _met(places, "family", F.col("blocks"), "id", "component")
@@ -165,13 +192,11 @@ def linked(
     live = written(live, "live")
     edges = written(_meeting(live, signatures, num, den), "edges")
     discard(live, shared)
-    families = written(components(edges, "a", "b"), "families")
+    families = _families(edges, signatures)
+    families = _families(_closer(families, sets_of(families.select("id")), num, den), signatures)
     sets = written(sets_of(families.select("id")), "sets")
-    members = signatures.select("id", "n").join(small(families), "id")
-    blocks = F.ceil(F.sum("n").over(Window.partitionBy("root")) / BLOCK_TOKENS)
-    places = written(
-        members.select("id", F.col("root").alias("family"), blocks.alias("blocks"), F.col("id").alias("component")), "places"
-    )
+    blocks = F.ceil(F.col("tokens") / BLOCK_TOKENS).alias("blocks")
+    places = families.select("id", "family", blocks, F.col("id").alias("component"))
     inside = written(_linked_blocks(sets, places, True, num, den), "links")
     owners = small(written(components(inside, "a", "b"), "owners"))
     split = places.filter("blocks > 1").drop("component").join(owners, "id", "left")
