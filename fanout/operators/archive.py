@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from fanout import schemas as S
 from fanout.functions.text import blank
 from fanout.operators.ordering import lower_middle, rank_within, select_ranks, upper_middle
+from fanout.session import kept
 
 # Statuses that carry numbers, triggers that bar publication, the fixture flag.
 CARRIES_METRICS = ["ok", "infra_bound"]
@@ -387,7 +388,8 @@ def lane_rank(lane_rows: DataFrame) -> DataFrame:
     rankable = (F.col("unranked_because") == "") & F.col("median").isNotNull()
     direction = F.when(F.col("higher_is_better"), -F.col("median")).otherwise(F.col("median"))
     declared = [F.col("display_order"), F.col("variant_index"), F.col("variant_id"), F.col("row_key")]
-    marked = lane_rows.withColumn("_rankable", rankable)
+    # the dealing by ranges samples its input first; lanes are few columns of long plans, so they are written once
+    marked = kept(lane_rows.withColumn("_rankable", rankable))
     major = F.when(F.col("_rankable"), direction).otherwise(F.col("display_order").cast("double"))
     placed = rank_within(marked, ["group", "_rankable"], major, declared, "_place")
     sizes = marked.groupBy("group").agg(F.count_if(F.col("_rankable")).alias("_ranked_lanes"))

@@ -13,7 +13,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fanout.session import cut
+from fanout.session import cut, kept
 
 BLOCK = 65_536
 
@@ -82,7 +82,8 @@ def select_ranks(
 
     ``ranks`` maps an output column to a function from the key's row count to a 1-based rank. Equal
     values are counted together before the first shuffle, then the rank is found digit by digit.
-    ``keys`` and ``value`` must not be null; a row counts ``weight`` times if that is given.
+    ``keys`` and ``value`` must not be null; a row counts ``weight`` times if that is given. Runs the
+    counting when called, and writes it as a table.
     """
     keys = list(keys)
     first, second = _cells(F.col(value))
@@ -92,7 +93,8 @@ def select_ranks(
         .withColumn("_c1", first)
         .withColumn("_c2", second)
     )
-    # the readers below all start from this aggregate's shuffle, which is run once
+    # read four times below, of different columns: written once as columns
+    counts = kept(counts)
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     wanted = F.array(
         *[

@@ -63,6 +63,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The frame as a Parquet table in the shared folder, for steps that each read a few of its columns or rows."""
+    folder = scratch_path(df.sparkSession, "kept")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 _STAGED: dict[tuple[str, str], str] = {}
 
 
