@@ -7,8 +7,10 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +83,12 @@ def likely(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     return marked.filter(F.col("__bits").bitwiseAND(F.col("__mask")) != 0).select(df.columns)
 
 
-def cells(column: pa.Array) -> list[bytes]:
-    """UTF-8 of every text in an Arrow column; null is empty."""
-    return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]
+def cells(column: pa.Array) -> Iterator[bytes]:
+    """UTF-8 of every text in an Arrow column, one at a time; null is empty."""
+    data = column.cast(pa.binary()).fill_null(b"")
+    if len(data):
+        _, places, content = data.buffers()
+        at = np.frombuffer(places, np.int32)[data.offset : data.offset + len(data) + 1].tolist()
+        view = memoryview(content) if content else memoryview(b"")
+        for start, end in zip(at, at[1:], strict=False):
+            yield bytes(view[start:end])
