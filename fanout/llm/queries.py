@@ -46,7 +46,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_paragraphs(table(spark, sf_dir, "documents"))
+    return substring_dedup.repeats(table(spark, sf_dir, "documents"))
 
 
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ A paragraph is a line of a text; those of ``MIN_WORDS`` words and more are compa
 one from the first shuffle on. The others collide through band keys, whose number is tuned so that a pair
 at the threshold meets with probability ``RECALL``; every colliding pair that the components do not
 yet explain is verified on its whole shingle sets (``set_links``). Of each component one paragraph
-stays, its first by doc_id and place; the others go.
+stays, its first by doc_id and place; the others go. Passages that are no lines, that run over several
+or stand inside a longer one, are found by ``repeated_runs``.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fanout.llm.repeated_runs import repeated_runs, without_runs
 from fanout.llm.set_links import linked
 from fanout.llm.shared import cells, importable, likely, small, written
 from fanout.llm.signature_tree import COARSE, bitmap
@@ -164,3 +166,20 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         counted = F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind))
         changed = changed.withColumn("n_chars", counted)
     return changed.select(docs.columns)
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """Rows of ``repeated_paragraphs`` (kind ``paragraph``) and of ``repeated_runs`` (kind ``run``).
+
+    A run's n_words counts its own words; first_word, its first word's number in the text, is null for paragraphs.
+    """
+    lines = repeated_paragraphs(docs).withColumns({"kind": F.lit("paragraph"), "first_word": F.lit(None).cast("int")})
+    found = repeated_runs(docs).withColumns(
+        {"kind": F.lit("run"), "n_words": F.col("last_word") - F.col("first_word") + 1}
+    )
+    return lines.unionByName(found.select(lines.columns))
+
+
+def without_passages(docs: DataFrame) -> DataFrame:
+    """``docs`` without the removed paragraphs and then without the repeated runs of what is left."""
+    return without_runs(without_repeats(docs))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -291,3 +292,54 @@ def test_words_are_hashed_alike_wherever_they_stand(monkeypatch, stretch):
 def test_no_operator_collects_the_table(spark):
     plan = exact_dedup.exact_groups(documents(spark, EDGES).withColumn("k", F.lit(1)))
     assert "CartesianProduct" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+# --- runs ----------------------------------------------------------------------------------------
+
+
+def test_runs_across_lines_and_inside_longer_lines(spark):
+    rnd = random.Random(9)
+    shared, own = words(rnd, 55), [words(rnd, 70, 10**9) for _ in range(3)]
+    texts = [
+        (1, " ".join(own[0] + shared)),
+        (2, " ".join(own[1]) + "\n" + "\n".join(" ".join(shared[i : i + 8]).upper() for i in range(0, 55, 8)) + "\nend"),
+        (3, " ".join(own[2][:40] + shared + own[2][40:])),
+        (4, " ".join(shared[:49])),
+    ]
+    got = {r.doc_id: r.text for r in substring_dedup.without_passages(documents(spark, texts)).collect()}
+    assert got == {1: texts[0][1], 2: " ".join(own[1]) + "\nend", 3: " ".join(own[2]), 4: texts[3][1]}
+    found = substring_dedup.repeats(documents(spark, texts)).filter("kind = 'run'").collect()
+    assert sorted((r.doc_id, r.first_word, r.n_words, r.copies, r.removed) for r in found) == [
+        (1, 70, 55, 3, False), (2, 70, 55, 3, True), (3, 40, 55, 3, True)
+    ]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_no_stretch_occurs_twice_unmarked(spark, seed):
+    rnd = random.Random(seed)
+    shared = [words(rnd, rnd.randrange(45, 120)) for _ in range(4)]
+    texts = []
+    for i in range(40):
+        parts = [words(rnd, rnd.randrange(0, 60), 10**9)]
+        for _ in range(rnd.randrange(3)):
+            p = rnd.choice(shared)
+            parts += [p[rnd.randrange(0, 20) :], words(rnd, rnd.randrange(0, 9), 10**9)]
+        texts.append((i, "".join(w + rnd.choice([" ", " ", "\n"]) for p in parts for w in p)))
+    texts += [(90, texts[0][1] + "x " * 130), (91, texts[5][1])]
+    split = {d: t.split() for d, t in texts}
+    seen, gone = {}, defaultdict(set)
+    for d, t in texts:
+        line = [t[: m.start()].count("\n") for m in re.finditer(r"\S+", t)]
+        for w in range(len(split[d]) - 49):
+            seen.setdefault(tuple(split[d][w : w + 50]), []).append((d, line[w], w))
+    for places in seen.values():
+        d0, _, w0 = min(places)
+        for d, _, w in sorted(places)[1:]:
+            gone[d].update(range(max(w, w0 + 50) if d == d0 else w, w + 50))
+    marked = defaultdict(set)
+    for r in substring_dedup.repeated_runs(documents(spark, texts)).filter("removed").collect():
+        marked[r.doc_id].update(range(r.first_word, r.last_word + 1))
+    assert marked.pop(91, set()) >= gone.pop(91, set())
+    assert marked == gone
+    left = {r.doc_id: r.text.split() for r in substring_dedup.without_runs(documents(spark, texts)).filter("doc_id != 91").collect()}
+    assert left == {d: [w for k, w in enumerate(split[d]) if k not in gone[d]] for d in split if d != 91}
