@@ -1,8 +1,10 @@
-"""SentencePiece encoding and decoding: an Aho-Corasick automaton over pieces drives one Viterbi pass.
+"""SentencePiece encoding and decoding: an Aho-Corasick automaton finds the pieces of a text.
 
 The pieces and scores come from a public model file. The automaton reads a text once; at each position its
-output links list the pieces that end there, and each relaxes the best score of a segmentation up to
-that position. Characters in no piece fall back to their UTF-8 bytes. White space separates words in the
+output links list the pieces that end there. In a unigram model each relaxes the best score of a segmentation
+up to that position (Viterbi). In a BPE model scores are merge ranks, whose sums mean nothing: there the pieces
+found say which neighbours may merge, and merges go by rank. Characters in no piece fall back to their
+UTF-8 bytes. White space separates words in the
 model (a mark in front of each), and no piece spans the end of a word: so the pass runs once per distinct
 word of a task, and texts are the joined results of their words.
 """
@@ -12,7 +14,9 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 from itertools import islice
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +32,7 @@ OUT = "doc_id bigint, n_pieces bigint, n_bytes bigint, ids binary, decoded strin
 
 
 class Pieces(dict):
-    """Little-endian 32-bit ids by word, the word with its mark; made by Viterbi at first sight."""
+    """Little-endian 32-bit ids by word, the word with its mark; made by Viterbi at first sight: for unigram models."""
 
     def __init__(self, path: str):
         import ahocorasick
@@ -58,9 +62,12 @@ class Pieces(dict):
         if len(self) >= CACHED_WORDS:
             for old in list(islice(self, CACHED_WORDS // 2)):
                 del self[old]
-        ids = self[word] = array("i", self.viterbi(word)).tobytes()
+        ids = self[word] = array("i", self.segmented(word)).tobytes()
         return ids
 
+    def segmented(self, word: str) -> list[int]:
+        return self.viterbi(word)
+
     def viterbi(self, word: str) -> list[int]:
         """Ids of the best-scoring segmentation; of equal scores the one whose last piece is longest."""
         n = len(word)
@@ -103,12 +110,56 @@ class Pieces(dict):
         return text[1:] if text.startswith(" ") else text
 
 
+class Merges(Pieces):
+    """The same for BPE models: neighbours merge, the best-ranked pair first, of equal ranks the leftmost."""
+
+    def segmented(self, word: str) -> list[int]:
+        found: dict[tuple[int, int], tuple[float, int]] = {}
+        for last, (i, length, score) in self.automaton.iter(word):
+            found[last + 1 - length, last + 1] = -score, i
+        n = len(word)
+        end, before = list(range(1, n + 1)), list(range(-1, n))  # of the symbol that begins at each place; 0: none does
+        pairs = [(found[a, a + 2][0], a, a + 1, a + 2) for a in range(n - 1) if (a, a + 2) in found]
+        heapify(pairs)
+        while pairs:
+            _, a, b, c = heappop(pairs)
+            if end[a] != b or end[b] != c:
+                continue
+            end[a], end[b] = c, 0
+            if c < n:
+                before[c] = a
+                if (a, end[c]) in found:
+                    heappush(pairs, (found[a, end[c]][0], a, c, end[c]))
+            if a and (before[a], c) in found:
+                heappush(pairs, (found[before[a], c][0], before[a], a, c))
+        ids: list[int] = []
+        a = 0
+        while a < n:
+            b = end[a]
+            ids.extend([found[a, b][1]] if (a, b) in found else [self.byte_id[x] for x in word[a:b].encode()])
+            a = b
+        return ids
+
+
+def model_of(path: str) -> Pieces:
+    """The encoder for a model file's type."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(Path(path).read_bytes())
+    kinds = {proto.trainer_spec.UNIGRAM: Pieces, proto.trainer_spec.BPE: Merges}
+    kind = proto.trainer_spec.model_type
+    if kind not in kinds:
+        raise ValueError(f"{path}: neither a unigram nor a BPE model")
+    return kinds[kind](path)
+
+
 _MODELS: dict[str, Pieces] = {}
 
 
 def _coded(path: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _MODELS.get(path) or _MODELS.setdefault(path, Pieces(path))
+        model = _MODELS.get(path) or _MODELS.setdefault(path, model_of(path))
         for batch in batches:
             out: list[tuple] = []
             for doc_id, data in zip(batch.column(0).to_pylist(), cells(batch.column(1)), strict=True):

@@ -188,6 +188,18 @@ def test_small_cache_gives_the_same(model, monkeypatch):
     assert (small.encode(text) == model.encode(text)).all() and len(small) <= 3
 
 
+def test_ids_are_the_models_own(spark):
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rnd = random.Random(5)
+    texts = ["x des the aaaaaaaaa" + "the" * 40, "  two   spaces" + " " * 40 + "x", "naïve 你好 🙂 tabs\tand\nlines\r\n", "des" * 30, "<0x41><unk></s>", "x" * 3000]
+    texts += [" ".join("".join(rnd.choice("aeinorstlhd") for _ in range(rnd.randrange(1, 14))) for _ in range(200)) for _ in range(20)]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    got = {r.doc_id: np.frombuffer(r.ids, "<i4").tolist() for r in pieces.coded(documents(spark, list(enumerate(texts))), MODEL).collect()}
+    assert got == {i: own.encode(t) for i, t in enumerate(texts)}
+
+
 # --- quality -------------------------------------------------------------------------------------
 
 
