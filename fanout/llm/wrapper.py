@@ -4,8 +4,9 @@ A page becomes a tree of its block elements. Equal neighbours fold into repeated
 are aligned one after another, and what only some of them have turns optional, so the outcome is one
 union-free expression over tags and text slots, the host's wrapper. Pages with equal folded trees count
 once, parts of a host are aligned apart and their wrappers aligned in turn, so a host of any size
-needs no more memory than its wrapper. The wrapper then reads every page of the host; its group for the
-article tells which slots are main text.
+needs no more memory than its wrapper. The wrapper then reads every page of the host; the paths of its main
+items tell which elements of the page's own nesting are main text, each repetition of an item included.
+A page that the wrapper does not read goes by its own tree.
 """
 
 from __future__ import annotations
@@ -220,6 +221,23 @@ def main_items(items: list) -> list[list]:
     return items
 
 
+def main_paths(items: list) -> frozenset[tuple[str, ...]]:
+    """Labels from the root down to each main item; none if all is main text."""
+    mains, paths = main_items(items), set()
+
+    def walk(items: list, path: tuple[str, ...]) -> None:
+        for item in items:
+            own = (*path, item[0]) if item[0] else path
+            if item[0] and any(item is m for m in mains):
+                paths.add(own)
+            else:
+                walk(item[3], own)
+
+    if mains is not items:
+        walk(items, ())
+    return frozenset(paths)
+
+
 def expression(items: list, mains: list[list]) -> str:
     """The wrapper as a regular expression over a page's symbols; a group around each main item."""
     parts = []
@@ -233,24 +251,32 @@ def expression(items: list, mains: list[list]) -> str:
     return "".join(parts)
 
 
-def main_text(page: str, wrapper: re.Pattern) -> tuple[str, bool]:
-    """The text of the wrapper's main groups, one line a block, and whether the wrapper read the page."""
+def main_text(page: str, wrapper: re.Pattern, mains: frozenset[tuple[str, ...]]) -> tuple[str, bool]:
+    """The text of the elements at the main paths, one line a block, and whether the wrapper read the page."""
     found = events(page)
-    symbols = "".join(s for s, _ in found)
-    m = wrapper.fullmatch(symbols)
-    if not m:
-        return "", False
-    spans = [m.span(g) for g in range(1, wrapper.groups + 1) if m.span(g)[0] >= 0] or [(0, len(symbols))]
-    blocks, at, skipped = [], 0, 0
+    read = wrapper.fullmatch("".join(s for s, _ in found)) is not None
+    if not read:
+        mains = main_paths(skeleton(page))
+    path: list[str] = []
+    inside: list[str] = []  # all blocks inside main elements, and all blocks for a page that has none
+    every: list[str] = []
+    skipped, main, any_main = 0, 0, False
     for symbol, text in found:
-        if symbol[0] == "<" and beside(symbol.strip("</>")):
-            skipped += -1 if symbol[1] == "/" else 1
-        if symbol == "#" and not skipped and any(a <= at < b for a, b in spans):
-            block = _SPACE.sub(" ", html.unescape(text)).strip()
+        if symbol == "#":
+            block = "" if skipped else _SPACE.sub(" ", html.unescape(text)).strip()
             if block:
-                blocks.append(block)
-        at += len(symbol)
-    return "\n".join(blocks), True
+                every.append(block)
+                if main:
+                    inside.append(block)
+        elif symbol[1] != "/":
+            path.append(symbol[1:-1])
+            skipped += beside(path[-1])
+            if tuple(path) in mains:
+                main, any_main = main + 1, True
+        else:
+            main -= tuple(path) in mains
+            skipped -= beside(path.pop())
+    return "\n".join(inside if any_main else every), read
 
 
 def _skeletons(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +309,7 @@ def _inferred(keys: int):
 
 
 def _extracted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    compiled: dict[str, re.Pattern] = {}
+    compiled: dict[str, tuple[re.Pattern, frozenset]] = {}
     for batch in batches:
         texts, read = [], []
         for tree, page in zip(batch.column(3).to_pylist(), cells(batch.column(2)), strict=True):
@@ -291,8 +317,8 @@ def _extracted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(compiled) > 500:
                     compiled.clear()
                 items = json.loads(tree)
-                compiled[tree] = re.compile(expression(items, main_items(items)))
-            text, ok = main_text(page.decode(errors="replace"), compiled[tree])
+                compiled[tree] = re.compile(expression(items, [])), main_paths(items)
+            text, ok = main_text(page.decode(errors="replace"), *compiled[tree])
             texts.append(text)
             read.append(ok)
         lengths = pa.array([len(t) for t in texts], pa.int64())

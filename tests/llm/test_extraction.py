@@ -67,6 +67,27 @@ def test_wrapper_edges(spark):
     assert wrapper.main_texts(pages(spark, [])).count() == 0
 
 
+INTERLEAVED = {
+    "articles": ("<article>A</article><div class=ad>x</div><article>B</article><div class=ad>y</div>", "A\nB"),
+    "contents": ("<div class=content>A</div><div class=ad>x</div>" * 2 + "<div class=content>C</div>", "A\nA\nC"),
+    "in columns": ("<div><article>A</article><nav>n</nav></div><div><article>B</article><nav>n</nav></div>" * 2, "A\nB\nA\nB"),
+    "in sections": ("<section><h2>h</h2><article>A</article><article>B</article></section>" * 2, "A\nB\nA\nB"),
+}
+
+
+@pytest.mark.parametrize("name", INTERLEAVED)
+def test_all_repetitions_of_the_main_items_are_text(name):
+    page, want = INTERLEAVED[name]
+    items = wrapper.skeleton(page)
+    assert wrapper.main_text(page, re.compile(wrapper.expression(items, [])), wrapper.main_paths(items)) == (want, True)
+
+
+def test_repetitions_on_one_host(spark):
+    rows = [("http://h/", page) for page, _ in INTERLEAVED.values() if "<article>" in page]
+    got = {r.page_id: r.text for r in wrapper.main_texts(pages(spark, rows)).collect()}
+    assert got == dict(enumerate(want for page, want in INTERLEAVED.values() if "<article>" in page))
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_alignment_reads_both(seed):
     rnd = random.Random(seed)
