@@ -41,6 +41,7 @@ NO_TEXT_WORDS = set(
     "modal newsletter subscribe sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments reply replies "
     "disqus share sharing social related recommended footer header masthead login search widget".split()
 )
+NEVER_BESIDE = set("body main article".split())
 MAIN_WORDS = set("article content main post entry story".split())
 CLOSED_BY_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}}
 CLOSED_BY_SAME |= {"th": {"td", "th"}, "option": {"option"}}
@@ -58,8 +59,9 @@ _WORD = re.compile(r"[a-z]+")
 
 
 def _label(name: str, rest: str) -> str:
-    words = sorted({w for m in _NAMES.finditer(rest) for w in _WORD.findall("".join(filter(None, m.groups())).lower())})
-    return ".".join([name, *words])
+    """The element's name and the whole names of its class, id and role, each reduced to its words."""
+    given = (n for m in _NAMES.finditer(rest) for n in "".join(filter(None, m.groups())).lower().split())
+    return ".".join([name, *sorted({"-".join(words) for n in given if (words := _WORD.findall(n))})])
 
 
 def events(page: str) -> list[tuple[str, str]]:
@@ -190,23 +192,49 @@ def skeleton(page: str) -> list:
 
 def _words(label: str) -> tuple[str, set[str]]:
     name, _, rest = label.partition(".")
-    return name, set(rest.split("."))
+    return name, set(re.split("[.-]", rest))
 
 
 def beside(label: str) -> bool:
-    """Whether an element holds no article text: by its name, or by a word of its class, id or role."""
-    name, words = _words(label)
-    return name in ASIDE or bool(words & NO_TEXT_WORDS)
+    """Whether an element holds no article text: by its name, or by a whole class, id or role.
+
+    A name of several words counts if it consists of such words: cookie-notice does, has-sidebar does not. The page's
+    body, main and article elements never do, nor does any element that holds one: that is for the caller to see.
+    """
+    name, *given = label.split(".")
+    if name in NEVER_BESIDE:
+        return False
+    return name in ASIDE or any(NO_TEXT_WORDS.issuperset(g.split("-")) for g in given)
+
+
+def _holds(items: list) -> bool:
+    return any(i[0].partition(".")[0] in NEVER_BESIDE or _holds(i[3]) for i in items)
 
 
 def _mains(items: list, test) -> list[list]:
     found = []
     for item in items:
-        if item[0] != "#" and not (item[0] and beside(item[0])):
+        if item[0] != "#" and not (item[0] and beside(item[0]) and not _holds(item[3])):
             found += [item] if item[0] and test(*_words(item[0])) else _mains(item[3], test)
     return found
 
 
+def _skipped(found: list[tuple[str, str]]) -> list[bool]:
+    """For each event whether it opens or closes an element that is beside and holds no body, main or article."""
+    out, stack = [False] * len(found), []
+    for k, (symbol, _) in enumerate(found):
+        if symbol == "#":
+            continue
+        if symbol[1] != "/":
+            stack.append([k, symbol[1:-1].partition(".")[0] in NEVER_BESIDE])
+            continue
+        start, holds = stack.pop()
+        out[start] = out[k] = not holds and beside(symbol[2:-1])
+        if stack:
+            stack[-1][1] |= holds
+    return out
+
+
 def main_items(items: list) -> list[list]:
     """The wrapper's items that hold the article, by the first of these that any item meets."""
     tests = (
@@ -261,7 +289,7 @@ def main_text(page: str, wrapper: re.Pattern, mains: frozenset[tuple[str, ...]])
     inside: list[str] = []  # all blocks inside main elements, and all blocks for a page that has none
     every: list[str] = []
     skipped, main, any_main = 0, 0, False
-    for symbol, text in found:
+    for (symbol, text), besides in zip(found, _skipped(found), strict=True):
         if symbol == "#":
             block = "" if skipped else _SPACE.sub(" ", html.unescape(text)).strip()
             if block:
@@ -270,12 +298,13 @@ def main_text(page: str, wrapper: re.Pattern, mains: frozenset[tuple[str, ...]])
                     inside.append(block)
         elif symbol[1] != "/":
             path.append(symbol[1:-1])
-            skipped += beside(path[-1])
+            skipped += besides
             if tuple(path) in mains:
                 main, any_main = main + 1, True
         else:
             main -= tuple(path) in mains
-            skipped -= beside(path.pop())
+            skipped -= besides
+            path.pop()
     return "\n".join(inside if any_main else every), read
 
 

@@ -67,6 +67,28 @@ def test_wrapper_edges(spark):
     assert wrapper.main_texts(pages(spark, [])).count() == 0
 
 
+KEPT = {
+    "body": ("<body class='single has-sidebar'><p>t</p><div class=sidebar>s</div></body>", "t"),
+    "named body": ("<body class=sidebar><p>t</p></body>", "t"),
+    "main": ("<body><main class='with-menu'><p>t</p><ul class=menu><li>m</li></ul></main></body>", "t"),
+    "article": ("<body><article class='post share-enabled'><p>t</p></article><p>o</p></body>", "t"),
+    "content": ("<body><div id='content' class='no-comments'><p>t</p></div><p>o</p></body>", "t"),
+    "holder": ("<body><form><div class=search><article>t</article></div></form><aside>s</aside></body>", "t"),
+    "whole names": ("<body><p>t</p><div class='cookie-notice'>c</div><div id=comments-2>d</div><div class='x-share'>u</div></body>", "t\nu"),
+}
+
+
+def test_names_in_parts_drop_no_text(spark):
+    rows = [(f"http://k{i}.example/", page) for i, (page, _) in enumerate(KEPT.values())]
+    got = {r.page_id: r.text for r in wrapper.main_texts(pages(spark, rows)).collect()}
+    assert got == dict(enumerate(want for _, want in KEPT.values()))
+
+
+def test_a_page_that_is_not_read_goes_by_its_own_tree():
+    other = re.compile(wrapper.expression(wrapper.skeleton("<ul><li>x</li></ul>"), []))
+    assert wrapper.main_text(PAGES["plain"][0], other, frozenset()) == (PAGES["plain"][1], False)
+
+
 INTERLEAVED = {
     "articles": ("<article>A</article><div class=ad>x</div><article>B</article><div class=ad>y</div>", "A\nB"),
     "contents": ("<div class=content>A</div><div class=ad>x</div>" * 2 + "<div class=content>C</div>", "A\nA\nC"),
