@@ -153,6 +153,24 @@ def test_quotes_link_and_order(spark):
     assert (got[1, 4].max_level, got[1, 4].quoted_lines, got[1, 4].linked_lines) == (2, 2, 2)
 
 
+def test_quotes_wrapped_anew(spark):
+    long = "one two three four five six seven eight nine ten eleven twelve."
+    rows = [
+        (1, 0, "user", f"intro here\n\n{long} So short.\nnext words stand here"),
+        (1, 1, "assistant", "> one two three four\n> five six seven eight nine ten\n> eleven twelve.\nagreed"),
+        (1, 2, "user", "a reply that goes\nover two lines."),
+        (1, 3, "assistant", "> a reply that goes over two lines.\nyes"),
+        (1, 4, "user", "> So\n> short.\nindeed"),
+        (1, 5, "user", ">> agreed\n>>> intro here\ndeep"),
+        (1, 6, "user", "> one two other words\n> altogether\nno"),
+        (2, 0, "user", "> a reply that goes over two lines."),
+    ]
+    got = {(r.conv_id, r.turn): r for r in quotes.linked_messages(messages(spark, rows)).collect()}
+    parents = {k: r.parent_turn for k, r in got.items()}
+    assert parents == {(1, 0): None, (1, 1): 0, (1, 2): None, (1, 3): 2, (1, 4): 0, (1, 5): 1, (1, 6): None, (2, 0): None}
+    assert [(got[1, i].quoted_lines, got[1, i].linked_lines) for i in (1, 3, 4, 6)] == [(3, 3), (1, 1), (2, 2), (2, 0)]
+
+
 def test_quote_edges(spark):
     rows = [
         (None, 0, "user", "> a"), (3, None, "user", "a"), (3, 0, None, None), (3, 1, "user", ""), (3, 2, "user", ">"),
