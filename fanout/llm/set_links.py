@@ -17,7 +17,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fanout.llm import signature_tree as st
@@ -153,8 +153,9 @@ def _families(edges: DataFrame, signatures: DataFrame) -> DataFrame:
     """id, family, its tokens, for every set with an edge."""
     owners = small(written(components(edges, "a", "b"), "owners"))
     members = signatures.select("id", "n").join(owners, "id")
-    tokens = F.sum("n").over(Window.partitionBy("root")).alias("tokens")
-    return written(members.select("id", F.col("root").alias("family"), tokens), "families")
+    members = written(members.select("id", "n", F.col("root").alias("family")), "members")
+    tokens = small(written(members.groupBy("family").agg(F.sum("n").alias("tokens")), "tokens"))
+    return written(members.join(tokens, "family").select("id", "family", "tokens"), "families")
 
 
 def _closer(families: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:

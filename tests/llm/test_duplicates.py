@@ -11,9 +11,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from fanout.llm import exact_dedup, jaccard_join, signature_tree, substring_dedup
+from fanout.llm import exact_dedup, jaccard_join, set_links, signature_tree, substring_dedup
 from fanout.llm import words as hashing
 from fanout.llm.components import components
+from fanout.llm.shared import written
 from fanout.llm.words import shingles, word_hashes
 from helpers import EDGES, documents, edited, words
 
@@ -294,6 +295,22 @@ def test_no_operator_collects_the_table(spark):
     assert "CartesianProduct" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
+def test_families_are_summed_without_a_window(spark, monkeypatch):
+    plans = []
+
+    def kept(df, label):
+        if label == "families":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, label)
+
+    monkeypatch.setattr(set_links, "written", kept)
+    edges = spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "a long, b long")
+    signatures = spark.createDataFrame([(i, 10 * i) for i in (1, 2, 3, 7, 8, 9)], "id long, n long")
+    got = {(r.id, r.family, r.tokens) for r in set_links._families(edges, signatures).collect()}
+    assert got == {(1, 1, 60), (2, 1, 60), (3, 1, 60), (7, 7, 150), (8, 7, 150)}
+    assert len(plans) == 1 and "Window" not in plans[0]
+
+
 # --- runs ----------------------------------------------------------------------------------------
 
 
