@@ -14,6 +14,7 @@ from fanout.llm import (
     pieces,
     pitman_yor,
     quality,
+    quality_rules,
     quotes,
     sql,
     substring_dedup,
@@ -68,6 +69,10 @@ def op10_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op13_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.verdicts(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -81,6 +86,11 @@ QUERIES = {
         op8_jaccard_join,
         op9_pieces,
         op10_wrapper_text,
+        op13_line_rules,
     )
 }
-ORACLES = {"op2_exact_dedup": sql.exact_groups(), "op8_jaccard_join": sql.jaccard_groups(4, 85, 100)}
+ORACLES = {
+    "op2_exact_dedup": sql.exact_groups(),
+    "op8_jaccard_join": sql.jaccard_groups(4, 85, 100),
+    "op13_line_rules": sql.quality_rules(),
+}

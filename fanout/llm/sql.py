@@ -35,3 +35,46 @@ def shingle_groups(width: int, num: int, den: int, table: str = "documents") ->
 
 def jaccard_groups(width: int, num: int, den: int) -> str:
     return f"WITH RECURSIVE {shingle_groups(width, num, den)} SELECT doc_id, n_shingles, component_id FROM grouped"
+
+
+def quality_rules() -> str:
+    """Counts of the base and of the line rules, word by word and line by line."""
+    from fanout.llm.quality_rules import ENDS, MARKS, PHRASES, SEPARATORS, SYMBOLS, Rules
+
+    rules = Rules()
+
+    def literal(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    separators = ", ".join(map(literal, SEPARATORS))
+    phrases = " OR ".join(f"contains(low, {literal(p)})" for p in PHRASES)
+    split = f"list_filter(regexp_split_to_array({{}}, '{_SPACE}'), lambda x: x <> '')"
+    n = rules.window
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT r, doc_id, text, {split.format("text")} AS w FROM d),
+    windows AS (SELECT r, i, list_aggregate(w[i:i + {n - 1}], 'string_agg', ' ') AS k
+                FROM (SELECT r, w, unnest(range(1, len(w) - {n - 2})) AS i FROM w)),
+    again AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, k) > 1),
+    covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + {n})) AS p FROM again) GROUP BY r),
+    l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+    lw AS (SELECT r, line, translate(line, '{UPPER}', '{UPPER.lower()}') AS low, {split.format("line")} AS w FROM l),
+    judged AS (SELECT r, line, CASE
+        WHEN len(list_filter(w, lambda x: x IN ({separators}))) >= {rules.separators}
+             AND 100 * len(list_filter(w, lambda x: x IN ({separators}))) >= {rules.separated} * len(w) THEN 1
+        WHEN len(w) <= {rules.boilerplate_words} AND ({phrases}) THEN 2
+        WHEN len(list_filter(w, lambda x: regexp_matches(x, {literal(ENDS)}))) = 0
+             OR 100 * len(list_filter(w, lambda x: regexp_matches(x, {literal(MARKS)}))) > {rules.marked} * len(w) THEN 3
+        ELSE 0 END AS rule, length(regexp_replace(line, '{_SPACE}', '', 'g')) AS chars
+        FROM lw WHERE len(w) > 0),
+    lines AS (SELECT r, count(*) - count(DISTINCT line) AS doubled, count(*) FILTER (rule = 1) AS r1,
+                     count(*) FILTER (rule = 2) AS r2, count(*) FILTER (rule = 3) AS r3,
+                     sum(chars) FILTER (rule > 0) AS lost FROM judged GROUP BY r),
+    m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '{_SPACE}', '', 'g')) AS word_chars,
+                 length(regexp_replace(text, '[^{SYMBOLS}]', '', 'g')) AS n_symbols, coalesce(doubled, 0) AS n_dup_lines,
+                 coalesce(covered.n, 0) AS n_repeat_words, coalesce(r1, 0) AS n_navigation_lines,
+                 coalesce(r2, 0) AS n_boilerplate_lines, coalesce(r3, 0) AS n_punctuation_lines,
+                 coalesce(lost, 0)::BIGINT AS lost_chars
+          FROM w LEFT JOIN covered USING (r) LEFT JOIN lines USING (r))
+    SELECT *, n_words < {rules.least_words} OR 100 * n_repeat_words > {rules.repeated} * n_words AS base_failed,
+           NOT (base_failed OR 100 * lost_chars > {rules.lost} * word_chars) AS kept FROM m"""
