@@ -103,11 +103,11 @@ LAST = "In the morning a boy brought news from the mill, where two millers had f
     ],
 )
 def test_each_rule(spark, line, measure):
-    docs = documents(spark, [(1, f"{GOOD}\n{line}\n{MORE}")])
+    docs = documents(spark, [(1, f"{GOOD}\n{line}\n{MORE} {LAST}")])
     row = quality_rules.verdicts(docs).first()
     assert row[measure] == 1 and sum(row[m] for m in MEASURES[5:8]) == 1 and row.kept
     out = quality_rules.cleaned(docs).first()
-    assert out.text == f"{GOOD}\n{MORE}" and out.n_chars == len(out.text)
+    assert out.text == f"{GOOD}\n{MORE} {LAST}" and out.n_chars == len(out.text)
 
 
 def test_long_lines_may_speak_of_cookies_and_ends_may_be_missing(spark):
