@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fanout.llm import (
     exact_dedup,
     jaccard_join,
+    manifest,
     order_minhash,
     packing,
     pieces,
@@ -69,6 +70,18 @@ def op10_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    torn = [F.translate("text", "\n", "") if f == "text" else F.col(f) for f in fields]
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    kept = {"tampered": F.when(chosen, manifest.leaf(torn))}
+    rows = manifest.manifest(table(spark, sf_dir, "documents"), fields, "source", "doc_id", kept)
+    checked = manifest.verified(rows, F.coalesce("tampered", "leaf"))
+    return checked.select(
+        "doc_id", "leaf", "subroot", "root", manifest.proof(F.col("path")).alias("proof_sha256"), "folded_root", "verified"
+    )
+
+
 def op13_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
 
@@ -86,11 +99,13 @@ QUERIES = {
         op8_jaccard_join,
         op9_pieces,
         op10_wrapper_text,
+        op12_merkle_manifest,
         op13_line_rules,
     )
 }
 ORACLES = {
     "op2_exact_dedup": sql.exact_groups(),
     "op8_jaccard_join": sql.jaccard_groups(4, 85, 100),
+    "op12_merkle_manifest": sql.merkle_manifest(),
     "op13_line_rules": sql.quality_rules(),
 }

@@ -78,3 +78,47 @@ def quality_rules() -> str:
           FROM w LEFT JOIN covered USING (r) LEFT JOIN lines USING (r))
     SELECT *, n_words < {rules.least_words} OR 100 * n_repeat_words > {rules.repeated} * n_words AS base_failed,
            NOT (base_failed OR 100 * lost_chars > {rules.lost} * word_chars) AS kept FROM m"""
+
+
+def merkle_manifest(fanout: int = 3) -> str:
+    """The trees level by level, then every row's fold from its leaf to the root."""
+
+    def leaf(text: str) -> str:
+        columns = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+        return "sha256(" + " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in columns) + ")"
+
+    def levels(name: str, start: str) -> str:
+        return f"""
+    {name} AS (SELECT * FROM ({start})
+      UNION ALL SELECT level + 1, tree, place // {fanout}, (nodes + {fanout - 1}) // {fanout}, sha256(string_agg(h, '' ORDER BY place))
+      FROM {name} WHERE nodes > 1 GROUP BY level, tree, nodes, place // {fanout}),
+    {name}_runs AS (SELECT level, tree, place // {fanout} AS run, list(h ORDER BY place) AS hs FROM {name} WHERE nodes > 1 GROUP BY ALL)"""
+
+    def fold(name: str, start: str) -> str:
+        slot = f"(place % {fanout})"
+        before = f"array_to_string(hs[1:{slot}], '')"
+        after = f"array_to_string(hs[{slot} + 2:], '')"
+        return f"""
+    {name}_fold AS (SELECT * FROM ({start})
+      UNION ALL SELECT f.id, f.level + 1, f.tree, place // {fanout}, sibs || {before} || {after}, sha256({before} || h || {after})
+      FROM {name}_fold f JOIN {name}_runs r ON r.level = f.level AND r.tree = f.tree AND r.run = place // {fanout}),
+    {name}_top AS (SELECT id, max_by(sibs, level) AS sibs, max_by(h, level) AS h FROM {name}_fold GROUP BY id)"""
+
+    return f"""
+    WITH RECURSIVE raw AS (SELECT doc_id, coalesce('1' || source, '0') AS tree, {leaf("text")} AS leaf,
+        {leaf("replace(text, chr(10), '')")} AS torn FROM documents),
+    d AS (SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+                 count(*) OVER (PARTITION BY tree) AS nodes FROM raw),
+    c AS (SELECT doc_id, bits FROM (SELECT DISTINCT doc_id FROM d WHERE doc_id IS NOT NULL), LATERAL (
+          SELECT list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1)))),
+          lambda crc, b: list_reduce(list_prepend(xor(crc, b::BIGINT), range(8)), lambda x, k: CASE WHEN x % 2 = 1
+          THEN xor(x // 2, 3988292384) ELSE x // 2 END)) AS bits)),
+    {levels("sub", "SELECT 0 AS level, tree, place, nodes, leaf AS h FROM d")},
+    s AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS nodes
+          FROM sub WHERE nodes = 1),
+    {levels("top", "SELECT 0 AS level, 'all' AS tree, place, nodes, subroot AS h FROM s")},
+    {fold("sub", "SELECT id, 0 AS level, tree, place, '' AS sibs, CASE WHEN bits % 2 = 1 THEN torn ELSE leaf END AS h FROM d LEFT JOIN c USING (doc_id)")},
+    t AS (SELECT d.id, d.doc_id, leaf, subroot, s.place, sibs, h FROM d JOIN s USING (tree) JOIN sub_top USING (id)),
+    {fold("top", "SELECT id, 0 AS level, 'all' AS tree, place, sibs, h FROM t")}
+    SELECT doc_id, leaf, subroot, r.h AS root, sha256(f.sibs) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+    FROM t JOIN top_top f USING (id), (SELECT h FROM top WHERE nodes = 1) r"""
