@@ -17,6 +17,7 @@ from fanout.llm import (
     quality,
     quality_rules,
     quotes,
+    repair,
     sql,
     substring_dedup,
     wrapper,
@@ -70,6 +71,35 @@ def op10_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.main_texts(table(spark, sf_dir, "pages"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows dropped, emptied, robbed of sentence ends, repeated or given the user's role, by a hash of id and turn."""
+    space = F.lit(" ")
+    role, text = F.coalesce("role", space), F.coalesce("text", space)
+    named = [F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")]
+    harm = F.crc32(F.concat_ws(":", *named)) % 20
+    rows = conversations.select(
+        "conv_id",
+        "turn",
+        F.when(harm == 4, "user").otherwise(role).alias("role"),
+        F.when(harm == 1, "").when(harm == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.when(harm == 0, 0).when(harm == 3, 2).otherwise(1).alias("times"),
+    )
+    return rows.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("times")))).drop("copy", "times")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    found = repair.repair(damaged(conversations))
+    ids = conversations.select("conv_id").distinct().withColumn("conv", repair.key_of(F.col("conv_id")))
+    told = ids.join(found.conversations, "conv", "left").join(repair.digests(found.messages), "conv", "left")
+    return told.select(
+        "conv_id",
+        *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = ["doc_id", "source", "lang", "n_chars", "text"]
     torn = [F.translate("text", "\n", "") if f == "text" else F.col(f) for f in fields]
@@ -99,6 +129,7 @@ QUERIES = {
         op8_jaccard_join,
         op9_pieces,
         op10_wrapper_text,
+        op11_conversation_repair,
         op12_merkle_manifest,
         op13_line_rules,
     )
@@ -106,6 +137,7 @@ QUERIES = {
 ORACLES = {
     "op2_exact_dedup": sql.exact_groups(),
     "op8_jaccard_join": sql.jaccard_groups(4, 85, 100),
+    "op11_conversation_repair": sql.conversation_repair(),
     "op12_merkle_manifest": sql.merkle_manifest(),
     "op13_line_rules": sql.quality_rules(),
 }

@@ -122,3 +122,61 @@ def merkle_manifest(fanout: int = 3) -> str:
     {fold("top", "SELECT id, 0 AS level, 'all' AS tree, place, sibs, h FROM t")}
     SELECT doc_id, leaf, subroot, r.h AS root, sha256(f.sibs) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
     FROM t JOIN top_top f USING (id), (SELECT h FROM top WHERE nodes = 1) r"""
+
+
+def conversation_repair() -> str:
+    """Damage, faults, and a forward pass over each conversation's rows that keeps, for every state, the cheapest
+    output so far and, of those, the least audit."""
+    space = r"[\x20\x09-\x0D]"
+    empty = "{'cost': 0::BIGINT, 'audit': '', 'out': ''}"
+
+    def grown(cost: str, letter: str, line: str = "") -> str:
+        out = f", 'out': b.out || {line} || chr(10)" if line else ", 'out': b.out"
+        return f"{{'cost': b.cost + {cost}, 'audit': b.audit || '{letter}'{out}}}"
+
+    spoken = "CASE WHEN state = 'u' THEN 'assistant' ELSE 'user' END"
+
+    def put_in(source: str, name: str) -> str:
+        turns = f"SELECT conv, i, {spoken}[1] AS state, {grown('3', 'I', f'({spoken}) || chr(58)')} AS b FROM"
+        return f"""
+        {name}_1 AS ({turns} {source}), {name}_2 AS ({turns} {name}_1),
+        {name} AS (SELECT conv, i, state, min(b) AS b FROM (FROM {source} UNION ALL FROM {name}_1 UNION ALL FROM {name}_2) GROUP BY ALL)"""
+
+    return f"""
+    WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS named FROM conversations),
+    c AS (SELECT named, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT,
+          list_transform(range(1, length(named) + 1), lambda i: ascii(substr(named, i, 1)))),
+          lambda crc, b: list_reduce(list_prepend(xor(crc, b::BIGINT), range(8)), lambda x, k: CASE WHEN x % 2 = 1
+          THEN xor(x // 2, 3988292384) ELSE x // 2 END))) % 20 AS harm FROM (SELECT DISTINCT named FROM raw)),
+    h AS (SELECT coalesce('1' || conv_id, '0') AS conv, turn, CASE harm WHEN 4 THEN 'user' ELSE role END AS role,
+          CASE harm WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+          unnest(CASE harm WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM raw JOIN c USING (named)),
+    o AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) - 1 AS i FROM h),
+    f AS (SELECT *, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank,
+          NOT blank AND row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 AS duplicate,
+          NOT blank AND NOT duplicate AND NOT regexp_matches(text, '[.!?]{space}*$') AS truncated,
+          lag(role[1]) OVER (PARTITION BY conv ORDER BY i) || role[1] AS pair FROM o),
+    facts AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n,
+              count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+              count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv),
+    dp AS (
+      SELECT conv, -1::BIGINT AS i, '' AS state, {empty} AS b FROM facts
+      UNION ALL
+      (WITH start AS (SELECT conv, i, state, b FROM dp), {put_in('start', 'ready')},
+       step AS (SELECT r.conv, r.i, r.role, r.text, state, b, blank OR duplicate AS gone, CASE WHEN truncated THEN 3 ELSE 0 END AS extra
+                FROM ready JOIN f r ON r.conv = ready.conv AND r.i = ready.i + 1),
+       done AS (
+         SELECT conv, i, state, {grown('4', 'D')} AS b FROM step
+         UNION ALL SELECT conv, i, role[1], {grown('extra', 'K', "role || ':' || text")} FROM step
+           WHERE NOT gone AND (state || role[1] IN ('s', 'u', 'su', 'ua', 'au') AND role <> '' AND (state = '' OR length(state || role[1]) = 2))
+         UNION ALL SELECT conv, i, ({spoken})[1], {grown('3 + extra', 'R', f"({spoken}) || ':' || text")} FROM step WHERE NOT gone)
+       SELECT conv, i, state, min(b) AS b FROM done GROUP BY ALL)),
+    start AS (SELECT conv, i, state, b FROM dp JOIN facts USING (conv) WHERE i = n - 1),
+    {put_in('start', 'ready')},
+    best AS (SELECT conv, min(b) AS b FROM ready WHERE state IN ('', 'a') GROUP BY conv)
+    SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+           coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.cost, 0) AS cost,
+           coalesce(b.audit, '') AS audit, sha256(coalesce(CASE WHEN b.out = '' THEN '' ELSE b.out[:-2] END, '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id, coalesce('1' || conv_id, '0') AS conv FROM conversations)
+    LEFT JOIN facts USING (conv) LEFT JOIN best USING (conv)"""
