@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fanout import schemas as S
+from fanout.operators.intervals import in_windows
 from fanout.functions.numeric import jvm_size
 from fanout.operators.ordering import nearest_rank, select_ranks
 from fanout.session import cut
@@ -49,28 +50,50 @@ def parse_profile_events(df: DataFrame, field: str = "profile_events", out: str
     return df.withColumn("malformed", ~whole).withColumn(out, F.when(whole, folded))
 
 
+def wanted_inserts(log: DataFrame, tables: Sequence[str], *, forwarded: bool = False) -> DataFrame:
+    """Inserts into ``tables``, projected to the known counters. Forwarded ones are *not* the initial query."""
+    wanted = F.array(*[F.lit(t) for t in tables])
+    initial = ~F.col("is_initial_query") if forwarded else F.col("is_initial_query")
+    return log.filter((F.col("query_kind") == "Insert") & initial & F.arrays_overlap("tables", wanted)).withColumn(
+        "counters", F.map_filter("profile_events", lambda k, _: k.isin(S.PROFILE_COUNTERS))
+    )
+
+
 def attribute_inserts(
     log: DataFrame, tables: Sequence[str], from_ms: int, to_ms: int, *, forwarded: bool = False
 ) -> DataFrame:
     """Inserts into ``tables`` started in ``[from, to)``, projected to the known counters.
 
-    The date predicate is redundant and one day wide on both sides: it prunes a log partitioned by
-    date. Forwarded inserts are the ones that are *not* the initial query.
+    The date predicate is redundant and one day wide on both sides: it prunes a log partitioned by date.
     """
     start = F.col("query_start_time")
-    wanted = F.array(*[F.lit(t) for t in tables])
-    initial = ~F.col("is_initial_query") if forwarded else F.col("is_initial_query")
     first_day = F.date_sub(F.to_date(F.timestamp_millis(F.lit(from_ms))), 1)
     last_day = F.date_add(F.to_date(F.timestamp_millis(F.lit(to_ms))), 1)
-    return (
-        log.filter(F.col("event_date").between(first_day, last_day))
-        .filter((start >= F.timestamp_millis(F.lit(from_ms))) & (start < F.timestamp_millis(F.lit(to_ms))))
-        .filter((F.col("query_kind") == "Insert") & initial & F.arrays_overlap("tables", wanted))
-        .withColumn(
-            "counters",
-            F.map_filter("profile_events", lambda k, _: k.isin(S.PROFILE_COUNTERS)),
-        )
+    in_time = log.filter(F.col("event_date").between(first_day, last_day)).filter(
+        (start >= F.timestamp_millis(F.lit(from_ms))) & (start < F.timestamp_millis(F.lit(to_ms)))
     )
+    return wanted_inserts(in_time, tables, forwarded=forwarded)
+
+
+def window_days(windows: DataFrame) -> DataFrame:
+    """The days that any of the windows (from_ms, to_ms) touches, and one more on both sides, each once."""
+    first = F.date_sub(F.to_date(F.timestamp_millis("from_ms")), 1)
+    last = F.date_add(F.to_date(F.timestamp_millis("to_ms")), 1)
+    spans = windows.filter("from_ms < to_ms").select(first.alias("first"), last.alias("last"))
+    return spans.distinct().select(F.explode(F.sequence("first", "last")).alias("event_date")).distinct()
+
+
+def attribute_to_runs(
+    log: DataFrame, windows: DataFrame, tables: Sequence[str], *, forwarded: bool = False
+) -> DataFrame:
+    """Each insert once for every run, of ``windows`` (run, from_ms, to_ms), in whose window it started.
+
+    Only days that a window touches are read of a log partitioned by date: the join with those days
+    prunes the partitions when the query runs. The log must have no columns of the windows' names.
+    """
+    dated = log.join(window_days(windows), "event_date", "left_semi")
+    inserts = wanted_inserts(dated, tables, forwarded=forwarded)
+    return in_windows(inserts, F.unix_millis("query_start_time"), windows.select("run", "from_ms", "to_ms"), "from_ms", "to_ms")
 
 
 def _counter(name: str) -> Column:
@@ -157,13 +180,23 @@ def server_metrics(costs: DataFrame, rows: str = "rows") -> DataFrame:
     )
 
 
+def logged_in_windows(log: DataFrame, windows: DataFrame) -> DataFrame:
+    """Each log row once for every run, of ``windows`` (run, from_ms, to_ms), with its ``event_time`` after the start."""
+    spans = windows.select("run", (F.col("from_ms") * 1000 + 1).alias("_from"), (F.col("to_ms") * 1000).alias("_to"))
+    return in_windows(log, F.unix_micros("event_time"), spans, "_from", "_to").drop("_from", "_to")
+
+
 def part_log_summary(parts: DataFrame, keys: Sequence[str], since: Column) -> DataFrame:
     """Per key since a time: new parts and merges with their rows; keys without a new part drop out."""
+    return part_totals(parts.filter(F.col("event_time") > since), keys)
+
+
+def part_totals(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per key: new parts and merges with their rows; keys without a new part drop out."""
     new, merged = F.col("event_type") == "NewPart", F.col("event_type") == "MergeParts"
     zero = F.lit(0).cast("long")
     return (
-        parts.filter(F.col("event_time") > since)
-        .groupBy(*keys)
+        parts.groupBy(*keys)
         .agg(
             F.count_if(new).alias("parts_written"),
             F.coalesce(F.sum(F.when(new, F.col("rows"))), zero).alias("rows_written"),
@@ -176,10 +209,14 @@ def part_log_summary(parts: DataFrame, keys: Sequence[str], since: Column) -> Da
 
 def network_wait(log: DataFrame, keys: Sequence[str], since: Column) -> DataFrame:
     """Per key since a time: finished inserts, their duration and the time spent receiving."""
+    return network_totals(log.filter(F.col("event_time") > since), keys)
+
+
+def network_totals(log: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per key: finished inserts, their duration and the time spent receiving."""
     received = F.coalesce(F.try_element_at("profile_events", F.lit("NetworkReceiveElapsedMicroseconds")), F.lit(0))
     return (
         log.filter((F.col("type") == "QueryFinish") & (F.col("query_kind") == "Insert"))
-        .filter(F.col("event_time") > since)
         .groupBy(*keys)
         .agg(
             F.count("*").alias("inserts"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fanout import schemas as S
+from fanout.operators.intervals import in_windows
 from fanout.operators.ordering import nearest_rank, select_ranks
 
 QUANTILES = {"p50_us": 0.5, "p99_us": 0.99, "p999_us": 0.999}
@@ -68,6 +69,40 @@ def latency_exact(landed: DataFrame, keys: Sequence[str], from_ms: int, to_ms: i
     return quantiles.join(totals, list(keys)).select(*keys, *QUANTILES, "max_us", "rows")
 
 
+def rows_by_run(landed: DataFrame, windows: DataFrame) -> DataFrame:
+    """Rows of each run's own window, ``windows`` being (run, from_ms, to_ms); 0 where none landed.
+
+    Windows may overlap: a row counts for every window it falls into. Rows of one millisecond are counted before they
+    meet the windows.
+    """
+    landed = landed.groupBy(F.unix_millis("ingest_ts").alias("at_ms")).agg(F.count("*").alias("n"))
+    met = in_windows(landed, F.col("at_ms"), windows.select("run", "from_ms", "to_ms"), "from_ms", "to_ms")
+    counts = met.groupBy("run").agg(F.sum("n").alias("rows"))
+    return windows.select("run", "from_ms", "to_ms").join(counts, "run", "left").fillna(0, ["rows"])
+
+
+def latency_by_run(landed: DataFrame, windows: DataFrame) -> DataFrame:
+    """Exact nearest-rank quantiles of each run's own window; a run without rows is refused and has none."""
+    lat = (F.unix_micros("ingest_ts") - F.unix_micros("send_ts")).alias("lat_us")
+    points = landed.select(F.unix_millis("ingest_ts").alias("at_ms"), lat)
+    pooled = points.groupBy("at_ms", "lat_us").agg(F.count("*").alias("n"))
+    met = in_windows(pooled, F.col("at_ms"), windows.select("run", "from_ms", "to_ms"), "from_ms", "to_ms")
+    weights = met.groupBy("run", "lat_us").agg(F.sum("n").alias("n"))
+    quantiles = select_ranks(weights, ["run"], "lat_us", {n: nearest_rank(q) for n, q in QUANTILES.items()}, "n")
+    totals = weights.groupBy("run").agg(F.max("lat_us").alias("max_us"), F.sum("n").alias("rows"))
+    return (
+        windows.select("run")
+        .join(quantiles.join(totals, "run"), "run", "left")
+        .select(
+            "run",
+            *QUANTILES,
+            "max_us",
+            F.coalesce("rows", F.lit(0)).alias("rows"),
+            F.when(F.col("rows").isNull(), F.lit("no rows in window")).alias("refusal"),
+        )
+    )
+
+
 def run_rates(runs: DataFrame) -> DataFrame:
     """Rates of one window from ``rows, window_ms, cpu_us``; all three derive from the same interval."""
     seconds = F.col("window_ms") / 1000.0

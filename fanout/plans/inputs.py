@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from fanout import schemas as S
 from fanout.operators import corpus
+from fanout.operators.resources import sampler_window
 from fanout.operators.transform import land, land_flat
-from fanout.session import staged
+from fanout.session import staged, staged_folder
 from fanout.sources.tables import spread, table, utc
 
 
@@ -177,6 +178,17 @@ def series(spark, sf) -> DataFrame:
     )
 
 
+def run_windows(spark, sf) -> DataFrame:
+    """A window for every hundredth event, from a quarter second to twelve days long, and those of the samplers."""
+    e = F.col("event_id")
+    length = F.pow(F.lit(4), _div(e, 100) % 12).cast("long") * 250 + F.col("k") - 1
+    own = _events(spark, sf).filter(e % 100 == 0).select(
+        _tag("w-", e).alias("run"), F.col("ms").alias("from_ms"), (F.col("ms") + length).alias("to_ms")
+    )
+    arms = sampler_window(series(spark, sf)).filter("from_ms is not null")
+    return own.unionByName(arms.withColumnRenamed("arm", "run"))
+
+
 def declared_containers(spark, sf) -> DataFrame:
     """Five arms of three containers; the series knows only four of the arms."""
     c = F.col("c_custkey")
@@ -285,6 +297,11 @@ def query_log(spark, sf) -> DataFrame:
     )
 
 
+def dated_query_log(spark, sf) -> str:
+    """Folder of the query log written by date, once per application."""
+    return staged_folder(spark, f"dated query log of {sf}", lambda: query_log(spark, sf), "event_date")
+
+
 def profile_text(spark, sf) -> DataFrame:
     """Counter maps as the text a log prints, some of them spoiled."""
     k = F.col("k")
@@ -314,6 +331,17 @@ def part_log(spark, sf) -> DataFrame:
     )
 
 
+def part_windows(spark, sf) -> DataFrame:
+    """Windows of days over the time that parts were shipped in, one for each of some orders."""
+    day = F.unix_millis(utc("l_shipdate"))
+    chosen = (F.col("l_orderkey") % 400 == 0) & (F.col("l_linenumber") == 1)
+    return _lineitem(spark, sf).filter(chosen).select(
+        _tag("p-", F.col("l_orderkey")).alias("run"),
+        (day - 1).alias("from_ms"),
+        (day + F.col("l_quantity").cast("long") * 86_400_000).alias("to_ms"),
+    )
+
+
 def settle_rungs(spark, sf) -> DataFrame:
     return _lineitem(spark, sf).select(
         _tag("fmt-", F.col("l_suppkey") % 7).alias("format"),

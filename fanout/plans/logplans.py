@@ -8,7 +8,7 @@ from fanout.operators import logs
 from fanout.operators.transform import land
 from fanout.operators.windows import in_ms_window
 from fanout.plans import inputs
-from fanout.plans.oracle import EV, FEED, FEED_LANDED, GC, QUERY_LOG, with_views
+from fanout.plans.oracle import EV, FEED, FEED_LANDED, GC, QUERY_LOG, RUN_WINDOWS, SERIES, with_views
 from fanout.schemas import PROFILE_COUNTERS
 
 # 2024-01-05 to 2024-01-25
@@ -72,6 +72,30 @@ def network_wait(spark, sf):
     return logs.network_wait(inputs.query_log(spark, sf), ["run"], F.timestamp_millis(F.lit(FROM_MS)))
 
 
+def run_window_attribution(spark, sf):
+    """What the inserts of each run's own window cost the server; windows overlap."""
+    log = inputs.query_log(spark, sf).withColumnRenamed("run", "writer")
+    return logs.server_cost(logs.attribute_to_runs(log, inputs.run_windows(spark, sf), TABLES), ["run"])
+
+
+def run_window_network(spark, sf):
+    log = inputs.query_log(spark, sf).withColumnRenamed("run", "writer")
+    return logs.network_totals(logs.logged_in_windows(log, inputs.run_windows(spark, sf)), ["run"])
+
+
+def run_window_parts(spark, sf):
+    met = logs.logged_in_windows(inputs.part_log(spark, sf), inputs.part_windows(spark, sf))
+    return logs.part_totals(met, ["run", "table"])
+
+
+def query_log_by_date(spark, sf):
+    """The same attribution over a log written by date, of which only the windows' days are read."""
+    log = spark.read.parquet(inputs.dated_query_log(spark, sf)).withColumnRenamed("run", "writer")
+    short = inputs.run_windows(spark, sf).filter("to_ms - from_ms < 3600000 and from_ms % 23 = 0")
+    inserts = logs.attribute_to_runs(log, short, TABLES)
+    return inserts.select("run", "event_id", "event_date", "type", "written_rows")
+
+
 def settle_reading(spark, sf):
     return logs.settle_reading(inputs.settle_rungs(spark, sf), ["format"])
 
@@ -118,6 +142,10 @@ QUERIES = {
     "server_metrics": server_metrics,
     "part_log_summary": part_log_summary,
     "network_wait": network_wait,
+    "run_window_attribution": run_window_attribution,
+    "run_window_network": run_window_network,
+    "run_window_parts": run_window_parts,
+    "query_log_by_date": query_log_by_date,
     "settle_reading": settle_reading,
     "gc_lines": gc_lines,
     "gc_heap_config": gc_heap_config,
@@ -137,6 +165,10 @@ _SERVER = """fin AS (SELECT run, count(*) FILTER (f) queries, count(*) FILTER (k
     FROM (SELECT *, kind = 'QueryFinish' f FROM att WHERE is_initial) GROUP BY run),
   server AS (SELECT *, refusal IS NULL fine FROM (SELECT *, CASE WHEN queries = 0 THEN 'no attributed inserts' WHEN async_q > 0 THEN 'async inserts'
     WHEN queries = queries_without_cpu THEN 'no cpu counters' END refusal FROM fin))"""
+_MET = """met AS (SELECT q.* EXCLUDE (run), w.run FROM qlog q JOIN run_windows w ON {} )"""
+_MET_START = _MET.format("ts >= make_timestamp(from_ms * 1000) AND ts < make_timestamp(to_ms * 1000)")
+_MET_AFTER = _MET.format("ts > make_timestamp(from_ms * 1000) AND ts < make_timestamp(to_ms * 1000)")
+_MET_ATTRIBUTED = "att AS (SELECT * FROM met WHERE is_insert AND list_has_any(tabs, ['db.sensor_events', 'db.landing']))"
 _BIG = "CAST(CASE WHEN fine THEN {} END AS BIGINT) {}"
 _NULL = "CAST(NULL AS BIGINT) {}"
 
@@ -164,6 +196,11 @@ def _gc_totals(where: str) -> str:
 
 _FINE = "CASE WHEN refusal IS NULL THEN {} END {}"
 
+_COST = f"""SELECT run, queries, started, failed, greatest(started - queries - failed, 0) in_flight, queries_without_cpu,
+      {_BIG.format('written_rows', 'written_rows')}, {_BIG.format('cpu_us', 'cpu_us')}, {_BIG.format('coalesce(user_us, 0)', 'user_us')},
+      {_BIG.format('coalesce(system_us, 0)', 'system_us')}, {_NULL.format('real_us')}, {_NULL.format('os_cpu_virtual_us')},
+      {_NULL.format('os_cpu_wait_us')}, {_NULL.format('inserted_rows')}, {_BIG.format('inserted_bytes', 'inserted_bytes')}, refusal FROM server"""
+
 ORACLES = {
     "profile_events_parse": with_views(EV)
     + """SELECT e event_id, k % 11 IN (1, 2, 3) malformed, CAST(CASE WHEN k % 11 IN (1, 2, 3) THEN NULL WHEN k % 11 = 0 THEN 0
@@ -178,11 +215,21 @@ ORACLES = {
       CASE WHEN c_user IS NOT NULL THEN 'UserTimeMicroseconds' END) counters FROM att WHERE is_initial""",
     "insert_attribution_forwarded": with_views(EV, QUERY_LOG, _ATTRIBUTED)
     + "SELECT e event_id, run, kind AS type FROM att WHERE NOT is_initial",
-    "server_cost": with_views(EV, QUERY_LOG, _ATTRIBUTED, _SERVER)
-    + f"""SELECT run, queries, started, failed, greatest(started - queries - failed, 0) in_flight, queries_without_cpu,
-      {_BIG.format('written_rows', 'written_rows')}, {_BIG.format('cpu_us', 'cpu_us')}, {_BIG.format('coalesce(user_us, 0)', 'user_us')},
-      {_BIG.format('coalesce(system_us, 0)', 'system_us')}, {_NULL.format('real_us')}, {_NULL.format('os_cpu_virtual_us')},
-      {_NULL.format('os_cpu_wait_us')}, {_NULL.format('inserted_rows')}, {_BIG.format('inserted_bytes', 'inserted_bytes')}, refusal FROM server""",
+    "server_cost": with_views(EV, QUERY_LOG, _ATTRIBUTED, _SERVER) + _COST,
+    "run_window_attribution": with_views(EV, SERIES, RUN_WINDOWS, QUERY_LOG, _MET_START, _MET_ATTRIBUTED, _SERVER) + _COST,
+    "run_window_network": with_views(EV, SERIES, RUN_WINDOWS, QUERY_LOG, _MET_AFTER)
+    + """SELECT run, count(*) inserts, CAST(sum(duration_ms) AS BIGINT) duration_ms, CAST(sum(c_net) AS BIGINT) waiting_us FROM met
+      WHERE kind = 'QueryFinish' AND is_insert GROUP BY run""",
+    "run_window_parts": """SELECT run, "table", count(*) FILTER (l_returnflag = 'A') parts_written,
+      CAST(coalesce(sum(q) FILTER (l_returnflag = 'A'), 0) AS BIGINT) rows_written, count(*) FILTER (l_returnflag = 'N') merges,
+      CAST(coalesce(sum(q) FILTER (l_returnflag = 'N'), 0) AS BIGINT) rows_merged
+      FROM (SELECT 't' || (l_suppkey % 3) "table", l_returnflag, CAST(l_quantity AS BIGINT) q, epoch_us(CAST(l_shipdate AS TIMESTAMP)) shipped FROM lineitem)
+      JOIN (SELECT 'p-' || l_orderkey run, epoch_us(CAST(l_shipdate AS TIMESTAMP)) d, CAST(l_quantity AS BIGINT) n_days FROM lineitem
+        WHERE l_orderkey % 400 = 0 AND l_linenumber = 1) ON shipped > d - 1000 AND shipped < d + n_days * 86400000000
+      GROUP BY 1, 2 HAVING count(*) FILTER (l_returnflag = 'A') > 0""",
+    "query_log_by_date": with_views(EV, SERIES, RUN_WINDOWS, QUERY_LOG, _MET_START, _MET_ATTRIBUTED)
+    + """SELECT a.run, e event_id, event_date, kind AS type, written_rows FROM att a JOIN run_windows w ON w.run = a.run
+      WHERE is_initial AND to_ms - from_ms < 3600000 AND from_ms % 23 = 0""",
     "server_metrics": with_views(EV, FEED, FEED_LANDED, QUERY_LOG, _ATTRIBUTED, _SERVER)
     + f"""SELECT run, CASE WHEN fine THEN CAST(cpu_us AS BIGINT) / n END server_cpu_us_per_row,
       CASE WHEN fine THEN CAST(cpu_us AS BIGINT) / CAST(written_rows AS BIGINT) END server_cpu_us_per_written_row,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fanout.operators import resources, windows
 from fanout.plans import inputs
-from fanout.plans.oracle import COSTS, DECLARED, EV, LATENCY, OFFSETS, POLLS, RUNS, SENDS, SERIES, with_views
+from fanout.plans.oracle import COSTS, DECLARED, EV, LATENCY, OFFSETS, POLLS, RUN_WINDOWS, RUNS, SENDS, SERIES, with_views
 
 # 2024-01-05 to 2024-01-25, in epoch milliseconds
 FROM_MS, TO_MS = 1_704_412_800_000, 1_706_140_800_000
@@ -30,6 +30,14 @@ def latency_max(spark, sf):
     return windows.latency(inputs.latency_rows(spark, sf), ["run"], FROM_MS, TO_MS).select("run", "max_us", "rows")
 
 
+def run_window_rows(spark, sf):
+    return windows.rows_by_run(inputs.latency_rows(spark, sf), inputs.run_windows(spark, sf))
+
+
+def run_window_latency(spark, sf):
+    return windows.latency_by_run(inputs.latency_rows(spark, sf), inputs.run_windows(spark, sf))
+
+
 def sampler_window(spark, sf):
     return resources.sampler_window(inputs.series(spark, sf))
 
@@ -107,6 +115,8 @@ QUERIES = {
     "latency_window": latency_window,
     "latency_exact": latency_exact,
     "latency_max": latency_max,
+    "run_window_rows": run_window_rows,
+    "run_window_latency": run_window_latency,
     "sampler_window": sampler_window,
     "run_rates": run_rates,
     "kept_up": kept_up,
@@ -149,6 +159,13 @@ ORACLES = {
       WHERE {_IN} GROUP BY 1""",
     "latency_max": with_views(EV, LATENCY)
     + f'SELECT run, max(ingest_us - send_us) max_us, count(*) "rows" FROM lat WHERE {_IN} GROUP BY 1',
+    "run_window_rows": with_views(EV, SERIES, RUN_WINDOWS, LATENCY)
+    + """SELECT w.run, from_ms, to_ms, count(ingest_us) "rows" FROM run_windows w
+      LEFT JOIN lat ON ingest_us >= from_ms * 1000 AND ingest_us < to_ms * 1000 GROUP BY ALL""",
+    "run_window_latency": with_views(EV, SERIES, RUN_WINDOWS, LATENCY)
+    + """SELECT w.run, quantile_disc(l, 0.5) p50_us, quantile_disc(l, 0.99) p99_us, quantile_disc(l, 0.999) p999_us, max(l) max_us,
+      count(l) "rows", CASE WHEN count(l) = 0 THEN 'no rows in window' END refusal FROM run_windows w
+      LEFT JOIN (SELECT ingest_us, ingest_us - send_us l FROM lat) ON ingest_us >= from_ms * 1000 AND ingest_us < to_ms * 1000 GROUP BY 1""",
     "sampler_window": with_views(EV, SERIES)
     + """SELECT arm, CASE WHEN good THEN a END from_ms, CASE WHEN good THEN z END to_ms FROM (SELECT arm, min(a) a, max(z) z,
       bool_and(a IS NOT NULL) AND min(a) < max(z) good FROM (SELECT arm, container, min(t_ms) FILTER (ok) a, max(t_ms) FILTER (ok) z

@@ -86,6 +86,11 @@ SERIES = """series AS (SELECT 'arm-' || (u % 4) arm, 'c' || (u % 3) container, e
   e*100 mem_peak, CASE WHEN t = 'error' THEN -1 ELSE CAST(round(value*1000000) AS BIGINT) END anon, t <> 'error' ok
   FROM ev)"""
 
+RUN_WINDOWS = """run_windows AS (SELECT 'w-' || e run, ms from_ms, ms + CAST(pow(4, e // 100 % 12) AS BIGINT) * 250 + k - 1 to_ms
+    FROM ev WHERE e % 100 = 0
+  UNION ALL SELECT arm, min(a), max(z) FROM (SELECT arm, container, min(t_ms) FILTER (ok) a, max(t_ms) FILTER (ok) z
+    FROM series GROUP BY ALL) GROUP BY arm HAVING count(*) = count(a) AND min(a) < max(z))"""
+
 DECLARED = """declared AS (SELECT DISTINCT 'arm-' || (c_custkey % 5) arm, 'c' || (c_custkey % 3) container,
   CASE WHEN c_custkey % 3 = 0 THEN 'data-plane' ELSE 'coordinator' END AS role FROM customer)"""
 

@@ -73,16 +73,22 @@ def kept(df: DataFrame) -> DataFrame:
 _STAGED: dict[tuple[str, str], str] = {}
 
 
+def staged_folder(spark: SparkSession, name: str, make: Callable[[], DataFrame], *partitioned: str) -> str:
+    """Folder of a derived table, written once per application to the shared folder, by the columns given."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _STAGED:
+        frame = make()
+        folder = scratch_path(spark, "staged")
+        # rows of one value from several tasks: no value goes through one task
+        frame.write.partitionBy(*partitioned).parquet(folder)
+        _STAGED[key] = folder
+    return _STAGED[key]
+
+
 def staged(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """A derived table written once per application to the shared folder, then read like any other.
 
     Reading it back gives plans real scans, with pruned columns and pushed filters, and keeps the
     derivation out of every plan that uses it. ``name`` must say everything the table depends on.
     """
-    key = (spark.sparkContext.applicationId, name)
-    if key not in _STAGED:
-        frame = make()
-        folder = scratch_path(spark, "staged")
-        frame.write.parquet(folder)
-        _STAGED[key] = folder
-    return spark.read.parquet(_STAGED[key])
+    return spark.read.parquet(staged_folder(spark, name, make))
