@@ -8,14 +8,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fanout.functions.wire import frame_datum, frame_problem
 from fanout.operators.transform import land
 from fanout.plans import inputs
 from fanout.plans.ingest import ORACLES as INGEST
 from fanout.plans.oracle import EV, FEED, FEED_LANDED, with_views
-from fanout.schemas import COLUMNS
+from fanout.schemas import BATCH, COLUMNS
 from fanout.session import scratch_path
 from fanout.sources import sinks
 from fanout.sources.messages import envelopes
+from fanout.sources.tokens import TokenTable
+from fanout.sources.topic import consume
 from fanout.streaming import jobs
 
 FILES_PER_TRIGGER = 2
@@ -109,6 +112,63 @@ def prefill_corpus(spark, sf):
     )
 
 
+def _topic(spark, sf) -> tuple[str, int]:
+    """A filled topic folder whose messages hold whole batches, and how many it holds."""
+    folder = scratch_path(spark, "topic")
+    batches = inputs.nested_corpus(spark, sf)
+    datum = F.to_json(F.struct(*batches.columns), {"ignoreNullFields": "false"}).cast("binary")
+    expected = inputs.document_ids(spark, sf).count()
+    made = envelopes(batches, datum, schema_id=7, topic_name="corpus", partitions=8)
+    sinks.prefill(spark, lambda: made, folder, expected=expected)
+    return folder, expected
+
+
+def _consumed(spark, sf, shape, sink) -> int:
+    """Consume the topic in triggers of a quarter of it, the query stopped and started again after each."""
+    folder, expected = _topic(spark, sf)
+    group, offsets = scratch_path(spark, "group"), scratch_path(spark, "offsets")
+
+    def start():
+        messages = consume(spark, folder, group, per_trigger=-(-expected // 4))
+        return jobs.start_sink(shape(messages), sink, offsets)
+
+    return jobs.drain_by_restarts(start)
+
+
+def topic_consume(spark, sf):
+    """Messages per partition of a topic consumed by offsets across restarts: each lands once."""
+    out = scratch_path(spark, "messages")
+    _consumed(spark, sf, lambda messages: messages, jobs.folder_sink(out))
+    return spark.read.parquet(out).groupBy("partition").agg(
+        F.count("*").alias("messages"), F.count_distinct("offset").alias("offsets"), F.max("offset").alias("high")
+    )
+
+
+def topic_land(spark, sf):
+    """The corpus consumed from its topic, decoded and landed, once across restarts."""
+    target = scratch_path(spark, "target")
+
+    def decoded(messages):
+        value = F.col("value")
+        checked = F.when(frame_problem(value, F.lit(7)).isNull(), frame_datum(value).cast("string"))
+        return land(messages.select(F.from_json(checked, BATCH).alias("b")).select("b.*"))
+
+    _consumed(spark, sf, decoded, jobs.epoch_sink(target))
+    return _target(spark, target)
+
+
+def token_window(spark, sf):
+    """Eight inserts, then three replayed: those inside a window of four tokens land once, the one beyond it again."""
+    rows = land(inputs.feed(spark, sf))
+    table = TokenTable(spark, scratch_path(spark, "tokens"), window=4)
+    landed = []
+    for part in [*range(8), 7, 4, 0]:
+        mine = sinks.target_rows(rows.filter(F.col("batch_id") % 8 == part), stamped=False)
+        landed.append(table.insert(mine, f"part-{part}"))
+    kept = table.read().groupBy((F.col("batch_id") % 8).alias("part")).agg(F.count("*").alias("rows"))
+    return kept.withColumn("inserts", F.lit(sum(landed)))
+
+
 QUERIES = {
     "sensor_events_insert": sensor_events_insert,
     "drain_run": drain_run,
@@ -117,6 +177,9 @@ QUERIES = {
     "idempotent_sink": idempotent_sink,
     "row_ledger": row_ledger,
     "prefill_corpus": prefill_corpus,
+    "topic_consume": topic_consume,
+    "topic_land": topic_land,
+    "token_window": token_window,
 }
 
 ORACLES = {
@@ -128,4 +191,9 @@ ORACLES = {
     "row_ledger": with_views(EV, FEED, FEED_LANDED) + "SELECT 'run' run, count(*) \"rows\" FROM fl",
     "prefill_corpus": """SELECT CAST(doc_id % 8 AS INTEGER) AS partition, count(*) messages, max(doc_id // 8) high, 'written+reused' outcome
       FROM documents GROUP BY 1""",
+    "topic_consume": """SELECT CAST(doc_id % 8 AS INTEGER) AS partition, count(*) messages, count(DISTINCT doc_id // 8) offsets,
+      max(doc_id // 8) high FROM documents GROUP BY 1""",
+    "topic_land": INGEST["land_corpus"],
+    "token_window": with_views(EV, FEED, FEED_LANDED)
+    + """SELECT batch_id % 8 part, count(*) * CASE WHEN batch_id % 8 = 0 THEN 2 ELSE 1 END AS "rows", 9::INTEGER inserts FROM fl GROUP BY 1""",
 }

@@ -17,7 +17,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from fanout import schemas as S
 from fanout.operators.transform import LAND_SQL, land
-from fanout.sources.sinks import insert, insert_epoch
+from fanout.sources.sinks import insert, insert_epoch, target_rows
+from fanout.sources.tokens import TokenTable
 
 COMMIT_INTERVAL = "5 seconds"
 Sink = Callable[[DataFrame, int], None]
@@ -43,10 +44,32 @@ def epoch_sink(path: str, drain: str | None = None) -> Sink:
     """
 
     def write(rows: DataFrame, epoch: int) -> None:
-        own = drain or rows.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        if not own:
-            raise ValueError("an epoch sink outside a streaming query needs the drain's name")
-        insert_epoch(rows, path, own, epoch)
+        insert_epoch(rows, path, _drain_of(rows, drain), epoch)
+
+    return write
+
+
+def _drain_of(rows: DataFrame, drain: str | None) -> str:
+    own = drain or rows.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if not own:
+        raise ValueError("a sink that lands once needs the drain's name outside a streaming query")
+    return own
+
+
+def token_sink(table: TokenTable, drain: str | None = None) -> Sink:
+    """Once within the table's window of tokens: a micro-batch's token is its drain and epoch."""
+
+    def write(rows: DataFrame, epoch: int) -> None:
+        table.insert(target_rows(rows).sortWithinPartitions(*S.SORT_ORDER), f"{_drain_of(rows, drain)}/{epoch}")
+
+    return write
+
+
+def folder_sink(path: str, drain: str | None = None) -> Sink:
+    """Rows of any shape to a folder of their drain and epoch, replacing it."""
+
+    def write(rows: DataFrame, epoch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/drain={_drain_of(rows, drain)}/epoch={epoch}")
 
     return write
 
@@ -93,6 +116,11 @@ def start_ingest(batches: DataFrame, sink: Sink, checkpoint: str, *, live: bool
     return _start(land(batches), sink, checkpoint, live=live)
 
 
+def start_sink(frame: DataFrame, sink: Sink, checkpoint: str, *, live: bool = False) -> StreamingQuery:
+    """Hand a stream of any shape to a sink. Not live: everything there now, then stop."""
+    return _start(frame, sink, checkpoint, live=live)
+
+
 def start_landing_view(batches: DataFrame, path: str, checkpoint: str, *, live: bool = False) -> StreamingQuery:
     return _start(batches, landing_view_sink(path), checkpoint, live=live)
 
@@ -103,3 +131,17 @@ def drain(query: StreamingQuery) -> None:
     failure = query.exception()
     if failure is not None:
         raise failure
+
+
+def drain_by_restarts(start: Callable[[], StreamingQuery]) -> int:
+    """Start a bounded run from the same checkpoint again and again until one finds nothing; how many found something.
+
+    A source with a limit a trigger gives one trigger a bounded run.
+    """
+    runs = 0
+    while True:
+        query = start()
+        drain(query)
+        if not any(p["numInputRows"] for p in query.recentProgress):
+            return runs
+        runs += 1
