@@ -13,6 +13,9 @@ from fanout.operators.ordering import nearest_rank, select_ranks
 
 QUANTILES = {"p50_us": 0.5, "p99_us": 0.99, "p999_us": 0.999}
 SKETCH_ACCURACY = 10_000  # a sketched rank is off by this part of the rows at most
+MINUTE_MS = 60_000
+SKETCH_K = 4096  # a stored sketch: some tens of kilobytes however many rows a minute has
+SKETCH_RANK_ERROR = 0.004  # three times the error that a sketch of this size exceeds in one of a hundred
 
 
 def in_ms_window(ts: str, from_ms: Column | int, to_ms: Column | int) -> Column:
@@ -49,16 +52,8 @@ def latency(landed: DataFrame, keys: Sequence[str], from_ms: int, to_ms: int) ->
 
 def latency_checked(landed: DataFrame, keys: Sequence[str], from_ms: int, to_ms: int) -> DataFrame:
     """For each sketched quantile, whether it lies within the sketch's rank error of the exact one."""
-    near = {}
-    for name, q in QUANTILES.items():
-        near[f"{name}_lo"] = nearest_rank(round(q - 1 / SKETCH_ACCURACY, 6))
-        near[f"{name}_hi"] = nearest_rank(min(1.0, round(q + 1 / SKETCH_ACCURACY, 6)))
-    lat = _latencies(landed, from_ms, to_ms).select(*keys, "lat_us")
-    bounds = select_ranks(lat, keys, "lat_us", near)
-    within = [
-        F.col(n).between(F.col(f"{n}_lo"), F.col(f"{n}_hi")).alias(n.replace("_us", "_within")) for n in QUANTILES
-    ]
-    return latency(landed, keys, from_ms, to_ms).join(bounds, list(keys)).select(*keys, *within, "max_us", "rows")
+    found = latency(landed, keys, from_ms, to_ms)
+    return within_rank_error(found, landed, keys, from_ms, to_ms, 1 / SKETCH_ACCURACY)
 
 
 def latency_exact(landed: DataFrame, keys: Sequence[str], from_ms: int, to_ms: int) -> DataFrame:
@@ -69,6 +64,59 @@ def latency_exact(landed: DataFrame, keys: Sequence[str], from_ms: int, to_ms: i
     return quantiles.join(totals, list(keys)).select(*keys, *QUANTILES, "max_us", "rows")
 
 
+def latency_sketches(landed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A row a minute and key: a mergeable sketch of the latencies, their exact maximum and their number.
+
+    Kept as a table, it answers for any span of minutes without the rows.
+    """
+    lat = F.unix_micros("ingest_ts") - F.unix_micros("send_ts")
+    minute = F.call_function("div", F.unix_millis("ingest_ts"), F.lit(MINUTE_MS))
+    return (
+        landed.withColumn("lat_us", lat)
+        .groupBy(*keys, minute.alias("minute"))
+        .agg(
+            F.kll_sketch_agg_bigint("lat_us", F.lit(SKETCH_K)).alias("sketch"),
+            F.max("lat_us").alias("max_us"),
+            F.count("*").alias("rows"),
+        )
+    )
+
+
+def sketched_latency(sketches: DataFrame, keys: Sequence[str], from_minute: int, to_minute: int) -> DataFrame:
+    """Quantiles of the minutes ``[from, to)``, each within SKETCH_RANK_ERROR of its rank, from their sketches alone."""
+    minute = F.col("minute")
+    return (
+        sketches.filter((minute >= from_minute) & (minute < to_minute))
+        .groupBy(*keys)
+        .agg(
+            F.kll_merge_agg_bigint("sketch", F.lit(SKETCH_K)).alias("_sketch"),
+            F.max("max_us").alias("max_us"),
+            F.sum("rows").alias("rows"),
+        )
+        .select(
+            *keys,
+            *[F.kll_sketch_get_quantile_bigint("_sketch", F.lit(q)).alias(n) for n, q in QUANTILES.items()],
+            "max_us",
+            "rows",
+        )
+    )
+
+
+def within_rank_error(
+    found: DataFrame, landed: DataFrame, keys: Sequence[str], from_ms: int, to_ms: int, error: float
+) -> DataFrame:
+    """For each quantile of ``found``, whether it lies between the exact ones ``error`` below and above its rank."""
+    near = {}
+    for name, q in QUANTILES.items():
+        near[f"{name}_lo"] = nearest_rank(max(0.0, round(q - error, 6)))
+        near[f"{name}_hi"] = nearest_rank(min(1.0, round(q + error, 6)))
+    lat = _latencies(landed, from_ms, to_ms).select(*keys, "lat_us")
+    within = [
+        F.col(n).between(F.col(f"{n}_lo"), F.col(f"{n}_hi")).alias(n.replace("_us", "_within")) for n in QUANTILES
+    ]
+    return found.join(select_ranks(lat, keys, "lat_us", near), list(keys)).select(*keys, *within, "max_us", "rows")
+
+
 def rows_by_run(landed: DataFrame, windows: DataFrame) -> DataFrame:
     """Rows of each run's own window, ``windows`` being (run, from_ms, to_ms); 0 where none landed.
 

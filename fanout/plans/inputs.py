@@ -121,6 +121,23 @@ def broken_corpus(spark, sf) -> DataFrame:
     )
 
 
+def whole_landing(spark, sf) -> DataFrame:
+    """What the corpus over every event id must have landed as, each row once."""
+    return land_flat(corpus.flat_messages(event_ids(spark, sf)))
+
+
+@_written
+def altered_corpus(spark, sf) -> DataFrame:
+    """That landing with batches lost, rows changed, rows landed three times, and batches nobody sent."""
+    b, s = F.col("batch_id"), F.col("event_seq")
+    rows = whole_landing(spark, sf).filter(b % 97 != 7)
+    changed = (b % 101 == 3) & (s == 5)
+    there = rows.withColumn("value", F.when(changed, F.col("value") + 1).otherwise(F.col("value")))
+    again = rows.filter((b % 13 == 0) & (s % 50 == 1))
+    strange = rows.filter(b % 89 == 4).withColumn("batch_id", b + 1_000_000_000)
+    return there.unionByName(again).unionByName(again).unionByName(strange)
+
+
 @_written
 def tampered_corpus(spark, sf) -> DataFrame:
     """The nested corpus over every event id with a wrong sensor, a wrong value or a lost event at times."""

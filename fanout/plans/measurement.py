@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fanout.operators import resources, windows
 from fanout.plans import inputs
 from fanout.plans.oracle import COSTS, DECLARED, EV, LATENCY, OFFSETS, POLLS, RUN_WINDOWS, RUNS, SENDS, SERIES, with_views
+from fanout.session import kept
 
 # 2024-01-05 to 2024-01-25, in epoch milliseconds
 FROM_MS, TO_MS = 1_704_412_800_000, 1_706_140_800_000
@@ -21,6 +22,21 @@ def latency_window(spark, sf):
     return windows.latency_checked(inputs.latency_rows(spark, sf), ["run"], FROM_MS, TO_MS)
 
 
+SPANS_MS = {"whole": (FROM_MS, TO_MS), "day": (FROM_MS, FROM_MS + 86_400_000), "hours": (FROM_MS + 360_000_000, FROM_MS + 378_000_000)}
+
+
+def latency_sketches(spark, sf):
+    """Three spans read from one stored table of sketches a minute; whether each quantile keeps the sketch's promise."""
+    landed = inputs.latency_rows(spark, sf)
+    sketches = kept(windows.latency_sketches(landed, ["run"]))
+    spans = []
+    for name, (lo, hi) in SPANS_MS.items():
+        found = windows.sketched_latency(sketches, ["run"], lo // windows.MINUTE_MS, hi // windows.MINUTE_MS)
+        checked = windows.within_rank_error(found, landed, ["run"], lo, hi, windows.SKETCH_RANK_ERROR)
+        spans.append(checked.withColumn("span", F.lit(name)))
+    return spans[0].unionByName(spans[1]).unionByName(spans[2])
+
+
 def latency_exact(spark, sf):
     return windows.latency_exact(inputs.latency_rows(spark, sf), ["run"], FROM_MS, TO_MS)
 
@@ -113,6 +129,7 @@ def cores_between(spark, sf):
 QUERIES = {
     "rows_in_window": rows_in_window,
     "latency_window": latency_window,
+    "latency_sketches": latency_sketches,
     "latency_exact": latency_exact,
     "latency_max": latency_max,
     "run_window_rows": run_window_rows,
@@ -157,6 +174,12 @@ ORACLES = {
     "latency_window": with_views(EV, LATENCY)
     + f"""SELECT run, true p50_within, true p99_within, true p999_within, max(ingest_us - send_us) max_us, count(*) "rows" FROM lat
       WHERE {_IN} GROUP BY 1""",
+    "latency_sketches": with_views(EV, LATENCY)
+    + " UNION ALL ".join(
+        f"""SELECT '{name}' span, run, true p50_within, true p99_within, true p999_within, max(ingest_us - send_us) max_us, count(*) "rows"
+      FROM lat WHERE ingest_us >= {lo}000 AND ingest_us < {hi}000 GROUP BY run"""
+        for name, (lo, hi) in SPANS_MS.items()
+    ),
     "latency_max": with_views(EV, LATENCY)
     + f'SELECT run, max(ingest_us - send_us) max_us, count(*) "rows" FROM lat WHERE {_IN} GROUP BY 1',
     "run_window_rows": with_views(EV, SERIES, RUN_WINDOWS, LATENCY)

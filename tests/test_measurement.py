@@ -323,3 +323,23 @@ def test_sweep(spark, rates, best, seen, climbing):
     ladder = spark.createDataFrame([("f", 2**i, r) for i, r in enumerate(rates)], "format string, concurrency long, rows_per_s long")
     got = ceilings.sweep_plateau(ladder).first()
     assert (got.concurrency, got.rungs_seen, got.still_climbing) == (best, seen, climbing)
+
+
+def test_sketches_answer_for_any_span(spark):
+    """Spans cut through minutes of very unequal size; exact maxima and counts, quantiles within the promised rank."""
+    base = 1_704_067_200_000
+    rows = spark.range(60_000).select(
+        (F.col("id") % 3).alias("run"),
+        F.timestamp_millis(F.lit(base) + F.pow(F.col("id") % 1000, F.lit(2)).cast("long")).alias("ingest_ts"),
+        (F.col("id") * 7919 % 100_003).alias("lat"),
+    ).withColumn("send_ts", F.timestamp_micros(F.unix_micros("ingest_ts") - F.col("lat")))
+    sketches = windows.latency_sketches(rows, ["run"])
+    first = base // windows.MINUTE_MS
+    assert sketches.count() == rows.select("run", F.floor(F.unix_millis("ingest_ts") / 60_000)).distinct().count()
+    for lo, hi in [(0, 20), (1, 2), (5, 16), (30, 40)]:
+        found = windows.sketched_latency(sketches, ["run"], first + lo, first + hi)
+        ms = base + lo * 60_000, base + hi * 60_000
+        got = windows.within_rank_error(found, rows, ["run"], *ms, windows.SKETCH_RANK_ERROR).collect()
+        exact = {r.run: r for r in windows.latency_exact(rows, ["run"], *ms).collect()}
+        assert {r.run: (r.max_us, r.rows) for r in got} == {k: (r.max_us, r.rows) for k, r in exact.items()}
+        assert all(r.p50_within and r.p99_within and r.p999_within for r in got)
