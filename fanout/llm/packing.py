@@ -52,19 +52,30 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.apart: dict[str, bool] = {}
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHED_WORDS:
             for old in list(islice(self, CACHED_WORDS // 2)):
                 del self[old]
         stem = word.rstrip(PUNCTUATION)
-        if len(stem) < len(word) and stem and b"<|" not in word and _ends_in_letter_or_digit(stem):
+        if len(stem) < len(word) and stem and b"<|" not in word and self._ends_apart(stem):
             ids = self[stem] + self[word[len(stem) :]]
         else:
             ids = array("I", self._encoded(word)).tobytes()
         self[word] = ids
         return ids
 
+    def _ends_apart(self, stem: bytes) -> bool:
+        """Whether a stem ends in a letter or digit that stays one when normalised: some end in a mark then."""
+        if stem[-1] < 128:
+            return stem[-1:].isalnum()
+        last = stem[-4:].decode(errors="ignore")[-1:]
+        if last not in self.apart:
+            form = self.tokenizer.normalizer.normalize_str(last) if self.tokenizer.normalizer else last
+            self.apart[last] = form[-1:].isalnum()
+        return self.apart[last]
+
     def _encoded(self, word: bytes) -> list[int]:
         if word.isalpha() and word.isascii():
             letters = word.decode()
@@ -76,11 +87,6 @@ class WordIds(dict):
         return [t.id for t in self.tokenizer.model.tokenize(letters)]
 
 
-def _ends_in_letter_or_digit(stem: bytes) -> bool:
-    last = stem[-1:] if stem[-1] < 128 else stem[-4:].decode(errors="ignore")[-1:]
-    return last.isalnum()
-
-
 _TOKENIZERS: dict[str, WordIds] = {}
 
 

@@ -70,3 +70,17 @@ def test_slots_give_every_rank_one_place():
             taken.add((length, first + i, sequence + i, offset))
     assert Counter(t[0] for t in taken) == Counter(histogram)
     assert {(t[0], t[1]) for t in taken} == {(k, r) for k, n in histogram.items() for r in range(n)}
+
+
+def test_words_before_punctuation_get_the_tokenizers_ids():
+    """Letters that end in a mark once normalised, among them every letter of some scripts, and random strings."""
+    from tokenizers import Tokenizer
+
+    rnd, alphabet = random.Random(5), "aéİIıßŒǅTÜRKİ.,!?-'\"()0９²ºªДя中\u0307\u0301"
+    strings = ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(1, 9))) for _ in range(8000)]
+    letters = [chr(c) for c in [*range(0xC0, 0x250), *range(0x370, 0x400), *range(0x900, 0xA00), *range(0xFB00, 0xFB50)]]
+    strings += ["TÜRKİ.", "İ,", *(c + p for c in letters if c.isalnum() for p in (".", "',"))]
+    ids, tokenizer = packing.WordIds(PATH), Tokenizer.from_file(PATH)
+    for text, want in zip(strings, tokenizer.encode_batch(strings, add_special_tokens=False), strict=True):
+        got = b"".join(map(ids.__getitem__, text.encode().lower().split()))
+        assert np.frombuffer(got, "<u4").tolist() == want.ids, text
