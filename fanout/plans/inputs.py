@@ -238,6 +238,17 @@ def sends(spark, sf) -> DataFrame:
     )
 
 
+def sink_rows(spark, sf) -> DataFrame:
+    """Rows on their way to a sink: half of them for one shard, of very unequal size, in bursts."""
+    e, k = F.col("event_id"), F.col("k")
+    return _events(spark, sf).select(
+        F.when(e % 2 == 0, F.lit("shard-hot")).otherwise(_tag("shard-", F.col("user_id") % 5)).alias("shard"),
+        (F.col("ms") + F.when(e % 50 < 40, -(F.col("ms") % 3_600_000)).otherwise(0)).alias("at_ms"),
+        "event_id",
+        (F.when(k % 17 == 0, k * 40).otherwise(k) + 1).alias("bytes"),
+    )
+
+
 def offsets(spark, sf) -> DataFrame:
     e = F.col("event_id")
     return _events(spark, sf).select(

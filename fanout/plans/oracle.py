@@ -119,6 +119,9 @@ POLLS = """raw_polls AS (SELECT 'run-' || (u % 16) run, us // 3600000000 - 17040
 SENDS = """sends AS (SELECT 'run-' || (u % 4) run, e*1000000 // 37 due_us, e*1000000 // 37 + e*7919 % 5000 actual_us,
   t = 'error' AND u % 4 = 1 failed, CASE WHEN u % 4 = 2 THEN 37 ELSE 5 END rate FROM ev)"""
 
+SINK_ROWS = """sink_rows AS (SELECT CASE WHEN e % 2 = 0 THEN 'shard-hot' ELSE 'shard-' || (u % 5) END shard,
+    CASE WHEN e % 50 < 40 THEN ms - ms % 3600000 ELSE ms END at_ms, e, CASE WHEN k % 17 = 0 THEN k * 40 ELSE k END + 1 bytes FROM ev)"""
+
 OFFSETS = """offsets AS (SELECT 'topic-' || (u % 2) topic, e % 8 AS part, e // 8 AS off FROM ev)"""
 
 RUNS = """runs AS (SELECT 'run-' || u run, "rows", window_ms, cpu_us, peak_anon_bytes,

@@ -9,17 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fanout.functions.wire import frame_datum, frame_problem
+from fanout.operators.sealing import Budget, sealed_batches
 from fanout.operators.transform import land
 from fanout.plans import inputs
 from fanout.plans.ingest import ORACLES as INGEST
-from fanout.plans.oracle import EV, FEED, FEED_LANDED, with_views
+from fanout.plans.measurement import ORACLES as MEASUREMENT
+from fanout.plans.oracle import EV, FEED, FEED_LANDED, SINK_ROWS, with_views
 from fanout.schemas import BATCH, COLUMNS
 from fanout.session import scratch_path
 from fanout.sources import sinks
 from fanout.sources.messages import envelopes
 from fanout.sources.tokens import TokenTable
 from fanout.sources.topic import consume
-from fanout.streaming import jobs
+from fanout.streaming import jobs, live
 
 FILES_PER_TRIGGER = 2
 
@@ -169,7 +171,50 @@ def token_window(spark, sf):
     return kept.withColumn("inserts", F.lit(sum(landed)))
 
 
+SEAL = Budget(max_rows=24, max_bytes=3000, linger_ms=7_200_000)
+
+
+def sealed(spark, sf):
+    """Batches of each shard, sealed by rows, bytes or time."""
+    rows = inputs.sink_rows(spark, sf)
+    return sealed_batches(rows, F.col("shard"), F.col("at_ms"), F.col("bytes"), [F.col("event_id")], SEAL)
+
+
+PARTS = 6
+
+
+def _told_live(spark, sf, rule):
+    """Polls in the order of their ticks, a file a part of the time; the query is stopped and started again midway."""
+    folder, out, offsets = (scratch_path(spark, n) for n in ("polls", "told", "offsets"))
+    polls = inputs.polls(spark, sf)
+    ends = polls.agg(F.min("tick").alias("a"), F.max("tick").alias("z")).first()
+    part = F.call_function("div", (F.col("tick") - ends.a) * PARTS, F.lit(ends.z - ends.a + 1))
+    stream = None
+    for k in range(PARTS):
+        polls.filter(part == k).coalesce(1).write.mode("append").parquet(folder)
+        if k in (PARTS // 2 - 1, PARTS - 1):
+            stream = spark.readStream.schema(polls.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+            jobs.drain(jobs.start_sink(live.told_live(stream, rule), jobs.folder_sink(out), offsets, mode="update"))
+    return live.newest(spark, out).drop("late_polls", "decided")
+
+
+def live_quiesce(spark, sf):
+    return _told_live(spark, sf, live.Quiesce())
+
+
+def live_warmup(spark, sf):
+    return _told_live(spark, sf, live.WarmUp())
+
+
+def live_drain(spark, sf):
+    return _told_live(spark, sf, live.Drained())
+
+
 QUERIES = {
+    "sealed_batches": sealed,
+    "live_quiesce": live_quiesce,
+    "live_warmup": live_warmup,
+    "live_drain": live_drain,
     "sensor_events_insert": sensor_events_insert,
     "drain_run": drain_run,
     "stream_land": stream_land,
@@ -182,7 +227,23 @@ QUERIES = {
     "token_window": token_window,
 }
 
+_SEALED = f"""ranked AS (SELECT *, row_number() OVER w - 1 i, sum(bytes) OVER w - bytes before, count(*) OVER (PARTITION BY shard) n
+      FROM sink_rows WINDOW w AS (PARTITION BY shard ORDER BY at_ms, e ROWS UNBOUNDED PRECEDING)),
+    reach AS (SELECT a.shard, a.i, any_value(a.n) n, min(b.i) FILTER (b.before + b.bytes - a.before >= {SEAL.max_bytes}) + 1 by_bytes,
+      min(b.i) FILTER (b.at_ms - a.at_ms >= {SEAL.linger_ms}) by_time FROM ranked a JOIN ranked b ON a.shard = b.shard AND b.i BETWEEN a.i AND a.i + {SEAL.max_rows}
+      GROUP BY a.shard, a.i),
+    jump AS (SELECT shard, i, least(i + {SEAL.max_rows}, n, coalesce(by_bytes, n), coalesce(by_time, n)) z, CASE WHEN i + {SEAL.max_rows} <= least(n, coalesce(by_bytes, n), coalesce(by_time, n)) THEN 'rows'
+      WHEN by_bytes <= least(n, coalesce(by_time, n)) THEN 'bytes' WHEN by_time < n THEN 'time' ELSE 'end' END sealed_by FROM reach),
+    path AS (SELECT shard, 0::BIGINT batch, 0::BIGINT i FROM ranked WHERE i = 0
+      UNION ALL SELECT p.shard, batch + 1, z FROM path p JOIN jump j ON j.shard = p.shard AND j.i = p.i JOIN ranked r ON r.shard = p.shard AND r.i = z)"""
+
 ORACLES = {
+    "sealed_batches": with_views(EV, SINK_ROWS, _SEALED)
+    + """SELECT p.shard "key", batch, p.i first_row, count(*) "rows", CAST(sum(bytes) AS BIGINT) bytes, min(at_ms) from_ms, max(at_ms) to_ms, any_value(sealed_by) sealed_by
+    FROM path p JOIN jump j ON j.shard = p.shard AND j.i = p.i JOIN ranked r ON r.shard = p.shard AND r.i >= p.i AND r.i < z GROUP BY 1, 2, 3""",
+    "live_quiesce": MEASUREMENT["quiesce_point"],
+    "live_warmup": MEASUREMENT["warmup_point"],
+    "live_drain": MEASUREMENT["drain_complete"],
     "sensor_events_insert": INGEST["land_df"],
     "drain_run": INGEST["land_corpus"],
     "stream_land": INGEST["land_df"],

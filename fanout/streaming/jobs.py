@@ -105,8 +105,8 @@ def landing_view_sink(path: str) -> Sink:
     return write
 
 
-def _start(frame: DataFrame, sink: Sink, checkpoint: str, *, live: bool) -> StreamingQuery:
-    writer = frame.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+def _start(frame: DataFrame, sink: Sink, checkpoint: str, *, live: bool, mode: str = "append") -> StreamingQuery:
+    writer = frame.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=COMMIT_INTERVAL) if live else writer.trigger(availableNow=True)
     return writer.start()
 
@@ -116,9 +116,11 @@ def start_ingest(batches: DataFrame, sink: Sink, checkpoint: str, *, live: bool
     return _start(land(batches), sink, checkpoint, live=live)
 
 
-def start_sink(frame: DataFrame, sink: Sink, checkpoint: str, *, live: bool = False) -> StreamingQuery:
+def start_sink(
+    frame: DataFrame, sink: Sink, checkpoint: str, *, live: bool = False, mode: str = "append"
+) -> StreamingQuery:
     """Hand a stream of any shape to a sink. Not live: everything there now, then stop."""
-    return _start(frame, sink, checkpoint, live=live)
+    return _start(frame, sink, checkpoint, live=live, mode=mode)
 
 
 def start_landing_view(batches: DataFrame, path: str, checkpoint: str, *, live: bool = False) -> StreamingQuery:
