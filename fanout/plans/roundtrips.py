@@ -88,6 +88,43 @@ def ceiling_files(spark, sf):
     return ingest.select("env", "format", "rows_per_s", "client", "infra_digest")
 
 
+def ceiling_unknown_keys(spark, sf):
+    """Keys in ceilings' files that nobody reads, by environment."""
+    folder = scratch_path(spark, "ceilings")
+    used = inputs.consume_ceilings(spark, sf)
+    n = F.regexp_extract("env", r"(\d+)$", 1).cast("long")
+    proof = F.struct("infra_digest", F.when(n % 7 == 2, F.lit("by hand")).alias("noted")).alias("provenance")
+    rung = F.struct(F.lit(4).cast("long").alias("concurrency"), n.alias("rows_per_s"), F.when(n % 11 == 3, n).alias("rowz"))
+    ingest = F.array(*[F.struct(F.lit(name).alias("format"), F.array(rung, rung).alias("sweep")) for name in ("a", "b")])
+    files_of = used.select(
+        "env",
+        F.struct("msgs_per_s", "client", proof).alias("consume"),
+        F.when(n % 5 == 1, n).alias("consume_msgs_per_s"),
+        ingest.alias("ingest"),
+    )
+    files_of.repartition(4, "env").write.partitionBy("env").json(folder)
+    found = files.document_problems(files.documents(spark, folder), S.CEILINGS).withColumnRenamed("path", "key")
+    return found.select(F.regexp_extract("file", "/env=([^/]+)/", 1).alias("env"), "key", "problem")
+
+
+def dimension_load(spark, sf):
+    """Environments as one JSON document each, read back typed."""
+    folder = scratch_path(spark, "environments")
+    n = F.col("n_nationkey").cast("long")
+    host = F.struct(F.col("n_name").alias("cpu"), (n + 1).alias("cores"), F.lit("8 GiB").alias("memory"), F.when(n % 2 == 0, F.lit("linux")).alias("os"))
+    made = table(spark, sf, "nation").select(
+        F.concat(F.lit("env-"), n.cast("string")).alias("id"),
+        F.when(n % 3 == 0, F.lit("authoritative")).otherwise(F.lit("indicative")).alias("class"),
+        host.alias("host"),
+        F.struct((n % 8 + 1).alias("partitions")).alias("infra"),
+        F.concat(F.lit("env-"), n.cast("string")).alias("place"),
+    )
+    made.write.partitionBy("place").json(folder)
+    return files.dimension(spark, folder, S.ENVIRONMENT).select(
+        "id", "class", "host.cpu", "host.cores", "host.os", "infra.partitions"
+    )
+
+
 def ingest_stamps(spark, sf):
     """One insert clock a write: rows, stamped rows and distinct stamps of two appends."""
     folder = scratch_path(spark, "target")
@@ -140,6 +177,8 @@ QUERIES = {
         query_log_files,
         gc_log_files,
         ceiling_files,
+        ceiling_unknown_keys,
+        dimension_load,
         ingest_stamps,
         forward_unstamped,
         truncate_target,
@@ -160,6 +199,10 @@ _FED = f"""fed AS (SELECT DISTINCT batch_id, event_seq, sensor, region, name_upp
   array_to_string(tags, '') tag_text, len(tags) tag_count, epoch_ms(batch_ts) batch_ms FROM fl)"""
 
 ORACLES = {
+    "ceiling_unknown_keys": """SELECT 'env-' || s_suppkey env, key, 'unknown key' problem FROM supplier, (VALUES
+      ('consume_msgs_per_s', 5, 1), ('consume.provenance.noted', 7, 2), ('ingest[].sweep[].rowz', 11, 3)) v(key, m, r) WHERE s_suppkey % m = r""",
+    "dimension_load": """SELECT 'env-' || n_nationkey id, CASE WHEN n_nationkey % 3 = 0 THEN 'authoritative' ELSE 'indicative' END "class", n_name cpu,
+      CAST(n_nationkey + 1 AS BIGINT) cores, CASE WHEN n_nationkey % 2 = 0 THEN 'linux' END os, CAST(n_nationkey % 8 + 1 AS BIGINT) partitions FROM nation""",
     "archive_append": with_views(EV, RECORDS)
     + """SELECT CASE WHEN trig = 'manual' THEN 'results' ELSE 'tuning' END root, env_id, entrant,
       strftime(make_timestamp(ts_ms*1000), '%Y-%m') AS month, count(*) records, 0::BIGINT misfiled FROM records WHERE schema_v = 2

@@ -248,3 +248,33 @@ def require_schema(df, schema: T.StructType) -> None:
             f"schema mismatch: got {df.schema.simpleString()}, "
             f"declared {schema.simpleString()}"
         )
+
+
+def _record(**fields) -> T.StructType:
+    """A struct of required fields, and optional ones whose names end in ``_``."""
+    return T.StructType(
+        [T.StructField(n.removesuffix("_"), t, n.endswith("_")) for n, t in fields.items()]
+    )
+
+
+_TEXT, _LONG, _TEXTS = T.StringType(), T.LongType(), T.ArrayType(T.StringType())
+
+# a descriptor as far as summaries and checks read it: one document a system
+DESCRIPTOR = _record(
+    schema=_LONG,
+    id=_TEXT,
+    name=_TEXT,
+    status=_TEXT,
+    language_=_TEXTS,
+    display_=_record(order=_LONG, hue=_LONG, short=_TEXT),
+    containers_=T.ArrayType(_record(role=_TEXT, name=_TEXT, cpus=_TEXT, memory=_TEXT)),
+    variants_=T.ArrayType(_record(id=_TEXT, label=_TEXT, approach=_TEXT, default_=T.BooleanType())),
+)
+
+# an environment: one document each
+ENVIRONMENT = _record(
+    id=_TEXT,
+    **{"class": _TEXT},
+    host=_record(cpu=_TEXT, cores=_LONG, memory=_TEXT, os_=_TEXT),
+    infra=_record(partitions=_LONG, digest_=_TEXT),
+)
