@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from fanout import schemas as S
 
 ROWS_PER_FILE = 5_000_000
+RECORDS_PER_FILE = 100_000
 
 
 def target_rows(landed: DataFrame, *, stamped: bool = True) -> DataFrame:
@@ -49,21 +51,21 @@ def as_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
-def append_archive(filed: DataFrame, path: str, files_per_month: int = 4) -> None:
+def append_archive(filed: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
     """Append records, already carrying ``root`` and ``month``, under root, environment, system, month.
 
-    A month's records meet in a few tasks first, so that a write leaves a few files there and not one a task.
+    A place's records meet in as many tasks as they fill files, counted ahead of the write: a small month is one file, and
+    a large one does not wait for a few tasks.
     """
     places = ["root", "env_id", "entrant", "month"]
-    (
-        filed.withColumn("env_id", F.col("run.env_id"))
-        .withColumn("entrant", F.col("sut.entrant"))
-        .drop("pos")
-        .repartition(*places, F.pmod(F.xxhash64("run_id"), F.lit(files_per_month)))
-        .write.mode("append")
-        .partitionBy(*places)
-        .json(path)
+    placed = filed.withColumn("env_id", F.col("run.env_id")).withColumn("entrant", F.col("sut.entrant")).drop("pos")
+    sizes = placed.groupBy(*[F.col(p).alias(f"_{p}") for p in places]).agg(
+        F.ceil(F.count("*") / records_per_file).alias("_files")
     )
+    same = reduce(lambda a, b: a & b, [F.col(p).eqNullSafe(F.col(f"_{p}")) for p in places])
+    dealt = placed.join(sizes, same).withColumn("_file", F.pmod(F.xxhash64("run_id"), F.col("_files")))
+    written = dealt.repartition(*places, "_file").drop("_file", "_files", *[f"_{p}" for p in places])
+    written.write.mode("append").partitionBy(*places).json(path)
 
 
 def prefill(
