@@ -2,9 +2,9 @@
 
 The pieces and scores come from a public model file. The automaton reads a text once; at each position its
 output links list the pieces that end there. In a unigram model each relaxes the best score of a segmentation
-up to that position (Viterbi). In a BPE model scores are merge ranks, whose sums mean nothing: there the pieces
-found say which neighbours may merge, and merges go by rank. Characters in no piece fall back to their
-UTF-8 bytes. White space separates words in the
+up to that position (Viterbi). In a BPE model scores are merge ranks, whose sums mean nothing: there the
+first of them, longest first, that may stand behind the piece before it is the best. Characters in no piece fall back to
+their UTF-8 bytes. White space separates words in the
 model (a mark in front of each), and no piece spans the end of a word: so the pass runs once per distinct
 word of a task, and texts are the joined results of their words.
 """
@@ -27,6 +27,8 @@ from fanout.llm.shared import cells, importable
 MARK = "▁"
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*")
 CACHED_WORDS = 400_000
+CACHED_PAIRS = 400_000
+NOTHING = -(1 << 21)  # before a word's first piece
 BYTE_SCORE = -1e6  # a byte costs more than any pieces could
 OUT = "doc_id bigint, n_pieces bigint, n_bytes bigint, ids binary, decoded string, restored boolean"
 
@@ -111,15 +113,80 @@ class Pieces(dict):
 
 
 class Merges(Pieces):
-    """The same for BPE models: neighbours merge, the best-ranked pair first, of equal ranks the leftmost."""
+    """The same for BPE models, whose scores are merge ranks: the best path is the one that merging by rank leaves.
+
+    Pieces are such a path when each stands beside the next as it would if the two were merged alone. So in the one pass
+    over a word, the piece at each position is the first of those ending there, longest first, that may stand behind
+    the last piece of the text before it. Whether it may is found once for each pair of pieces, by merging the two.
+    """
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.beside: dict[int, bool] = {}  # by the two numbers of a pair, put into one
 
     def segmented(self, word: str) -> list[int]:
-        found: dict[tuple[int, int], tuple[float, int]] = {}
-        for last, (i, length, score) in self.automaton.iter(word):
-            found[last + 1 - length, last + 1] = -score, i
+        n, done, beside = len(word), 0, self.beside
+        last = [NOTHING] * (n + 1)  # the piece before each position; below 0: a character in no piece
+        back = [0] * (n + 1)
+        for end, (i, length, _) in self.automaton.iter(word):
+            if end < done:
+                continue  # a longer piece ends there
+            while done < end:
+                if not self._alone(word, done, last, back):
+                    return self._ids(word, self.merged(word))
+                done += 1
+            start = end + 1 - length
+            fits = beside.get((last[start] << 32) + i)
+            if fits is None:
+                fits = self._may_stand(last[start], i)
+            if fits:
+                done = end + 1
+                last[done], back[done] = i, start
+        while done < n:
+            if not self._alone(word, done, last, back):
+                return self._ids(word, self.merged(word))
+            done += 1
+        ids: list[int] = []
+        while n:
+            i, start = last[n], back[n]
+            ids.extend([i] if i >= 0 else [self.byte_id[b] for b in reversed(word[start:n].encode())])
+            n = start
+        return ids[::-1]
+
+    def _alone(self, word: str, at: int, last: list[int], back: list[int]) -> bool:
+        """A character that no piece explains stands for itself, if it may."""
+        own = -1 - ord(word[at])
+        if not self.beside.get((last[at] << 32) + own, False) and not self._may_stand(last[at], own):
+            return False  # not seen so far: merging the whole word decides
+        last[at + 1], back[at + 1] = own, at
+        return True
+
+    def _text(self, i: int) -> str:
+        return self.pieces[i].decode() if i >= 0 else chr(-1 - i)
+
+    def _may_stand(self, left: int, right: int) -> bool:
+        """Whether merging both pieces' characters gives these two again; for a word's first piece, that piece."""
+        if len(self.beside) >= CACHED_PAIRS:
+            for old in list(islice(self.beside, CACHED_PAIRS // 2)):
+                del self.beside[old]
+        before = "" if left == NOTHING else self._text(left)
+        fits = self.merged(before + self._text(right)) == ([0, len(before)] if before else [0])
+        self.beside[(left << 32) + right] = fits
+        return fits
+
+    def _ids(self, word: str, starts: list[int]) -> list[int]:
+        out: list[int] = []
+        for a, b in zip(starts, [*starts[1:], len(word)], strict=True):
+            i = self.automaton.get(word[a:b], None)
+            out.extend([i[0]] if i else [self.byte_id[x] for x in word[a:b].encode()])
+        return out
+
+    def merged(self, word: str) -> list[int]:
+        """Where the symbols begin that are left when neighbours merge, best rank first, of equal ranks the leftmost."""
+        found = {(last + 1 - length, last + 1): -score for last, (_, length, score) in self.automaton.iter(word)}
         n = len(word)
         end, before = list(range(1, n + 1)), list(range(-1, n))  # of the symbol that begins at each place; 0: none does
-        pairs = [(found[a, a + 2][0], a, a + 1, a + 2) for a in range(n - 1) if (a, a + 2) in found]
+        pairs = [(found[a, a + 2], a, a + 1, a + 2) for a in range(n - 1) if (a, a + 2) in found]
         heapify(pairs)
         while pairs:
             _, a, b, c = heappop(pairs)
@@ -129,16 +196,10 @@ class Merges(Pieces):
             if c < n:
                 before[c] = a
                 if (a, end[c]) in found:
-                    heappush(pairs, (found[a, end[c]][0], a, c, end[c]))
+                    heappush(pairs, (found[a, end[c]], a, c, end[c]))
             if a and (before[a], c) in found:
-                heappush(pairs, (found[before[a], c][0], before[a], a, c))
-        ids: list[int] = []
-        a = 0
-        while a < n:
-            b = end[a]
-            ids.extend([found[a, b][1]] if (a, b) in found else [self.byte_id[x] for x in word[a:b].encode()])
-            a = b
-        return ids
+                heappush(pairs, (found[before[a], c], before[a], a, c))
+        return [a for a in range(n) if end[a]]
 
 
 def model_of(path: str) -> Pieces:

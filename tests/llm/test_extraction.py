@@ -274,6 +274,18 @@ def graded(n=300):
     return rows
 
 
+def test_the_pass_is_what_merging_leaves(monkeypatch):
+    """Odd and random words: one pass gives the same pieces as merging the whole word, which it never resorts to."""
+    model, rnd = pieces.model_of(MODEL), random.Random(7)
+    assert isinstance(model, pieces.Merges)
+    parts = ["a", "b", "the", "ing", "é", "ü", "中", "🙂", "ß", "qz", "1", "20", "_", "'", "\u0301", "ction", "aa", "aaa", "zzzz", "Σ"]
+    words = {"▁" * rnd.randrange(3) + "".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 12))) for _ in range(6000)}
+    want = {w: model._ids(w, model.merged(w)) for w in words}
+    monkeypatch.setattr(pieces.Merges, "_ids", None)
+    monkeypatch.setattr(pieces, "CACHED_PAIRS", 500)  # pairs are forgotten and found again
+    assert {w: model.segmented(w) for w in words} == want
+
+
 def test_quality_on_held_out_documents(spark):
     rows = graded()
     docs = spark.createDataFrame([(d, t, h, p, "clash") for d, t, _, h, p in rows], "doc_id long, text string, source string, lang string, y string")
