@@ -26,7 +26,7 @@ from fanout.llm.shared import cells, importable
 
 MARK = "▁"
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*")
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
 CACHED_PAIRS = 400_000
 NOTHING = -(1 << 21)  # before a word's first piece
 BYTE_SCORE = -1e6  # a byte costs more than any pieces could
@@ -41,6 +41,7 @@ class Pieces(dict):
         import sentencepiece
 
         super().__init__()
+        self.older: dict[str, bytes] = {}
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.pieces: list[bytes] = []
         self.byte_id = [0] * 256
@@ -61,10 +62,14 @@ class Pieces(dict):
         self.automaton.make_automaton()
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHED_WORDS:
-            for old in list(islice(self, CACHED_WORDS // 2)):
-                del self[old]
-        ids = self[word] = array("i", self.segmented(word)).tobytes()
+        """Words met since the last half of the cache was filled are kept, others are forgotten and made again."""
+        if len(self) >= CACHED_WORDS // 2:
+            self.older = dict(self)
+            self.clear()
+        ids = self.older.get(word)
+        if ids is None:
+            ids = array("i", self.segmented(word)).tobytes()
+        self[word] = ids
         return ids
 
     def segmented(self, word: str) -> list[int]:
