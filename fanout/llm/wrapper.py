@@ -14,8 +14,11 @@ from __future__ import annotations
 import html
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +26,8 @@ from pyspark.sql import functions as F
 from fanout.llm.shared import cells, importable, written
 
 SALTS = 16
-LONGEST_GROUP = 4
+DEEPEST = 100  # levels of elements that hold others; a wrapper is worked on level by level
+CELLS = 250_000  # longer lists are aligned between items that both have once
 
 # Element names of HTML by their role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,6 +46,15 @@ NO_TEXT_WORDS = set(
     "disqus share sharing social related recommended footer header masthead login search widget".split()
 )
 NEVER_BESIDE = set("body main article".split())
+SPEAKING = NEVER_BESIDE | ASIDE
+# words that may stand beside those of NO_TEXT_WORDS in a name, and words that turn its sense
+NEUTRAL_WORDS = set(
+    "area bar block bottom box button buttons container entry form global group inner item items left link links list "
+    "outer page panel post posts primary reader readers right row secondary section signup site story stories text "
+    "thread title top unit user users wrap wrapper".split()
+)
+TITLE_HOLDERS = set("header title".split())  # beside these an article's own words do not speak of the page's frame
+OWN_WORDS = set("article entry post story".split())
 MAIN_WORDS = set("article content main post entry story".split())
 CLOSED_BY_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}}
 CLOSED_BY_SAME |= {"th": {"td", "th"}, "option": {"option"}}
@@ -65,12 +78,30 @@ def _label(name: str, rest: str) -> str:
 
 
 def events(page: str) -> list[tuple[str, str]]:
-    """(symbol, text) in page order: ``<label>``, ``</label>`` or ``#`` with its text; always well nested."""
-    out: list[tuple[str, str]] = []
-    stack: list[str] = []
+    """(symbol, text) in page order: ``<label>``, ``</label>`` or ``#`` with its text; always well nested.
 
-    def close() -> None:
-        out.append((f"</{stack.pop()}>", ""))
+    Below DEEPEST levels an element whose name says nothing about its text no longer holds what is in it: it
+    becomes an empty neighbour before and after, so that text keeps its order and its blocks.
+    """
+    out: list[tuple[str, str]] = []
+    stack: list[tuple[str, str]] = []  # (name, label); no label for an element that holds nothing
+    open_names: Counter[str] = Counter()
+    depth = 0
+
+    def mark(name: str) -> None:
+        out.append((f"<{name}>", ""))
+        out.append((f"</{name}>", ""))
+
+    def close() -> str:
+        nonlocal depth
+        name, label = stack.pop()
+        open_names[name] -= 1
+        if label:
+            depth -= 1
+            out.append((f"</{label}>", ""))
+        else:
+            mark(name)
+        return name
 
     def text(part: str) -> None:
         if out and out[-1][0] == "#":
@@ -90,26 +121,29 @@ def events(page: str) -> list[tuple[str, str]]:
             if name in ("br", "hr"):
                 text("\n")
             continue
-        names = [s.partition(".")[0] for s in stack]
         if m["end"]:
-            if name in names:
-                while stack:
-                    last = names.pop()
-                    close()
-                    if last == name:
-                        break
+            if open_names[name]:
+                while close() != name:
+                    pass
             continue
-        if names and (names[-1] == "p" or names[-1] in CLOSED_BY_SAME.get(name, ())):
+        if stack and (stack[-1][0] == "p" or stack[-1][0] in CLOSED_BY_SAME.get(name, ())):
             close()
         if name in RAW:
             end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
-            out += [(f"<{name}>", ""), (f"</{name}>", "")]
+            mark(name)
             continue
         if m["rest"].endswith("/"):
             continue
-        stack.append(_label(name, m["rest"]))
-        out.append((f"<{stack[-1]}>", ""))
+        label = _label(name, m["rest"])
+        if depth >= DEEPEST and (open_names[name] or name not in SPEAKING):
+            stack.append((name, ""))
+            mark(name)
+        else:
+            stack.append((name, label))
+            depth += 1
+            out.append((f"<{label}>", ""))
+        open_names[name] += 1
     while stack:
         close()
     return [(s, t) for s, t in out if s != "#" or t.strip()]
@@ -128,51 +162,136 @@ def _one(a: list, b: list) -> list:
     return [a[0], a[1] or b[1], a[2] or b[2], aligned(a[3], b[3])]
 
 
+def _joined(old: list, new: list) -> list:
+    """One repeated item, or one repeated group, for two neighbouring runs of equal labels."""
+    both = [_one(x, y) for x, y in zip(old, new, strict=True)]
+    if len(both) > 1:
+        return ["", False, True, both]
+    return [both[0][0], both[0][1], both[0][0] != "#", both[0][3]]
+
+
+def _periods(items: list) -> list[int]:
+    """Lengths of runs that are followed by a run of equal labels, shortest first."""
+    number: dict[tuple, int] = {}
+    ids = np.array([number.setdefault(_key(i), len(number)) for i in items], np.int32)
+    found = []
+    for size in range(1, len(ids) // 2 + 1):
+        same = ids[size:] == ids[:-size]
+        if np.count_nonzero(same) < size:
+            continue
+        ends = np.flatnonzero(np.concatenate((~same, [True])))
+        if np.diff(ends, prepend=-1).max() > size:
+            found.append(size)
+    return found
+
+
 def folded(items: list) -> list:
     """Neighbouring groups of equal labels become one repeated group, shortest groups first."""
-    for size in range(1, LONGEST_GROUP + 1):
+    least = 1
+    while len(items) > 1 and (size := next((n for n in _periods(items) if n >= least), 0)):
         out: list = []
         for item in items:
             out.append(item)
             while len(out) >= 2 * size and [_key(i) for i in out[-size:]] == [_key(i) for i in out[-2 * size : -size]]:
-                new, old = out[-size:], out[-2 * size : -size]
-                both = [_one(x, y) for x, y in zip(old, new, strict=True)]
-                both = [[*both[0][:2], True, both[0][3]]] if size == 1 else [["", False, True, both]]
-                if size == 1 and both[0][0] == "#":
-                    both[0][2] = False
-                out[-2 * size :] = both
+                out[-2 * size :] = [_joined(out[-2 * size : -size], out[-size:])]
             if size > 1 and len(out) > size and out[-size - 1][0] == "":
                 group = out[-size - 1]
                 if [_key(i) for i in group[3]] == [_key(i) for i in out[-size:]]:
-                    group = ["", group[1], True, [_one(x, y) for x, y in zip(group[3], out[-size:], strict=True)]]
-                    out[-size - 1 :] = [group]
-        items = out
+                    inner = [_one(x, y) for x, y in zip(group[3], out[-size:], strict=True)]
+                    out[-size - 1 :] = [["", group[1], True, inner]]
+        items, least = out, size + 1
     return items
 
 
-def aligned(a: list, b: list) -> list:
-    """One list of items that reads all that either reads: common items in order, the others optional."""
-    if a == b:
-        return a
+def _pairs(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of items of equal keys, ascending in both lists: most of them where the lists are short.
+
+    Longer lists are cut at the items that both have just once, in their longest common order; between
+    cuts that are still long, each item meets the next equal one.
+    """
+    found: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i, n, j, m = todo.pop()
+        while i < n and j < m and a[i] == b[j]:
+            found.append((i, j))
+            i, j = i + 1, j + 1
+        while i < n and j < m and a[n - 1] == b[m - 1]:
+            n, m = n - 1, m - 1
+            found.append((n, m))
+        if i == n or j == m:
+            continue
+        if (n - i) * (m - j) <= CELLS:
+            found += [(i + x, j + y) for x, y in _common(a[i:n], b[j:m])]
+            continue
+        cuts = _cuts(a, b, i, n, j, m)
+        if cuts:
+            edges = [(i - 1, j - 1), *cuts, (n, m)]
+            found += cuts
+            todo += [(x + 1, x2, y + 1, y2) for (x, y), (x2, y2) in zip(edges, edges[1:], strict=False)]
+            continue
+        places: dict[tuple, list[int]] = {}
+        for y in range(m - 1, j - 1, -1):
+            places.setdefault(b[y], []).append(y)
+        for x in range(i, n):
+            ahead = places.get(a[x], [])
+            while ahead and ahead[-1] < j:
+                ahead.pop()
+            if ahead and ahead[-1] - j <= 2 * (m - j) // (n - x) + 8:
+                found.append((x, ahead[-1]))
+                j = ahead.pop() + 1
+    return sorted(found)
+
+
+def _cuts(a: list, b: list, i: int, n: int, j: int, m: int) -> list[tuple[int, int]]:
+    """The longest run, ascending in both, of keys that stand once in each part."""
+    once_a, once_b = ({k for k, c in Counter(part).items() if c == 1} for part in (a[i:n], b[j:m]))
+    at = {b[y]: y for y in range(j, m) if b[y] in once_b}
+    tails: list[int] = []
+    nodes: list[tuple[int, int, int]] = []  # (x, y, the node before it)
+    heads: list[int] = []
+    for x in range(i, n):
+        if a[x] in once_a and a[x] in at:
+            y = at[a[x]]
+            k = bisect_left(tails, y)
+            nodes.append((x, y, heads[k - 1] if k else -1))
+            tails[k:k + 1], heads[k:k + 1] = [y], [len(nodes) - 1]
+    out, node = [], heads[-1] if heads else -1
+    while node >= 0:
+        x, y, node = nodes[node]
+        out.append((x, y))
+    return out[::-1]
+
+
+def _common(a: list, b: list) -> list[tuple[int, int]]:
+    """A longest common subsequence, as pairs of places."""
     n, m = len(a), len(b)
     common = [[0] * (m + 1) for _ in range(n + 1)]
     for i in reversed(range(n)):
         for j in reversed(range(m)):
-            if _key(a[i]) == _key(b[j]):
-                common[i][j] = 1 + common[i + 1][j + 1]
-            else:
-                common[i][j] = max(common[i + 1][j], common[i][j + 1])
+            common[i][j] = 1 + common[i + 1][j + 1] if a[i] == b[j] else max(common[i + 1][j], common[i][j + 1])
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and _key(a[i]) == _key(b[j]):
-            out.append(_one(a[i], b[j]))
+    while i < n and j < m:
+        if a[i] == b[j]:
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif j == m or (i < n and common[i + 1][j] >= common[i][j + 1]):
-            out.append([a[i][0], True, *a[i][2:]])
+        elif common[i + 1][j] >= common[i][j + 1]:
             i += 1
         else:
-            out.append([b[j][0], True, *b[j][2:]])
             j += 1
+    return out
+
+
+def aligned(a: list, b: list) -> list:
+    """One list of items that reads all that either reads: common items in order, the others optional."""
+    if a == b:
+        return a
+    out, i, j = [], 0, 0
+    for x, y in [*_pairs([_key(item) for item in a], [_key(item) for item in b]), (len(a), len(b))]:
+        out += [[item[0], True, *item[2:]] for item in (*a[i:x], *b[j:y])]
+        if x < len(a):
+            out.append(_one(a[x], b[y]))
+        i, j = x + 1, y + 1
     return folded(out)
 
 
@@ -198,13 +317,21 @@ def _words(label: str) -> tuple[str, set[str]]:
 def beside(label: str) -> bool:
     """Whether an element holds no article text: by its name, or by a whole class, id or role.
 
-    A name of several words counts if it consists of such words: cookie-notice does, has-sidebar does not. The page's
+    A name of several words counts if the others are neutral: cookie-notice and comment-list do, has-sidebar and
+    no-comments do not, nor does entry-header, which holds an article's own title. The page's
     body, main and article elements never do, nor does any element that holds one: that is for the caller to see.
     """
     name, *given = label.split(".")
     if name in NEVER_BESIDE:
         return False
-    return name in ASIDE or any(NO_TEXT_WORDS.issuperset(g.split("-")) for g in given)
+    return name in ASIDE or any(_speaks_of_frame(set(g.split("-"))) for g in given)
+
+
+def _speaks_of_frame(words: set[str]) -> bool:
+    found = words & NO_TEXT_WORDS
+    if not found or not words <= NO_TEXT_WORDS | NEUTRAL_WORDS:
+        return False
+    return not (found <= TITLE_HOLDERS and words & OWN_WORDS)
 
 
 def _holds(items: list) -> bool:
