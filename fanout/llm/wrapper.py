@@ -4,7 +4,8 @@ A page becomes a tree of its block elements. Equal neighbours fold into repeated
 are aligned one after another, and what only some of them have turns optional, so the outcome is one
 union-free expression over tags and text slots, the host's wrapper. Pages with equal folded trees count
 once, parts of a host are aligned apart and their wrappers aligned in turn, so a host of any size
-needs no more memory than its wrapper. The wrapper then reads every page of the host; the paths of its main
+needs no more memory than its wrapper. Text slots are compared, too: a text that stands in the same place on most
+pages of a host is the template's and no page's own. The wrapper then reads every page of the host; the paths of its main
 items tell which elements of the page's own nesting are main text, each repetition of an item included.
 A page that the wrapper does not read goes by its own tree.
 """
@@ -20,13 +21,17 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fanout.llm.shared import cells, importable, written
 
 SALTS = 16
+TEMPLATE_PAGES = 4
+TEMPLATE_SHARE = 80  # percent
 DEEPEST = 100  # levels of elements that hold others; a wrapper is worked on level by level
+LOOSE = 60  # optional and repeated items up to which a match may take choices back
 CELLS = 250_000  # longer lists are aligned between items that both have once
 
 # Element names of HTML by their role.
@@ -393,21 +398,68 @@ def main_paths(items: list) -> frozenset[tuple[str, ...]]:
     return frozenset(paths)
 
 
-def expression(items: list, mains: list[list]) -> str:
-    """The wrapper as a regular expression over a page's symbols; a group around each main item."""
+def expression(items: list, mains: list[list], once: str = "") -> str:
+    """The wrapper as a regular expression over a page's symbols; a group around each main item.
+
+    With ``+`` for ``once``, no choice is taken back: every page is matched in one go, but some are then not read.
+    """
     parts = []
     for item in items:
         label, optional, repeated, inner = item
-        body = expression(inner, mains)
+        body = expression(inner, mains, once)
         body = "#" if label == "#" else body if label == "" else f"<{re.escape(label)}>{body}</{re.escape(label)}>"
         if optional or repeated:
-            body = f"(?:{body}){'*' if optional and repeated else '+' if repeated else '?'}"
+            body = f"(?:{body}){'*' if optional and repeated else '+' if repeated else '?'}{once}"
         parts.append(f"({body})" if any(item is m for m in mains) else body)
     return "".join(parts)
 
 
-def main_text(page: str, wrapper: re.Pattern, mains: frozenset[tuple[str, ...]]) -> tuple[str, bool]:
-    """The text of the elements at the main paths, one line a block, and whether the wrapper read the page."""
+def _loose(items: list) -> int:
+    return sum((i[1] or i[2]) + _loose(i[3]) for i in items)
+
+
+class Reader:
+    """Tells whether a wrapper reads a page: in one go, else, where it has few loose items, by taking choices back."""
+
+    def __init__(self, items: list):
+        self.quick = re.compile(expression(items, [], "+"))
+        self.exact = re.compile(expression(items, [])) if _loose(items) <= LOOSE else None
+
+    def fullmatch(self, symbols: str) -> re.Match | None:
+        return self.quick.fullmatch(symbols) or (self.exact and self.exact.fullmatch(symbols))
+
+
+def slot(path: list[str], block: str) -> int:
+    """A number for a text in its place: the labels above it."""
+    return xxhash.xxh64_intdigest("\n".join((*path, "", block)).encode(errors="replace")) - (1 << 63)
+
+
+def _block(text: str) -> str:
+    return _SPACE.sub(" ", html.unescape(text)).strip()
+
+
+def slots(page: str) -> list[int]:
+    """The numbers of a page's texts, each once."""
+    path: list[str] = []
+    out: dict[int, None] = {}
+    for symbol, text in events(page):
+        if symbol == "#":
+            if block := _block(text):
+                out[slot(path, block)] = None
+        elif symbol[1] != "/":
+            path.append(symbol[1:-1])
+        else:
+            path.pop()
+    return list(out)
+
+
+def main_text(
+    page: str, wrapper: re.Pattern | Reader, mains: frozenset[tuple[str, ...]], template: frozenset[int] = frozenset()
+) -> tuple[str, bool]:
+    """The text of the elements at the main paths, one line a block, and whether the wrapper read the page.
+
+    Texts in their place that the host's template has are no page's own.
+    """
     found = events(page)
     read = wrapper.fullmatch("".join(s for s, _ in found)) is not None
     if not read:
@@ -418,8 +470,8 @@ def main_text(page: str, wrapper: re.Pattern, mains: frozenset[tuple[str, ...]])
     skipped, main, any_main = 0, 0, False
     for (symbol, text), besides in zip(found, _skipped(found), strict=True):
         if symbol == "#":
-            block = "" if skipped else _SPACE.sub(" ", html.unescape(text)).strip()
-            if block:
+            block = "" if skipped else _block(text)
+            if block and not (template and slot(path, block) in template):
                 every.append(block)
                 if main:
                     inside.append(block)
@@ -465,16 +517,16 @@ def _inferred(keys: int):
 
 
 def _extracted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    compiled: dict[str, tuple[re.Pattern, frozenset]] = {}
+    compiled: dict[str, tuple[Reader, frozenset]] = {}
     for batch in batches:
         texts, read = [], []
-        for tree, page in zip(batch.column(3).to_pylist(), cells(batch.column(2)), strict=True):
+        for tree, template, page in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), cells(batch.column(2)), strict=True):
             if tree not in compiled:
                 if len(compiled) > 500:
                     compiled.clear()
                 items = json.loads(tree)
-                compiled[tree] = re.compile(expression(items, [])), main_paths(items)
-            text, ok = main_text(page.decode(errors="replace"), *compiled[tree])
+                compiled[tree] = Reader(items), main_paths(items)
+            text, ok = main_text(page.decode(errors="replace"), *compiled[tree], frozenset(template or ()))
             texts.append(text)
             read.append(ok)
         lengths = pa.array([len(t) for t in texts], pa.int64())
@@ -484,6 +536,28 @@ def _extracted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _slots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [slots(t.decode(errors="replace")) for t in cells(batch.column(1))]
+        whole = [xxhash.xxh3_128_digest(np.array(s, np.int64).tobytes()) for s in found]
+        columns = [batch.column(0), pa.array(whole, pa.binary()), pa.array(found, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["host", "whole", "slots"])
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """(host, template): the texts in their place that TEMPLATE_SHARE of a host's pages have, of TEMPLATE_PAGES at least.
+
+    Pages with the same texts count once, so copies of an article make no template. A page has a bounded part of its
+    host's template, so the whole of it is little more than a page's texts.
+    """
+    told = pages.select("host", "html").mapInArrow(_slots, "host string, whole binary, slots array<bigint>")
+    told = written(told.groupBy("host", "whole").agg(F.any_value("slots").alias("slots")), "slots")
+    met = told.select("host", F.explode("slots").alias("slot")).groupBy("host", "slot").agg(F.count("*").alias("n"))
+    sizes = told.groupBy("host").agg(F.count("*").alias("pages"))
+    often = met.filter(F.col("n") >= TEMPLATE_PAGES).join(sizes, "host").filter(100 * F.col("n") >= TEMPLATE_SHARE * F.col("pages"))
+    return often.groupBy("host").agg(F.collect_list("slot").alias("template"))
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, tree): the wrapper of every host, from all of its pages."""
     trees = pages.select("host", "html").mapInArrow(_skeletons, "host string, tree string").distinct()
@@ -500,12 +574,13 @@ def main_texts(pages: DataFrame) -> DataFrame:
     Text has the blocks of the article in page order, joined by one line feed, character references decoded and
     white space within a block made one space; empty if there is none. ``read`` tells whether the host's
     wrapper read the page. Null html counts as empty; pages with a null url, or one without a host, are one
-    host. Repeated rows come back as often as they came. Other columns are not read. An empty table gives
-    no rows.
+    host. Repeated rows come back as often as they came. Pages of any length, depth and width are read whole. Other
+    columns, whatever their names, are not read. An empty table gives no rows.
     """
     importable(pages.sparkSession)
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     named = pages.select("page_id", "url", "html", host.alias("host"))
-    learned = written(wrappers(named), "wrappers").withColumnRenamed("host", "site")
-    met = named.join(learned, F.col("host") == F.col("site")).select("page_id", "url", "html", "tree")
+    learned = wrappers(named).join(templates(named), "host", "left").withColumnRenamed("host", "site")
+    learned = written(learned, "wrappers")
+    met = named.join(learned, F.col("host") == F.col("site")).select("page_id", "url", "html", "tree", "template")
     return met.mapInArrow(_extracted, "page_id bigint, url string, text string, n_chars bigint, read boolean")

@@ -110,6 +110,99 @@ def test_repetitions_on_one_host(spark):
     assert got == dict(enumerate(want for page, want in INTERLEAVED.values() if "<article>" in page))
 
 
+def site(rnd, n):
+    """Pages of a site whose elements have no speaking names, and the text that is each page's own."""
+    menu = "".join(f"<div><a href=/x>{w}</a></div>" for w in words(rnd, 5))
+    foot = f"<div>{' '.join(words(rnd, 6))}</div>"
+    rows, want = [], []
+    for _ in range(n):
+        own = [" ".join(words(rnd, rnd.randrange(3, 30))) for _ in range(rnd.randrange(1, 8))]
+        middle = "".join(f"<div>{t}</div>" for t in own)
+        rows.append(f"<body><div>{menu}</div><div><div>{middle}</div></div><div>{foot}</div></body>")
+        want.append("\n".join(own))
+    return rows, want
+
+
+def test_template_text_is_learnt_where_names_say_nothing(spark):
+    rnd, rows, want = random.Random(4), [], []
+    for k in range(4):
+        pages_of, texts = site(rnd, 12)
+        rows += [(f"http://s{k}.example/{i}", page) for i, page in enumerate(pages_of)]
+        want += texts
+    got = {r.page_id: r.text for r in wrapper.main_texts(pages(spark, rows)).collect()}
+    assert got == dict(enumerate(want))
+
+
+def test_templates_by_brute_force(spark):
+    rnd, rows = random.Random(6), []
+    for k, n in enumerate([3, 5, 40]):
+        rows += [(f"http://t{k}.example/", f"<div><p>{rnd.choice('ab')}</p></div><p>{rnd.randrange(9)}</p><p>same</p>") for _ in range(n)]
+    hosts = {}
+    for u, h in rows:
+        hosts.setdefault(u, set()).add(frozenset(wrapper.slots(h)))
+    want = {}
+    for u, texts in hosts.items():
+        common = {x for t in texts for x in t if sum(x in o for o in texts) >= max(4, 0.8 * len(texts))}
+        if common:
+            want[u] = common
+    named = pages(spark, rows).withColumn("host", F.col("url"))
+    assert {r.host: set(r.template) for r in wrapper.templates(named).collect()} == want and want
+
+
+def test_copies_of_an_article_make_no_template(spark):
+    page = "<body><div><p>one</p><p>two</p></div></body>"
+    got = wrapper.main_texts(pages(spark, [("http://c.example/", page)] * 30)).collect()
+    assert {r.text for r in got} == {"one\ntwo"}
+
+
+FRAME = {
+    **dict.fromkeys(["comment-list", "post-comments", "reader-comments", "related-posts", "entry-footer", "site-footer", "newsletter-signup", "site-header"], False),
+    **dict.fromkeys(["has-sidebar", "no-comments", "with-menu", "share-enabled", "entry-header", "post-title", "content", "ad-hoc"], True),
+}
+
+
+@pytest.mark.parametrize("name", FRAME)
+def test_ordinary_names(name):
+    page = f"<body><article><p>t</p><div class={name}><p>u</p></div><p>v</p></article></body>"
+    items = wrapper.skeleton(page)
+    text, _ = wrapper.main_text(page, re.compile(wrapper.expression(items, [])), wrapper.main_paths(items))
+    assert text == ("t\nu\nv" if FRAME[name] else "t\nv")
+
+
+def test_deep_and_wide_pages(spark):
+    rnd = random.Random(3)
+    names = ["p", "h2", "ul", "section", "dl", "blockquote", "pre", "h3"]
+
+    def wide(n):
+        return "<body><article>" + "".join(f"<{t}>w</{t}>" for t in rnd.choices(names, k=n)) + "</article></body>"
+
+    def deep(n, name):
+        return f"<body>{f'<{name}>' * n}<article><p>x</p></article><nav>n</nav>{f'</{name}>' * n}</body>"
+
+    rows = [("http://d/", deep(3000, "div")), ("http://d/", deep(50_000, "section")), ("http://d/", deep(2000, "nav"))]
+    rows += [("http://w/", wide(20_000)), ("http://w/", wide(20_000)), ("http://w/", wide(3))]
+    got = {r.page_id: r for r in wrapper.main_texts(pages(spark, rows)).collect()}
+    assert [got[i].text for i in range(3)] == ["x"] * 3
+    assert [got[i].n_chars for i in (3, 4, 5)] == [39_999, 39_999, 5]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_long_lists_are_read_by_what_they_align_to(seed, monkeypatch):
+    monkeypatch.setattr(wrapper, "CELLS", 30)
+    rnd = random.Random(seed)
+    lists = [[[rnd.choice("abcdefghijkl"), False, False, []] for _ in range(rnd.randrange(60))] for _ in range(3)]
+    whole = wrapper.folded(lists[0])
+    for other in lists[1:]:
+        whole = wrapper.aligned(whole, wrapper.folded(other))
+    pattern = re.compile(wrapper.expression(whole, []))
+    assert all(pattern.fullmatch("".join(f"<{i[0]}></{i[0]}>" for i in items)) for items in lists)
+
+
+def test_groups_of_any_length_fold():
+    group = [[x, False, False, []] for x in "abcdefg"]
+    assert wrapper.folded(group * 9) == [["", False, True, group]]
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_alignment_reads_both(seed):
     rnd = random.Random(seed)
