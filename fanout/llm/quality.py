@@ -136,9 +136,10 @@ def quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> D
 
     ``labels`` (doc_id, quality 0 or 1); a document with several labels counts as each, null labels are left
     out. The classifier is fitted on at most ``TRAINED_ON`` labelled documents; without any label of
-    either kind, evidence is 0 and nothing is rejected on it. Rates count every document. Null text counts
+    either kind, evidence is 0 and nothing is rejected on it. Rates count every document but the row's own. Null text counts
     as empty, null host and path as sites of their own; a null doc_id has no label. Repeated rows come
-    back as often as they came. Other columns are not read. An empty table gives no rows.
+    back as often as they came. Texts of any length are measured whole. Other columns, whatever their names, are
+    not read. An empty table gives no rows.
     """
     importable(docs.sparkSession)
     named = docs.select("doc_id", "text", host.cast("string").alias("host"), path.cast("string").alias("path"))
@@ -166,25 +167,29 @@ def quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> D
     top = min(0.999, max(0.001, total if total is not None else start))
     hosts = sites.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     hosts = hosts.withColumns({"rate": F.col("good") / F.col("n"), "above": F.lit(top)})
-    k = _strength(hosts, "rate", "above")
+    of_host = _strength(hosts, "rate", "above")
     hosts = hosts.select(
-        F.col("host").alias("h"), ((F.col("good") + k * top) / (F.col("n") + k)).alias("host_rate")
+        F.col("host").alias("h"),
+        F.col("n").alias("host_n"),
+        F.col("good").alias("host_good"),
+        ((F.col("good") + of_host * top) / (F.col("n") + of_host)).alias("host_rate"),
     )
     paths = sites.join(hosts, F.col("host").eqNullSafe(F.col("h"))).withColumn("rate", F.col("good") / F.col("n"))
-    k = _strength(paths, "rate", "host_rate")
+    of_path = _strength(paths, "rate", "host_rate")
     paths = written(
         paths.select(
-            F.col("host").alias("h"),
-            F.col("path").alias("p"),
-            "host_rate",
-            ((F.col("good") + k * F.col("host_rate")) / (F.col("n") + k)).alias("path_rate"),
+            F.col("host").alias("h"), F.col("path").alias("p"), "host_n", "host_good", F.col("n").alias("path_n"), F.col("good").alias("path_good")
         ),
         "paths",
     )
     same = F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p"))
+    # a document's own evidence is added below: its sites' rates are those of the other documents
     posterior = _chance(F.col("evidence") + _log_odds(F.col("path_rate")))
     return (
-        scored.join(paths, same)
+        scored.withColumn("own", chance)
+        .join(paths, same)
+        .withColumn("host_rate", _rate_without("host", F.lit(top), of_host))
+        .withColumn("path_rate", _rate_without("path", F.col("host_rate"), of_path))
         .withColumn("quality", posterior)
         .select(
             "doc_id", "host", "path", "evidence", "host_rate", "path_rate", "quality", (F.col("quality") >= KEEP_FROM).alias("kept")
@@ -192,6 +197,12 @@ def quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> D
     )
 
 
+def _rate_without(site: str, above: Column, strength: float) -> Column:
+    """A site's posterior rate from the documents beside this one, shrunk toward the rate above."""
+    good = F.greatest(F.col(f"{site}_good") - F.col("own"), F.lit(0.0))
+    return (good + strength * above) / (F.col(f"{site}_n") - 1 + strength)
+
+
 def kept_documents(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns.
 

@@ -1,6 +1,7 @@
 """HTML wrappers, quotation linking, piece coding and quality."""
 
 import json
+import math
 import random
 import re
 
@@ -399,6 +400,45 @@ def test_sparse_sites_shrink_to_what_is_above(spark):
     assert got["bad"] < 0.2 < got["tiny"] < got["h1"]
 
 
+def strength(groups):
+    """Beta strength by moments over (n, rate, rate above)."""
+    some = [(n, r, a) for n, r, a in groups if n > 1]
+    spread, chance = sum(n * (r - a) ** 2 for n, r, a in some), sum(a * (1 - a) for _, _, a in some)
+    room = sum((n - 1) * a * (1 - a) for n, _, a in some)
+    if not room:
+        return 10.0
+    correlation = (spread - chance) / room
+    return min(10_000.0, max(1.0, 1 / correlation - 1)) if correlation > 0 else 10_000.0
+
+
+def test_posteriors_by_brute_force(spark):
+    """Every document's rates from all the others of its host and path, one by one."""
+    rows = graded()
+    rows += [(1000 + i, " ".join(["Ble"] * 30), 0, "bad", f"p{i % 3}") for i in range(40)] + [(2000, "Some words.", 1, "lone", "p")]
+    docs = spark.createDataFrame([(d, t, h, p) for d, t, _, h, p in rows], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(d, q) for d, _, q, _, _ in rows[:200]], "doc_id long, quality int")
+    got = quality.quality(docs, labels, F.col("source"), F.col("lang")).collect()
+    start = sum(q for _, _, q, _, _ in rows[:200]) / 200
+    odds = lambda p: math.log(p / (1 - p))
+    chance = {r.doc_id: 1 / (1 + math.exp(-(r.evidence + odds(start)))) for r in got}
+    of = lambda keep: [chance[r.doc_id] for r in got if keep(r)]
+    top = min(0.999, max(0.001, sum(chance.values()) / len(chance)))
+    hosts = {r.host: of(lambda o, r=r: o.host == r.host) for r in got}
+    k = strength([(len(v), sum(v) / len(v), top) for v in hosts.values()])
+    whole = {h: (sum(v) + k * top) / (len(v) + k) for h, v in hosts.items()}
+    sites = {(r.host, r.path): of(lambda o, r=r: (o.host, o.path) == (r.host, r.path)) for r in got}
+    k2 = strength([(len(v), sum(v) / len(v), whole[h]) for (h, _), v in sites.items()])
+    for r in got:
+        others = sum(hosts[r.host]) - chance[r.doc_id], len(hosts[r.host]) - 1
+        host = (max(0.0, others[0]) + k * top) / (others[1] + k)
+        beside = sum(sites[r.host, r.path]) - chance[r.doc_id], len(sites[r.host, r.path]) - 1
+        path = (max(0.0, beside[0]) + k2 * host) / (beside[1] + k2)
+        assert (r.host_rate, r.path_rate) == (pytest.approx(host, rel=1e-6), pytest.approx(path, rel=1e-6))
+        assert r.quality == pytest.approx(1 / (1 + math.exp(-(r.evidence + odds(path)))), rel=1e-6)
+        if r.host == "lone":
+            assert path == pytest.approx(top)
+
+
 def test_quality_edges(spark):
     docs = documents(spark, EDGES)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
