@@ -2,8 +2,8 @@
 
 ``entries`` say which sets could link: two sets at or above the threshold share a key. Keys that only one
 set has are dropped by a grouped count. Sets that share a key then meet by their bitmaps in signature
-trees, block by block, and as many pairs as connect all that may link become edges. The components of
-those edges are families: every link lies inside one. Families are cut to smaller ones in the same way by
+trees, block by block, and as many pairs as connect all that may link become edges: first for some of the keys,
+then for those others whose sets are not connected by then. The components of those edges are families: every link lies inside one. Families are cut to smaller ones in the same way by
 wider bitmaps, and only what is still in one is built whole. A family goes to tasks in blocks of bounded
 size; each block is linked exactly by its trees, and then block against block, where what is connected
 already is not compared again. No pair becomes a row unless it connects two sets or components that
@@ -27,6 +27,7 @@ from fanout.llm.words import unpacked
 
 MEETING_TOKENS = 8_000_000  # of sets that meet by bitmaps in one block: half a megabyte
 BLOCK_TOKENS = 8_000_000  # of whole sets in a block: 64 MB
+FIRST_ROUND = 8
 LINK_NAMES = ["a", "b"]
 LINKS = "a bigint, b bigint"
 
@@ -141,6 +142,23 @@ def _meeting(live: DataFrame, signatures: DataFrame, num: int, den: int) -> Data
     return _by_pair_of_blocks(met).mapInArrow(_edges(num, den), LINKS).distinct()
 
 
+def _connecting(live: DataFrame, signatures: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges by bitmaps that connect all that may link, in two rounds.
+
+    Near copies share most of their keys, so one key in FIRST_ROUND connects nearly all of them. Of the other keys,
+    those that only one component has connect nothing more, and their sets need not meet: bitmaps go with few rows.
+    """
+    first = F.pmod(F.xxhash64("key"), F.lit(FIRST_ROUND)) == 0
+    early = written(_meeting(live.filter(first), signatures, num, den), "edges")
+    owners = small(written(components(early, "a", "b"), "owners"))
+    others = live.filter(~first)
+    rooted = others.join(owners, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi")
+    mixed = written(mixed.select("key"), "mixed")
+    late = _meeting(likely(others, "key", mixed).join(mixed, "key", "left_semi"), signatures, num, den)
+    return written(early.unionByName(late), "edges")
+
+
 def _bitmaps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         values = [unpacked(v) for v in batch.column(1).to_pylist()]
@@ -191,7 +209,7 @@ def linked(
     shared = written(shared.filter("c > 1").select("key", "tokens"), "keys")
     live = likely(entries, "key", shared).join(shared, "key").select("key", "id", "rest", "tokens")
     live = written(live, "live")
-    edges = written(_meeting(live, signatures, num, den), "edges")
+    edges = _connecting(live, signatures, num, den)
     discard(live, shared)
     families = _families(edges, signatures)
     families = _families(_closer(families, sets_of(families.select("id")), num, den), signatures)
