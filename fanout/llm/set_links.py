@@ -1,8 +1,10 @@
 """Which sets of tokens link: exact Jaccard from a threshold on, without pairs inside a merged group.
 
 ``entries`` say which sets could link: two sets at or above the threshold share a key. Keys that only one
-set has are dropped by a grouped count. Sets that share a key then meet by their bitmaps in signature
-trees, block by block, and as many pairs as connect all that may link become edges. The components of
+set has are dropped by a grouped count, and sets whose size or rest lets them link with no other one of
+their key leave it. Keys that the same sets share after that are one. Sets that share a key then meet by
+their bitmaps in signature trees, block by block, and as many pairs as connect all that may link become
+edges. The components of
 those edges are families: every link lies inside one. Families are cut to smaller ones in the same way by
 wider bitmaps, and only what is still in one is built whole. A family goes to tasks in blocks of bounded
 size; each block is linked exactly by its trees, and then block against block, where what is connected
@@ -23,9 +25,10 @@ from pyspark.sql import functions as F
 from fanout.llm import signature_tree as st
 from fanout.llm.components import components
 from fanout.llm.shared import discard, likely, small, written
-from fanout.llm.words import unpacked
+from fanout.llm.words import mixed, unpacked
 
 MEETING_TOKENS = 8_000_000  # of sets that meet by bitmaps in one block: half a megabyte
+NEIGHBOURS = 8  # by size, that a set of a key is held against one by one; with more, it stays
 BLOCK_TOKENS = 8_000_000  # of whole sets in a block: 64 MB
 LINK_NAMES = ["a", "b"]
 LINKS = "a bigint, b bigint"
@@ -135,6 +138,61 @@ def _by_pair_of_blocks(rows: DataFrame) -> DataFrame:
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
+def _with_partner(keys: np.ndarray, sizes: np.ndarray, rest: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Rows that may link with another one of their key, by sizes and rests. Rows come by key, then size."""
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    counts = np.diff(np.append(starts, len(keys)))
+    may = np.repeat(counts > NEIGHBOURS + 1, counts)
+    for step in range(1, min(NEIGHBOURS + 1, len(keys))):
+        x, y = slice(None, -step), slice(step, None)
+        fits = (keys[x] == keys[y]) & (sizes[x] * den >= num * sizes[y])
+        fits &= np.minimum(rest[x], rest[y]) * (num + den) >= num * (sizes[x] + sizes[y])
+        may[x] |= fits
+        may[y] |= fits
+    return may
+
+
+def _shared_lists(num: int, den: int):
+    """The rows of each key that may link, under a key that the same ids have wherever they share one.
+
+    Two lists that collide under one key only meet in vain.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups = batch.column(0)
+            members = groups.flatten()
+            counts = groups.value_lengths().to_numpy(zero_copy_only=False)
+            keys = np.repeat(np.arange(len(counts)), counts)
+            sizes, ids, rest = (members.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            order = np.lexsort((sizes, keys))
+            order = order[_with_partner(keys[order], sizes[order], rest[order], num, den)]
+            if not len(order):
+                continue
+            keys, ids, rest = keys[order], ids[order], rest[order]
+            starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            sums = np.add.reduceat(mixed(ids.view(np.uint64)), starts)
+            named = np.repeat(mixed(sums, 1), np.diff(np.append(starts, len(keys)))).view(np.int64)
+            columns = [pa.array(named), pa.array(ids), pa.array(rest)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "id", "rest"])
+
+    return run
+
+
+def _live(entries: DataFrame, shared: DataFrame, num: int, den: int) -> DataFrame:
+    """key, id, rest and the key's tokens, of sets that may link by a key.
+
+    Keys of one block are read whole, a list a key, as the join leaves them; those of more keep all their sets.
+    """
+    one = F.col("tokens") <= MEETING_TOKENS
+    few, many = shared.filter(one), shared.filter(~one)
+    lists = likely(entries, "key", few).join(few, "key").groupBy("key").agg(F.collect_list(F.struct("n", "id", "rest")).alias("of"))
+    lists = lists.select("of").mapInArrow(_shared_lists(num, den), "key bigint, id bigint, rest bigint")
+    lists = lists.groupBy("key", "id").agg(F.max("rest").alias("rest")).withColumn("tokens", F.lit(1).cast("bigint"))
+    rows = likely(entries, "key", many).join(many, "key").select("key", "id", "rest", "tokens")
+    return written(lists.union(rows), "live")
+
+
 def _meeting(live: DataFrame, signatures: DataFrame, num: int, den: int) -> DataFrame:
     blocks = F.ceil(F.col("tokens") / MEETING_TOKENS)
     met = _met(live.join(signatures, "id"), "key", blocks, "id", "rest", "n", "bits")
@@ -182,15 +240,14 @@ def linked(
 ) -> DataFrame:
     """(id, root) of every set that is linked to another, by Jaccard >= num/den.
 
-    ``entries``: (key, id, rest), ids standing for different sets, and ``rest`` as in ``signature_tree.Sets``: of
+    ``entries``: (key, id, n, rest), ids standing for different sets, ``n`` their sizes, and ``rest`` as in ``signature_tree.Sets``: of
     the keys that two linked sets share, the condition need hold for one.
     ``signatures``: (id, n, bits) with every set's size and coarse ``signature_tree.bitmap``. ``sets_of``: given a
     frame of ids, their (id, values), values being sorted distinct 64-bit hashes. An empty table gives no rows.
     """
     shared = entries.groupBy("key").agg(F.count("*").alias("c"), F.sum("rest").alias("tokens"))
     shared = written(shared.filter("c > 1").select("key", "tokens"), "keys")
-    live = likely(entries, "key", shared).join(shared, "key").select("key", "id", "rest", "tokens")
-    live = written(live, "live")
+    live = _live(entries, shared, num, den)
     edges = written(_meeting(live, signatures, num, den), "edges")
     discard(live, shared)
     families = _families(edges, signatures)

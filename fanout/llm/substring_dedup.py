@@ -114,7 +114,7 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
         .withColumn("id", F.monotonically_increasing_id()),
         "distinct",
     )
-    entries = distinct.select(F.explode("bands").alias("key"), "id", F.col("n").alias("rest"))
+    entries = distinct.select(F.explode("bands").alias("key"), "id", "n", F.col("n").alias("rest"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = (

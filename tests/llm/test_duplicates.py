@@ -204,6 +204,39 @@ def test_rest_drops_no_pair_at_its_first_common_token():
                 assert not (first and signature_tree.reaches(has[i], has[j], 50, 100)) or (i, j) in found
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_sets_leave_keys_that_link_them_to_none(seed):
+    rnd = np.random.default_rng(seed)
+    keys = np.sort(rnd.integers(0, 40, 150 if seed else 1))
+    sizes = rnd.integers(1, 30, len(keys))
+    rest = rnd.integers(1, sizes + 1)
+    order = np.lexsort((sizes, keys))
+    keys, sizes, rest = keys[order], sizes[order], rest[order]
+    may = set_links._with_partner(keys, sizes, rest, 80, 100)
+    for i in range(len(keys)):
+        others = [j for j in np.flatnonzero(keys == keys[i]) if j != i]
+        want = any(
+            100 * min(sizes[i], sizes[j]) >= 80 * max(sizes[i], sizes[j])
+            and 180 * min(rest[i], rest[j]) >= 80 * (sizes[i] + sizes[j])
+            for j in others
+        )
+        assert may[i] if len(others) > set_links.NEIGHBOURS else may[i] == want
+
+
+def test_keys_of_the_same_sets_are_one(spark, monkeypatch):
+    rows = [(1, 10, 9, 9), (1, 11, 9, 9), (2, 10, 9, 7), (2, 11, 9, 8), (3, 10, 9, 9), (3, 12, 30, 30), (4, 10, 9, 9), (4, 11, 9, 9), (4, 12, 8, 8)]
+    entries = spark.createDataFrame(rows, "key long, id long, n long, rest long")
+    shared = entries.groupBy("key").agg(F.sum("rest").alias("tokens"))
+    got = defaultdict(set)
+    for r in set_links._live(entries, shared, 80, 100).collect():
+        got[r.key].add((r.id, r.rest))
+    assert sorted(map(sorted, got.values())) == [[(10, 9), (11, 9)], [(10, 9), (11, 9), (12, 8)]]
+    monkeypatch.setattr(set_links, "MEETING_TOKENS", 20)  # keys of several blocks keep all their sets
+    got = {(r.id, r.tokens) for r in set_links._live(entries, shared, 80, 100).collect() if r.tokens > 1}
+    assert got == {(10, 39), (12, 39), (10, 26), (11, 26), (12, 26)}
+    assert set_links._live(entries.limit(0), shared.limit(0), 80, 100).count() == 0
+
+
 def test_reaches_is_exact():
     x, y = np.arange(100, dtype=np.uint64), np.arange(10, 110, dtype=np.uint64)  # 90 of 110
     assert signature_tree.reaches(x, y, 90, 110) and not signature_tree.reaches(x, y, 91, 110)
