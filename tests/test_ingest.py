@@ -15,6 +15,7 @@ from fanout.functions import wire
 from fanout.functions.text import ascii_upper, string_fingerprint
 from fanout.operators import corpus, expectation, gates, transform
 from fanout.operators.transform import land_flat
+from fanout.plans import inputs
 from fanout.session import scratch_path
 from fanout.sources.messages import batch_avro_schema, split_broken
 
@@ -278,3 +279,25 @@ def test_sums_of_replayed_and_conflicting_rows(spark):
     assert other.count() == 1
     more = gates.sums(replayed.unionByName(other)).first()
     assert more.value_sum == clean.value_sum + other.first().value and more.sensor_sum > clean.sensor_sum
+
+
+def test_no_row_meets_the_replayed_batches_by_a_shuffle(spark, landed):
+    """Rows are joined with marks of bounded size, broadcast; only the rows of marked batches go anywhere."""
+    folder = scratch_path(spark, "landed")
+    landed.unionByName(landed.filter("batch_id % 3 = 0")).write.parquet(folder)
+    plan = gates.sums(spark.read.parquet(folder))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_row_difference_compares_rows_of_unlike_keys_only(spark):
+    rows = spark.range(3000).select((F.col("id") % 300).alias("k"), F.col("id").alias("v"))
+    odd = rows.filter("v <> 7").unionByName(spark.createDataFrame([(None, 1), (5, 5)], "k long, v long"))
+    got = gates.row_difference(rows, odd, ["k"])
+    assert sorted(map(tuple, got.collect()), key=str) == [(5, "repeated", 1), (7, "lost", 1), (None, "extra", 1)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+
+
+def test_the_landed_corpus_is_not_stored(spark, data):
+    for made in (inputs.landed_corpus, inputs.broken_corpus, inputs.altered_corpus):
+        assert not made(spark, data).inputFiles() or all("staged" not in f for f in made(spark, data).inputFiles())
