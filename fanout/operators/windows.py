@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fanout import schemas as S
-from fanout.operators.intervals import in_windows
+from fanout.operators.intervals import window_sums
 from fanout.operators.ordering import nearest_rank, select_ranks
+from fanout.session import kept
 
 QUANTILES = {"p50_us": 0.5, "p99_us": 0.99, "p999_us": 0.999}
 SKETCH_ACCURACY = 10_000  # a sketched rank is off by this part of the rows at most
@@ -120,27 +122,74 @@ def within_rank_error(
 def rows_by_run(landed: DataFrame, windows: DataFrame) -> DataFrame:
     """Rows of each run's own window, ``windows`` being (run, from_ms, to_ms); 0 where none landed.
 
-    Windows may overlap: a row counts for every window it falls into. Rows of one millisecond are counted before they
-    meet the windows.
+    Windows may overlap: a row counts for every window it falls into.
     """
-    landed = landed.groupBy(F.unix_millis("ingest_ts").alias("at_ms")).agg(F.count("*").alias("n"))
-    met = in_windows(landed, F.col("at_ms"), windows.select("run", "from_ms", "to_ms"), "from_ms", "to_ms")
-    counts = met.groupBy("run").agg(F.sum("n").alias("rows"))
+    counts = window_sums(
+        landed, F.unix_millis("ingest_ts"), {"rows": F.lit(1)}, windows.select("run", "from_ms", "to_ms"), "from_ms", "to_ms", ["run"]
+    )
     return windows.select("run", "from_ms", "to_ms").join(counts, "run", "left").fillna(0, ["rows"])
 
 
+DIGIT_BITS = 3  # latencies are narrowed down so many bits at a time
+
+
 def latency_by_run(landed: DataFrame, windows: DataFrame) -> DataFrame:
-    """Exact nearest-rank quantiles of each run's own window; a run without rows is refused and has none."""
-    lat = (F.unix_micros("ingest_ts") - F.unix_micros("send_ts")).alias("lat_us")
-    points = landed.select(F.unix_millis("ingest_ts").alias("at_ms"), lat)
-    pooled = points.groupBy("at_ms", "lat_us").agg(F.count("*").alias("n"))
-    met = in_windows(pooled, F.col("at_ms"), windows.select("run", "from_ms", "to_ms"), "from_ms", "to_ms")
-    weights = met.groupBy("run", "lat_us").agg(F.sum("n").alias("n"))
-    quantiles = select_ranks(weights, ["run"], "lat_us", {n: nearest_rank(q) for n, q in QUANTILES.items()}, "n")
-    totals = weights.groupBy("run").agg(F.max("lat_us").alias("max_us"), F.sum("n").alias("rows"))
+    """Exact nearest-rank quantiles of each run's own window; a run without rows is refused and has none.
+
+    A quantile is found digit by digit, from the highest: the rows of the window that share the digits found so far are
+    counted by their next one, as sums over the window. Each digit costs one pass over rows and windows, however much
+    windows overlap. Runs the counting when called.
+    """
+    lat = F.unix_micros("ingest_ts") - F.unix_micros("send_ts")
+    points = landed.select(F.unix_millis("ingest_ts").alias("at_ms"), lat.alias("lat_us")).filter("at_ms is not null and lat_us is not null")
+    points = kept(points.groupBy("at_ms", "lat_us").agg(F.count("*").alias("n")))
+    ends = points.agg(F.min("lat_us").alias("a"), F.max("lat_us").alias("z")).first()
+    least, most = (0, 0) if ends.a is None else (ends.a, ends.z)
+    ranks = {n: nearest_rank(q) for n, q in QUANTILES.items()} | {"max_us": lambda n: n}
+    spans = windows.select("run", "from_ms", "to_ms").filter("run is not null")
+    over = (F.col("lat_us") - least).alias("over")
+    sought = spans.select("run", F.explode(F.array(*[F.lit(n) for n in ranks])).alias("name")).distinct()
+    sought = sought.select("run", "name", F.lit(0).cast("long").alias("top"), F.lit(None).cast("long").alias("rank"), F.lit(None).cast("long").alias("rows"))
+    rounds = -(-max(1, (most - least).bit_length()) // DIGIT_BITS)
+    digits = [f"d{d}" for d in range(1 << DIGIT_BITS)]
+    for k in reversed(range(rounds)):
+        shift = k * DIGIT_BITS
+        top = F.call_function("shiftright", "over", F.lit(shift + DIGIT_BITS))
+        digit = F.call_function("shiftright", "over", F.lit(shift)).bitwiseAND(F.lit((1 << DIGIT_BITS) - 1))
+        near = points.select("at_ms", "n", over).select("at_ms", "n", top.alias("top"), digit.alias("digit"))
+        counted = window_sums(
+            near,
+            F.col("at_ms"),
+            {c: F.when(F.col("digit") == d, F.col("n")) for d, c in enumerate(digits)},
+            spans.join(sought, "run"),
+            "from_ms",
+            "to_ms",
+            ["run", "name", "rank", "rows"],
+            ["top"],
+        )
+        total = F.coalesce("rows", reduce(lambda a, b: a + b, [F.col(c) for c in digits]))
+        first = F.coalesce(*[F.when(F.col("name") == n, rank(total)) for n, rank in ranks.items()])
+        ranked = counted.withColumn("rows", total).withColumn("rank", F.coalesce("rank", first)).filter("rows > 0")
+        upto = [reduce(lambda a, b: a + b, [F.col(c) for c in digits[: d + 1]]) for d in range(len(digits))]
+        place = reduce(lambda rest, d: F.when(F.col("rank") <= upto[d], d).otherwise(rest), reversed(range(len(digits) - 1)), F.lit(len(digits) - 1))
+        below = reduce(
+            lambda rest, d: F.when(F.col("_digit") == d, upto[d - 1]).otherwise(rest), range(1, len(digits)), F.lit(0).cast("long")
+        )
+        sought = kept(
+            ranked.withColumn("_digit", place).select(
+                "run",
+                "name",
+                (F.col("top") * (1 << DIGIT_BITS) + F.col("_digit")).alias("top"),
+                (F.col("rank") - below).alias("rank"),
+                "rows",
+            )
+        )
+    found = sought.groupBy("run").agg(
+        *[F.max(F.when(F.col("name") == n, F.col("top") + least)).alias(n) for n in ranks], F.max("rows").alias("rows")
+    )
     return (
         windows.select("run")
-        .join(quantiles.join(totals, "run"), "run", "left")
+        .join(found, "run", "left")
         .select(
             "run",
             *QUANTILES,
