@@ -121,3 +121,32 @@ def test_levels(spark):
     lengths = [1, 2, 3, 4, 5, 15, 16, 63, 64, 65, 1 << 40, (1 << 62) - 1]
     frame = spark.createDataFrame([(n,) for n in lengths], "n long").select("n", intervals._level(F.col("n")).alias("k"))
     assert all(4**r.k <= r.n < 4 ** (r.k + 1) for r in frame.collect())
+
+
+def test_window_sums_against_a_nested_loop(spark):
+    points, spans = made(random.Random(8), 400, 60, hot=True)
+    spans.append(("w3", "r1", 0, 30_000))  # a second window of one owner
+    p, w = spark.createDataFrame(points, POINTS), spark.createDataFrame(spans, WINDOWS)
+    got = intervals.window_sums(p, F.col("t"), {"n": F.lit(1), "ids": F.col("id")}, w, "a", "z", ["name"], ["run"])
+    n, ids = Counter(), Counter()
+    for name, run, a, z in spans:
+        for i, r, t in points:
+            if r == run and a <= t < z:
+                n[name, run] += 1
+                ids[name, run] += i
+    assert {(r["name"], r["run"]): (r["n"], r["ids"]) for r in got.collect() if r["n"]} == {k: (n[k], ids[k]) for k in n}
+
+
+def test_sums_over_windows_copy_no_row_for_a_window(spark):
+    """Forty windows over the same four rows: no operator may hold a row for each pair."""
+    at = [dt.datetime(2024, 1, 1, 0, 0, s) for s in (1, 2, 3, 4)]
+    base = int(dt.datetime(2024, 1, 1, tzinfo=dt.UTC).timestamp() * 1000)
+    spans = spark.createDataFrame([(f"w{i}", base, base + 1000 * i) for i in range(40)], "run string, from_ms long, to_ms long")
+    log = spark.createDataFrame(
+        [("QueryFinish", "Insert", t, 5 if i else None, {"NetworkReceiveElapsedMicroseconds": i}) for i, t in enumerate(at)],
+        "type string, query_kind string, event_time timestamp, duration_ms long, profile_events map<string, bigint>",
+    )
+    want = logs.network_totals(logs.logged_in_windows(log, spans), ["run"])
+    got = logs.run_network_totals(log, spans)
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
