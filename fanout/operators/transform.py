@@ -171,7 +171,12 @@ def land_sql(batches: DataFrame) -> DataFrame:
 
 def survival(batches: DataFrame) -> DataFrame:
     """How many events survive both filters, as counts and as basis points. One pass, one row."""
-    events = flatten(batches).agg(
+    return survival_flat(flatten(batches))
+
+
+def survival_flat(rows: DataFrame) -> DataFrame:
+    """The same for events that arrive one per row."""
+    events = rows.agg(
         F.count("*").alias("events"),
         F.count_if(~is_sentinel(F.col("unit")) & ~below_floor(F.col("quality"))).alias("landed"),
     )

@@ -301,3 +301,11 @@ def test_row_difference_compares_rows_of_unlike_keys_only(spark):
 def test_the_landed_corpus_is_not_stored(spark, data):
     for made in (inputs.landed_corpus, inputs.broken_corpus, inputs.altered_corpus):
         assert not made(spark, data).inputFiles() or all("staged" not in f for f in made(spark, data).inputFiles())
+
+
+def test_filter_yield_builds_no_array_of_events(spark, data):
+    from fanout.plans import ingest
+
+    got = ingest.filter_yield(spark, data)
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.first() == transform.survival(corpus.batches(inputs.event_ids(spark, data))).first()
