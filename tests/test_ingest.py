@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from fanout import schemas as S
+from fanout.functions import corpus as C
 from fanout.functions import wire
 from fanout.functions.text import ascii_upper, string_fingerprint
 from fanout.operators import corpus, expectation, gates, transform
@@ -309,3 +310,17 @@ def test_filter_yield_builds_no_array_of_events(spark, data):
     got = ingest.filter_yield(spark, data)
     assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert got.first() == transform.survival(corpus.batches(inputs.event_ids(spark, data))).first()
+
+
+def test_events_from_cycles_are_the_events(spark):
+    ids = [0, 1, 7, 96, 97, 1000, 123_456_789, (1 << 42) - 1, 1 << 42, (1 << 42) + 5]
+    df = spark.createDataFrame([(i,) for i in ids], "b long")
+    got = {r.b: r.e for r in df.select("b", C.events(F.col("b"), 130).alias("e")).collect()}
+    for b in ids:
+        for s, e in enumerate(got[b]):
+            value = (b * 1_000_003 + s * 97) % 2**64 % S.VALUE_MODULUS
+            quality = None if (b + s) % 5 == 0 else (b * 13 + s * 7) % 100 / 100.0
+            tags = [f"tag-{(b + s + j) % S.TAGS}" for j in range((b + s) % 4)]
+            assert tuple(e) == (s, f"metric_{(b * 31 + s) % S.NAMES}", S.UNITS[(b * 7 + s) % 8], value, quality, tags)
+    plan = df.filter("b < 1000").select(C.events(F.col("b")).alias("e"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan and "arrays_zip" in plan
