@@ -24,13 +24,15 @@ from fanout.sources.topic import consume
 from fanout.streaming import jobs, live
 
 FILES_PER_TRIGGER = 2
+BATCHES_PER_FILE = 100_000
 
 
 def _staged(spark: SparkSession, batches: DataFrame) -> DataFrame:
-    """A folder of nested batches, as a stream."""
-    folder = scratch_path(spark, "nested")
-    batches.write.parquet(folder)
-    return jobs.nested_stream(spark, folder, FILES_PER_TRIGGER)
+    """A folder of nested batches, as a stream. A trigger takes a file for every core, and there are two triggers or more."""
+    folder, cores = scratch_path(spark, "nested"), spark.sparkContext.defaultParallelism
+    per_file = min(BATCHES_PER_FILE, max(1, batches.count() // (2 * cores)))
+    batches.write.option("maxRecordsPerFile", per_file).parquet(folder)
+    return jobs.nested_stream(spark, folder, max(FILES_PER_TRIGGER, cores))
 
 
 def _target(spark: SparkSession, folder: str) -> DataFrame:
