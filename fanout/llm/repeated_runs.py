@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fanout.llm.shared import cells, importable, likely, small, written
-from fanout.llm.words import shingles, words_and_places
+from fanout.llm.words import Run, shingles, together, words_and_places
 
 RUN = 50
 BLOCK = 25
@@ -44,69 +44,112 @@ def anchors(blocks: np.ndarray) -> np.ndarray:
     return _sliding(np.concatenate((edge, least, edge)), SPREAD, np.maximum) == blocks
 
 
+def _blocks(run: Run) -> tuple[np.ndarray, np.ndarray]:
+    """Every block's hash, by its first word, and the first words of those that are anchors in their text."""
+    blocks = shingles(run.hashes, BLOCK)
+    within = run.inside(BLOCK)
+    # a least block of 0 makes none an anchor, as beyond the edges of a text
+    chosen = anchors(np.where(within, blocks, np.uint64(0))) & within
+    return blocks, np.flatnonzero(chosen & np.repeat(np.diff(run.bounds) >= RUN, np.diff(run.bounds))[: len(chosen)])
+
+
 def _anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, versions, values, counts = [], [], [], []
-        for doc_id, version, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), cells(batch.column(2)), strict=True):
-            hashes, _ = words_and_places(text)
-            if len(hashes) < RUN:
+        first = 0
+        for run in together(cells(batch.column(2))):
+            before, first = first, first + len(run.bounds) - 1
+            if len(run.hashes) < RUN:
+                continue
+            blocks, at = _blocks(run)
+            if not len(at):
                 continue
-            blocks = shingles(hashes, BLOCK)
-            found, n = np.unique(blocks[anchors(blocks)], return_counts=True)
-            ids.append(np.full(len(found), doc_id, np.int64))
-            versions.append(np.full(len(found), version, np.int64))
-            values.append(found.view(np.int64))
-            counts.append(n.astype(np.int32))
-        if ids:
-            columns = [np.concatenate(c) for c in (ids, versions, values, counts)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "version", "anchor", "n"])
+            text = np.searchsorted(run.bounds, at, "right") - 1
+            values = blocks[at]
+            order = np.lexsort((values, text))
+            text, values = text[order], values[order]
+            starts = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (values[1:] != values[:-1]))))
+            rows = pa.array(before + text[starts], pa.int64())
+            n = np.diff(np.append(starts, len(values))).astype(np.int32)
+            columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(values[starts].view(np.int64)), pa.array(n)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "anchor", "n"])
 
 
 def _stretches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every RUN words around an anchor that is wanted: their hash, line and first word."""
     for batch in batches:
-        for k, text in enumerate(cells(batch.column(2))):
-            wanted = np.sort(batch.column(3)[k].values.to_numpy().view(np.uint64))
-            hashes, places = words_and_places(text)
-            blocks = shingles(hashes, BLOCK)
-            at = np.minimum(np.searchsorted(wanted, blocks), len(wanted) - 1)
-            hit = np.flatnonzero((wanted[at] == blocks) & anchors(blocks))
-            near = np.zeros(len(hashes) + 2, np.int64)
-            np.add.at(near, np.maximum(hit - SPREAD + 1, 0), 1)
-            np.add.at(near, hit + 1, -1)
-            starts = np.flatnonzero(np.cumsum(near)[: len(hashes) - RUN + 1])
-            breaks = np.flatnonzero(np.frombuffer(text, np.uint8) == 10)
-            lines = np.searchsorted(breaks, places[starts])
+        first = 0
+        for run in together(cells(batch.column(2))):
+            before, first = first, first + len(run.bounds) - 1
+            if len(run.hashes) < RUN:
+                continue
+            blocks, at = _blocks(run)
+            wanted = batch.column(3).slice(before, first - before).flatten().to_numpy().view(np.uint64)
+            owner = np.repeat(np.arange(first - before), batch.column(3).slice(before, first - before).value_lengths().to_numpy())
+            hit = at[_among(np.searchsorted(run.bounds, at, "right") - 1, blocks[at], owner, wanted)]
+            own = run.bounds[np.searchsorted(run.bounds, hit, "right") - 1]
+            near = np.bincount(np.maximum(hit - SPREAD + 1, own), minlength=len(run.hashes) + 1)
+            near -= np.bincount(hit + 1, minlength=len(near))
+            starts = np.flatnonzero((np.cumsum(near)[: len(run.hashes) - RUN + 1] > 0) & run.inside(RUN))
+            if not len(starts):
+                continue
+            text = np.searchsorted(run.bounds, starts, "right") - 1
+            breaks, hashes = run.breaks(), shingles(run.hashes, RUN)[starts].view(np.int64)
+            lines = np.searchsorted(breaks, run.places[starts]) - np.searchsorted(breaks, run.begins[text])
             for a in range(0, len(starts), 50_000):
-                part = starts[a : a + 50_000]
+                part = slice(a, a + 50_000)
+                rows = pa.array(before + text[part], pa.int64())
                 columns = [
-                    pa.array(np.full(len(part), batch.column(0)[k].as_py(), np.int64)),
-                    pa.array(np.full(len(part), batch.column(1)[k].as_py(), np.int64)),
-                    pa.array(lines[a : a + 50_000], pa.int32()),
-                    pa.array(part, pa.int32()),
-                    pa.array(shingles(hashes, RUN)[part].view(np.int64)),
+                    batch.column(0).take(rows),
+                    batch.column(1).take(rows),
+                    pa.array(lines[part], pa.int32()),
+                    pa.array((starts - run.bounds[text])[part], pa.int32()),
+                    pa.array(hashes[part]),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "paragraph", "word", "stretch"])
 
 
+def _among(text: np.ndarray, values: np.ndarray, owner: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Whether each value is wanted in its text. ``owner``: the text of each wanted one."""
+    order = np.lexsort((np.arange(len(values) + len(wanted)) < len(values), np.append(values, wanted), np.append(text, owner)))
+    texts, every, own = np.append(text, owner)[order], np.append(values, wanted)[order], order < len(values)
+    starts = np.concatenate(([True], (texts[1:] != texts[:-1]) | (every[1:] != every[:-1])))[: len(order)]
+    found = np.empty(len(values), bool)
+    found[order[own]] = ~own[np.maximum.accumulate(np.where(starts, np.arange(len(order)), 0))][own]
+    return found
+
+
 def _merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A document's repeats of one kind, touching ones as one run; of a run the first stretch says who keeps it."""
+    """Touching repeats of one text and kind as one run; the first one says who keeps it.
+
+    Rows come by doc_id, version, removed, first and last, a text's maybe in several batches.
+    """
+    open_run = None
     for batch in batches:
-        out: list[tuple] = []
-        for doc_id, version, removed, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            run = None
-            for p in sorted(parts, key=lambda p: (p["first"], p["last"])):
-                if run and p["first"] <= run[3] + 1:
-                    run[3] = max(run[3], p["last"])
-                    continue
-                if run:
-                    out.append(tuple(run))
-                run = [doc_id, version, p["first"], p["last"], p["paragraph"], p["keep_doc_id"], p["keep_paragraph"], p["copies"], removed]
-            out.append(tuple(run))
-        columns = list(zip(*out, strict=True)) or [()] * 9
-        kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 3, pa.int64(), pa.int32(), pa.int64(), pa.bool_())
-        names = ["doc_id", "version", "first_word", "last_word", "paragraph", "keep_doc_id", "keep_paragraph", "copies", "removed"]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        if not len(batch):
+            continue
+        if open_run is not None:
+            batch = pa.Table.from_batches([open_run, batch]).combine_chunks().to_batches()[0]
+        ids, versions, removed, first, last = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        new = np.ones(len(ids), bool)
+        new[1:] = (ids[1:] != ids[:-1]) | (versions[1:] != versions[:-1]) | (removed[1:] != removed[:-1])
+        # the greatest last word so far of each text and kind: they rise from one to the next by more than any word's number
+        beyond = (np.cumsum(new) - 1) * (1 << 32)
+        reach = np.maximum.accumulate(last + beyond) - beyond
+        new[1:] |= first[1:] > reach[:-1] + 1
+        starts = np.flatnonzero(new)
+        ends = reach[np.append(starts[1:], len(ids)) - 1]
+        runs = batch.take(pa.array(starts))
+        runs = runs.set_column(4, batch.schema.field(4), pa.array(ends.astype(np.int32)))
+        open_run = runs.slice(len(starts) - 1)
+        yield _told(runs.slice(0, len(starts) - 1))
+    if open_run is not None:
+        yield _told(open_run)
+
+
+def _told(runs: pa.RecordBatch) -> pa.RecordBatch:
+    columns = [runs.column(n) for n in ("doc_id", "version", "first", "last", "paragraph", "keep_doc_id", "keep_paragraph", "copies", "removed")]
+    names = ["doc_id", "version", "first_word", "last_word", "paragraph", "keep_doc_id", "keep_paragraph", "copies", "removed"]
+    return pa.RecordBatch.from_arrays(columns, names)
 
 
 def _lengths(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,12 +194,12 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     beyond = (F.col("lo.doc_id") == F.col("doc_id")) & (F.col("lo.version") == F.col("version"))
     beyond &= place != F.col("lo")
     first = F.when(beyond, F.greatest("word", F.col("lo.word") + RUN)).otherwise(F.col("word"))
-    part = F.struct(
-        first.alias("first"), (F.col("word") + RUN - 1).alias("last"), "paragraph",
-        F.col("lo.doc_id").alias("keep_doc_id"), F.col("lo.paragraph").alias("keep_paragraph"), "copies",
+    by_text = repeats.select(
+        "doc_id", "version", (place != F.col("lo")).alias("removed"), first.cast("int").alias("first"), (F.col("word") + RUN - 1).alias("last"),
+        "paragraph", F.col("lo.doc_id").alias("keep_doc_id"), F.col("lo.paragraph").alias("keep_paragraph"), "copies",
     )
-    by_text = repeats.select("doc_id", "version", (place != F.col("lo")).alias("removed"), part.alias("part")).filter("part.first <= part.last")
-    merged = by_text.groupBy("doc_id", "version", "removed").agg(F.collect_set("part").alias("parts")).mapInArrow(_merged, _RUNS)
+    by_text = by_text.filter("first <= last").repartition("doc_id", "version")
+    merged = by_text.sortWithinPartitions("doc_id", "version", "removed", "first", "last").mapInArrow(_merged, _RUNS)
 
     alike = likely(texts, "doc_id", equal).join(equal.select("doc_id", "version").distinct(), ["doc_id", "version"], "left_semi")
     sizes = alike.mapInArrow(_lengths, "doc_id bigint, version bigint, n_words int, paragraph int").distinct()

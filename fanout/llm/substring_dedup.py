@@ -10,7 +10,7 @@ or stand inside a longer one, are found by ``repeated_runs``.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from fanout.llm.repeated_runs import repeated_runs, without_runs
 from fanout.llm.set_links import linked
 from fanout.llm.shared import cells, importable, likely, small, written
-from fanout.llm.signature_tree import COARSE, bitmap
-from fanout.llm.words import digest, distinct, mixed, packed, shingle_set, shingles, words_and_places
+from fanout.llm.signature_tree import COARSE, width_for
+from fanout.llm.words import Run, digest, distinct, mixed, packed, shingle_set, shingles, together
 
 MIN_WORDS = 50
 WIDTH = 5
@@ -37,47 +37,70 @@ def bands_for(similarity: float, recall: float, rows: int = 3) -> int:
 
 ROWS = 3
 BANDS = bands_for(SIMILAR[0] / SIMILAR[1], RECALL, ROWS)
-_SEEDS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))[:, None]
-_FACTORS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64), 7)[:, None] | np.uint64(1)
+_SEEDS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
+_FACTORS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64), 7) | np.uint64(1)
 
 
-def band_keys(values: np.ndarray) -> np.ndarray:
-    least = ((values[None, :] ^ _SEEDS) * _FACTORS).min(axis=1).reshape(BANDS, ROWS)
+def band_keys(values: np.ndarray, starts: Sequence[int] | np.ndarray = (0,)) -> np.ndarray:
+    """Each set's keys in turn; sets stand one after the other in ``values``, from ``starts`` on."""
+    least = [np.minimum.reduceat((values ^ seed) * factor, starts) for seed, factor in zip(_SEEDS, _FACTORS, strict=True)]
+    least = np.stack(least, axis=1).reshape(len(starts), BANDS, ROWS)
     keys = np.arange(BANDS, dtype=np.uint64)
     for j in range(ROWS):
-        keys = mixed(keys + least[:, j])
-    return keys.view(np.int64)
+        keys = mixed(keys + least[:, :, j])
+    return keys.ravel().view(np.int64)
 
 
-def _long_lines(text: bytes) -> Iterator[tuple[int, np.ndarray]]:
-    """Number and word hashes of every line of MIN_WORDS words and more."""
-    hashes, places = words_and_places(text)
-    if len(hashes) < MIN_WORDS:
-        return
-    breaks = np.flatnonzero(np.frombuffer(text, np.uint8) == 10)
-    ends = np.append(np.searchsorted(places, breaks), len(hashes))
-    starts = np.concatenate(([0], ends[:-1]))
-    for k in np.flatnonzero(ends - starts >= MIN_WORDS).tolist():
-        yield k, hashes[starts[k] : ends[k]]
+def _bitmaps(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """``signature_tree.bitmap`` of each set, COARSE bits a token."""
+    widths = np.array([width_for(n, COARSE) for n in sizes.tolist()], np.int64)
+    ends = np.cumsum(widths)
+    flags = np.zeros(int(ends[-1]), np.uint8)
+    low = (values & np.repeat(widths - 1, sizes).astype(np.uint64)).astype(np.int64)
+    flags[low + np.repeat(ends - widths, sizes)] = 1
+    data = np.packbits(flags, bitorder="little").tobytes()
+    return [data[a:b] for a, b in zip(((ends - widths) // 8).tolist(), (ends // 8).tolist(), strict=True)]
+
+
+def _long_lines(run: Run) -> tuple[np.ndarray, ...]:
+    """Of every line of MIN_WORDS words and more: its text's number in the run, its own in the text, first and last + 1 word."""
+    breaks = run.breaks()
+    begins = np.concatenate(([0], breaks + 1))
+    words = np.concatenate(([0], np.searchsorted(run.places, breaks), [len(run.hashes)]))
+    long = np.flatnonzero(np.diff(words) >= MIN_WORDS)
+    texts = np.searchsorted(run.begins, begins[long], "right") - 1
+    return texts, long - np.searchsorted(begins, run.begins[texts]), words[long], words[long + 1]
 
 
 def _paragraphs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[tuple] = []
-        ids, versions = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-        for doc_id, version, text in zip(ids, versions, cells(batch.column(1)), strict=True):
-            for k, hashes in _long_lines(text):
-                values = distinct(shingles(hashes, WIDTH))
-                bits = packed(bitmap(values, COARSE))
-                out.append((doc_id, version, k, len(hashes), digest(hashes), len(values), bits, band_keys(values)))
-        columns = list(zip(*out, strict=True)) or [()] * 8
-        flat = np.concatenate(columns[7]) if out else np.empty(0, np.int64)
-        bands = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * BANDS, pa.int32()), pa.array(flat))
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays(
-            [*(pa.array(c, k) for c, k in zip(columns[:7], kinds, strict=True)), bands],
-            ["doc_id", "version", "paragraph", "n_words", "digest", "n", "bits", "bands"],
-        )
+        first = 0
+        for run in together(cells(batch.column(1))):
+            texts, numbers, starts, ends = _long_lines(run)
+            rows = pa.array(first + texts, pa.int64())
+            first += len(run.bounds) - 1
+            if not len(texts):
+                continue
+            every, sets, digests = shingles(run.hashes, WIDTH), [], []
+            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+                sets.append(distinct(every[a : b - WIDTH + 1]))
+                digests.append(digest(run.hashes[a:b]))
+            sizes = np.array([len(v) for v in sets])
+            values, at = np.concatenate(sets), np.cumsum(sizes) - sizes
+            offsets = pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(rows),
+                    batch.column(2).take(rows),
+                    pa.array(numbers, pa.int32()),
+                    pa.array(ends - starts, pa.int32()),
+                    pa.array(digests, pa.binary()),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(_bitmaps(values, at, sizes), pa.binary()),
+                    pa.ListArray.from_arrays(offsets, pa.array(band_keys(values, at))),
+                ],
+                ["doc_id", "version", "paragraph", "n_words", "digest", "n", "bits", "bands"],
+            )
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,12 +6,13 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from fanout.llm import exact_dedup, jaccard_join, set_links, signature_tree, substring_dedup
+from fanout.llm import exact_dedup, jaccard_join, repeated_runs, set_links, signature_tree, substring_dedup
 from fanout.llm import words as hashing
 from fanout.llm.components import components
 from fanout.llm.shared import written
@@ -323,6 +324,25 @@ def test_words_are_hashed_alike_wherever_they_stand(monkeypatch, stretch):
     assert len(set(seen.values())) == len(seen)
 
 
+def test_texts_hashed_together_keep_their_words_and_lines(monkeypatch):
+    rnd = random.Random(8)
+    texts = [bytes(rnd.choice(b"abAB \n\t\xc3\xa9") for _ in range(rnd.choice([0, 1, 5, 40]))) for _ in range(300)]
+    for size in (1, 60, 1 << 18):
+        monkeypatch.setattr(hashing, "TOGETHER", size)
+        at = 0
+        for run in hashing.together(texts):
+            widths = [w for w in (2, 3) if len(run.hashes) >= w]
+            inside = {w: run.inside(w) for w in widths}
+            for k in range(len(run.bounds) - 1):
+                a, b = run.bounds[k : k + 2]
+                found, places = hashing.words_and_places(texts[at + k])
+                assert found.tolist() == run.hashes[a:b].tolist() and (places + run.begins[k]).tolist() == run.places[a:b].tolist()
+                for w in widths:
+                    assert inside[w][a:b].sum() == max(0, b - a - w + 1)
+            at += len(run.bounds) - 1
+        assert at == len(texts)
+
+
 def test_no_operator_collects_the_table(spark):
     plan = exact_dedup.exact_groups(documents(spark, EDGES).withColumn("k", F.lit(1)))
     assert "CartesianProduct" not in plan._jdf.queryExecution().executedPlan().toString()
@@ -364,6 +384,26 @@ def test_runs_across_lines_and_inside_longer_lines(spark):
     ]
 
 
+def test_touching_repeats_are_merged_over_batches():
+    rnd = random.Random(4)
+    rows, want = [], []
+    for doc in range(30):
+        for removed in (False, True):
+            spans = sorted({(f, f + 49) for f in (rnd.randrange(400) for _ in range(rnd.randrange(9)))})
+            rows += [(doc, doc % 3, removed, f, last, f // 7, f, f // 5, 2) for f, last in spans]
+            marked = np.zeros(500, bool)
+            for f, last in spans:
+                marked[f : last + 1] = True
+            edges = np.flatnonzero(np.diff(np.concatenate(([0], marked, [0])))).reshape(-1, 2)
+            want += [(doc, doc % 3, a, b - 1, a // 7, a, a // 5, 2, removed) for a, b in edges.tolist()]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int32()] * 3, pa.int64(), pa.int32(), pa.int64()]
+    names = ["doc_id", "version", "removed", "first", "last", "paragraph", "keep_doc_id", "keep_paragraph", "copies"]
+    table = pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    for size in (1, 7, 10_000):
+        merged = pa.Table.from_batches(repeated_runs._merged(table.to_batches(size)))
+        assert list(zip(*(c.to_pylist() for c in merged.columns), strict=True)) == want
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_no_stretch_occurs_twice_unmarked(spark, seed):
     rnd = random.Random(seed)
