@@ -10,7 +10,7 @@ or stand inside a longer one, are found by ``repeated_runs``.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fanout.llm.repeated_runs import repeated_runs, without_runs
-from fanout.llm.set_links import linked
+from fanout.llm.set_links import SETS, linked, made
 from fanout.llm.shared import cells, importable, likely, small, written
 from fanout.llm.signature_tree import COARSE, width_for
 from fanout.llm.words import Run, digest, distinct, mixed, packed, shingle_set, shingles, together
@@ -139,7 +139,7 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     )
     entries = distinct.select(F.explode("bands").alias("key"), "id", "n", F.col("n").alias("rest"))
 
-    def sets_of(ids: DataFrame) -> DataFrame:
+    def sets_of(ids: DataFrame, then: Callable | None = None, schema: str = SETS) -> DataFrame:
         wanted = (
             distinct.join(ids, "id", "left_semi")
             .select("first.doc_id", "first.version", F.struct(F.col("first.paragraph").alias("paragraph"), "id").alias("w"))
@@ -148,7 +148,7 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
         )
         wanted = written(wanted, "wanted")
         once = likely(texts, "doc_id", wanted).join(wanted, ["doc_id", "version"]).select("text", "wanted")
-        return once.mapInArrow(_sets, "id bigint, values binary")
+        return once.mapInArrow(made(_sets, then), schema)
 
     roots = linked(entries, distinct.select("id", "n", "bits"), sets_of, *SIMILAR)
     owned = distinct.select("digest", "id", "first", "copies").join(roots, "id", "left")

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -364,6 +365,31 @@ def test_families_are_summed_without_a_window(spark, monkeypatch):
     assert len(plans) == 1 and "Window" not in plans[0]
 
 
+def test_whole_sets_and_their_bitmaps_take_one_python_worker(spark, monkeypatch):
+    plans = []
+
+    def kept(df, label):
+        if label == "wide":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, label)
+
+    monkeypatch.setattr(set_links, "written", kept)
+    rnd = random.Random(2)
+    base = words(rnd, 200)
+    texts = [(i, " ".join(edited(rnd, base, 1))) for i in range(5)] + [(9, " ".join(words(rnd, 200, 10**9)))]
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_groups(documents(spark, texts), 4, 85, 100).collect()}
+    assert got == {**dict.fromkeys(range(5), 0), 9: 9}
+    assert len(plans) == 1 and len(re.findall("MapInArrow", plans[0])) == 1
+
+
+def test_frequent_shingles_are_tallied_from_three_documents_on():
+    texts = [f"{'x y z ' * 3}{i % 4} common words here u{i}" for i in range(12)] + ["", "x", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    found = pa.Table.from_batches(jaccard_join._profile(3)([batch])).filter(pc.field("tally") >= 0).to_pylist()
+    want = Counter(s for t in texts for s in set(shingles(word_hashes((t or "").encode()), 3).view(np.int64).tolist()))
+    assert {r["token"]: r["tally"] for r in found} == {s: n for s, n in want.items() if n >= 3}
+
+
 # --- runs ----------------------------------------------------------------------------------------
 
 
