@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fanout.llm.shared import cells, importable, small, written
+from fanout.llm.shared import cells, freed, importable, small, written
 
 TRAINED_ON = 20_000  # labelled documents at most, those with the least xxhash64(doc_id)
 PENALTY = 1e-3
@@ -144,7 +144,7 @@ def quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> D
     importable(docs.sparkSession)
     named = docs.select("doc_id", "text", host.cast("string").alias("host"), path.cast("string").alias("path"))
     measured = written(
-        named.mapInArrow(_measured, "doc_id bigint, host string, path string, x array<double>"), "measures"
+        named.mapInArrow(freed(_measured), "doc_id bigint, host string, path string, x array<double>"), "measures"
     )
     marks = labels.select("doc_id", F.col("quality").cast("double").alias("y")).filter("y is not null")
     marked = measured.join(marks, "doc_id").select("x", "y", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)).alias("order"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fanout.llm.shared import cells, importable, likely, small, written
+from fanout.llm.shared import cells, freed, importable, likely, small, written
 from fanout.llm.words import Run, shingles, together, words_and_places
 
 RUN = 50
@@ -179,13 +179,13 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     gone = small(equal.filter("doc_id != keep_doc_id"))
     once = texts.join(gone, ["doc_id", "version"], "left_anti")
 
-    found = written(once.mapInArrow(_anchors, "doc_id bigint, version bigint, anchor bigint, n int"), "anchors")
+    found = written(once.mapInArrow(freed(_anchors), "doc_id bigint, version bigint, anchor bigint, n int"), "anchors")
     shared = written(found.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor"), "shared")
     wanted = likely(found, "anchor", shared).join(shared, "anchor", "left_semi")
     wanted = written(wanted.groupBy("doc_id", "version").agg(F.collect_set("anchor").alias("wanted")), "wanted")
     met = likely(once, "doc_id", wanted).join(wanted, ["doc_id", "version"]).select("doc_id", "version", "text", "wanted")
     stretches = "doc_id bigint, version bigint, paragraph int, word int, stretch bigint"
-    stretched = written(met.mapInArrow(_stretches, stretches), "stretches")
+    stretched = written(met.mapInArrow(freed(_stretches), stretches), "stretches")
 
     place = F.struct("doc_id", "paragraph", "version", "word")
     counted = stretched.groupBy("stretch").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("copies"))
@@ -199,10 +199,10 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         "paragraph", F.col("lo.doc_id").alias("keep_doc_id"), F.col("lo.paragraph").alias("keep_paragraph"), "copies",
     )
     by_text = by_text.filter("first <= last").repartition("doc_id", "version")
-    merged = by_text.sortWithinPartitions("doc_id", "version", "removed", "first", "last").mapInArrow(_merged, _RUNS)
+    merged = by_text.sortWithinPartitions("doc_id", "version", "removed", "first", "last").mapInArrow(freed(_merged), _RUNS)
 
     alike = likely(texts, "doc_id", equal).join(equal.select("doc_id", "version").distinct(), ["doc_id", "version"], "left_semi")
-    sizes = alike.mapInArrow(_lengths, "doc_id bigint, version bigint, n_words int, paragraph int").distinct()
+    sizes = alike.mapInArrow(freed(_lengths), "doc_id bigint, version bigint, n_words int, paragraph int").distinct()
     whole = equal.join(sizes.filter(F.col("n_words") >= RUN), ["doc_id", "version"]).select(
         "doc_id", "version", F.lit(0).alias("first_word"), (F.col("n_words") - 1).alias("last_word"), "paragraph",
         "keep_doc_id", F.col("paragraph").alias("keep_paragraph"), "copies", (F.col("doc_id") != F.col("keep_doc_id")).alias("removed"),

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from fanout.llm.repeated_runs import repeated_runs, without_runs
 from fanout.llm.set_links import SETS, linked, made
-from fanout.llm.shared import cells, importable, likely, small, written
+from fanout.llm.shared import cells, freed, importable, likely, small, written
 from fanout.llm.signature_tree import COARSE, width_for
 from fanout.llm.words import Run, digest, distinct, mixed, packed, shingle_set, shingles, together
 
@@ -125,7 +125,7 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     """
     importable(docs.sparkSession)
     texts = docs.filter("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("version"))
-    found = written(texts.mapInArrow(_paragraphs, PARAGRAPHS), "paragraphs")
+    found = written(texts.mapInArrow(freed(_paragraphs), PARAGRAPHS), "paragraphs")
     place = F.struct("doc_id", "paragraph", "version")
     distinct = written(
         found.groupBy("digest")
@@ -148,7 +148,7 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
         )
         wanted = written(wanted, "wanted")
         once = likely(texts, "doc_id", wanted).join(wanted, ["doc_id", "version"]).select("text", "wanted")
-        return once.mapInArrow(made(_sets, then), schema)
+        return once.mapInArrow(freed(made(_sets, then)), schema)
 
     roots = linked(entries, distinct.select("id", "n", "bits"), sets_of, *SIMILAR)
     owned = distinct.select("digest", "id", "first", "copies").join(roots, "id", "left")

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from fanout.llm import exact_dedup, jaccard_join, repeated_runs, set_links, signature_tree, substring_dedup
+from fanout.llm import exact_dedup, jaccard_join, repeated_runs, set_links, shared, signature_tree, substring_dedup
 from fanout.llm import words as hashing
 from fanout.llm.components import components
 from fanout.llm.shared import written
@@ -459,3 +459,24 @@ def test_no_stretch_occurs_twice_unmarked(spark, seed):
     assert marked == gone
     left = {r.doc_id: r.text.split() for r in substring_dedup.without_runs(documents(spark, texts)).filter("doc_id != 91").collect()}
     assert left == {d: [w for k, w in enumerate(split[d]) if k not in gone[d]] for d in split if d != 91}
+
+
+def test_python_gets_few_bytes_at_a_time(spark):
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('word ', 2000)").alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    before = spark.conf.get(shared.BATCH_BYTES, None)
+    found = [r.n for r in shared.written(docs.mapInArrow(sizes, "n bigint"), "sizes").collect()]
+    assert max(found) < 1.1 * shared.BATCH and sum(found) > 29_000_000
+    assert spark.conf.get(shared.BATCH_BYTES, None) == before
+
+
+def test_frequent_shingles_are_tallied_across_batches():
+    text = " ".join(f"w{i}" for i in range(40))
+    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([f"{text} own{i}"])], ["doc_id", "text"]) for i in range(5)]
+    rows = pa.Table.from_batches(list(jaccard_join._profile(5)(batches)))
+    assert sorted(x for x in rows.column("tally").to_pylist() if x) == [5] * 36
+    assert rows.num_rows == 5 + 36
