@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fanout.llm.shared import cells, freed, importable, likely, small, written
+from fanout.llm.shared import cells, discard, freed, importable, likely, settled, small, written
 from fanout.llm.words import Run, shingles, together, words_and_places
 
 RUN = 50
@@ -183,9 +183,11 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     shared = written(found.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor"), "shared")
     wanted = likely(found, "anchor", shared).join(shared, "anchor", "left_semi")
     wanted = written(wanted.groupBy("doc_id", "version").agg(F.collect_set("anchor").alias("wanted")), "wanted")
+    discard(found, shared)
     met = likely(once, "doc_id", wanted).join(wanted, ["doc_id", "version"]).select("doc_id", "version", "text", "wanted")
     stretches = "doc_id bigint, version bigint, paragraph int, word int, stretch bigint"
     stretched = written(met.mapInArrow(freed(_stretches), stretches), "stretches")
+    discard(wanted)
 
     place = F.struct("doc_id", "paragraph", "version", "word")
     counted = stretched.groupBy("stretch").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("copies"))
@@ -238,13 +240,15 @@ def without_runs(docs: DataFrame) -> DataFrame:
             out.append(cut(t, [(x["first"], x["last"]) for x in s.as_py()]).decode(errors="replace") if s.is_valid else None)
         return pa.array(out, pa.string())
 
-    gone = (
-        repeated_runs(docs)
-        .filter("removed")
-        .groupBy(F.col("doc_id").alias("__doc_id"), F.col("version").alias("__version"))
-        .agg(F.collect_set(F.struct(F.col("first_word").alias("first"), F.col("last_word").alias("last"))).alias("__spans"))
-    )
-    gone = small(written(gone, "gone"))
+    def removed() -> DataFrame:
+        return (
+            repeated_runs(docs)
+            .filter("removed")
+            .groupBy(F.col("doc_id").alias("__doc_id"), F.col("version").alias("__version"))
+            .agg(F.collect_set(F.struct(F.col("first_word").alias("first"), F.col("last_word").alias("last"))).alias("__spans"))
+        )
+
+    gone = small(settled(removed, "gone"))
     met = (F.col("doc_id") == F.col("__doc_id")) & (F.xxhash64("text") == F.col("__version"))
     marked = docs.join(gone, met, "left")
     cleaned = F.when(F.col("__spans").isNull(), F.lit(None)).otherwise(F.col("text"))

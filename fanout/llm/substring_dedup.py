@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from fanout.llm.repeated_runs import repeated_runs, without_runs
 from fanout.llm.set_links import SETS, linked, made
-from fanout.llm.shared import cells, freed, importable, likely, small, written
+from fanout.llm.shared import cells, freed, importable, likely, settled, small, written
 from fanout.llm.signature_tree import COARSE, width_for
 from fanout.llm.words import Run, digest, distinct, mixed, packed, shingle_set, shingles, together
 
@@ -171,13 +171,16 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the removed paragraphs gone from text, and n_chars counted anew where text changed."""
-    gone = (
-        repeated_paragraphs(docs)
-        .filter("removed")
-        .groupBy(F.col("doc_id").alias("__doc_id"), F.col("version").alias("__version"))
-        .agg(F.collect_set("paragraph").alias("__gone"))
-    )
-    gone = small(written(gone, "gone"))
+
+    def removed() -> DataFrame:
+        return (
+            repeated_paragraphs(docs)
+            .filter("removed")
+            .groupBy(F.col("doc_id").alias("__doc_id"), F.col("version").alias("__version"))
+            .agg(F.collect_set("paragraph").alias("__gone"))
+        )
+
+    gone = small(settled(removed, "gone"))
     marked = docs.join(
         gone, (docs["doc_id"] == F.col("__doc_id")) & (F.xxhash64(docs["text"]) == F.col("__version")), "left"
     )

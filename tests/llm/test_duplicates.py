@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,7 @@ from fanout.llm import words as hashing
 from fanout.llm.components import components
 from fanout.llm.shared import written
 from fanout.llm.words import shingles, word_hashes
+from fanout.session import scratch_root
 from helpers import EDGES, documents, edited, words
 
 
@@ -480,3 +483,30 @@ def test_frequent_shingles_are_tallied_across_batches():
     rows = pa.Table.from_batches(list(jaccard_join._profile(5)(batches)))
     assert sorted(x for x in rows.column("tally").to_pylist() if x) == [5] * 36
     assert rows.num_rows == 5 + 36
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    def left() -> int:
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return sum(blocks.apply(i).isShuffle() for i in range(blocks.size()))
+
+    before, told = left(), spark.conf.get(shared.CLEANUP, None)
+    rows = spark.range(20_000).groupBy((F.col("id") % 9000).alias("a")).agg(F.max("id").alias("b"))
+    shared.written(rows.join(rows.withColumnRenamed("b", "c"), "a"), "links")
+    shared.small(shared.written(rows, "links"))
+    for _ in range(50):
+        if left() <= before:
+            break
+        time.sleep(0.1)
+    assert left() <= before
+    assert spark.conf.get(shared.CLEANUP, None) == told
+
+
+def test_what_a_step_wrote_goes_when_its_result_is_kept(spark):
+    folder = Path(scratch_root(spark).removeprefix("file:"))
+    docs = documents(spark, [(i, " ".join(f"w{k}" for k in range(i % 5, i % 5 + 40))) for i in range(30)])
+    there = {p.name for p in folder.glob("*")} if folder.exists() else set()
+    kept = jaccard_join.one_of_each(docs, 5, 80, 100).count()
+    substring_dedup.without_passages(docs).count()
+    made = {p.name.split("-")[0] for p in folder.glob("*") if p.name not in there}
+    assert kept < 30 and made <= {"lost", "gone"}
