@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 from collections import Counter
 from decimal import Decimal
 
@@ -14,7 +15,7 @@ from fanout import schemas as S
 from fanout.functions import corpus as C
 from fanout.functions import wire
 from fanout.functions.text import ascii_upper, string_fingerprint
-from fanout.operators import corpus, expectation, gates, transform
+from fanout.operators import checksums, corpus, expectation, gates, transform
 from fanout.operators.transform import land_flat
 from fanout.plans import inputs
 from fanout.session import scratch_path
@@ -324,3 +325,31 @@ def test_events_from_cycles_are_the_events(spark):
             assert tuple(e) == (s, f"metric_{(b * 31 + s) % S.NAMES}", S.UNITS[(b * 7 + s) % 8], value, quality, tags)
     plan = df.filter("b < 1000").select(C.events(F.col("b")).alias("e"))._jdf.queryExecution().optimizedPlan().toString()
     assert "from_json" not in plan and "arrays_zip" in plan
+
+
+def test_text_sums_of_a_table_are_those_of_its_rows(spark):
+    words = ["", "a", "é", "\x00", "\x00b", "seven77", "eight888", "nine99999", "ÿ€😀ÿ€😀", "x" * 300, None, "ß\x7f\x80"]
+    rows = [(i - 3, w, words[-1 - i]) for i, w in enumerate(words)]
+    df = spark.createDataFrame(rows, "n long, a string, b string")
+
+    def own(w):
+        raw = (w or "").encode()
+        return int.from_bytes(raw[:8].ljust(8, b"\0"), "little") + int.from_bytes(raw[::-1][:8].ljust(8, b"\0"), "little")
+
+    got = checksums.checksum(df, {"n": F.col("n")}, {"a": F.col("a"), "b": F.col("b")}).first()
+    assert [int(x) for x in got] == [sum(r[0] for r in rows), sum(own(r[1]) for r in rows), sum(own(r[2]) for r in rows)]
+    assert [int(x) for x in checksums.checksum(df.limit(0), {"n": F.col("n")}, {"a": F.col("a")}).first()] == [0, 0]
+    assert [int(x) for x in checksums.checksum(df, {"n": F.col("n")}).first()] == [sum(r[0] for r in rows)]
+
+
+def test_no_method_of_the_sums_is_too_large_to_be_compiled(spark, data, capsys):
+    rows = inputs.broken_corpus(spark, data)
+    marks = spark.createDataFrame([], "_word long, _marks long")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        gates.sums(gates.in_window(rows, gates.Window(0, 90, 1, 90)), marks).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000  # bytes of code, beyond which the JVM interprets a method
